@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, mixing, near_dedup, pieces, toxicity
+from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, toxicity
 from .common import fold, read
 
 
@@ -31,6 +31,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scores = quality_model.scored(docs, quality_model.fit(docs, read(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(read(spark, sf_dir, "documents"))
 
@@ -39,13 +46,21 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(read(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language_id.predicted(docs, language_id.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality_model": op7_quality_model,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {
