@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, toxicity
-from .common import fold, read
+from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, toxicity, warc
+from .common import fold, read, scratch
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measured(read(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    known = F.col("metadata.fields")
+    return captures.select(
+        known["page-id"].cast("long").alias("page_id"),
+        F.coalesce("response.payload_bytes", known["payload-bytes"].cast("long")).alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.rec_type").alias("record_type"),
+        known["original-page-id"].cast("long").alias("refers_to"),
+    )
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +71,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mixing": op5_source_mixing,
@@ -64,6 +84,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_quality_rules": r"""
+with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+l as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct u.line) as n_dup from t, unnest(string_split(text, chr(10))) as u(line)
+  where regexp_matches(u.line, '[^\x20\x09-\x0D]') group by doc_id
+), g as (
+  select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from t, unnest(range(1, len(w) - 1)) as r(i)
+), again as (
+  select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, a, b, c) as n from g) where n > 1
+), covered as (
+  select doc_id, count(distinct i + k) as n from again, unnest([0, 1, 2]) as s(k) group by doc_id
+), f as (
+  select t.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(l.n_dup, 0)::bigint as n_dup_lines, coalesce(l.n_lines, 0) as n_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
+    length(regexp_replace(text, '[^!]', '', 'g')) as n_exclaim
+  from t left join l using (doc_id) left join covered using (doc_id)
+), b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or 4 * n_symbols > n_words or 2 * n_dup_lines > n_lines or 2 * n_words > word_chars or word_chars > 20 * n_words or 2 * n_exclaim > n_words) as kept
+from b""",
+    "op2_warc": """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+o as (select payload_digest, min(page_id) as original from p where payload_bytes >= 100 group by payload_digest)
+select p.page_id, p.payload_bytes, p.payload_digest, case when p.page_id > o.original then 'revisit' else 'response' end as record_type,
+  case when p.page_id > o.original then o.original end as refers_to
+from p left join o on p.payload_digest = o.payload_digest""",
     "op4_line_dedup": r"""
 with l as (
   select d.doc_id, u.line, u.pos from documents d,
