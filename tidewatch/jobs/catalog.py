@@ -1,6 +1,586 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries over the given tables, and their DuckDB SQL.
+
+Lists are returned as comma-separated text, so that rows compare as flat values.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import paths, text
+from ..operators import archives, detectors, manifests, risk
+from ..operators import findings as fd
+from ..operators.rulebook import BUILTIN, CAPABILITIES
+from ..sources import files as sources_
+from . import inputs
+from .inputs import FILES_SQL, FINDINGS_SQL, MEMBERS_SQL, REQUIREMENTS_SQL, quoted, read, sql_pick
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql is not None:
+            SQL[name] = sql
+        return query
+
+    return add
+
+
+def joined(values: Column) -> Column:
+    return F.array_join(values, ",")
+
+
+# --- fragments of SQL -------------------------------------------------------------------------------------------------
+NL = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+BLANKS = " || ".join(f"chr({ord(c)})" for c in text.BLANKS)
+
+
+def lines_sql(source: str, columns: str) -> str:
+    """columns, line (from 1) and raw of every line of `content` in source."""
+    body = f"regexp_replace(content, '(?:{NL})\\z', '')"
+    return f"select {columns}, u.pos as line, u.raw from ({source}) s, unnest(case when content = '' then [] else regexp_split_to_array({body}, '{NL}') end) with ordinality as u(raw, pos)"
+
+
+def strip_sql(x: str) -> str:
+    return f"trim({x}, {BLANKS})"
+
+
+P = "replace(path, '\\', '/')"
+NAME = f"lower(string_split({P}, '/')[-1])"
+DIRS = f"lower({P})"
+SUFFIX = f"regexp_extract({NAME}, '[^/](\\.[^.]+)$', 1)"
+LANGUAGE = (
+    f"case when {NAME} = '.env' or {NAME} like '.env.%' then 'text' "
+    + " ".join(f"when {NAME} = '{k}' then '{v}'" for k, v in paths.NAMES.items())
+    + f" when {SUFFIX} in ('.yaml', '.yml') and len(string_split({P}, '/')) >= 3 and {DIRS} like '.github/workflows/%' then 'github-actions' "
+    + " ".join(f"when {SUFFIX} = '{k}' then '{v}'" for k, v in paths.LANGUAGES.items())
+    + " end"
+)
+
+
+def inside(*names: str) -> str:
+    return f"list_has_any(string_split({DIRS}, '/')[:-2], {list(names)})"
+
+
+ROLES = {
+    "is_prompt": f"({NAME} in {tuple(paths.PROMPT_FILES)} or contains({NAME}, 'prompt') or {inside('prompts', 'skills')})",
+    "is_component": f"({NAME} in {tuple(paths.COMPONENT_FILES)} or {inside('plugins', 'skills')})",
+    "is_sensitive": f"(coalesce({LANGUAGE} in {tuple(paths.SENSITIVE_LANGUAGES)}, false) or {NAME} in {tuple(paths.SENSITIVE_FILES)} or {inside('plugins', 'prompts', 'skills')})",
+    "is_installer": f"({NAME} in {tuple(paths.INSTALL_FILES)})",
+    "is_manifest": f"({NAME} in {tuple(paths.MANIFESTS)})",
+}
+SOURCES_SQL = f"select target_id, path, {LANGUAGE} as language, content from ({FILES_SQL}) f"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived files with their language."""
+    f = inputs.files(spark, sf_dir)
+    return f.select("target_id", "path", paths.detect_language(F.col("path")).alias("language"), "content")
+
+
+def documents_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("target_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.lit("text").alias("language"), F.col("text").alias("content"))
+
+
+SECRET_KEY = r"\b(?:[A-Za-z_][A-Za-z0-9_]*)?(?:password|passwd|pwd|token|secret|api_key|access_key)[A-Za-z0-9_]*\b"
+ASSIGNED = f"""(?:"{SECRET_KEY}"|''{SECRET_KEY}''|{SECRET_KEY})\\s*[:=]\\s*"""
+
+
+# --- F, P: text and paths ---------------------------------------------------------------------------------------------
+@register("p1_language", f"select target_id, path, {LANGUAGE} as language from ({FILES_SQL}) f")
+def p1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources(spark, sf_dir).select("target_id", "path", "language")
+
+
+@register("p2_ignored_directories", f"select target_id, path from ({FILES_SQL}) f where not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})")
+def p2_ignored_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.files(spark, sf_dir).where(~paths.in_ignored_directory(F.col("path"))).select("target_id", "path")
+
+
+@register("p3_p4_discovery", f"""
+with raw as (select target_id, path, octet_length(encode(content))::bigint as length, {LANGUAGE} as language from ({FILES_SQL}) f)
+select target_id, path, language, length, case when length > 6000 then 'file_too_large' else 'ok' end as status from raw
+where language is not null and not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})""")
+def p3_p4_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size gate at 6,000 bytes, so that it has work to do on these tables."""
+    f = inputs.files(spark, sf_dir)
+    raw = f.select("target_id", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
+    return sources_.discover(raw, max_bytes=6_000).select("target_id", "path", "language", "length", "status")
+
+
+@register("p5_lines", f"select target_id, path, count(*)::bigint as n_lines, sum(length(raw))::bigint as n_chars, max(length(raw))::bigint as longest from ({lines_sql(FILES_SQL, 'target_id, path')}) l group by all")
+def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = text.split_lines(F.col("content"))
+    sizes = F.transform(lines, lambda x: F.length(x).cast("long"))
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b)
+    return inputs.files(spark, sf_dir).select("target_id", "path", F.size(lines).cast("long").alias("n_lines"), total.alias("n_chars"), F.array_max(sizes).alias("longest"))
+
+
+@register("p6_comment_lines", f"""select target_id, path, language, line::int as line from ({lines_sql(SOURCES_SQL, 'target_id, path, language')}) l
+where (language = 'shell' and starts_with(ltrim(raw, {BLANKS}), '#')) or (language = 'batch' and (starts_with(ltrim(raw, {BLANKS}), '::') or starts_with(lower(ltrim(raw, {BLANKS})), 'rem ')))""")
+def p6_comment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masked = detectors.mask_comment_lines(detectors._numbered(sources(spark, sf_dir)))
+    return masked.where((F.col("masked") == "") & (F.col("raw") != "")).select("target_id", "path", "language", "line")
+
+
+@register("p7_roles", f"select target_id, path, {', '.join(f'{v} as {k}' for k, v in ROLES.items())} from ({FILES_SQL}) f")
+def p7_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sources(spark, sf_dir)
+    return s.select("target_id", "path", *[c.alias(k) for k, c in paths.roles(F.col("path"), F.col("language")).items()])
+
+
+ADDRESSES = ["", "https://github.com/own-er/repo.git", "https://github.com/a/b/c", "HTTPS://GitHub.com/a/b/", "https://github.com/a/..", "https://user@github.com/a/b", "x/y.tar.gz", "dir/setup.exe", "dir/read.md", "nothing", "  ", "https://github.com/a/b?x=1"]
+
+
+@register("p8_targets", f"""
+with t as (select page_id, case when page_id % 13 = 12 then url else {sql_pick(ADDRESSES, 'page_id % 13')} end as raw from pages),
+v as (select page_id, trim(raw) as path, regexp_extract(trim(raw), '^(?i:https)://(?i:github\\.com)/([A-Za-z0-9_.-]{{1,100}})/([A-Za-z0-9_.-]{{1,104}}?)(?:\\.git)?/?$', 1) as o,
+  regexp_extract(trim(raw), '^(?i:https)://(?i:github\\.com)/([A-Za-z0-9_.-]{{1,100}})/([A-Za-z0-9_.-]{{1,104}}?)(?:\\.git)?/?$', 2) as n from t)
+select page_id, case when path = '' then 'invalid_target' when o <> '' and n <> '' and o not in ('.', '..') and n not in ('.', '..') and length(n) <= 100 then 'github'
+  when regexp_matches(lower(path), '^https?://') then 'invalid_github' when regexp_matches({NAME}, '(?:\\.tar|\\.tar\\.gz|\\.tgz|\\.zip)$') then 'archive'
+  when {LANGUAGE} is not null then 'file' when regexp_matches({NAME}, '(?:\\.dmg|\\.exe|\\.msi|\\.pkg)$') then 'unsupported_binary' else 'unsupported_file' end as kind from v""")
+def p8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    raw = F.when(i % 13 == 12, F.col("url")).otherwise(inputs.pick(ADDRESSES, i % 13))
+    return read(spark, sf_dir, "pages").select("page_id", paths.classify_target(raw).alias("kind"))
+
+
+UNSAFE = """(name = '' or length(name) > 4096 or regexp_matches(name, '^[/\\\\]') or regexp_matches(name, '^[A-Za-z]:') or len(ps) = 0
+  or len(list_filter(ps, x -> x = '..' or length(x) > 255 or regexp_matches(x, '[ .]$') or contains(x, ':') or regexp_matches(x, '[\\x00-\\x1F\\x7F]') or regexp_matches(x, '(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\\.|$)'))) > 0)"""
+MEMBER_PARTS = f"select *, list_filter(string_split(replace(name, '\\', '/'), '/'), x -> x <> '' and x <> '.') as ps from ({MEMBERS_SQL}) m"
+
+
+@register("p9_member_paths", f"select archive_id, name, {UNSAFE} as unsafe from ({MEMBER_PARTS}) p")
+def p9_member_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.members(spark, sf_dir).select("archive_id", "name", paths.unsafe_member_path(F.col("name")).alias("unsafe"))
+
+
+def _mask_sql(value: str) -> str:
+    return f"case when starts_with({value}, 'sk-') then 'sk-****...' || right({value}, 4) when length({value}) <= 8 then '****' when regexp_matches({value}, '^(?:AKIA|ASIA|gh)') then left({value}, 4) || '****...' || right({value}, 4) else left({value}, 2) || '****...' || right({value}, 4) end"
+
+
+@register("f1_redacted_documents", f"""
+select doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)({ASSIGNED})"([^"\\\\\\r\\n]{{2}})[^"\\\\\\r\\n]{{3,}}([^"\\\\\\r\\n]{{4}})"', '\\1"\\2****...\\3"', 'g'), '(?i)({ASSIGNED})"[^"\\\\\\r\\n]{{0,8}}"', '\\1"****"', 'g')) as redacted_sha256
+from documents""")
+def f1_redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(text.redact_text(F.col("text")), 256).alias("redacted_sha256"))
+
+
+@register("f2_masked_values", f"with v as (select p_partkey, ([ 'sk-', 'AKIA', '', 'ghp_', 'x' ])[1 + p_partkey % 5] || case when p_partkey % 4 = 0 then left(p_name, 6) else p_name end as value from part) select p_partkey, {_mask_sql('value')} as masked from v")
+def f2_masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    value = F.concat(inputs.pick(["sk-", "AKIA", "", "ghp_", "x"], i), F.when(i % 4 == 0, F.substring("p_name", 1, 6)).otherwise(F.col("p_name")))
+    return read(spark, sf_dir, "part").select("p_partkey", text.mask_secret(value).alias("masked"))
+
+
+@register("f3_visible_controls", """
+with v as (select conv_id, turn, text || chr(27) || '[0m' || chr(8238) || 'x' || chr(127) || chr(10) || chr(9) as t from conversations)
+select conv_id, turn, sha256(replace(replace(replace(t, chr(27), '\\u001b'), chr(8238), '\\u202e'), chr(127), '\\u007f')) as shown_sha256 from v""")
+def f3_visible_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.concat("text", F.lit("\x1b[0m‮x\x7f\n\t"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.show_controls(t), 256).alias("shown_sha256"))
+
+
+@register("f7_tool_words", "select event_id, len(list_filter(regexp_split_to_array(event_type || ', read  write' , '[,\\s]+'), x -> contains(x, 'read')))::int as n_read from events")
+def f7_tool_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.concat("event_type", F.lit(", read  write")), r"[,\s]+")
+    return read(spark, sf_dir, "events").select("event_id", F.size(F.filter(words, lambda w: F.contains(w, F.lit("read")))).alias("n_read"))
+
+
+# --- D, R: rules ------------------------------------------------------------------------------------------------------
+def _flat(findings: DataFrame) -> DataFrame:
+    return findings.select("target_id", "path", "line", "rule_id", "severity", "category", joined(F.col("capabilities")).alias("capabilities"), "snippet")
+
+
+def rules_sql(language: str, files_sql: str, masked: str, skip: tuple[str, ...] = ()) -> str:
+    """All hits of a language's rules: target_id, path, line, rule_id, severity, category, capabilities, raw."""
+    rules = [r for r in BUILTIN if r.language == language and r.id not in skip]
+    cases = ", ".join(f"case when regexp_matches(m, {quoted(r.pattern)}) then {{'id': '{r.id}', 'sev': '{r.severity}', 'cat': '{r.category}', 'caps': '{','.join(r.capabilities)}'}} end" for r in rules)
+    return f"select target_id, path, line::int as line, h.x.id as rule_id, h.x.sev as severity, h.x.cat as category, h.x.caps as capabilities, raw from (select *, {masked} as m from ({lines_sql(files_sql, 'target_id, path, language')}) l) q, unnest([{cases}]) as h(x) where h.x is not null"
+
+
+def redact_line_sql(raw: str) -> str:
+    """Redaction of the lines that the derived files can hold."""
+    t = strip_sql(raw)
+    t = f"""regexp_replace({t}, '(?i)({ASSIGNED})"([^"\\\\\\r\\n]{{2}})[^"\\\\\\r\\n]{{3,}}([^"\\\\\\r\\n]{{4}})"', '\\1"\\2****...\\3"', 'g')"""
+    t = f"""regexp_replace({t}, '(?i)({ASSIGNED})''[^''\\\\\\r\\n]{{0,8}}''', '\\1''****''', 'g')"""
+    t = f"regexp_replace({t}, '\\b(sk-)[A-Za-z0-9_-]{{12,}}([A-Za-z0-9_-]{{4}})\\b', '\\1****...\\2', 'g')"
+    t = f"regexp_replace({t}, '\\b(gh[pousr]_)[A-Za-z0-9]{{16,}}([A-Za-z0-9]{{4}})\\b', '\\1****...\\2', 'g')"
+    t = f"regexp_replace({t}, '(?i)\\bBearer\\s+([A-Za-z0-9._~+/=-]{{2}})[A-Za-z0-9._~+/=-]{{6,}}([A-Za-z0-9._~+/=-]{{4}})', 'Bearer \\1****...\\2', 'g')"
+    return f"substr({t}, 1, 500)"
+
+
+SHELL_HITS = rules_sql("shell", f"select * from ({SOURCES_SQL}) z where language = 'shell'", f"case when starts_with(ltrim(raw, {BLANKS}), '#') then '' else substr(raw, 1, 20000) end")
+BATCH_MASK = f"case when starts_with(ltrim(raw, {BLANKS}), '::') or starts_with(lower(ltrim(raw, {BLANKS})), 'rem ') then '' else substr(raw, 1, 20000) end"
+BATCH_HITS = rules_sql("batch", f"select * from ({SOURCES_SQL}) z where language = 'batch'", BATCH_MASK, ("SI-BAT-003",))
+PROMPT_HITS = rules_sql("prompt", f"select target_id, path, 'prompt' as language, content from ({SOURCES_SQL}) z where {ROLES['is_prompt']}", "substr(raw, 1, 20000)")
+
+
+def capped_sql(hits: str, most: int = 100) -> str:
+    return f"select * exclude (n) from (select *, row_number() over (partition by target_id, path, rule_id order by line) as n from ({hits}) h) c where n <= {most}"
+
+
+def flat_sql(hits: str) -> str:
+    return f"select target_id, path, line, rule_id, severity, category, capabilities, {redact_line_sql('raw')} as snippet from ({hits}) f"
+
+
+SHELL_KEPT = f"select * exclude (piped) from (select *, bool_or(rule_id in ('SI-SH-001', 'SI-SH-002')) over (partition by target_id, path, line) as piped from ({capped_sql(SHELL_HITS)}) a) b where not (rule_id = 'SI-SH-006' and piped)"
+
+
+@register("d2_shell", flat_sql(SHELL_KEPT))
+def d2_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(detectors.detect_shell(sources(spark, sf_dir)))
+
+
+@register("d3_batch", flat_sql(capped_sql(BATCH_HITS)))
+def d3_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule SI-BAT-003 has lookaheads, which the other engine lacks; the derived files do not hold it (unit tests do)."""
+    return _flat(detectors.detect_batch(sources(spark, sf_dir)))
+
+
+@register("d5_prompts", flat_sql(capped_sql(PROMPT_HITS)))
+def d5_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(detectors.detect_prompts(sources(spark, sf_dir)))
+
+
+@register("r1_rule_hits", f"select rule_id, severity, count(*)::bigint as n, count(distinct target_id)::bigint as n_targets from (({capped_sql(SHELL_HITS)}) union all ({capped_sql(BATCH_HITS)})) a group by all")
+def r1_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = tuple(r for r in BUILTIN if r.language in ("shell", "batch"))
+    return detectors.scan_rules(sources(spark, sf_dir), rules).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("target_id").alias("n_targets"))
+
+
+PACK = [("SI-USR-001", "text", r"(?i)\bthe\b"), ("SI-USR-002", "text", r"==\d"), ("SI-USR-003", "markdown", r"\bnothing\b")]
+
+
+@register("r1_user_rules", f"""
+with hits as (select target_id, path, line::int as line, r.id as rule_id from ({lines_sql(SOURCES_SQL, 'target_id, path, language')}) l join (values {', '.join(f"('{i}', '{g}', {quoted(p)})" for i, g, p in PACK)}) r(id, lang, pattern)
+  on l.language = r.lang and regexp_matches(substr(l.raw, 1, 20000), r.pattern))
+select target_id, path, line, rule_id from (select *, row_number() over (partition by target_id, path, rule_id order by line) as n from hits) c where n <= 100""")
+def r1_user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = spark.createDataFrame([(i, i, "low", "user_rule", g, p, []) for i, g, p in PACK], "id string, name string, severity string, category string, language string, pattern string, capabilities array<string>")
+    return detectors.scan_rule_table(sources(spark, sf_dir), pack).select("target_id", "path", "line", "rule_id")
+
+
+@register("r2_cap_per_rule", f"select target_id, path, rule_id, count(*)::bigint as n from (select *, row_number() over (partition by target_id, path, rule_id order by line) as k from ({FINDINGS_SQL.replace('l_orderkey::varchar', '(l_orderkey % 50)::varchar').replace('(l_linenumber % 2)::int', 'l_partkey::int')}) f) c where k <= 20 group by all")
+def r2_cap_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = _few_targets(spark, sf_dir)
+    return fd.cap_per_rule(few, 20).groupBy("target_id", "path", "rule_id").agg(F.count("*").alias("n"))
+
+
+def _few_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings gathered into 50 targets, so that the caps have something to cut."""
+    f = inputs.findings(spark, sf_dir).withColumn("target_id", (F.col("target_id").cast("long") % 50).cast("string"))
+    return f.withColumn("line", (F.col("emit_seq") % 1000).cast("int"))
+
+
+@register("r3_cap_per_file", f"select target_id, path, scanner_seq, least(count(*), 40)::bigint as n from ({FINDINGS_SQL.replace('l_orderkey::varchar', '(l_orderkey % 50)::varchar')}) f group by all")
+def r3_cap_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fd.cap_per_file(_few_targets(spark, sf_dir), 40).groupBy("target_id", "path", "scanner_seq").agg(F.count("*").alias("n"))
+
+
+@register("r4_suppress_shell_download", f"select target_id, path, line, rule_id from ({SHELL_KEPT}) k where rule_id in ('SI-SH-001', 'SI-SH-002', 'SI-SH-006')")
+def r4_suppress_shell_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_shell(sources(spark, sf_dir)).where(F.col("rule_id").isin("SI-SH-001", "SI-SH-002", "SI-SH-006")).select("target_id", "path", "line", "rule_id")
+
+
+SENSITIVE_SQL = [
+    ("ssh", "medium", r"(?i)(?:^|[^\p{L}\p{N}_])\.ssh(?:[\\/]|[^\p{L}\p{N}_]|$)"),
+    ("aws", "medium", r"(?i)(?:^|[^\p{L}\p{N}_])\.aws(?:[\\/]|[^\p{L}\p{N}_]|$)"),
+    ("system", "medium", r"""(?i)(?:^|[\s'"(])(?:/etc/|(?:[A-Z]:)?[\\/]Windows[\\/]System32[\\/])"""),
+    ("environment_file", "medium", r"(?i)(?:^|[^\p{L}\p{N}_])\.env(?:\.[A-Za-z0-9_.-]+)?(?:[^\p{L}\p{N}_]|$)"),
+    ("user_config", "low", r"(?i)(?:^|[^\p{L}\p{N}_])\.config(?:[\\/]|[^\p{L}\p{N}_]|$)"),
+    ("home", "low", r"(?i)(?:~[\\/]|\$HOME(?:[\\/]|\b)|\$\{HOME\}[\\/]|%USERPROFILE%[\\/])"),
+]
+BARE = f"ltrim(raw, {BLANKS})"
+
+
+@register("d6_sensitive_paths", f"""
+with l as ({lines_sql(f"select * from ({SOURCES_SQL}) z where {ROLES['is_sensitive']}", 'target_id, path, language')}),
+c as (select *, case {' '.join(f"when regexp_matches(raw, {quoted(p)}) then '{k}'" for k, _, p in SENSITIVE_SQL)} end as path_class from l
+  where not coalesce((language in ('powershell', 'shell') and starts_with({BARE}, '#')) or (language = 'javascript' and (starts_with({BARE}, '//') or starts_with({BARE}, '/*') or starts_with({BARE}, '*')))
+    or (language = 'batch' and (starts_with({BARE}, '::') or starts_with(lower({BARE}), 'rem '))), false))
+select target_id, path, line::int as line, path_class, case when path_class in ('user_config', 'home') then 'low' else 'medium' end as severity from c where path_class is not null""")
+def d6_sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detectors.detect_sensitive_paths(sources(spark, sf_dir))
+    return found.select("target_id", "path", "line", F.col("metadata")["path_class"].alias("path_class"), "severity")
+
+
+@register("d7_docker", f"""
+with l as (select * from (select *, {strip_sql('raw')} as bare from ({lines_sql(f"select * from ({SOURCES_SQL}) z where language = 'dockerfile'", 'target_id, path, language')}) x) y where bare <> '' and not starts_with(bare, '#')),
+i as (select *, list_filter(regexp_split_to_array(bare, '\\s+')[2:], w -> not starts_with(w, '--'))[1] as image from l)
+select target_id, path, line::int as line, 'SI-SC-003' as rule_id from i where starts_with(lower(bare), 'from ') and image is not null and not contains(lower(image), '@sha256:')
+  and (not contains(string_split(image, '/')[-1], ':') or lower(image) like '%:latest')
+union all select target_id, path, line::int, 'SI-SC-002' from i where regexp_matches(bare, '\\b(?:curl|wget)\\b[^|\\n]*\\|\\s*(?:bash|sh)\\b')""")
+def d7_docker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_docker(sources(spark, sf_dir)).select("target_id", "path", "line", "rule_id")
+
+
+@register("d8_installers", f"select target_id, path, case when {LANGUAGE} = 'python' then 'code_execution' else 'shell_execution' end as capability from ({FILES_SQL}) f where {ROLES['is_installer']}")
+def d8_installers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_installers(sources(spark, sf_dir)).select("target_id", "path", F.col("capabilities")[0].alias("capability"))
+
+
+SECRET_SQL = [
+    ("SI-SEC-001", "high", f"(?i){ASSIGNED}[^\\s#,;]"), ("SI-SEC-002", "high", text.API_KEY), ("SI-SEC-003", "high", text.GIT_TOKEN), ("SI-SEC-004", "critical", "-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----"),
+    ("SI-SEC-005", "high", text.CLOUD_KEY), ("SI-SEC-006", "high", text.BEARER), ("SI-SEC-007", "medium", text.URL_LOGIN),
+]
+
+
+def secrets_sql(files: str) -> str:
+    cases = ", ".join(f"case when regexp_matches(raw, '{p}') then {{'id': '{i}', 'sev': '{s}'}} end" for i, s, p in SECRET_SQL)
+    hits = f"select target_id, path, line::int as line, h.x.id as rule_id, h.x.sev as severity, 'secret_exposure' as category, raw from ({lines_sql(files, 'target_id, path, language')}) l, unnest([{cases}]) as h(x) where h.x is not null"
+    env = f"select target_id, path, 1 as line, 'SI-SEC-008' as rule_id, 'medium' as severity, 'sensitive_file' as category, null::varchar as snippet from ({files}) e where {NAME} = '.env' or {NAME} like '.env.%'"
+    return f"select target_id, path, line, rule_id, severity, category, {redact_line_sql('raw')} as snippet from ({capped_sql(hits)}) c union all {env}"
+
+
+DOCUMENT_SOURCES_SQL = "select source as target_id, 'doc/' || doc_id as path, 'text' as language, text as content from documents"
+
+
+@register("d1_secret_findings", secrets_sql(SOURCES_SQL))
+def d1_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect_secrets(sources(spark, sf_dir)).select("target_id", "path", "line", "rule_id", "severity", "category", "snippet")
+
+
+@register("w1_secret_risk", f"""
+with t as (select distinct source as target_id from documents), f as ({secrets_sql(DOCUMENT_SOURCES_SQL)}),
+a as (select target_id, count(*) as n, max(case severity when 'critical' then 88 when 'high' then 58 else 28 end) as top, count(distinct category) as cats from f group by 1),
+s as (select t.target_id, coalesce(n, 0)::bigint as n_findings, coalesce(least(100, top + least(15, 3 * (cats - 1)) + 2), 0)::int as score from t left join a using (target_id))
+select *, case when score >= 80 then 'critical' when score >= 50 then 'high' when score >= 20 then 'medium' when score >= 5 then 'low' else 'info' end as level from s""")
+def w1_secret_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in the documents of each source, folded into a risk per source."""
+    docs = documents_as_sources(spark, sf_dir)
+    found = fd.dedupe_findings(fd.union_findings(detectors.detect_secrets(docs)))
+    return risk.assess(found, docs.select("target_id").distinct()).select("target_id", "n_findings", F.col("score").cast("int").alias("score"), "level")
+
+
+# --- I: manifests -----------------------------------------------------------------------------------------------------
+PARSED_SQL = f"""
+select target_id, line, name, case when rest = '' then '*' else rest end as specifier, case when not starts_with(rest, '@') then 'registry' when starts_with(lower(target), 'git+') then 'git' else 'url' end as source_type,
+  case when starts_with(rest, '@') then starts_with(lower(target), 'git+') and regexp_matches(target, '@[0-9a-fA-F]{{40}}(?:[#?]|$)') else regexp_matches(rest, '^={{2,3}}[^,;*\\s]+$') end as pinned
+from (select *, trim(substr(rest, 2)) as target from (select *, regexp_extract(d, '^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\\[[^\\]]+\\])?', 1) as name, trim(regexp_replace(d, '^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\\[[^\\]]+\\])?', '')) as rest
+  from (select target_id, line, trim(string_split(declaration, ';')[1]) as d from ({REQUIREMENTS_SQL}) r) a) b) c where name <> ''"""
+
+
+@register("i4_requirements", f"select target_id, line::int as line, name, specifier, source_type, pinned from ({PARSED_SQL}) p")
+def i4_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.requirements_deps(inputs.requirement_files(spark, sf_dir)).select("target_id", "line", "name", "specifier", "source_type", "pinned")
+
+
+@register("i6_dependency_findings", f"""select target_id, line::int as line, case when source_type = 'git' then 'SI-DEP-002' else 'SI-DEP-001' end as rule_id, case when source_type = 'git' then 'medium' else 'low' end as severity, name as dependency
+from ({PARSED_SQL}) p where source_type = 'git' or not pinned""")
+def i6_dependency_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deps = manifests.requirements_deps(inputs.requirement_files(spark, sf_dir))
+    return manifests.dependency_findings(deps).select("target_id", "line", "rule_id", "severity", F.col("metadata")["dependency"].alias("dependency"))
+
+
+@register("i7_manifest_caps", f"select target_id, least(count(*), 3)::bigint as n from ({PARSED_SQL}) p group by all")
+def i7_manifest_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deps = manifests.requirements_deps(inputs.requirement_files(spark, sf_dir))
+    return manifests.manifest_caps(deps, 3).groupBy("target_id").agg(F.count("*").alias("n"))
+
+
+@register("i9_sorted_dependencies", f"select target_id, name, line::int as line, row_number() over (partition by target_id order by lower(name), line)::int as rank from ({PARSED_SQL}) p")
+def i9_sorted_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deps = manifests.requirements_deps(inputs.requirement_files(spark, sf_dir))
+    return manifests.sort_dependencies(deps).select("target_id", "name", "line", "rank")
+
+
+VERSIONS = ["1.2.3", "^1.0.0", "git+https://host.example/x.git", "file:../x", "v2.0.1-beta", "https://host.example/x.tgz"]
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package.json per supplier's part list: parts by their number, versions by rule."""
+    parts = read(spark, sf_dir, "part")
+    i = F.col("p_partkey")
+    line = F.concat(F.lit('    "part-'), i.cast("string"), F.lit('": "'), inputs.pick(VERSIONS, i), F.lit('"'))
+    grouped = parts.groupBy((i % 97).alias("g")).agg(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("line")))).alias("xs"))
+    body = F.array_join(F.transform("xs", lambda x: x["line"]), ",\n")
+    content = F.concat(F.lit('{\n  "scripts": {"postinstall": "node x.js", "test": "x"},\n  "dependencies": {\n'), body, F.lit("\n  }\n}\n"))
+    return grouped.select(F.col("g").cast("string").alias("target_id"), F.lit("package.json").alias("path"), F.lit("json").alias("language"), content.alias("content"))
+
+
+@register("i1_npm_dependencies", f"""
+with v as (select (p_partkey % 97)::varchar as target_id, 'part-' || p_partkey as name, {sql_pick(VERSIONS, 'p_partkey')} as raw, (3 + row_number() over (partition by p_partkey % 97 order by p_partkey))::int as line from part)
+select target_id, name, raw as specifier, line, case when regexp_matches(lower(raw), '^(?:git\\+|git://|github:|https?://)') then 'git' when regexp_matches(lower(raw), '^(?:file:|link:|workspace:)') then 'local' else 'registry' end as source_type,
+  regexp_matches(raw, '^(?:v)?\\d+\\.\\d+\\.\\d+(?:-[0-9A-Za-z.-]+)?$') as pinned from v""")
+def i1_npm_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.npm_manifest_deps(package_files(spark, sf_dir)).select("target_id", "name", "specifier", "line", "source_type", "pinned")
+
+
+@register("i2_npm_scripts", "select distinct (p_partkey % 97)::varchar as target_id, 'postinstall' as lifecycle, 'node x.js' as command, 'SI-NPM-001' as rule_id from part")
+def i2_npm_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifests.npm_lifecycle_scripts(package_files(spark, sf_dir))
+    return found.select("target_id", F.col("metadata")["lifecycle"].alias("lifecycle"), F.col("metadata")["command"].alias("command"), "rule_id")
+
+
+# --- U: union, dedupe, ranks, limits ----------------------------------------------------------------------------------
+DEDUPED_SQL = f"""select * exclude (n) from (select *, row_number() over (partition by target_id, path, rule_id, line, name order by scanner_seq desc, emit_seq desc) as n,
+  first_value({{'s': scanner_seq, 'e': emit_seq}}) over (partition by target_id, path, rule_id, line, name order by scanner_seq, emit_seq) as first from ({FINDINGS_SQL}) f) d where n = 1"""
+RANKED_SQL = f"select *, row_number() over (partition by target_id order by sev desc, lower(path), coalesce(line, 0), rule_id, first.s, first.e)::int as rank from ({DEDUPED_SQL}) d"
+
+
+@register("u2_dedupe", f"select target_id, path, rule_id, line, name, severity, emit_seq from ({DEDUPED_SQL}) d")
+def u2_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fd.dedupe_findings(inputs.findings(spark, sf_dir)).select("target_id", "path", "rule_id", "line", "name", "severity", "emit_seq")
+
+
+@register("u3_rank", f"select target_id, path, rule_id, line, name, rank from ({RANKED_SQL}) r")
+def u3_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = fd.rank_findings(fd.dedupe_findings(inputs.findings(spark, sf_dir)))
+    return ranked.select("target_id", "path", "rule_id", "line", "name", "rank")
+
+
+@register("u4_top_findings", f"select target_id, rank, rule_id, name from ({RANKED_SQL}) r where rank <= 5")
+def u4_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fd.top_findings(fd.dedupe_findings(inputs.findings(spark, sf_dir))).select("target_id", "rank", "rule_id", "name")
+
+
+@register("u1_union", f"select scanner_seq::int as scanner_seq, count(*)::bigint as n from ((select 0 as scanner_seq, target_id from ({SHELL_KEPT}) a) union all (select 1, target_id from ({capped_sql(BATCH_HITS)}) b)) u group by all")
+def u1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sources(spark, sf_dir)
+    return fd.union_findings(detectors.detect_shell(s), detectors.detect_batch(s)).groupBy("scanner_seq").agg(F.count("*").alias("n"))
+
+
+@register("u5_limits", f"select target_id, 'too_many_findings' as reason from ({FINDINGS_SQL}) f group by target_id having count(*) > 6")
+def u5_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fd.limit_check(inputs.findings(spark, sf_dir), most_findings=6)
+
+
+@register("u6_discovery_limits", f"""
+with raw as (select target_id, path, octet_length(encode(content))::bigint as length, {LANGUAGE} as language from ({FILES_SQL}) f where not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})),
+parts as (select target_id, string_split({P}, '/') as ps, path from raw),
+dirs as (select distinct target_id, array_to_string(ps[1:k], '/') as path from parts, unnest(range(1, len(ps))) as u(k)),
+n as (select target_id, count(*) as entries from (select target_id, path from raw union all select target_id, path from dirs) x group by 1),
+s as (select target_id, count(*) filter (where length <= 6000) as files, coalesce(sum(length) filter (where length <= 6000), 0) as bytes from raw where language is not null group by 1)
+select target_id, case when entries > 95 then 'too_many_entries' when bytes > 55000 then 'too_many_bytes' else 'too_many_files' end as reason from n full join s using (target_id) where entries > 95 or bytes > 55000 or files > 20""")
+def u6_discovery_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = inputs.files(spark, sf_dir)
+    raw = f.select("target_id", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
+    return sources_.discovery_limits(raw, sources_.discover(raw, max_bytes=6_000), entries=95, files=20, total=55_000)
+
+
+@register("u7_archive_audit", f"""
+with p as (select *, {UNSAFE} as unsafe, lower(array_to_string(ps, '/')) as key, size > 0 and (compressed_size = 0 or size / nullif(compressed_size, 0) > 200) as bloated from ({MEMBER_PARTS}) q),
+k as (select archive_id, key, count(*) as n from p group by all),
+a as (select archive_id, count(*) as n_members, sum(size)::bigint as total_bytes, max(size) as largest, bool_or(unsafe) as unsafe, bool_or(is_link) as link, bool_or(is_special) as special, bool_or(bloated) as bloated,
+  (select max(n) from k where k.archive_id = p.archive_id) as copies from p group by archive_id)
+select archive_id, n_members::bigint as n_members, total_bytes, reason is null as accepted, reason from (select *, case when n_members > 10000 then 'too_many_members' when unsafe then 'unsafe_path' when link then 'link' when special then 'special_file'
+  when largest > 25000000 then 'member_too_large' when total_bytes > 250000000 then 'total_too_large' when bloated then 'ratio_too_high' when copies > 1 then 'duplicate_path' end as reason from a) r""")
+def u7_archive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in lower case only: these names are ASCII, and SQL has no normal form (unit tests cover that)."""
+    return archives.archive_audit(inputs.members(spark, sf_dir), normalise=False)
+
+
+# --- A: risk ----------------------------------------------------------------------------------------------------------
+CAPS_SQL = ", ".join(f"bool_or(list_contains(capabilities, '{c}')) as {c}" for c in CAPABILITIES)
+EVIDENCE = "rule_id || '|' || path || '|' || coalesce(line, -1)"
+AGG_SQL = f"""select target_id, count(*) as n, max(sev) as top, count(distinct category) as cats, {CAPS_SQL}, coalesce(bool_or(upper(method) = 'POST' and destination = 'unknown'), false) as unknown_post,
+  list(distinct {EVIDENCE}) filter (where list_contains(capabilities, 'privilege_escalation')) as priv, list(distinct {EVIDENCE}) filter (where list_contains(capabilities, 'persistence')) as pers from ({DEDUPED_SQL}) d group by target_id"""
+OBSERVED_SQL = f"list_filter([{', '.join(f'case when {c} then {chr(39)}{c}{chr(39)} end' for c in CAPABILITIES)}], x -> x is not null)"
+SCORED_SQL = f"""select *, {OBSERVED_SQL} as seen, ([0, 8, 28, 58, 88])[top + 1] + least(15, 3 * (cats - 1)) + least(10, 2 * len({OBSERVED_SQL})) as s0, environment_read and network_access and unknown_post as c0, download_execute as c1,
+  len(priv) > 0 and len(pers) > 0 and (len(priv) > 1 or len(pers) > 1 or priv[1] <> pers[1]) as c2 from ({AGG_SQL}) g"""
+S1 = "case when c0 then greatest(55, s0 + 25) else s0 end"
+S2 = f"case when c1 then greatest(55, {S1}) else {S1} end"
+FINAL_SQL = f"select *, least(100, case when coalesce(c2, false) then greatest(65, ({S2}) + 15) else {S2} end)::int as score from ({SCORED_SQL}) q"
+ORDERS_SQL = "select o_orderkey::varchar as target_id from orders"
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("target_id"))
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.assess(fd.dedupe_findings(inputs.findings(spark, sf_dir)), _targets(spark, sf_dir))
+
+
+@register("a1_observed_capabilities", f"select target_id, array_to_string({OBSERVED_SQL}, ',') as observed from ({AGG_SQL}) g")
+def a1_observed_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    agg = risk.aggregates(fd.dedupe_findings(inputs.findings(spark, sf_dir)))
+    return agg.select("target_id", joined(risk.observed()).alias("observed"))
+
+
+STATUS_SQL = "select o_orderkey::varchar as target_id, case when o_custkey % 3 = 0 then 'partial' else 'complete' end as status from orders"
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("target_id"), F.when(F.col("o_custkey") % 3 == 0, "partial").otherwise("complete").alias("status"))
+
+
+@register("a2_capability_matrix", f"""with g as ({AGG_SQL}), j as (select t.target_id, t.status, [{', '.join(f'coalesce({c}, false)' for c in CAPABILITIES)}] as seen from ({STATUS_SQL}) t left join g using (target_id))
+select target_id, ({list(CAPABILITIES)})[k] as capability, case when seen[k] then 'YES' when status = 'partial' then 'UNKNOWN' else 'NO' end as answer from j, unnest(range(1, 13)) as u(k)""")
+def a2_capability_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.capability_matrix(fd.dedupe_findings(inputs.findings(spark, sf_dir)), _status(spark, sf_dir))
+
+
+@register("a3_base_score", f"select target_id, s0::int as base from ({SCORED_SQL}) q")
+def a3_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.aggregates(fd.dedupe_findings(inputs.findings(spark, sf_dir))).select("target_id", risk.base_score().cast("int").alias("base"))
+
+
+@register("a4_a5_a6_chains", f"select target_id, c0 as posted, c1 as downloaded, coalesce(c2, false) as persisted from ({SCORED_SQL}) q")
+def a4_a5_a6_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted, downloaded, persisted = risk.chains()
+    return risk.aggregates(fd.dedupe_findings(inputs.findings(spark, sf_dir))).select("target_id", posted.alias("posted"), downloaded.alias("downloaded"), persisted.alias("persisted"))
+
+
+LEVEL_SQL = "case when score >= 80 then 'critical' when score >= 50 then 'high' when score >= 20 then 'medium' when score >= 5 then 'low' else 'info' end"
+RISK_SQL = f"select t.target_id, coalesce(n, 0)::bigint as n_findings, coalesce(score, 0)::int as score, download_execute, shell_execution, sensitive_data_access, c0, c1, c2 from ({ORDERS_SQL}) t left join ({FINAL_SQL}) f using (target_id)"
+
+
+@register("a7_risk_level", f"select target_id, n_findings, score, {LEVEL_SQL} as level from ({RISK_SQL}) r")
+def a7_risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assessed(spark, sf_dir).select("target_id", "n_findings", F.col("score").cast("int").alias("score"), "level")
+
+
+@register("a8_primary_reasons", f"""
+with said as (select distinct target_id, sev, lower(name) as n, upper(severity) || ': ' || name || '.' as text from ({DEDUPED_SQL}) d),
+k as (select *, row_number() over (partition by target_id order by sev desc, n desc, text desc) as k from said),
+l as (select target_id, list(text order by k) filter (where k <= 5) as named from k group by 1)
+select r.target_id, array_to_string(list_concat(list_filter([case when c0 then {quoted(risk.CHAIN_REASONS[0])} end, case when c1 then {quoted(risk.CHAIN_REASONS[1])} end, case when coalesce(c2, false) then {quoted(risk.CHAIN_REASONS[2])} end], x -> x is not null), coalesce(named, []))[1:5], ',') as reasons
+from ({RISK_SQL}) r left join l using (target_id)""")
+def a8_primary_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assessed(spark, sf_dir).select("target_id", joined(F.col("primary_reasons")).alias("reasons"))
+
+
+SKIPPED_SQL = "select source as target_id, 'd/' || doc_id as path, case when doc_id % 2 = 0 then 'file_too_large' else 'undecodable_text' end as reason from documents where lang <> 'en' and source <> 'src3'"
+
+
+@register("a9_coverage", f"""
+with t as (select distinct source as target_id from documents), s as (select *, row_number() over (partition by target_id order by path, reason) as n from ({SKIPPED_SQL}) x),
+g as (select target_id, count(*) as skipped_count, string_agg(path || ':' || reason, ',' order by path, reason) filter (where n <= 10) as listed from s group by 1)
+select target_id, case when skipped_count > 0 then 'partial' else 'complete' end as status, coalesce(skipped_count, 0)::bigint as skipped_count, coalesce(listed, '') as listed from t left join g using (target_id)""")
+def a9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    skipped = d.where((F.col("lang") != "en") & (F.col("source") != "src3")).select(F.col("source").alias("target_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 2 == 0, "file_too_large").otherwise("undecodable_text").alias("reason"))
+    covered = risk.coverage(d.select(F.col("source").alias("target_id")).distinct(), skipped, recorded=10)
+    return covered.select("target_id", "status", "skipped_count", joined(F.transform("skipped_paths", lambda x: F.concat(x["path"], F.lit(":"), x["reason"]))).alias("listed"))
+
+
+@register("a10_files_scanned", f"select t.target_id, coalesce(n, 0)::bigint as files_scanned, coalesce(n, 0) = 0 as rejected from (select distinct source as target_id from documents) t left join (select target_id, count(*) as n from ({SOURCES_SQL}) s where language = 'shell' group by 1) c using (target_id)")
+def a10_files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sources(spark, sf_dir)
+    return risk.files_scanned(read(spark, sf_dir, "documents").select(F.col("source").alias("target_id")).distinct(), s.where("language = 'shell'"))
+
+
+@register("a11_advice", f"""with r as (select r.*, status, {LEVEL_SQL} as level from ({RISK_SQL}) r join ({STATUS_SQL}) s using (target_id))
+select target_id, case when status = 'partial' and level in ('info', 'low') then 'review_skipped' when level in ('critical', 'high') then 'do_not_run' when level = 'medium' then 'review_first' else 'usual_care' end as recommendation,
+  case when status = 'partial' then 'partial' when download_execute then 'download' when shell_execution then 'shell' when sensitive_data_access then 'sensitive' when n_findings > 0 then 'any' else 'none' end as why from r""")
+def a11_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _assessed(spark, sf_dir).join(_status(spark, sf_dir), "target_id")
+    return risk.advice(both, F.col("status")).select("target_id", "recommendation", "why")
+
+
+@register("a12_bounded_checks", f"""
+with g as (select target_id, bool_or(list_contains(capabilities, 'persistence')) as p, bool_or(category in ('secret_exposure', 'sensitive_file')) as s, bool_or(category = 'workflow_permissions') as w from ({DEDUPED_SQL}) d group by 1)
+select t.target_id, {', '.join(f"case when status = 'complete' then not coalesce({c}, false) end as no_{n}" for c, n in (('p', 'persistence'), ('s', 'secret'), ('w', 'workflow')))} from ({STATUS_SQL}) t left join g using (target_id)""")
+def a12_bounded_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.bounded_checks(fd.dedupe_findings(inputs.findings(spark, sf_dir)), _status(spark, sf_dir))
