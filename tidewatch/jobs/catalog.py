@@ -154,8 +154,8 @@ def p8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNSAFE = """(name = '' or length(name) > 4096 or regexp_matches(name, '^[/\\\\]') or regexp_matches(name, '^[A-Za-z]:') or len(ps) = 0
-  or len(list_filter(ps, x -> x = '..' or length(x) > 255 or regexp_matches(x, '[ .]$') or contains(x, ':') or regexp_matches(x, '[\\x00-\\x1F\\x7F]') or regexp_matches(x, '(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\\.|$)'))) > 0)"""
-MEMBER_PARTS = f"select *, list_filter(string_split(replace(name, '\\', '/'), '/'), x -> x <> '' and x <> '.') as ps from ({MEMBERS_SQL}) m"
+  or len(list_filter(ps, lambda x: x = '..' or length(x) > 255 or regexp_matches(x, '[ .]$') or contains(x, ':') or regexp_matches(x, '[\\x00-\\x1F\\x7F]') or regexp_matches(x, '(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\\.|$)'))) > 0)"""
+MEMBER_PARTS = f"select *, list_filter(string_split(replace(name, '\\', '/'), '/'), lambda x: x <> '' and x <> '.') as ps from ({MEMBERS_SQL}) m"
 
 
 @register("p9_member_paths", f"select archive_id, name, {UNSAFE} as unsafe from ({MEMBER_PARTS}) p")
@@ -190,7 +190,7 @@ def f3_visible_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.show_controls(t), 256).alias("shown_sha256"))
 
 
-@register("f7_tool_words", "select event_id, len(list_filter(regexp_split_to_array(event_type || ', read  write' , '[,\\s]+'), x -> contains(x, 'read')))::int as n_read from events")
+@register("f7_tool_words", "select event_id, len(list_filter(regexp_split_to_array(event_type || ', read  write' , '[,\\s]+'), lambda x: contains(x, 'read')))::int as n_read from events")
 def f7_tool_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(F.concat("event_type", F.lit(", read  write")), r"[,\s]+")
     return read(spark, sf_dir, "events").select("event_id", F.size(F.filter(words, lambda w: F.contains(w, F.lit("read")))).alias("n_read"))
@@ -279,7 +279,7 @@ def r2_cap_per_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _few_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings gathered into 50 targets, so that the caps have something to cut."""
     f = inputs.findings(spark, sf_dir).withColumn("target_id", (F.col("target_id").cast("long") % 50).cast("string"))
-    return f.withColumn("line", (F.col("emit_seq") % 1000).cast("int"))
+    return f.withColumn("line", (F.floor(F.col("emit_seq") / 1000) % 1_000_000).cast("int"))
 
 
 @register("r3_cap_per_file", f"select target_id, path, scanner_seq, least(count(*), 40)::bigint as n from ({FINDINGS_SQL.replace('l_orderkey::varchar', '(l_orderkey % 50)::varchar')}) f group by all")
@@ -316,7 +316,7 @@ def d6_sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d7_docker", f"""
 with l as (select * from (select *, {strip_sql('raw')} as bare from ({lines_sql(f"select * from ({SOURCES_SQL}) z where language = 'dockerfile'", 'target_id, path, language')}) x) y where bare <> '' and not starts_with(bare, '#')),
-i as (select *, list_filter(regexp_split_to_array(bare, '\\s+')[2:], w -> not starts_with(w, '--'))[1] as image from l)
+i as (select *, list_filter(regexp_split_to_array(bare, '\\s+')[2:], lambda w: not starts_with(w, '--'))[1] as image from l)
 select target_id, path, line::int as line, 'SI-SC-003' as rule_id from i where starts_with(lower(bare), 'from ') and image is not null and not contains(lower(image), '@sha256:')
   and (not contains(string_split(image, '/')[-1], ':') or lower(image) like '%:latest')
 union all select target_id, path, line::int, 'SI-SC-002' from i where regexp_matches(bare, '\\b(?:curl|wget)\\b[^|\\n]*\\|\\s*(?:bash|sh)\\b')""")
@@ -353,7 +353,7 @@ def d1_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("w1_secret_risk", f"""
 with t as (select distinct source as target_id from documents), f as ({secrets_sql(DOCUMENT_SOURCES_SQL)}),
 a as (select target_id, count(*) as n, max(case severity when 'critical' then 88 when 'high' then 58 else 28 end) as top, count(distinct category) as cats from f group by 1),
-s as (select t.target_id, coalesce(n, 0)::bigint as n_findings, coalesce(least(100, top + least(15, 3 * (cats - 1)) + 2), 0)::int as score from t left join a using (target_id))
+s as (select t.target_id, coalesce(n, 0)::bigint as n_findings, (case when n is null then 0 else least(100, top + least(15, 3 * (cats - 1)) + 2) end)::int as score from t left join a using (target_id))
 select *, case when score >= 80 then 'critical' when score >= 50 then 'high' when score >= 20 then 'medium' when score >= 5 then 'low' else 'info' end as level from s""")
 def w1_secret_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in the documents of each source, folded into a risk per source."""
@@ -461,11 +461,11 @@ parts as (select target_id, string_split({P}, '/') as ps, path from raw),
 dirs as (select distinct target_id, array_to_string(ps[1:k], '/') as path from parts, unnest(range(1, len(ps))) as u(k)),
 n as (select target_id, count(*) as entries from (select target_id, path from raw union all select target_id, path from dirs) x group by 1),
 s as (select target_id, count(*) filter (where length <= 6000) as files, coalesce(sum(length) filter (where length <= 6000), 0) as bytes from raw where language is not null group by 1)
-select target_id, case when entries > 95 then 'too_many_entries' when bytes > 55000 then 'too_many_bytes' else 'too_many_files' end as reason from n full join s using (target_id) where entries > 95 or bytes > 55000 or files > 20""")
+select target_id, case when entries > 20 then 'too_many_entries' when bytes > 18000 then 'too_many_bytes' else 'too_many_files' end as reason from n full join s using (target_id) where entries > 20 or bytes > 18000 or files > 5""")
 def u6_discovery_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = inputs.files(spark, sf_dir)
     raw = f.select("target_id", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
-    return sources_.discovery_limits(raw, sources_.discover(raw, max_bytes=6_000), entries=95, files=20, total=55_000)
+    return sources_.discovery_limits(raw, sources_.discover(raw, max_bytes=6_000), entries=20, files=5, total=18_000)
 
 
 @register("u7_archive_audit", f"""
@@ -485,7 +485,7 @@ CAPS_SQL = ", ".join(f"bool_or(list_contains(capabilities, '{c}')) as {c}" for c
 EVIDENCE = "rule_id || '|' || path || '|' || coalesce(line, -1)"
 AGG_SQL = f"""select target_id, count(*) as n, max(sev) as top, count(distinct category) as cats, {CAPS_SQL}, coalesce(bool_or(upper(method) = 'POST' and destination = 'unknown'), false) as unknown_post,
   list(distinct {EVIDENCE}) filter (where list_contains(capabilities, 'privilege_escalation')) as priv, list(distinct {EVIDENCE}) filter (where list_contains(capabilities, 'persistence')) as pers from ({DEDUPED_SQL}) d group by target_id"""
-OBSERVED_SQL = f"list_filter([{', '.join(f'case when {c} then {chr(39)}{c}{chr(39)} end' for c in CAPABILITIES)}], x -> x is not null)"
+OBSERVED_SQL = f"list_filter([{', '.join(f'case when {c} then {chr(39)}{c}{chr(39)} end' for c in CAPABILITIES)}], lambda x: x is not null)"
 SCORED_SQL = f"""select *, {OBSERVED_SQL} as seen, ([0, 8, 28, 58, 88])[top + 1] + least(15, 3 * (cats - 1)) + least(10, 2 * len({OBSERVED_SQL})) as s0, environment_read and network_access and unknown_post as c0, download_execute as c1,
   len(priv) > 0 and len(pers) > 0 and (len(priv) > 1 or len(pers) > 1 or priv[1] <> pers[1]) as c2 from ({AGG_SQL}) g"""
 S1 = "case when c0 then greatest(55, s0 + 25) else s0 end"
@@ -545,7 +545,7 @@ def a7_risk_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 with said as (select distinct target_id, sev, lower(name) as n, upper(severity) || ': ' || name || '.' as text from ({DEDUPED_SQL}) d),
 k as (select *, row_number() over (partition by target_id order by sev desc, n desc, text desc) as k from said),
 l as (select target_id, list(text order by k) filter (where k <= 5) as named from k group by 1)
-select r.target_id, array_to_string(list_concat(list_filter([case when c0 then {quoted(risk.CHAIN_REASONS[0])} end, case when c1 then {quoted(risk.CHAIN_REASONS[1])} end, case when coalesce(c2, false) then {quoted(risk.CHAIN_REASONS[2])} end], x -> x is not null), coalesce(named, []))[1:5], ',') as reasons
+select r.target_id, array_to_string(list_concat(list_filter([case when c0 then {quoted(risk.CHAIN_REASONS[0])} end, case when c1 then {quoted(risk.CHAIN_REASONS[1])} end, case when coalesce(c2, false) then {quoted(risk.CHAIN_REASONS[2])} end], lambda x: x is not null), coalesce(named, []))[1:5], ',') as reasons
 from ({RISK_SQL}) r left join l using (target_id)""")
 def a8_primary_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _assessed(spark, sf_dir).select("target_id", joined(F.col("primary_reasons")).alias("reasons"))

@@ -73,14 +73,14 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("target_id"), F.concat(F.lit("f"), (s % 3).cast("string")).alias("path"), F.concat(F.lit("SI-T-"), (p % 3).cast("string")).alias("rule_id"),
         pick(TITLES, p).alias("name"), pick(list(SEVERITIES), p + s).alias("severity"), pick(CATEGORIES, s).alias("category"), F.lit("text").alias("language"), (n % 2).cast("int").alias("line"),
         F.array(pick(list(CAPABILITIES), p), pick(list(CAPABILITIES), s)).alias("capabilities"), F.when(n % 2 == 0, "post").alias("method"), F.when(p % 2 == 0, "unknown").alias("destination"),
-        (n % 3).cast("int").alias("scanner_seq"), (n * 1000 + p % 1000).alias("emit_seq"),
+        (n % 3).cast("int").alias("scanner_seq"), (n * 1_000_000_000 + p * 1000 + s % 1000).alias("emit_seq"),
     )
 
 
 FINDINGS_SQL = f"""select l_orderkey::varchar as target_id, 'f' || (l_suppkey % 3) as path, 'SI-T-' || (l_partkey % 3) as rule_id, {sql_pick(TITLES, 'l_partkey')} as name,
   {sql_pick(list(SEVERITIES), 'l_partkey + l_suppkey')} as severity, {sql_pick(CATEGORIES, 'l_suppkey')} as category, (l_linenumber % 2)::int as line,
   [{sql_pick(list(CAPABILITIES), 'l_partkey')}, {sql_pick(list(CAPABILITIES), 'l_suppkey')}] as capabilities, case when l_linenumber % 2 = 0 then 'post' end as method,
-  case when l_partkey % 2 = 0 then 'unknown' end as destination, (l_linenumber % 3)::int as scanner_seq, l_linenumber::bigint * 1000 + l_partkey % 1000 as emit_seq,
+  case when l_partkey % 2 = 0 then 'unknown' end as destination, (l_linenumber % 3)::int as scanner_seq, l_linenumber::bigint * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 as emit_seq,
   list_position({list(SEVERITIES)}, {sql_pick(list(SEVERITIES), 'l_partkey + l_suppkey')}) - 1 as sev from lineitem"""
 
 SPECIFIERS = ["==1.2.3", ">=1", " @ git+https://host.example/x@0123456789012345678901234567890123456789", "", "~=1.0 ; python_version > '3'", "[extra]==2.0", " @ https://host.example/x.whl"]
