@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import free_name, n_words, written
 
 CHUNKS = 4096
 BINS = 4096
@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Whole documents keep their texts intact; a source's words then differ from its target by less than one document.
     """
     taken = mix(docs.select("doc_id", "source", "text"), **options)
-    copies = taken.select(F.col("doc_id").alias("__id"), (F.when(2 * F.col("first") >= F.col("size"), 1).otherwise(0) + F.when(2 * F.col("second") >= F.col("size"), 1).otherwise(0)).alias("__copies"))
-    copies = copies.where("__copies > 0 and __id is not null").groupBy("__id").agg(F.max("__copies").alias("__copies")).hint("shuffle_hash")
-    rows = docs.join(copies, docs["doc_id"] == copies["__id"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*[rows[f"`{c}`"] for c in docs.columns])
+    id_, times, copy = (free_name(docs, n) for n in ("id", "times", "copy"))
+    copies = taken.select(F.col("doc_id").alias(id_), (F.when(2 * F.col("first") >= F.col("size"), 1).otherwise(0) + F.when(2 * F.col("second") >= F.col("size"), 1).otherwise(0)).alias(times))
+    copies = copies.where((F.col(times) > 0) & F.col(id_).isNotNull()).groupBy(id_).agg(F.max(times).alias(times)).hint("shuffle_hash")
+    rows = docs.join(copies, docs["doc_id"] == copies[id_])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(id_, times, copy)
