@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import archives, detectors, manifests, risk
+from ..operators import archives, detectors, manifests, risk, syntax
 from ..operators import findings as fd
 from ..operators.rulebook import BUILTIN, CAPABILITIES
 from ..sources import files as sources_
@@ -584,3 +584,27 @@ with g as (select target_id, bool_or(list_contains(capabilities, 'persistence'))
 select t.target_id, {', '.join(f"case when status = 'complete' then not coalesce({c}, false) end as no_{n}" for c, n in (('p', 'persistence'), ('s', 'secret'), ('w', 'workflow')))} from ({STATUS_SQL}) t left join g using (target_id)""")
 def a12_bounded_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.bounded_checks(fd.dedupe_findings(inputs.findings(spark, sf_dir)), _status(spark, sf_dir))
+
+
+# --- X: syntax --------------------------------------------------------------------------------------------------------
+# The expected rows of the SQL follow from the pieces of code, whose findings are known; the prose before them is comment.
+@register("d4_powershell", inputs.code_sql("powershell"))
+def d4_powershell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.detect_powershell(inputs.code_files(spark, sf_dir, "powershell")).select("target_id", "path", "line", "rule_id")
+
+
+@register("x1_python_calls", inputs.code_sql("python"))
+def x1_python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.scan_python_calls(inputs.code_files(spark, sf_dir, "python")).select("target_id", "path", "line", "rule_id")
+
+
+@register("x4_javascript", inputs.code_sql("javascript"))
+def x4_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.scan_javascript(inputs.code_files(spark, sf_dir, "javascript")).select("target_id", "path", "line", "rule_id")
+
+
+@register("m1_masked_javascript", "select doc_id, length(text) + 2 * len(string_split(text, chr(10))) as n_chars, 0 as n_visible from documents")
+def m1_masked_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prose as comment lines is blanked whole, with its length and lines kept."""
+    masked = syntax.mask_javascript(F.regexp_replace("text", r"(?m)^|(?<=\n)\z", "//"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(masked).cast("long").alias("n_chars"), F.length(F.regexp_replace(masked, r"[ \n]", "")).cast("int").alias("n_visible"))

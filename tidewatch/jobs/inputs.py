@@ -116,3 +116,38 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
 MEMBERS_SQL = f"""select page_id // 8 as archive_id, regexp_replace(url, '^[a-z]+://', '') || case when (page_id // 8) % 2 = 0 then '' else {sql_pick(MEMBER_TAILS, 'page_id')} end as name,
   (length(html) * case when page_id % 97 = 0 then 10000 else 1 end)::bigint as size, trunc(length(html) / case when page_id % 31 = 0 then 300 else 3 end)::bigint as compressed_size,
   page_id % 53 = 0 as is_link, page_id % 59 = 0 as is_special from pages"""
+
+#: Code by language with what its scanner reports: (line from 1, rule).
+CODE = {
+    "powershell": [
+        ("$x = 1\nInvoke-WebRequest u", [(2, "SI-PS-002")]),
+        ("'IEX in text' # IEX\nStart-Process p '-ExecutionPolicy Bypass'", [(2, "SI-PS-003"), (2, "SI-PS-007")]),
+        ("<# IEX\n#> iex $y -enc aa", [(2, "SI-PS-001"), (2, "SI-PS-005")]),
+        ("Get-Item a", []),
+    ],
+    "javascript": [
+        ("const p = child_process.exec(c);\nfetch(u, {method: 'POST'});", [(1, "SI-JS-001"), (2, "SI-JS-005"), (2, "SI-JS-008")]),
+        ("/* eval(x) */ let s = 'fs.rm(x)';\nnew Function(s); process.env.A", [(2, "SI-JS-002"), (2, "SI-JS-006")]),
+        ("fs.readFileSync(a); fs.unlink(b)\nnew WebSocket('wss://h/analytics')", [(1, "SI-JS-007"), (1, "SI-JS-003"), (2, "SI-JS-005"), (2, "SI-JS-009")]),
+    ],
+    "python": [
+        ("import os as o\no.system('x')\neval('1')", [(2, "SI-PY-003"), (3, "SI-PY-004")]),
+        ("import subprocess\nsubprocess.run(['git'], shell=True)\nx = 'eval(1)'", [(2, "SI-PY-001")]),
+        ("import pickle\npickle.loads(b'')\nsubprocess.call(x)", [(2, "SI-PY-005"), (3, "SI-PY-002")]),
+        ("def broken(", []),
+    ],
+}
+SIGN = {"powershell": "# ", "javascript": "// ", "python": "# "}
+
+
+def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """Every document as a code file: its text as comment lines, then a piece of code."""
+    i = F.col("doc_id")
+    comment = F.regexp_replace("text", r"(?m)^", SIGN[language])
+    content = F.concat(comment, F.lit("\n"), pick([c for c, _ in CODE[language]], i))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("target_id"), F.concat(F.lit("code/"), i.cast("string")).alias("path"), F.lit(language).alias("language"), content.alias("content"))
+
+
+def code_sql(language: str) -> str:
+    rows = ", ".join(f"({k}, {line}, '{rule}')" for k, (_, hits) in enumerate(CODE[language]) for line, rule in hits)
+    return f"select source as target_id, 'code/' || doc_id as path, (len(string_split(text, chr(10))) + x.line)::int as line, x.rule as rule_id from documents join (values {rows}) x(k, line, rule) on doc_id % {len(CODE[language])} = x.k"
