@@ -9,11 +9,12 @@ How pairs are found without ever making all pairs of a group:
 
 1. Documents with the same set (equal size and 128-bit set hash) become one node, the smallest id.
 2. Nodes meet in band buckets. In each bucket all members are compared with one leader only: pairs grow as the rows do.
-   Pairs that pass the signature estimate are confirmed on the full sets; links give components.
-3. A bucket is settled once its members are all in one component. In the others, new leaders are tried while that
-   settles buckets quickly; a leader that has met its bucket is taken out.
-4. What remains are false candidates, mostly texts that share a passage. Buckets of more than `crowd` members are split
-   by a second band, and in the small buckets left only pairs from different components are compared.
+   Pairs that pass the signature estimate are confirmed on the full sets; links give parts.
+3. A bucket is settled once its members are all in one part. Members of other buckets are mostly texts that share a
+   passage. A shingle is private if only one part holds it; a node whose private shingles alone put every similarity to
+   other parts below the threshold is out, which loses no link.
+4. The nodes left are clustered by their shared buckets. A cluster is dealt into blocks of bounded size, and the members
+   of two blocks are compared on their full sets inside a task, which returns links only: no row per pair is made.
 
 Null text has no words. Rows without id are linked with nothing: component_id is null and they are kept. A document is
 an id: rows that repeat an id share its links. Extra columns are ignored. Ties and empty tables need no special case.
@@ -32,7 +33,7 @@ from .common import written
 
 BANDS, ROWS = 32, 5
 #: Bytes of text that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,27 +240,29 @@ class _Confirmer:
         self.nodes, self.width, self.percent = nodes, width, percent
         self.sets: DataFrame | None = None
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among distinct candidate pairs (a, b)."""
-        sig = self.nodes.select("doc_id", "sig", "n_shingles")
-        left = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
-        both = left.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
-        sized = both.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        likely = written(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated(self.percent), "a long, b long").distinct(), "likely")
-        ids = likely.select(F.col("a").alias("__id")).unionByName(likely.select(F.col("b").alias("__id"))).distinct()
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, items) of at least these ids (__id); texts are read for those not seen before."""
         if self.sets is not None:
             ids = ids.join(self.sets.select(F.col("doc_id").alias("__id")), "__id", "left_anti")
         ids = written(ids, "to-read")
         few = ids.count()
-        if few:
+        if few or self.sets is None:
             side = F.broadcast(ids) if few <= self.FEW else ids.hint("shuffle_hash")
             wanted = self.texts.join(side, self.texts["doc_id"] == ids["__id"], "left_semi" if few <= self.FEW else "inner").select("doc_id", "text")
             more = written(wanted.mapInArrow(full_sets(self.width), "doc_id long, items binary"), "sets")
             self.sets = more if self.sets is None else self.sets.unionByName(more)
-        if self.sets is None:
-            return likely
-        x = likely.join(self.sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
-        y = x.join(self.sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
+        return self.sets
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """Links (a, b) among distinct candidate pairs (a, b)."""
+        sig = self.nodes.select("doc_id", "sig", "n_shingles")
+        left = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
+        both = left.join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
+        sized = both.where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        likely = written(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated(self.percent), "a long, b long").distinct(), "likely")
+        sets = self.sets_of(likely.select(F.col("a").alias("__id")).unionByName(likely.select(F.col("b").alias("__id"))).distinct())
+        x = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a")
+        y = x.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
         return written(y.select("a", "b", "items_a", "items_b").mapInArrow(_confirmed(self.percent), "a long, b long").distinct(), "links")
 
 
@@ -267,7 +270,95 @@ def _pair(a: str, b: str):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 4, crowd: int = 24) -> DataFrame:
+def _exploded_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: one row per shingle of doc_id, part, items."""
+    for batch in batches:
+        for row in range(0, batch.num_rows, 64):
+            piece = batch.slice(row, 64)
+            sets = [np.frombuffer(x, np.int64) for x in piece.column("items").to_pylist()]
+            sizes = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), sizes), pa.int64()) for c in ("doc_id", "part")] + [pa.array(np.concatenate(sets))], names=["doc_id", "part", "h"]
+            )
+
+
+def _without_hopeless(members: DataFrame, percent: int) -> DataFrame:
+    """Of (doc_id, part, items, n) those that may be linked with another part, given how many of their shingles are private.
+
+    A link needs 100 * intersection >= percent * union; no more than the other shingles can be shared.
+    """
+    rows = members.select("doc_id", "part", "items").mapInArrow(_exploded_sets, "doc_id long, part long, h long")
+    private = rows.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 = p1").select("h")
+    own = rows.join(private, "h").groupBy("doc_id").agg(F.count("*").alias("own"))
+    left = members.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    return left.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).drop("own")
+
+
+#: Members and shingles of a block, about; two blocks are in memory at a time.
+BLOCK, BLOCK_ITEMS = 192, 150_000
+
+
+def _linked_blocks(percent: int):
+    """applyInArrow function over two blocks of a cluster (side 0, side 1; one block alone has i = j): links between parts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, part, side = (table.column(c).to_numpy() for c in ("doc_id", "part", "side"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        order = np.lexsort((ids, side))
+        n = np.array([len(s) for s in sets], np.int64)
+        alone = key[1].as_py() == key[2].as_py()
+        left = [k for k in order if side[k] == 0]
+        right = left if alone else [k for k in order if side[k] == 1]
+        links: list[tuple[int, int]] = []
+        if left and right:
+            # Shared shingles are numbered; the intersections of all pairs are a product of 0/1 matrices, some columns at a time.
+            every = np.concatenate([sets[k] for k in order])
+            owner = np.repeat(np.arange(len(order)), n[order])
+            _, number, times = np.unique(every, return_inverse=True, return_counts=True)
+            useful = times[number] > 1
+            number, owner = number[useful], owner[useful]
+            rank = np.cumsum(times > 1) - 1
+            number = rank[number]
+            place = {k: x for x, k in enumerate(order)}
+            x, y = np.array([place[k] for k in left]), np.array([place[k] for k in right])
+            both = np.zeros((len(x), len(y)), np.float32)
+            by = np.argsort(number, kind="stable")
+            number, owner = number[by], owner[by]
+            width = 4096
+            for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+                lo, hi = np.searchsorted(number, (a, a + width))
+                m = np.zeros((len(order), width), np.float32)
+                m[owner[lo:hi], number[lo:hi] - a] = 1
+                both += m[x] @ m[y].T
+            shared = both.astype(np.int64)
+            nx, ny = n[left], n[right]
+            good = 100 * shared >= percent * (nx[:, None] + ny[None, :] - shared)
+            good &= part[left][:, None] != part[right][None, :]
+            links = [(min(ids[left[i]], ids[right[j]]), max(ids[left[i]], ids[right[j]])) for i, j in np.argwhere(good)]
+        links = sorted(set(links))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _links_between_parts(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of different parts that share a bucket. rows: bucket, doc_id, part."""
+    members = rows.select("doc_id", "part").distinct().join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id")
+    members = written(_without_hopeless(members, percent), "members")
+    alive = rows.join(members.select("doc_id"), "doc_id", "left_semi")
+    heads = alive.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket", "head")
+    near = written(alive.join(heads, "bucket").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "cluster-edges")
+    clusters = connected_components(near)
+    placed = members.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    sizes = placed.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items_"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items_") / BLOCK_ITEMS)).cast("int")
+    dealt = placed.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = spread.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "part", "items")
+    return written(keyed.groupBy("cluster", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links")
+
+
+def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept."""
     light = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signatures(width), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "signatures")
     per_set = written(light.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "set-classes")
@@ -277,43 +368,17 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int
     band = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)]))
     rows = nodes.select("doc_id", band.alias("bucket"))
     met = rows.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last")
-    open_rows = written(rows.join(met.select("bucket", "leader"), "bucket"), "buckets")
+    rows = written(rows.join(met.select("bucket", "leader"), "bucket"), "buckets")
 
     confirm = _Confirmer(docs, nodes, width, percent)
-    links = confirm(open_rows.where("doc_id <> leader").select(*_pair("leader", "doc_id")).distinct())
-    open_rows = open_rows.where("doc_id <> leader").select("bucket", "doc_id").unionByName(open_rows.where("doc_id = leader").select("bucket", "doc_id"))
-    tried = written(open_rows.groupBy("bucket").agg(F.min("doc_id").alias("leader")), "tried")
-    before = None
-    for turn in range(1, rounds + 1):
-        parts = connected_components(links)
-        # Members with their component; buckets with one component are settled.
-        marked = open_rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-        unsettled = marked.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("members")).where("p0 <> p1")
-        open_rows = written(marked.join(unsettled.select("bucket", "members"), "bucket"), "buckets")
-        left = open_rows.count()
-        if not left or turn == rounds or (before is not None and left > 0.7 * before):
-            break
-        before = left
-        # A leader that has met its bucket needs no further comparison there.
-        rest = open_rows.join(tried, ["bucket"], "left").where(F.col("leader").isNull() | (F.col("doc_id") != F.col("leader"))).select("bucket", "doc_id", "part")
-        pick = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "part")).alias("x"))
-        pick = written(pick.select("bucket", F.col("x.doc_id").alias("leader"), F.col("x.part").alias("leader_part")), "leaders")
-        pairs = rest.join(pick, "bucket").where("part <> leader_part").select(*_pair("leader", "doc_id")).distinct()
-        links = links.unionByName(confirm(pairs))
-        tried = pick.select("bucket", "leader")
-        open_rows = rest.select("bucket", "doc_id")
-    if left:
-        small = open_rows.where(F.col("members") <= crowd).select("bucket", "doc_id", "part")
-        crowded = open_rows.where(F.col("members") > crowd).select("bucket", "doc_id", "part")
-        split = crowded.join(rows.withColumnRenamed("bucket", "second"), "doc_id").where("bucket <> second").select(F.xxhash64("bucket", "second").alias("bucket"), "doc_id", "part")
-        members = small.unionByName(split)
-        several = members.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")
-        members = written(members.join(several, "bucket", "left_semi").join(nodes.select("doc_id", "n_shingles"), "doc_id"), "members")
-        x = members.select("bucket", F.col("doc_id").alias("a"), F.col("part").alias("pa"), F.col("n_shingles").alias("na"))
-        y = members.select("bucket", F.col("doc_id").alias("b"), F.col("part").alias("pb"), F.col("n_shingles").alias("nb"))
-        sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & sized).select("a", "b").distinct()
-        parts = connected_components(links.unionByName(confirm(pairs)))
+    links = confirm(rows.where("doc_id <> leader").select(*_pair("leader", "doc_id")).distinct())
+    parts = connected_components(links)
+    marked = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    unsettled = marked.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")
+    rest = written(marked.join(unsettled, "bucket"), "unsettled")
+    if not rest.isEmpty():
+        sets = confirm.sets_of(rest.select(F.col("doc_id").alias("__id")).distinct())
+        parts = connected_components(links.unionByName(_links_between_parts(rest, sets, nodes, percent)))
 
     named = light.select("doc_id", "n_shingles", "s1", "s2").join(per_set, ["s1", "s2", "n_shingles"], "left")
     joined = named.join(parts, "node", "left")
