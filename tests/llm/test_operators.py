@@ -43,6 +43,8 @@ def test_drop_copies_keeps_columns(spark):
     kept = exact_dedup.drop_copies(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7]
+    odd = docs(spark, [(5, "a"), (5, "b"), (3, "b"), (None, "c"), (None, "d"), (None, "a"), (None, "c")])
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.drop_copies(odd).collect()) == [(0, "c"), (0, "d"), (3, "b"), (5, "a")]
 
 
 def brute_lines(rows, min_chars=40, min_docs=5):

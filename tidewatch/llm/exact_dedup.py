@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, free_name, written
 
 
 def normalised(text: Column) -> Column:
@@ -51,11 +51,15 @@ def classes(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents whose id is kept, all columns; of repeated rows of a kept id one row stays.
+    """One row of each class of equal texts, that of the smallest id; all columns.
 
-    Without the classes' digests this needs one shuffle of the texts: rows meet by the hash of their content, and the
-    first row by id stays. Only ids are compared there, because `classes` has compared the bytes.
+    `classes` has compared the bytes, so rows are picked by (id, digest): one shuffle of the texts, and the short list of
+    kept pairs is the hashed side, so no text is sorted. Only where a kept pair has several rows is one of them chosen.
     """
-    kept = classes(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    kept = written(classes(docs.select("doc_id", "text")).where("kept").groupBy(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows")), "exact-kept")
+    digest = free_name(docs, "digest")
+    rows = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    rows = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(kept["__keep"]) & (rows[digest] == kept["__sha"]), "left_semi")
+    if not kept.where("__rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["doc_id", digest])
+    return rows.drop(digest)

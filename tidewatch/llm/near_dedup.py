@@ -389,5 +389,5 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are their class's smallest id (and rows without id), all columns."""
     kept = near_classes(docs.select("doc_id", "text"), width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__keep")).distinct()
-    with_id = docs.join(kept, docs["doc_id"] == kept["__keep"], "left_semi")
+    with_id = docs.join(kept.hint("shuffle_hash"), docs["doc_id"] == kept["__keep"], "left_semi")
     return with_id.unionByName(docs.where("doc_id is null"))
