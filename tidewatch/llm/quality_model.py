@@ -94,15 +94,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def context_vectors(sample: DataFrame, parts: int = 8) -> np.ndarray:
+def context_vectors(sample: DataFrame) -> np.ndarray:
     """Word vectors: index vectors plus what the neighbours within two places add, normalised.
 
-    At most `parts` tables of BUCKETS x WIDTH numbers (1.5 MB) reach the driver.
+    The sums are of integers, so they agree in any order; Spark adds them up, and BUCKETS rows reach the driver.
     """
     index = index_vectors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, WIDTH), np.float32)
+        total = np.zeros((BUCKETS, WIDTH), np.int64)
+        steps = index.astype(np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 data = text.encode("utf-8", "replace")
@@ -110,12 +111,16 @@ def context_vectors(sample: DataFrame, parts: int = 8) -> np.ndarray:
                     for a in range(0, len(words), CHUNK):
                         w = places(words[a : a + CHUNK])
                         for gap in (1, 2):
-                            np.add.at(total, w[:-gap], index[w[gap:]])
-                            np.add.at(total, w[gap:], index[w[:-gap]])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
-
-    rows = sample.select("doc_id", "text").repartition(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, "v binary").collect()
-    total = np.sum([np.frombuffer(r["v"], np.float32).reshape(BUCKETS, WIDTH).astype(np.float64) for r in rows] or [np.zeros((BUCKETS, WIDTH))], axis=0)
+                            np.add.at(total, w[:-gap], steps[w[gap:]])
+                            np.add.at(total, w[gap:], steps[w[:-gap]])
+        used = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, k]) for k in range(WIDTH))], names=["place", *(f"v{k}" for k in range(WIDTH))])
+
+    schema = "place long, " + ", ".join(f"v{k} long" for k in range(WIDTH))
+    sums = sample.select("text").mapInArrow(run, schema).groupBy("place").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(WIDTH)])
+    rows = np.array([tuple(r) for r in sums.collect()], np.float64).reshape(-1, WIDTH + 1)
+    total = np.zeros((BUCKETS, WIDTH))
+    total[rows[:, 0].astype(np.int64)] = rows[:, 1:]
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     vectors = index / np.maximum(np.linalg.norm(index, axis=1, keepdims=True), 1e-9) + 0.5 * total
     return vectors.astype(np.float32)
