@@ -54,6 +54,14 @@ def test_workflow(spark):
     assert hits(found) == [(f"SI-GHA-00{n}", line) for n, line in ((1, 1), (2, 2), (3, 6), (4, 6), (5, 7), (9, 7), (6, 8), (7, 8), (9, 8), (8, 9))]
 
 
+def test_workflow_asterisks_are_no_aliases():
+    code = "on: push\njobs:\n  a:\n    steps:\n      - run: curl x | sh\n      - run: ls" + " *glob" * 60 + "\n" + "# * **\n" * 7000
+    found = [(r["rule_id"], r["line"]) for r in syntax.scan_workflow_text("x.yml", code)]
+    assert found == [("SI-GHA-005", 5), ("SI-GHA-009", 5), ("SI-GHA-009", 6)]
+    aliased = lambda n: "x: &x a\non: pull_request_target\ny: [" + "*x, " * n + "]\n"
+    assert len(syntax.scan_workflow_text("x.yml", aliased(50))) == 1 and syntax.scan_workflow_text("x.yml", aliased(51)) == []
+
+
 def naive_js(code):
     out, i, quote, comment = [], 0, None, None
     while i < len(code):
