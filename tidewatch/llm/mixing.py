@@ -10,7 +10,7 @@ Hot sources: ranks and running sums are two-level. The order is cut into CHUNKS
 partial aggregation, and windows run within one piece, or over the at most CHUNKS pieces of a source.
 
 A document without words, or with null text, has size 0 and is never taken. A null source is a source of its own, last
-in order. Rows that repeat an id are documents of their own in `taken`. Extra columns are ignored. An empty table, or one
+in order. Rows that repeat an id are documents of their own. Extra columns are ignored. An empty table, or one
 without words, gives targets of 0.
 """
 
@@ -91,7 +91,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return used.select("key", "rank", "epoch", "block", F.greatest(F.lit(0), F.least(length, F.col("quota") - begin)).alias("used")).where("used > 0")
 
 
-def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
+def placed_documents(sized: DataFrame, sources: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Adds the first word's place in the source's shuffled stream, and the source's size and target."""
     shuffled = sized.withColumn("mark", F.xxhash64("doc_id", F.lit("shuffle")))
     shuffled = shuffled.withColumn("piece", F.shiftright("mark", 64 - CHUNKS.bit_length() + 1))
@@ -99,15 +99,18 @@ def placed_documents(sized: DataFrame, sources: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     bases = bases.join(sources.select("key", "source_size", "target"), "key")
-    running = F.sum("size").over(Window.partitionBy("key", "piece").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    return shuffled.join(bases, ["key", "piece"]).select("doc_id", "key", "size", "source_size", "target", (F.col("base") + running - F.col("size")).alias("start"))
+    running = F.sum("size").over(Window.partitionBy("key", "piece").orderBy("mark", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0))
+    return shuffled.join(bases, ["key", "piece"]).select("doc_id", "key", "size", "source_size", "target", (F.col("base") + running - F.col("size")).alias("start"), *carry)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, first, second (words taken in each epoch)."""
-    sized = written(docs.select("doc_id", "source", _key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size")), "sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, first, second (words taken in each epoch).
+
+    The columns `carry` follow their row, and order the rows that agree in id and size.
+    """
+    sized = written(docs.select("doc_id", "source", _key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), *carry), "sizes")
     sources = written(targets(sized, weights, share, most), "sources")
-    placed = written(placed_documents(sized, sources), "placed")
+    placed = written(placed_documents(sized, sources, carry), "placed")
     size, start = F.col("size"), F.col("start")
     cut = F.sequence(F.floor(start / F.lit(block)), F.floor((start + size - 1) / F.lit(block)))
     pieces = placed.where("size > 0").withColumn("block", F.explode(cut))
@@ -116,21 +119,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     begin = F.col("block") * block
     overlap = F.greatest(F.lit(0), F.least(start + size, begin + F.col("used")) - F.greatest(start, begin))
     overlap = F.when(F.col("used").isNull(), F.lit(0)).otherwise(overlap)
-    taken = joined.groupBy("key", "start", "doc_id", "size", "source_size", "target").agg(
+    taken = joined.groupBy("key", "start", "doc_id", "size", "source_size", "target", *carry).agg(
         F.sum(F.when(F.col("epoch") == 0, overlap).otherwise(0)).alias("first"), F.sum(F.when(F.col("epoch") > 0, overlap).otherwise(0)).alias("second")
     )
-    none = placed.where("size = 0").select("key", "start", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"))
-    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "first", "second")
+    none = placed.where("size = 0").select("key", "start", "doc_id", "size", "source_size", "target", *carry, F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"))
+    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "first", "second", *carry)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as rows of docs: a document stands once for each epoch that takes half of its words or more.
+    """The mixture as rows of docs: a row stands once for each epoch that takes half of its words or more.
 
     Whole documents keep their texts intact; a source's words then differ from its target by less than one document.
+    Texts without words are in no mixture. Rows with a null id, and each of the rows that repeat an id, stand as often as
+    they are taken themselves: copies are counted by the id and a digest of source and text. Only where rows that agree
+    in these are taken unequally often are they ranked, by their other columns.
     """
-    taken = mix(docs.select("doc_id", "source", "text"), **options)
-    id_, times, copy = (free_name(docs, n) for n in ("id", "times", "copy"))
-    copies = taken.select(F.col("doc_id").alias(id_), (F.when(2 * F.col("first") >= F.col("size"), 1).otherwise(0) + F.when(2 * F.col("second") >= F.col("size"), 1).otherwise(0)).alias(times))
-    copies = copies.where((F.col(times) > 0) & F.col(id_).isNotNull()).groupBy(id_).agg(F.max(times).alias(times)).hint("shuffle_hash")
-    rows = docs.join(copies, docs["doc_id"] == copies[id_])
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(id_, times, copy)
+    digest = F.unhex(F.sha2(F.concat(F.sha2(_key(F.col("source")), 256), "text"), 256))
+    taken = mix(docs.select("doc_id", "source", "text", digest.alias("digest")), carry=("digest",), **options)
+    id_, mark, own, n, once, twice, times = (free_name(docs, c) for c in ("id", "mark", "own", "rows", "once", "twice", "times"))
+    copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(mark)).agg(
+        F.count("*").alias(n), F.count_if(2 * F.greatest("first", "second") >= F.col("size")).alias(once), F.count_if(2 * F.least("first", "second") >= F.col("size")).alias(twice)
+    )
+    copies = written(copies.where(F.col(once) > 0), "copies")
+    rows = docs.withColumn(own, digest)
+    unequal = (F.col(once) < F.col(n)) | F.col(twice).between(1, F.col(n) - 1)
+    alike, ranked = copies.where(~unequal).hint("shuffle_hash"), copies.where(unequal)
+    out = rows.join(alike, rows["doc_id"].eqNullSafe(alike[id_]) & (rows[own] == alike[mark])).withColumn(times, F.when(F.col(twice) > 0, 2).otherwise(1))
+    if not ranked.isEmpty():
+        orderable = [F.col(f"`{f.name}`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+        place = F.row_number().over(Window.partitionBy(id_, mark).orderBy(*orderable))
+        some = rows.join(ranked, rows["doc_id"].eqNullSafe(ranked[id_]) & (rows[own] == ranked[mark]))
+        out = out.unionByName(some.withColumn(times, F.when(place <= F.col(twice), 2).when(place <= F.col(once), 1)).where(F.col(times).isNotNull()))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, id_, mark, n, once, twice, times)
