@@ -1,5 +1,6 @@
 """Small cases and brute-force versions of the text-corpus operators."""
 
+import gzip
 import hashlib
 import re
 
@@ -266,6 +267,21 @@ def test_warc_parse_stops_at_a_broken_tail():
     assert list(warc.parse_records(b"")) == [] and list(warc.parse_records(b"junk")) == []
 
 
+def test_warc_reads_all_members_and_reports_what_is_unread(spark, tmp_path):
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: r{i}\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    members = [gzip.compress(record(i)) for i in range(2000)]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "plain.warc").write_bytes(record(2000) + b"junk\r\n\r\n" + record(1))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record(2001)) + members[0][:-9])
+    (tmp_path / "padded.txt.gz").write_bytes(gzip.compress(record(2002)) + b"\0" * 512)
+    (tmp_path / "many.warc.cdx").write_bytes(b"index")
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in rows if r.rec_type == "request" and r.record_id != "r0") == sorted(f"r{i}" for i in range(1, 2003))
+    unread = {r.target_uri.rsplit("/", 1)[1]: r.fields for r in rows if r.rec_type == "unread"}
+    assert set(unread) == {"plain.warc", "cut.warc.gz"}
+    assert unread["plain.warc"] == {"offset": str(len(record(2000))), "bytes": str(8 + len(record(1)))}
+
+
 def test_toxicity_grammar_scores_clauses():
     scorer = toxicity.Scorer(toxicity.Model())
     total = lambda text: scorer.features(text)[0]

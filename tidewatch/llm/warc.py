@@ -5,7 +5,9 @@ writer makes the files, so archives can lie in any store that Spark reaches. Eac
 Of captures with equal payloads of MIN_REVISIT bytes or more, that with the smallest page id is the response and the
 others are revisits without payload, referring to it.
 
-Reading. A file's bytes are parsed record by record by Content-Length; a broken tail ends its file.
+Reading. A file's bytes are parsed record by record by Content-Length; all gzip members of a file are read. A malformed
+record, a broken tail or a cut gzip member ends its file: a row of type `unread` then gives the file as its target and, in its
+fields, the offset and number of the unpacked bytes left over. Gzip data that don't unpack are an error.
 
 Assembly. Requests and metadata name the response in WARC-Concurrent-To; they are grouped by it (partial aggregation, the
 smallest record id of each kind stays, so no list grows) and joined to the responses: one nested row per capture.
@@ -18,7 +20,7 @@ original. Rows that repeat an id and a payload are captures of their own, with e
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 MIN_REVISIT = 100
 CAPTURES_PER_FILE = 2_000
+UNPACK_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "rec_type string, record_id string, concurrent_to string, refers_to string, target_uri string, fields map<string,string>, payload_digest string, payload_bytes long, payload binary"
 
@@ -89,24 +92,50 @@ def write_archives(pages: DataFrame, path: str, captures: int = CAPTURES_PER_FIL
     rows.select(F.concat(request, response, metadata).alias("value")).write.option("maxRecordsPerFile", captures).option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of every whole record."""
+def parse_records(data: bytes) -> Generator[tuple[dict[str, str], bytes], None, int]:
+    """(headers in lower case, block) of every whole record; the generator's value is the offset where reading ended."""
     at, n = 0, len(data)
     while at < n:
         while at < n and data[at : at + 1] in (b"\r", b"\n"):
             at += 1
         end = data.find(b"\r\n\r\n", at)
         if end < 0 or not data.startswith(b"WARC/", at):
-            return
+            return at
         headers = {}
         for line in data[at:end].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
         size = headers.get("content-length", "")
         if not size.isdigit() or end + 4 + int(size) > n:
-            return
+            return at
         yield headers, data[end + 4 : end + 4 + int(size)]
         at = end + 4 + int(size)
+    return at
+
+
+def unpack(raw: bytes) -> tuple[bytes, bool]:
+    """The bytes of all gzip members, and whether the file held nothing else; a file without gzip is given as it is."""
+    if not raw.startswith(b"\x1f\x8b"):
+        return raw, True
+    parts, at = [], 0
+    while raw.startswith(b"\x1f\x8b", at):
+        member = zlib.decompressobj(47)
+        # In pieces, so that a file of many small members isn't copied once for each of them.
+        while not member.eof and at < len(raw):
+            piece = raw[at : at + UNPACK_BYTES]
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        if not member.eof:
+            return b"".join(parts), False
+    return b"".join(parts), not raw[at:].strip(b"\0")
+
+
+def file_records(raw: bytes, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a file, and one of type unread if some of it could not be read."""
+    data, whole = unpack(raw)
+    end = yield from parse_records(data)
+    if end < len(data) or not whole:
+        yield {"warc-type": "unread", "warc-target-uri": path}, b"offset: %d\r\nbytes: %d" % (end, len(data) - end)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -116,12 +145,10 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         import hashlib
 
         for batch in batches:
-            for content in batch.column("content"):
-                raw = content.as_py()
-                data = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
+            for file, content in zip(batch.column("path"), batch.column("content")):
                 rows: list[tuple] = []
                 size = 0
-                for headers, block in parse_records(data):
+                for headers, block in file_records(content.as_py(), file.as_py()):
                     kind = headers.get("warc-type", "")
                     fields, digest, payload = None, None, None
                     if kind == "response":
@@ -129,7 +156,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         digest = hashlib.sha256(payload).hexdigest()
                     elif kind == "revisit":
                         digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
-                    elif kind == "metadata":
+                    elif kind in ("metadata", "unread"):
                         fields = [tuple(x.strip() for x in line.split(":", 1)) for line in block.decode("utf-8", "replace").split("\r\n") if ":" in line]
                     rows.append((kind, headers.get("warc-record-id"), headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), fields, digest, None if payload is None else len(payload), payload if with_payload else None))
                     size += len(block)
@@ -144,7 +171,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         names = [f.split()[0] for f in RECORD.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(9)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt*,warc,warc.gz}").load(path).select("path", "content")
     return files.mapInArrow(run, RECORD)
 
 
