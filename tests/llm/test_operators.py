@@ -167,15 +167,26 @@ def vocabulary():
 TEXTS = ["", " ", "  two  blanks ", "line\n\nbreaks\r\n", "▁ marker ▁▁x", "日本語 テキスト", "emoji 😀\x00\t", "a" * 3000, "mixed Überraschung não " * 20]
 
 
+def encoded_texts(encoder, texts):
+    """Ids of each text, straight from the encoder."""
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    full, blanked, begins = pieces._with_blanks(data, np.cumsum([0, *map(len, raw)])[:-1])
+    flat, edges, fine = pieces._checked(encoder, blanked, begins, *encoder.encode(blanked, begins))
+    assert fine.all() and len(full) == sum(map(bool, raw))
+    found = iter([flat[a:b] for a, b in zip(edges[:-1], edges[1:])])
+    return [next(found) if r else np.zeros(0, np.int32) for r in raw]
+
+
 def test_pieces_round_trip_and_best_score(vocabulary):
     encoder = pieces.Encoder(vocabulary)
-    byte = set(vocabulary.byte_ids)
-    known = {}
-    for i, s in enumerate(vocabulary.surface):
-        if i not in byte and s:
-            known[s.decode()] = vocabulary.scores[i]
-    for text, ids in zip(TEXTS, encoder.encode(TEXTS)):
-        assert encoder.decode(ids) == text
+    byte = set(vocabulary.byte_ids.tolist())
+    surface = [vocabulary.surface[a : a + n].tobytes() for a, n in zip(vocabulary.begins, vocabulary.sizes)]
+    known = {s.decode(): vocabulary.scores[i] for i, s in enumerate(surface) if i not in byte and s}
+    for text, ids in zip(TEXTS, encoded_texts(encoder, TEXTS)):
+        assert encoder.decode(ids).tobytes().decode()[1:] == text
         if pieces.MARK in text or len(text) > 500 or not text:
             continue
         s = " " + text
@@ -188,7 +199,7 @@ def test_pieces_round_trip_and_best_score(vocabulary):
         got, rest = 0.0, ids.tolist()
         while rest:
             if rest[0] in byte:
-                lead = vocabulary.surface[rest[0]][0]
+                lead = surface[rest[0]][0]
                 got += vocabulary.unknown
                 rest = rest[1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4 :]
             else:
@@ -196,6 +207,23 @@ def test_pieces_round_trip_and_best_score(vocabulary):
         assert abs(got - best[-1]) < 1e-6
 
 
+def test_pieces_of_long_texts_and_colliding_hashes(vocabulary, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    words = [f"wörd{k}" for k in range(3000)] + ["▁", "\n", " ", "x" * 50]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 0, 700, 120_000, 3)] + ["y" * 20_000]
+    whole = [x.tolist() for x in encoded_texts(pieces.Encoder(vocabulary), texts)]
+    alone = [encoded_texts(pieces.Encoder(vocabulary), [t])[0].tolist() for t in texts]
+    assert whole == alone
+    small = pieces.Encoder(vocabulary)
+    small.KEPT = 50
+    assert [encoded_texts(small, [t])[0].tolist() for t in texts] == whole
+    honest = pieces.range_hashes
+    monkeypatch.setattr(pieces, "range_hashes", lambda d, s, e: honest(d, s, e) % 7)
+    assert [x.tolist() for x in encoded_texts(pieces.Encoder(vocabulary), texts[:3])] == whole[:3]
+
+
 def test_trie_finds_exactly_its_keys():
     trie = pieces.DoubleArray([(b"ab", 1), (b"abc", 2), (b"b", 3), ("é".encode(), 4)])
 

@@ -30,15 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .hashing import STEP, mix, range_hashes, text_chunks
 
 BANDS, ROWS = 32, 5
-#: Bytes of text that are hashed at once.
-CHUNK = 1 << 19
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+_rng = np.random.default_rng(20240301)
 _PLACE = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -48,21 +44,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(step: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, step, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POWERS = {"up": _powers(_STEP, CHUNK), "down": _powers(_BACK, CHUNK)}
-
-
 def _word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document number of every word of the concatenated texts; a text's first byte begins a word anew."""
     n = len(data)
@@ -74,11 +55,7 @@ def _word_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     before = np.concatenate(([False], solid[:-1])) & ~first[:-1]
     after = np.concatenate((solid[1:], [False])) & ~first[1:]
     starts, ends = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    up, down = (_POWERS["up"], _POWERS["down"]) if n <= CHUNK else (_powers(_STEP, n), _powers(_BACK, n))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-    words = _mix((sums[ends] - sums[starts]) * down[starts])
-    return words, np.searchsorted(begins, starts, "right") - 1
+    return range_hashes(data, starts, ends), np.searchsorted(begins, starts, "right") - 1
 
 
 def shingle_sets(data: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +70,7 @@ def shingle_sets(data: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.n
         total = np.full(m, np.uint64(width))
         for j in range(width):
             total += words[j : j + m] * _PLACE[j]
-        parts.append(_mix(total)[inside])
+        parts.append(mix(total)[inside])
         owners.append(doc[:m][inside])
     for k in range(1, width):
         short = np.flatnonzero(count == k)
@@ -101,7 +78,7 @@ def shingle_sets(data: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.n
             total = np.full(len(short), np.uint64(k))
             for j in range(k):
                 total += words[at[short] + j] * _PLACE[j]
-            parts.append(_mix(total))
+            parts.append(mix(total))
             owners.append(short)
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
@@ -118,26 +95,12 @@ def shingle_sets(data: np.ndarray, begins: np.ndarray, width: int) -> tuple[np.n
     return hashes[fresh], np.bincount(owner[fresh], minlength=len(begins))
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, begins) of pieces of a batch with a text column, about CHUNK bytes each, straight from Arrow's buffers."""
-    text = batch.column("text").cast(pa.large_string()).fill_null("")
-    if not len(text):
-        return
-    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(text):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row]
-        row = end
-
-
 def signatures(width: int):
     """mapInArrow function: doc_id, n_shingles, two halves of the set's hash, the minima as bytes (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, begins in _chunks(batch):
+            for row, end, data, begins in text_chunks(batch):
                 hashes, sizes = shingle_sets(data, begins, width)
                 full = np.flatnonzero(sizes)
                 s1, s2 = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
@@ -145,7 +108,7 @@ def signatures(width: int):
                 if len(full):
                     at = np.concatenate(([0], np.cumsum(sizes[full])))[:-1]
                     s1[full] = np.add.reduceat(hashes, at)
-                    s2[full] = np.add.reduceat(_mix(hashes ^ _STEP), at)
+                    s2[full] = np.add.reduceat(mix(hashes ^ STEP), at)
                     sig = np.empty((len(_MUL), len(full)), np.uint32)
                     for p in range(len(_MUL)):
                         sig[p] = np.minimum.reduceat((hashes * _MUL[p] + _ADD[p]) >> np.uint64(32), at)
@@ -164,7 +127,7 @@ def full_sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, begins in _chunks(batch):
+            for row, end, data, begins in text_chunks(batch):
                 hashes, sizes = shingle_sets(data, begins, width)
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 sets = [hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]

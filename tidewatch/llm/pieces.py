@@ -4,16 +4,18 @@ The vocabulary file gives pieces by rank; a piece's log score follows the rank-f
 logarithm of the normaliser. A text is encoded as whitespace marker + text with blanks turned into markers. A character
 that no single piece holds may fall back to its UTF-8 bytes, at a score below all others. No piece has a marker after
 another character, so a text falls into segments (blanks + what follows up to the next blank) that are encoded once per
-distinct segment, many at a time, with numpy; what was found is kept in a bounded table.
+distinct segment, many at a time, with numpy. Segments are told apart by 64-bit hashes of their bytes; what was found is
+kept in a bounded table of flat ids, and texts are encoded and decoded by gathering from flat arrays.
 
-decode(encode(text)) == text for every text: a literal marker character goes through byte fallback. Null text has null
-ids and no tokens, empty text has no ids. Extra columns are ignored. Long texts are encoded whole, a piece at a time.
+decode(encode(text)) == text for every text, and every text is decoded and compared: a literal marker character goes
+through byte fallback, and a text in which two segments' hashes collide is encoded again segment by segment. Null text has
+null ids and no tokens, empty text has no ids. Repeated rows and ids are encoded alike. Extra columns are ignored. Long
+texts are encoded whole, CHUNK bytes at a time.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import CHUNK, gathered, range_hashes, text_chunks
+
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Blanks and what follows, or a line break, or a literal marker; everything falls into such segments.
-SEGMENT = re.compile(f" *[^ \n{MARK}]+|\n|{MARK}| +")
 
 
 class DoubleArray:
@@ -75,12 +78,15 @@ class Vocabulary:
         """pieces: by id (text, log score), with None as text for ids that match nothing; byte_ids: the 256 byte pieces."""
         entries = [(p.encode(), i) for i, (p, _) in enumerate(pieces) if p]
         self.scores = np.array([s for _, s in pieces] or [0.0])
-        self.byte_ids = byte_ids
+        self.byte_ids = np.array(byte_ids, np.int64)
         self.unknown = float(self.scores.min()) - 10.0
         self.trie = DoubleArray(entries)
-        self.surface = [p.replace(MARK, " ").encode() if p else b"" for p, _ in pieces]
+        surface = [p.replace(MARK, " ").encode() if p else b"" for p, _ in pieces]
         for byte, i in enumerate(byte_ids):
-            self.surface[i] = bytes([byte])
+            surface[i] = bytes([byte])
+        self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        self.sizes = np.array([len(s) for s in surface], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def load(cls, path: str = VOCABULARY) -> Vocabulary:
@@ -95,9 +101,9 @@ class Vocabulary:
             raise ValueError("a piece has a whitespace marker after another character")
         return cls(pieces, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def encode_segments(self, segments: list[str]) -> list[list[int]]:
-        """Best pieces of each segment; a segment is encoded as it stands, with markers for blanks."""
-        raw = [s.replace(" ", MARK).encode() if s != MARK else b"" for s in segments]
+    def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Best pieces of each segment, with markers for its blanks: all ids one after the other, and the number of each."""
+        raw = [s.replace(b" ", MARK_BYTES) for s in segments]
         data = np.frombuffer(b"".join(raw), np.uint8)
         lengths = np.array([len(r) for r in raw], np.int64)
         ends = np.cumsum(lengths)
@@ -145,63 +151,166 @@ class Vocabulary:
             np.maximum.at(reach, e, sums)
             top = sums == reach[e]
             back[e[top]] = np.flatnonzero(top) + a
-        back, start, piece = back.tolist(), start.tolist(), piece.tolist()
-        out = []
-        for r, begin, stop in zip(raw, begins.tolist(), ends.tolist()):
-            if begin == stop:  # the literal marker character
-                out.append([self.byte_ids[b] for b in MARK.encode()])
-                continue
-            ids: list[int] = []
-            while stop > begin:
-                m = back[stop]
-                if piece[m] >= 0:
-                    ids.append(piece[m])
-                else:
-                    ids.extend(self.byte_ids[b] for b in reversed(r[start[m] - begin : stop - begin]))
-                stop = start[m]
-            ids.reverse()
-            out.append(ids)
-        return out
+        # The paths are walked from all ends at once; a turn gives each segment that is not through its next piece.
+        owner, at, chosen, owners = np.arange(len(raw)), ends.copy(), [], []
+        while len(owner):
+            edge = back[at]
+            chosen.append(edge)
+            owners.append(owner)
+            at = start[edge]
+            more = at > begins[owner]
+            owner, at = owner[more], at[more]
+        if not chosen:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        owner, edge = np.concatenate(owners), np.concatenate(chosen)
+        order = np.lexsort((start[edge], owner))
+        owner, edge = owner[order], edge[order]
+        bare = piece[edge] < 0
+        times = np.where(bare, end[edge] - start[edge], 1)
+        ids = np.repeat(piece[edge], times)
+        in_bytes = np.repeat(bare, times)
+        ids[in_bytes] = self.byte_ids[data[gathered(start[edge[bare]], times[bare])]]
+        return ids.astype(np.int32), np.bincount(owner, times, len(raw)).astype(np.int64)
+
+
+def segment_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where segments of the texts begin: at a text, a run of blanks, a line break or literal marker, and after these two."""
+    first = np.zeros(len(data) + 1, bool)
+    blank, line = data == 32, data == 10
+    first[1:-1] = blank[1:] & ~blank[:-1]
+    first[:-1] |= line
+    first[1:] |= line
+    lead = np.flatnonzero(data[: len(data) - 2] == MARK_BYTES[0])
+    lead = lead[(data[lead + 1] == MARK_BYTES[1]) & (data[lead + 2] == MARK_BYTES[2])]
+    first[lead] = True
+    first[lead + 3] = True
+    first[begins] = True
+    return np.flatnonzero(first[:-1])
 
 
 class Encoder:
     """Encodes texts of one task; keeps the ids of at most KEPT distinct segments."""
 
-    KEPT = 200_000
-    #: Characters of text whose segments are collected at once.
-    CHUNK = 1 << 19
+    KEPT = 400_000
+    #: Ids that are decoded at once.
+    DECODED = 1 << 18
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, segments: set[str]) -> None:
-        missing = sorted(segments.difference(self.known))
-        if len(self.known) + len(missing) > self.KEPT:
-            self.known.clear()
-            missing = sorted(segments)
-        for a in range(0, len(missing), 20_000):
-            part = missing[a : a + 20_000]
-            for segment, ids in zip(part, self.vocabulary.encode_segments(part)):
-                self.known[segment] = np.array(ids, np.int32).tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        group: list[str] = []
-        size = 0
-        for i, text in enumerate(texts):
-            group.append(text)
-            size += len(text)
-            if size >= self.CHUNK or i + 1 == len(texts):
-                cut = [SEGMENT.findall(" " + t) if t else [] for t in group]
-                self._learn(set().union(*cut))
-                out += [np.frombuffer(b"".join(map(self.known.__getitem__, c)), np.int32) for c in cut]
-                group, size = [], 0
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        """Joins the pieces' texts with blanks for markers, and drops the leading blank that encoding added."""
-        return b"".join(map(self.vocabulary.surface.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
+        self.is_byte = np.zeros(len(vocabulary.sizes), bool)
+        self.is_byte[vocabulary.byte_ids] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.at, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _encode_all(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """encode_segments, some 20,000 at a time; a literal marker goes through its bytes."""
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(segments), 20_000):
+            part = segments[a : a + 20_000]
+            found, n = self.vocabulary.encode_segments([s for s in part if s != MARK_BYTES])
+            if MARK_BYTES in part:
+                mark = self.vocabulary.byte_ids[list(MARK_BYTES)].astype(np.int32)
+                is_mark = np.array([s == MARK_BYTES for s in part])
+                sizes = np.full(len(part), len(mark), np.int64)
+                sizes[~is_mark] = n
+                n, plain = sizes, np.repeat(~is_mark, sizes)
+                every = np.empty(len(plain), np.int32)
+                every[plain] = found
+                every[~plain] = np.tile(mark, int(is_mark.sum()))
+                found = every
+            ids.append(found)
+            counts.append(n)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _place(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of the table for distinct hashes, each with a range of data that has it; learns those that are missing."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        if not known.all():
+            if len(self.hashes) + int((~known).sum()) > self.KEPT:
+                self._forget()
+                known = np.zeros(len(hashes), bool)
+            new = np.flatnonzero(~known)
+            raw = data.tobytes()
+            ids, count = self._encode_all([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            where = np.searchsorted(self.hashes, hashes[new])
+            self.at = np.insert(self.at, where, len(self.ids) + np.cumsum(count) - count)
+            self.count = np.insert(self.count, where, count)
+            self.hashes = np.insert(self.hashes, where, hashes[new])
+            self.ids = np.concatenate((self.ids, ids))
+            at = np.searchsorted(self.hashes, hashes)
+        return at
+
+    def encode(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts (bytes one after the other, from their begins), and the edges of each text's ids.
+
+        No text is empty, and each begins with the blank that encoding adds.
+        """
+        if not len(begins):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        starts = segment_starts(data, begins)
+        ends = np.append(starts[1:], len(data))
+        parts, totals = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(starts), CHUNK):  # bounds the memory for one long text
+            low, high = int(starts[a]), int(ends[min(len(ends), a + CHUNK) - 1])
+            s, e, piece = starts[a : a + CHUNK] - low, ends[a : a + CHUNK] - low, data[low:high]
+            hashes, first, inverse = np.unique(range_hashes(piece, s, e), return_index=True, return_inverse=True)
+            row = self._place(hashes, piece, s[first], e[first])[inverse]
+            parts.append(self.ids[gathered(self.at[row], self.count[row])])
+            totals.append(self.count[row])
+        upto = np.cumsum(np.concatenate(totals))
+        edges = np.append(upto[np.searchsorted(starts, begins)], upto[-1])
+        return np.concatenate(parts), edges
+
+    def encode_exactly(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one text without the table: no two segments are taken for each other."""
+        starts = segment_starts(data, np.zeros(1, np.int64))
+        raw = data.tobytes()
+        segments = [raw[a:b] for a, b in zip(starts.tolist(), np.append(starts[1:], len(data)).tolist())]
+        number = {s: i for i, s in enumerate(dict.fromkeys(segments))}
+        ids, count = self._encode_all(list(number))
+        row = np.array([number[s] for s in segments])
+        return ids[gathered((np.cumsum(count) - count)[row], count[row])]
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the pieces, with blanks for markers; encoding's leading blank is still there."""
+        v = self.vocabulary
+        return np.concatenate([np.zeros(0, np.uint8), *(v.surface[gathered(v.begins[part], v.sizes[part])] for part in (ids[a : a + self.DECODED] for a in range(0, len(ids), self.DECODED)))])
+
+    def decoded_ends(self, ids: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where each text ends among the decoded bytes."""
+        return np.concatenate(([0], np.cumsum(self.vocabulary.sizes[ids])))[edges[1:]]
+
+
+def _with_blanks(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that are not empty, each after a blank: which, their bytes and where they begin."""
+    sizes = np.diff(np.append(begins, len(data)))
+    full = np.flatnonzero(sizes)
+    places = begins[full] + np.arange(len(full))
+    out = np.full(len(data) + len(full), 32, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[places] = False
+    out[keep] = data
+    return full, out, places
+
+
+def _checked(encoder: Encoder, data: np.ndarray, begins: np.ndarray, flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Decodes all texts and compares them with what was encoded; the few that differ are encoded again exactly."""
+    decoded = encoder.decode(flat)
+    if len(decoded) == len(data) and np.array_equal(decoded, data) and np.array_equal(encoder.decoded_ends(flat, edges)[:-1], begins[1:]):
+        return flat, edges, np.ones(len(begins), bool)
+    ids, fine = [np.zeros(0, np.int32)], []
+    for a, b, low, high in zip(begins.tolist(), np.append(begins[1:], len(data)).tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+        own = flat[low:high]
+        if not np.array_equal(encoder.decode(own), data[a:b]):
+            own = encoder.encode_exactly(data[a:b])
+        ids.append(own)
+        fine.append(np.array_equal(encoder.decode(own), data[a:b]))
+    return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids[1:]]))).astype(np.int64), np.array(fine, bool)
 
 
 def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -210,21 +319,18 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
-        is_byte = np.zeros(len(encoder.vocabulary.surface), bool)
-        is_byte[encoder.vocabulary.byte_ids] = True
         for batch in batches:
-            column = batch.column("text")
-            for row in range(0, batch.num_rows, 256):
-                texts = column.slice(row, 256).to_pylist()
-                ids = encoder.encode([t or "" for t in texts])
-                fine = [t is None or encoder.decode(i) == t for t, i in zip(texts, ids)]
-                sizes = np.array([len(i) for i in ids], np.int64)
-                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-                in_bytes = np.add.reduceat(np.append(is_byte[flat], False).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1]))) * (sizes > 0)
+            null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
+            for row, end, data, begins in text_chunks(batch):
+                full, blanked, places = _with_blanks(data, begins)
+                flat, edges = encoder.encode(blanked, places)
+                flat, edges, fine = _checked(encoder, blanked, places, flat, edges)
+                sizes, in_bytes, good = np.zeros(end - row, np.int64), np.zeros(end - row, np.int64), np.ones(end - row, bool)
+                sizes[full], good[full] = np.diff(edges), fine
+                in_bytes[full] = np.diff(np.concatenate(([0], np.cumsum(encoder.is_byte[flat])))[edges])
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                null = pa.array([t is None for t in texts] + [False], pa.bool_())
-                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.array(null)), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(texts)), pa.array(sizes), pa.array(in_bytes), lists, pa.array(fine, pa.bool_())], names=["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null[row:end], False)), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), pa.array(sizes), pa.array(in_bytes), lists, pa.array(good)], names=["doc_id", "n_tokens", "n_byte_tokens", "ids", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, n_byte_tokens long, ids array<int>, round_trip boolean")
 
@@ -236,7 +342,11 @@ def decoded(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:
-            texts = [None if not ids.is_valid else encoder.decode(ids.values.to_numpy(zero_copy_only=False).astype(np.int32)) for ids in batch.column("ids")]
+            lists = batch.column("ids")
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            edges = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+            raw, ends = encoder.decode(flat).tobytes(), encoder.decoded_ends(flat, edges).tolist()
+            texts = [raw[a:b][1:].decode("utf-8", "replace") if good else None for a, b, good in zip([0, *ends], ends, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
