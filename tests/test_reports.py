@@ -45,7 +45,9 @@ RULE = dict(id="SI-USR-001", name="n", description="d", severity="low", category
 def test_rule_packs(spark):
     text = json.dumps([RULE | {"pattern": r"\bx\b", "capabilities": ["persistence"]}])
     assert reports.load_rule_pack(spark, text).first().capabilities == ["persistence"]
-    for bad in ("[]", "5", json.dumps(RULE), json.dumps([RULE | {"pattern": "x"}] * 2), json.dumps(RULE | {"pattern": "x", "more": 1})):
+    many = json.dumps([RULE | {"pattern": "x"}])[:-1] + ", " + json.dumps(RULE | {"id": "SI-USR-002", "pattern": "y", "name": 5}) + "]"
+    aliased = "- &a {a: b}\n" + "- *a\n" * 51
+    for bad in (many.replace('"name": 5', '"name": [5]'), aliased, "!!python/object:os.system {}", "[]", "5", json.dumps(RULE), json.dumps([RULE | {"pattern": "x"}] * 2), json.dumps(RULE | {"pattern": "x", "more": 1})):
         with pytest.raises(ValueError):
             reports.load_rule_pack(spark, bad)
 
@@ -58,6 +60,13 @@ def test_rule_validation(spark):
     assert found == ["duplicate_id", "duplicate_id", "nested_repetition", "repeated_alternatives", "backreference", "overlapping_repetition", "invalid_pattern", None, "id"]
 
 
+def test_start_sets_of_adjacent_repetitions():
+    fault = {p: reports.pattern_fault(p) for p in (r"\s+[a-z]+", r"\d+[a-f]+", "(?i)[a-z]+[A-Z]+", "[a-z]+[A-Z]+", r"\w+\d+", "[^a]+b+", "é+ü+", "a?b+", "(?:ab|c)*d*", "(?:a|b)?c+", "x{2}y{3}", "a*(?:b?c)+", "(a?)+", "a+(?=b)b+")}
+    overlap = {p for p, why in fault.items() if why == "overlapping_repetition"}
+    assert overlap == {"(?i)[a-z]+[A-Z]+", "[a-z]+[A-Z]+", r"\w+\d+", "[^a]+b+", "é+ü+"}
+    assert {p: why for p, why in fault.items() if why and p not in overlap} == {"(?:ab|c)*d*": "repeated_alternatives", "a*(?:b?c)+": "nested_repetition", "(a?)+": "nested_repetition"}
+
+
 def test_user_scanners(spark):
     known = reports.Scanners()
     known.register_scanner("mine", F.col("language") == "text", lambda s: s.select("target_id", "path", F.lit("SI-X-1").alias("rule_id"), F.lit("n").alias("name"), F.lit("low").alias("severity"), F.lit(1).alias("line")))

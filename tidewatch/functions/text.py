@@ -1,4 +1,4 @@
-"""Columns over text: lines, redaction, snippets. All of it stays in the JVM and works on streams as well."""
+"""Columns over text: lines, redaction, snippets. All of it stays in the JVM; no row needs another, so streams can use it too."""
 
 from __future__ import annotations
 
@@ -61,8 +61,13 @@ def _mask_assigned(text: Column, open_: str, char: str, close: str) -> Column:
 
 def show_controls(text: Column) -> Column:
     """Control and direction characters as \\uXXXX; line breaks and tabs stay."""
-    shown = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(CONTROLS), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c))
-    return F.when(text.rlike(CONTROLS), F.array_join(shown, "")).otherwise(text)
+
+    def shown(t: Column) -> Column:
+        letters = F.transform(F.split(t, ""), lambda c: F.when(c.rlike(CONTROLS), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c))
+        return F.when(t.rlike(CONTROLS), F.array_join(letters, "")).otherwise(t)
+
+    # Bound once: what comes in may be a long chain of replacements.
+    return F.element_at(F.transform(F.array(text), shown), 1)
 
 
 def redact_text(text: Column) -> Column:

@@ -339,7 +339,7 @@ def secrets_sql(files: str) -> str:
     cases = ", ".join(f"case when regexp_matches(raw, '{p}') then {{'id': '{i}', 'sev': '{s}'}} end" for i, s, p in SECRET_SQL)
     hits = f"select target_id, path, line::int as line, h.x.id as rule_id, h.x.sev as severity, 'secret_exposure' as category, raw from ({lines_sql(files, 'target_id, path, language')}) l, unnest([{cases}]) as h(x) where h.x is not null"
     env = f"select target_id, path, 1 as line, 'SI-SEC-008' as rule_id, 'medium' as severity, 'sensitive_file' as category, null::varchar as snippet from ({files}) e where {NAME} = '.env' or {NAME} like '.env.%'"
-    return f"select target_id, path, line, rule_id, severity, category, {redact_line_sql('raw')} as snippet from ({capped_sql(hits)}) c union all {env}"
+    return f"select target_id, path, line, rule_id, severity, category, {redact_line_sql('raw')} as snippet from ({hits}) c union all {env}"
 
 
 DOCUMENT_SOURCES_SQL = "select source as target_id, 'doc/' || doc_id as path, 'text' as language, text as content from documents"
@@ -572,7 +572,8 @@ def a10_files_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("a11_advice", f"""with r as (select r.*, status, {LEVEL_SQL} as level from ({RISK_SQL}) r join ({STATUS_SQL}) s using (target_id))
-select target_id, case when status = 'partial' and level in ('info', 'low') then 'review_skipped' when level in ('critical', 'high') then 'do_not_run' when level = 'medium' then 'review_first' else 'usual_care' end as recommendation,
+select target_id, case when status = 'partial' and level in ('info', 'low') then 'review_skipped' else case when status = 'partial' then 'review_skipped+' else '' end
+  || case level when 'critical' then 'do_not_run' when 'high' then 'do_not_run_unless_trusted' when 'medium' then 'review_first' when 'low' then 'review_indicators' else 'usual_care' end end as recommendation,
   case when status = 'partial' then 'partial' when download_execute then 'download' when shell_execution then 'shell' when sensitive_data_access then 'sensitive' when n_findings > 0 then 'any' else 'none' end as why from r""")
 def a11_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _assessed(spark, sf_dir).join(_status(spark, sf_dir), "target_id")
@@ -580,7 +581,7 @@ def a11_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("a12_bounded_checks", f"""
-with g as (select target_id, bool_or(list_contains(capabilities, 'persistence')) as p, bool_or(category in ('secret_exposure', 'sensitive_file')) as s, bool_or(category = 'workflow_permissions') as w from ({DEDUPED_SQL}) d group by 1)
+with g as (select target_id, bool_or(list_contains(capabilities, 'persistence')) as p, bool_or(category = 'secret_exposure') as s, bool_or(category in ('workflow_permission', 'workflow_privilege')) as w from ({DEDUPED_SQL}) d group by 1)
 select t.target_id, {', '.join(f"case when status = 'complete' then not coalesce({c}, false) end as no_{n}" for c, n in (('p', 'persistence'), ('s', 'secret'), ('w', 'workflow')))} from ({STATUS_SQL}) t left join g using (target_id)""")
 def a12_bounded_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.bounded_checks(fd.dedupe_findings(inputs.findings(spark, sf_dir)), _status(spark, sf_dir))

@@ -61,7 +61,7 @@ FILES_SQL = (
     f"text || chr(10) || {sql_pick(LINES, 'doc_id // 5')} as content from documents"
 )
 
-CATEGORIES = ["network_access", "persistence", "secret_exposure", "supply_chain", "git_operation", "install_script", "remote_access", "workflow_permissions", "permission_change"]
+CATEGORIES = ["network_access", "persistence", "secret_exposure", "supply_chain", "git_operation", "install_script", "remote_access", "workflow_permission", "permission_change", "workflow_privilege", "sensitive_file"]
 TITLES = ["Alpha", "beta", "Gamma", "delta", "Omega"]
 
 

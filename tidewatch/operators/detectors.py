@@ -1,7 +1,8 @@
 """Native detectors: rules over the lines of source files.
 
 A file is tested once with the alternation of all patterns of its language before its lines are exploded; only then are the
-unrolled patterns run line by line. Everything is Column expressions, so the detectors also run on streams.
+unrolled patterns run line by line. Everything is Column expressions; the caps per rule and file are windows, so they are for
+tables, not for streams.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from ..functions import paths, text
 from . import findings as fd
 from .rulebook import BUILTIN, SECRETS, SENSITIVE_PATHS, Rule
 
-MAX_LINE = 20_000
+MAX_LINE, MAX_PACK = 20_000, 1_000_000
 
 
 def _numbered(sources: DataFrame) -> DataFrame:
@@ -23,10 +24,13 @@ def _numbered(sources: DataFrame) -> DataFrame:
     return lines.select("target_id", "path", "language", (F.col("pos") + 1).cast("int").alias("line"), "raw")
 
 
-def _multiline(pattern: str) -> str:
-    """A pattern as a part of the document test: ^ and $ at every line."""
-    flag, rest = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    return f"(?:(?m{'i' if flag else ''}:{rest}))"
+def _anywhere(content: Column, patterns: list[str]) -> Column:
+    """Whether a file may hold a line that matches: the alternation of all patterns, ^ and $ at every line.
+
+    Line breaks that the engine's multi-line mode does not know become line feeds first, so the test is a superset.
+    """
+    known = F.when(content.rlike(r"[\x0B\x0C\x1C-\x1E]"), F.regexp_replace(content, r"[\x0B\x0C\x1C-\x1E]", "\n")).otherwise(content)
+    return known.rlike("|".join(f"(?:(?m){p})" for p in patterns))
 
 
 def is_comment(line: Column, language: Column, javascript: bool = False) -> Column:
@@ -52,7 +56,7 @@ def scan_rules(sources: DataFrame, rules: tuple[Rule, ...] = BUILTIN, mask: Call
     languages = sorted({r.language for r in rules})
     for language in languages:
         own = tuple(r for r in rules if r.language == language)
-        files = sources.where((F.col("language") == language) & F.col("content").rlike("|".join(_multiline(r.pattern) for r in own)))
+        files = sources.where((F.col("language") == language) & _anywhere(F.col("content"), [r.pattern for r in own]))
         lines = mask(_numbered(files)).withColumn("masked", F.substring("masked", 1, MAX_LINE))
         hits = F.array_compact(F.array(*[F.when(F.col("masked").rlike(r.pattern), F.lit(i)) for i, r in enumerate(own)]))
         hit = lines.select("target_id", "path", "language", "line", "raw", F.explode(hits).alias("i"))
@@ -76,16 +80,19 @@ def _described(rules: tuple[Rule, ...], i: Column) -> list[Column]:
     ]
 
 
-def scan_rule_table(sources: DataFrame, rules: DataFrame) -> DataFrame:
-    """User rules as a table (id, name, severity, category, language, pattern, capabilities): lines joined on language and match.
+def scan_rule_table(sources: DataFrame, rules: DataFrame, most: int = MAX_PACK) -> DataFrame:
+    """User rules as a table (id, name, severity, category, language, pattern, capabilities) on all lines of their languages.
 
-    Rule packs are at most a megabyte of text, so that side is broadcast.
+    A pack is configuration: its size is checked before it is read, and then it is unrolled like the built-in rules, behind
+    the same test of whole files. Larger tables are an error.
     """
-    lines = _numbered(sources).withColumn("masked", F.substring("raw", 1, MAX_LINE))
-    pack = F.broadcast(rules.select(F.col("id").alias("rule_id"), "name", "severity", "category", F.col("language").alias("rule_language"), "pattern", "capabilities"))
-    hit = lines.join(pack, (F.col("language") == F.col("rule_language")) & F.expr("masked rlike pattern"))
-    capped = fd.cap_per_rule(hit.drop("pattern", "rule_language", "masked"))
-    return capped.withColumn("snippet", text.snippet(F.substring("raw", 1, MAX_LINE))).drop("raw").withColumn("confidence", F.lit("observed"))
+    size = rules.agg(F.coalesce(F.sum(F.length("pattern") + F.length("name") + F.length("id")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"the rules hold {size} characters; at most {most} are allowed")
+    pack = tuple(Rule(r["id"], r["language"], r["severity"], r["category"], tuple(r["capabilities"] or ()), r["name"], r["pattern"]) for r in rules.orderBy("id").collect())
+    if not pack:
+        return sources.sparkSession.createDataFrame([], fd.SCHEMA)
+    return scan_rules(sources, pack, lambda lines: lines.withColumn("masked", F.col("raw")))
 
 
 def detect_shell(sources: DataFrame) -> DataFrame:
@@ -108,8 +115,7 @@ def detect_prompts(sources: DataFrame) -> DataFrame:
 def detect_sensitive_paths(sources: DataFrame) -> DataFrame:
     """References to sensitive places, at most one per line: the first class that matches."""
     role = paths.roles(F.col("path"), F.col("language"))["is_sensitive"]
-    anywhere = "|".join(_multiline(p) for _, _, p in SENSITIVE_PATHS)
-    lines = _numbered(sources.where(role & F.col("content").rlike(anywhere)))
+    lines = _numbered(sources.where(role & _anywhere(F.col("content"), [p for _, _, p in SENSITIVE_PATHS])))
     lines = lines.where(~F.coalesce(is_comment(F.col("raw"), F.col("language"), javascript=True), F.lit(False)))
     which = F.coalesce(*[F.when(F.col("raw").rlike(p), F.lit(i)) for i, (_, _, p) in enumerate(SENSITIVE_PATHS)])
     hit = lines.withColumn("i", which).where("i is not null")
@@ -134,7 +140,7 @@ _SECRET_PATTERNS = {
 
 
 def detect_secrets(sources: DataFrame) -> DataFrame:
-    """One finding per line and kind of secret, snippet redacted; files named .env* are a finding of their own."""
+    """One finding per line and kind of secret, however many a file holds, snippet redacted; files named .env* are a finding of their own."""
     lines = _numbered(sources.where(F.col("content").rlike(text.MAYBE_SECRET)))
     hits = F.array_compact(F.array(*[F.when(F.col("raw").rlike(_SECRET_PATTERNS[kind]), F.lit(i)) for i, (_, _, _, kind) in enumerate(SECRETS)]))
     hit = lines.where(F.col("raw").rlike(text.MAYBE_SECRET)).select("target_id", "path", "language", "line", "raw", F.explode(hits).alias("i"))
@@ -143,7 +149,7 @@ def detect_secrets(sources: DataFrame) -> DataFrame:
         "target_id", "path", "language", "line", pick(0).alias("rule_id"), pick(2).alias("name"), pick(1).alias("severity"), F.lit("secret_exposure").alias("category"),
         F.array(F.lit("sensitive_data_access")).alias("capabilities"), F.lit("observed").alias("confidence"), (F.col("i").cast("long") * 10_000_000 + F.col("line")).alias("emit_seq"), "raw",
     )
-    found = fd.cap_per_rule(found).withColumn("snippet", text.snippet(F.substring("raw", 1, MAX_LINE))).drop("raw")
+    found = found.withColumn("snippet", text.snippet(F.substring("raw", 1, MAX_LINE))).drop("raw")
     name = paths.file_name(F.col("path"))
     files = sources.where((name == ".env") | name.startswith(".env.")).select(
         "target_id", "path", "language", F.lit(1).alias("line"), F.lit("SI-SEC-008").alias("rule_id"), F.lit("Environment file").alias("name"), F.lit("medium").alias("severity"),
@@ -153,12 +159,6 @@ def detect_secrets(sources: DataFrame) -> DataFrame:
     return found.unionByName(files)
 
 
-def docker_image(line: Column) -> Column:
-    """First argument of FROM that is no option."""
-    words = F.filter(F.split(text.strip(line), r"\s+"), lambda w: w != "")
-    return F.element_at(F.filter(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: ~w.startswith("--")), 1)
-
-
 def detect_docker(sources: DataFrame) -> DataFrame:
     """Unpinned base images and downloads piped into a shell."""
     lines = _numbered(sources.where(F.col("language") == "dockerfile")).withColumn("bare", text.strip(F.col("raw"))).where((F.col("bare") != "") & ~F.col("bare").startswith("#"))

@@ -1,7 +1,8 @@
 """The findings table: union, limits, dedupe, ranking.
 
 Columns: target_id, path, rule_id, name, severity, category, language, line, snippet, capabilities, confidence, method,
-destination, metadata, scanner_seq, emit_seq. Windows are by target and path, so a large target is no hot key.
+destination, metadata, scanner_seq, emit_seq. Caps and dedupe are windows by target and path, so a large target is no hot key;
+ranks are by target, whose findings limit_check bounds, and are taken over narrow rows.
 """
 
 from __future__ import annotations

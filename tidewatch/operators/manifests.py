@@ -1,12 +1,17 @@
-"""Dependencies declared in package manifests. JSON is read as variants inside the JVM; only TOML needs Python."""
+"""Dependencies declared in package manifests. JSON is read as variants inside the JVM; Python reads TOML and finds lines,
+one pass over a file for all of its entries."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import paths, text
 
@@ -19,6 +24,7 @@ LIFECYCLE = ("preinstall", "install", "postinstall", "prepare")
 EXACT_NPM = r"^(?:v)?\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?\z"
 EXACT_PYTHON = r"^={2,3}[^,;*\s]+\z"
 COMMIT = r"[0-9a-fA-F]{40}(?:[#?]|\z)"
+_KEY = re.compile(r'[ \t]*"((?:[^"\\]|\\.)*)"[ \t]*:')
 PYTHON_NAME = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]+\])?"
 
 
@@ -31,18 +37,35 @@ def is_exact_npm(version: Column) -> Column:
     return version.rlike(EXACT_NPM)
 
 
-def key_line(content: Column, key: Column) -> Column:
-    """First line that begins with "key":, or 1."""
-    lines = text.split_lines(content)
-    found = F.array_position(F.transform(lines, lambda x: F.regexp_replace(F.trim(x, F.lit(" \t")), r'^"((?:[^"\\]|\\.)*)"[ \t]*:[\s\S]*\z', "$1\n") == F.concat(key, F.lit("\n"))), F.lit(True))
-    return F.greatest(found, F.lit(1)).cast("int")
+@F.pandas_udf(ArrayType(IntegerType()))
+def key_lines(content: pd.Series, keys: pd.Series) -> pd.Series:
+    """For each key the first line that begins with "key":, or 1; the lines of a file are looked through once."""
 
+    def one(text_: str | None, wanted: list | None) -> list[int] | None:
+        if wanted is None:
+            return None
+        first: dict[str, int] = {}
+        for number, line in enumerate((text_ or "").splitlines(), 1):
+            if m := _KEY.match(line):
+                first.setdefault(m[1], number)
+        return [first.get(k, 1) for k in wanted]
 
-def line_containing(content: Column, value: Column) -> Column:
-    """First line that holds the value, whatever the case, or 1."""
-    low = F.lower(value)
-    found = F.array_position(F.transform(text.split_lines(content), lambda x: F.contains(F.lower(x), low)), F.lit(True))
-    return F.greatest(found, F.lit(1)).cast("int")
+    return pd.Series([one(c, k) for c, k in zip(content, keys)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def lines_containing(content: pd.Series, values: pd.Series) -> pd.Series:
+    """For each value the first line that holds it, whatever the case, or 1."""
+
+    def one(text_: str | None, wanted: list | None) -> list[int] | None:
+        if wanted is None:
+            return None
+        low = (text_ or "").lower()
+        ends = list(accumulate(map(len, low.splitlines(keepends=True))))
+        places = (low.find((v or "").lower()) for v in wanted)
+        return [bisect_right(ends, at) + 1 if at >= 0 else 1 for at in places]
+
+    return pd.Series([one(c, v) for c, v in zip(content, values)], dtype=object)
 
 
 def _manifests(sources: DataFrame, name: str) -> DataFrame:
@@ -55,53 +78,65 @@ def _objects(sources: DataFrame, name: str) -> DataFrame:
     return parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
-def _entries(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """One row per entry of the variant column `o`: pos, key, value."""
-    return df.where(F.schema_of_variant("o").startswith("OBJECT")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("o").outer())).select(*keep, "pos", "key", "value")
+def _entries(v: str, path: str, kind: str) -> Column:
+    """Entries (key, value) of an object inside a variant whose values are of a kind; an empty array where there is none."""
+    entries = F.map_entries(F.try_variant_get(v, path, "map<string,variant>"))
+    return F.coalesce(F.filter(entries, lambda e: F.schema_of_variant(e["value"]).startswith(kind)), F.array().cast("array<struct<key:string,value:variant>>"))
+
+
+def _one_row_each(files: DataFrame, entries: Column, lines: Column, *keep: str) -> DataFrame:
+    """Explodes entries with their lines; the files' contents stay behind."""
+    zipped = files.select("target_id", "path", *keep, F.posexplode(F.arrays_zip(entries.alias("e"), lines.alias("line"))).alias("pos", "z"))
+    return zipped.select("target_id", "path", *keep, "pos", "z.e.*", "z.line")
 
 
 def npm_manifest_deps(sources: DataFrame) -> DataFrame:
-    """Dependencies of package.json files: dependency columns, section order, place, and the line of the key."""
-    out = None
-    objects = _objects(sources, "package.json")
-    for i, section in enumerate(SECTIONS):
-        part = objects.withColumn("o", F.try_variant_get("v", f"$.{section}", "variant")).where("o is not null")
-        rows = _entries(part, ("target_id", "path", "content")).where(F.schema_of_variant("value") == "STRING")
-        rows = rows.select("target_id", "path", "content", F.lit(section).alias("scope"), F.lit(i).alias("section"), "pos", F.col("key").alias("name"), F.col("value").cast("string").alias("raw"))
-        out = rows if out is None else out.unionByName(rows)
+    """Dependencies of package.json files: dependency columns, place (section, then key), and the line of the key.
+
+    A file is parsed once; its sections become one array of entries, whose lines are looked up before the explode.
+    """
+    def section(name: str) -> Column:
+        return F.transform(_entries("v", f"$.{name}", "STRING"), lambda e: F.struct(F.lit(name).alias("scope"), e["key"].alias("name"), e["value"].cast("string").alias("raw")))
+
+    files = _objects(sources, "package.json").withColumn("es", F.concat(*[section(s) for s in SECTIONS])).where(F.size("es") > 0)
+    rows = _one_row_each(files, F.col("es"), key_lines(F.col("content"), F.transform("es", lambda e: e["name"])))
     kind = npm_source_type(F.col("raw"))
-    return out.select(
+    return rows.select(
         "target_id", F.lit("npm").alias("ecosystem"), "name", text.redact_text(F.col("raw")).alias("specifier"), "scope", F.col("path").alias("source_file"),
-        ((kind == "registry") & is_exact_npm(F.col("raw"))).alias("pinned"), kind.alias("source_type"), (F.col("section") * 1_000_000 + F.col("pos")).cast("long").alias("place"),
-        key_line(F.col("content"), F.col("name")).alias("line"),
+        ((kind == "registry") & is_exact_npm(F.col("raw"))).alias("pinned"), kind.alias("source_type"), F.col("pos").cast("long").alias("place"), "line",
     )
 
 
 def npm_lifecycle_scripts(sources: DataFrame) -> DataFrame:
     """Findings for scripts that an installation runs."""
-    part = _objects(sources, "package.json").withColumn("o", F.try_variant_get("v", "$.scripts", "variant")).where("o is not null")
-    rows = _entries(part, ("target_id", "path", "content")).where(F.col("key").isin(*LIFECYCLE) & (F.schema_of_variant("value") == "STRING"))
-    line = key_line(F.col("content"), F.col("key"))
-    return rows.withColumn("line", line).select(
+    wanted = F.filter(_entries("v", "$.scripts", "STRING"), lambda e: e["key"].isin(*LIFECYCLE))
+    files = _objects(sources, "package.json").withColumn("es", F.transform(wanted, lambda e: F.struct(e["key"].alias("key"), e["value"].cast("string").alias("command")))).where(F.size("es") > 0)
+    files = files.withColumn("at", key_lines(F.col("content"), F.transform("es", lambda e: e["key"])))
+    files = files.withColumn("raws", F.transform("at", lambda n: F.try_element_at(text.split_lines(F.col("content")), n)))
+    zipped = files.select("target_id", "path", F.posexplode(F.arrays_zip("es", "at", "raws")).alias("pos", "z")).select("target_id", "path", "pos", "z.es.*", F.col("z.at").alias("line"), F.col("z.raws").alias("raw"))
+    return zipped.select(
         "target_id", "path", F.lit("javascript").alias("language"), "line", F.lit("SI-NPM-001").alias("rule_id"), F.concat(F.lit("Script at "), F.col("key")).alias("name"), F.lit("high").alias("severity"),
-        F.lit("install_script").alias("category"), F.array(F.lit("shell_execution")).alias("capabilities"), F.lit("observed").alias("confidence"), F.col("pos").cast("long").alias("emit_seq"),
-        text.snippet(F.try_element_at(text.split_lines(F.col("content")), F.col("line"))).alias("snippet"),
-        F.create_map(F.lit("lifecycle"), F.col("key"), F.lit("command"), F.substring(text.redact_text(F.col("value").cast("string")), 1, 500)).alias("metadata"),
+        F.lit("install_script").alias("category"), F.array(F.lit("shell_execution")).alias("capabilities"), F.lit("observed").alias("confidence"), F.col("pos").cast("long").alias("emit_seq"), text.snippet(F.col("raw")).alias("snippet"),
+        F.create_map(F.lit("lifecycle"), F.col("key"), F.lit("command"), F.substring(text.redact_text(F.col("command")), 1, 500)).alias("metadata"),
     )
 
 
 def npm_lock_deps(sources: DataFrame) -> DataFrame:
     """Resolved packages of package-lock.json files."""
-    part = _objects(sources, "package-lock.json").withColumn("o", F.try_variant_get("v", "$.packages", "variant")).where("o is not null")
-    rows = _entries(part, ("target_id", "path", "content")).where(F.contains("key", F.lit("node_modules/")) & F.schema_of_variant("value").startswith("OBJECT"))
-    rows = rows.withColumn("ver", F.try_variant_get("value", "$.version", "variant")).where(F.schema_of_variant("ver") == "STRING")
-    resolved = F.try_variant_get("value", "$.resolved", "variant")
-    rows = rows.select("target_id", "path", "content", "pos", "key", F.col("ver").cast("string").alias("version"), F.when(F.schema_of_variant(resolved) == "STRING", resolved.cast("string")).otherwise("").alias("resolved"))
+    entries = F.filter(_entries("v", "$.packages", "OBJECT"), lambda e: e["key"].contains("node_modules/"))
+
+    def resolved(e: Column) -> Column:
+        version, source = (F.try_variant_get(e["value"], f"$.{k}", "variant") for k in ("version", "resolved"))
+        said = lambda x: F.when(F.schema_of_variant(x) == "STRING", x.cast("string"))
+        return F.struct(e["key"].alias("key"), said(version).alias("version"), F.coalesce(said(source), F.lit("")).alias("resolved"))
+
+    files = _objects(sources, "package-lock.json").withColumn("es", F.filter(F.transform(entries, resolved), lambda e: e["version"].isNotNull())).where(F.size("es") > 0)
+    rows = _one_row_each(files, F.col("es"), lines_containing(F.col("content"), F.transform("es", lambda e: e["key"])))
     git = F.lower("version").startswith("git+") | F.lower("resolved").startswith("git+")
     return rows.select(
         "target_id", F.lit("npm").alias("ecosystem"), F.substring_index("key", "node_modules/", -1).alias("name"), text.redact_text(F.col("version")).alias("specifier"), F.lit("lockfile").alias("scope"),
         F.col("path").alias("source_file"), F.when(git, F.concat("version", "resolved").rlike(COMMIT)).otherwise(is_exact_npm(F.col("version"))).alias("pinned"), F.when(git, "git").otherwise("registry").alias("source_type"),
-        F.col("pos").cast("long").alias("place"), line_containing(F.col("content"), F.col("key")).alias("line"),
+        F.col("pos").cast("long").alias("place"), "line",
     )
 
 
@@ -152,22 +187,21 @@ def _read_toml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 raw = tomllib.loads(content)
             except (ValueError, RecursionError):
                 continue
-            project = raw.get("project") if isinstance(raw.get("project"), dict) else {}
-            lists = [("project", project.get("dependencies"))]
-            optional = project.get("optional-dependencies")
-            lists += [(f"project.optional:{g}", v) for g, v in (optional.items() if isinstance(optional, dict) else ())]
-            build = raw.get("build-system")
-            lists.append(("build-system", build.get("requires") if isinstance(build, dict) else None))
-            found = [(s, d) for s, items in lists if isinstance(items, list) for d in items if isinstance(d, str)]
-            rows += [(target, path, content, s, i, d) for i, (s, d) in enumerate(found[:MOST])]
-        yield pd.DataFrame(rows, columns=["target_id", "path", "content", "scope", "place", "declaration"])
+            table = lambda *keys: next((raw[k] for k in keys if isinstance(raw.get(k), dict)), {})  # noqa: B023, E731
+            groups = table("project").get("optional-dependencies")
+            lists = {"project": table("project").get("dependencies")} | {f"project.optional:{g}": v for g, v in (groups.items() if isinstance(groups, dict) else ())} | {"build-system": table("build-system").get("requires")}
+            found = [(scope, d) for scope, items in lists.items() if isinstance(items, list) for d in items if isinstance(d, str)][:MOST]
+            rows.append((target, path, content, [s for s, _ in found], [d for _, d in found]))
+        yield pd.DataFrame(rows, columns=["target_id", "path", "content", "scopes", "declared"])
 
 
 def pyproject_deps(sources: DataFrame) -> DataFrame:
     """Dependencies of pyproject.toml files; a file that is no TOML has none."""
-    declared = _manifests(sources, "pyproject.toml").select("target_id", "path", "content").mapInPandas(_read_toml, "target_id string, path string, content string, scope string, place long, declaration string")
-    name = parse_requirement(F.col("declaration"))["name"]
-    return _python_deps(declared.withColumn("line", line_containing(F.col("content"), F.coalesce(name, F.lit("")))))
+    files = _manifests(sources, "pyproject.toml").select("target_id", "path", "content").mapInPandas(_read_toml, "target_id string, path string, content string, scopes array<string>, declared array<string>").where(F.size("declared") > 0)
+    names = F.transform("declared", lambda d: F.coalesce(parse_requirement(d)["name"], F.lit("")))
+    entries = F.zip_with("scopes", "declared", lambda s, d: F.struct(s.alias("scope"), d.alias("declaration")))
+    rows = _one_row_each(files, entries, lines_containing(F.col("content"), names))
+    return _python_deps(rows.withColumn("place", F.col("pos").cast("long")))
 
 
 def manifest_caps(dependencies: DataFrame, most: int = MOST) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from ..functions import paths, text
 from . import findings as fd
 from .rulebook import CAPABILITIES, SEVERITIES
+from .safe_yaml import read_yaml
 
 SCHEMA_VERSION = "1.1"
 MAX_PACK = 1_000_000
@@ -48,91 +49,129 @@ def review_payload(ranked: DataFrame, sources: DataFrame, findings: int = 20, fi
 
 
 def load_rule_pack(spark: SparkSession, pack: str) -> DataFrame:
-    """Rules table of a YAML text: one mapping or a list of mappings with exactly the known fields; configuration-sized."""
+    """Rules table of a YAML text: one mapping or a list of mappings with exactly the known fields; configuration-sized.
+
+    Texts beyond MAX_PACK bytes or the limits of the YAML reader (aliases, tags, size, depth) are a ValueError.
+    """
     if len(pack.encode()) > MAX_PACK:
         raise ValueError("rule pack is too large")
-    import yaml
-
-    document = yaml.safe_load(pack)
+    document = read_yaml(pack)
     items = document if isinstance(document, list) else [document]
     if not items or not all(isinstance(i, dict) for i in items):
         raise ValueError("a rule pack is a mapping or a non-empty list of mappings")
     for i in items:
         if set(i) - {*FIELDS, "capabilities"} or set(FIELDS) - set(i):
             raise ValueError(f"fields of a rule must be {', '.join(FIELDS)} and capabilities")
+    for i in items:
+        listed = i.get("capabilities") or []
+        if not all(isinstance(i[f], str) for f in FIELDS) or not isinstance(listed, list) or not all(isinstance(c, str) for c in listed):
+            raise ValueError("fields of a rule are texts, capabilities a list of texts")
     if len({i["id"] for i in items}) < len(items):
         raise ValueError("duplicate rule id")
-    return spark.createDataFrame([(*(str(i[f]) for f in FIELDS), [str(c) for c in i.get("capabilities") or []]) for i in items], RULES)
+    return spark.createDataFrame([(*(i[f] for f in FIELDS), i.get("capabilities") or []) for i in items], RULES)
+
+
+_OTHERS = 1 << 128  # stands for all characters beyond ASCII
+_ANY = (1 << 129) - 1
+
+
+def _mask(test: Callable[[str], bool]) -> int:
+    return sum(1 << i for i in range(128) if test(chr(i)))
+
 
+#: Sets of first characters as bits: one for each ASCII character, one for all others.
+_CLASSES = {
+    f"CATEGORY_{name}": mask
+    for kind, letter in (("DIGIT", "d"), ("SPACE", "s"), ("WORD", "w"))
+    for own in [_mask(re.compile(f"(?a:\\{letter})").match if letter != "s" else " \t\n\r\v\f".__contains__)]
+    for name, mask in ((kind, own | _OTHERS), (f"NOT_{kind}", _ANY & ~own))
+}
+_REPEATS = ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT")
 
-def _first(part) -> set | None:
-    """Characters (below 128) with which a parsed part may begin; None if that is unknown or anything."""
-    out: set = set()
-    for op, arg in part:
+
+def _literal(code: int) -> int:
+    """A character in either case."""
+    return _OTHERS if code > 127 else _mask(lambda c: c.lower() == chr(code).lower())
+
+
+def _members(items: list) -> int:
+    """Characters of a class."""
+    out = 0
+    for op, arg in items:
+        match str(op):
+            case "LITERAL":
+                out |= _literal(arg)
+            case "RANGE":
+                low, high = arg
+                for code in range(low, min(high, 127) + 1):
+                    out |= _literal(code)
+                out |= _OTHERS if high > 127 else 0
+            case "CATEGORY":
+                out |= _CLASSES.get(str(arg), _ANY)
+    return (_ANY & ~(out & ~_OTHERS)) | _OTHERS if str(items[0][0]) == "NEGATE" else out
+
+
+def _begins(sequence) -> tuple[int, bool]:
+    """(characters with which a sequence may begin, whether it may be empty)."""
+    out = 0
+    for op, arg in sequence:
         name = str(op)
-        if name == "LITERAL":
-            return out | {arg}
-        if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-            inner = _first(arg[2])
-            if inner is None:
-                return None
-            out |= inner
-            if arg[0]:
-                continue
-            return out
-        if name == "SUBPATTERN":
-            inner = _first(arg[3])
-            return None if inner is None else out | inner
-        if name == "IN" and all(str(o) in ("LITERAL", "RANGE") for o, _ in arg):
-            for o, a in arg:
-                out |= {a} if str(o) == "LITERAL" else set(range(a[0], min(a[1], 0x110000) + 1)) if a[1] - a[0] < 5_000 else set()
-            return out
         if name in ("AT", "ASSERT", "ASSERT_NOT"):
             continue
-        return None
-    return out
+        inner = [_begins(s) for s, _ in _inside(name, arg)]
+        empty = any(e for _, e in inner) or (name in _REPEATS and arg[0] == 0)
+        if inner:
+            for chars, _ in inner:
+                out |= chars
+        elif name == "LITERAL":
+            out |= _literal(arg)
+        elif name == "NOT_LITERAL":
+            out |= _ANY & ~(_literal(arg) & ~_OTHERS)
+        elif name == "IN":
+            out |= _members(arg)
+        else:
+            out |= _ANY
+        if not empty:
+            return out, False
+    return out, True
+
+
+def _inside(name: str, arg) -> list[tuple]:
+    """(sequence, whether it may run twice or more) of the sequences that a node holds; None: as the node itself."""
+    if name in _REPEATS:
+        return [(arg[2], arg[1] > 1)]
+    if name == "BRANCH":
+        return [(s, None) for s in arg[1]]
+    if name in ("SUBPATTERN", "ASSERT", "ASSERT_NOT", "ATOMIC_GROUP"):
+        return [(arg if name == "ATOMIC_GROUP" else arg[-1], None)]
+    return []
 
 
 def pattern_fault(pattern: str) -> str | None:
-    """Why a pattern may not be used: it does not compile, or could backtrack without bound."""
+    """Why a pattern may not be used: it does not compile, or could backtrack without bound.
+
+    All sequences of the syntax tree are listed with whether they repeat; each kind of fault is then looked for in the list.
+    """
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             re.compile(pattern)
-            tree = re._parser.parse(pattern)
+            todo = [(re._parser.parse(pattern), False)]
     except (re.error, OverflowError, RecursionError):
         return "invalid_pattern"
-
-    def walk(part, repeated: bool) -> str | None:
-        before: set | None = set()
-        after_repeat = False
-        for op, arg in part:
-            name, fault, begins = str(op), None, None
-            if name.startswith("GROUPREF"):
-                return "backreference"
-            if name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-                if repeated:
-                    return "nested_repetition"
-                begins = _first(arg[2])
-                if after_repeat and (before is None or begins is None or before & begins):
-                    return "overlapping_repetition"
-                fault = walk(arg[2], arg[1] > 1)
-            elif name == "BRANCH":
-                if repeated:
-                    return "repeated_alternatives"
-                fault = next((f for b in arg[1] if (f := walk(b, repeated))), None)
-            elif name == "SUBPATTERN":
-                fault = walk(arg[3], repeated)
-            elif name in ("ASSERT", "ASSERT_NOT"):
-                fault = walk(arg[1], repeated)
-            elif name == "ATOMIC_GROUP":
-                fault = walk(arg, repeated)
-            if fault:
-                return fault
-            after_repeat, before = name.endswith("REPEAT"), begins
-        return None
-
-    return walk(tree, False)
+    nodes, neighbours = [], []
+    for sequence, repeated in todo:
+        own = [(str(op), arg) for op, arg in sequence]
+        nodes += [(name, repeated) for name, _ in own]
+        neighbours += [(x[1], y[1]) for x, y in zip(own, own[1:]) if x[0] in _REPEATS and y[0] in _REPEATS]
+        todo += [(s, repeated if again is None else again) for name, arg in own for s, again in _inside(name, arg)]
+    found = {
+        "backreference": any(name.startswith("GROUPREF") for name, _ in nodes),
+        "nested_repetition": any(repeated and name in _REPEATS for name, repeated in nodes),
+        "repeated_alternatives": any(repeated and name == "BRANCH" for name, repeated in nodes),
+        "overlapping_repetition": any(_begins(x[2])[0] & _begins(y[2])[0] for x, y in neighbours),
+    }
+    return next((fault for fault, holds in found.items() if holds), None)
 
 
 @F.pandas_udf(StringType())

@@ -13,6 +13,9 @@ from .rulebook import CAPABILITIES, SEVERITIES
 
 # Score of the highest severity, info to critical.
 BASE_SCORES = (0, 8, 28, 58, 88)
+ADVICE = {"critical": "do_not_run", "high": "do_not_run_unless_trusted", "medium": "review_first", "low": "review_indicators", "info": "usual_care"}
+# Categories of findings about the rights of workflows.
+WORKFLOW_RIGHTS = ["workflow_permission", "workflow_privilege"]
 CHAIN_REASONS = ("Environment is read and data may be posted to an unknown place.", "Fetched content may be run unseen.", "Raised rights may be joined with lasting changes.")
 
 
@@ -121,15 +124,20 @@ def files_scanned(targets: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def advice(assessed: DataFrame, status: Column) -> DataFrame:
-    """Adds codes: recommendation by level and coverage, and why (the first thing that holds)."""
-    recommendation = F.when((status == "partial") & F.col("level").isin("info", "low"), "review_skipped").when(F.col("level").isin("critical", "high"), "do_not_run").when(F.col("level") == "medium", "review_first").otherwise("usual_care")
+    """Adds codes: recommendation by level and coverage, and why (the first thing that holds).
+
+    A partial scan says review_skipped, and from medium on also what its level says, after a plus sign.
+    """
+    by_level = F.element_at(F.create_map(*[F.lit(x) for pair in ADVICE.items() for x in pair]), F.col("level"))
+    partial = F.when(F.col("level").isin("info", "low"), "review_skipped").otherwise(F.concat(F.lit("review_skipped+"), by_level))
+    recommendation = F.when(status == "partial", partial).otherwise(by_level)
     why = F.when(status == "partial", "partial").when(F.col("download_execute"), "download").when(F.col("shell_execution"), "shell").when(F.col("sensitive_data_access"), "sensitive").when(F.col("n_findings") > 0, "any").otherwise("none")
     return assessed.withColumn("recommendation", recommendation).withColumn("why", why)
 
 
 def bounded_checks(findings: DataFrame, targets: DataFrame) -> DataFrame:
     """Statements that a complete scan allows (targets: target_id, status); null when it is partial."""
-    seen = findings.groupBy("target_id").agg(_has("persistence").alias("persistence"), F.bool_or(F.col("category").isin("secret_exposure", "sensitive_file")).alias("secret"), F.bool_or(F.col("category") == "workflow_permissions").alias("workflow"))
+    seen = findings.groupBy("target_id").agg(_has("persistence").alias("persistence"), F.bool_or(F.col("category") == "secret_exposure").alias("secret"), F.bool_or(F.col("category").isin(WORKFLOW_RIGHTS)).alias("workflow"))
     joined = targets.select("target_id", "status").join(seen, "target_id", "left")
     complete = F.col("status") == "complete"
     return joined.select("target_id", *[F.when(complete, ~F.coalesce(c, F.lit(False))).alias(f"no_{c}") for c in ("persistence", "secret", "workflow")])
