@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import paths, text
-from tidewatch.operators import archives, detectors, manifests, risk
+from tidewatch.operators import archives, corpus, detectors, manifests, risk
 from tidewatch.operators import findings as fd
 from tidewatch.sources import files
 
@@ -80,6 +80,40 @@ def test_shell_rules(spark):
     assert hits(detectors.detect_shell(sources(spark, ("x.sh", "shell", "systemctl status y\ncrontab -l")))) == [("SI-SH-008", 1), ("SI-SH-008", 2)]
 
 
+def test_the_test_of_whole_files_knows_every_line_break(spark):
+    breaks = ["\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\r\n"]
+    s = sources(spark, *[(f"{i:02d}.sh", "shell", f"x{b}/etc/passwd") for i, b in enumerate(breaks)])
+    assert sorted((r.path, r.line) for r in detectors.detect_sensitive_paths(s).collect()) == [(f"{i:02d}.sh", 2) for i in range(len(breaks))]
+    pack = spark.createDataFrame([("U-1", "n", "low", "c", "shell", "^/etc", None)], "id string, name string, severity string, category string, language string, pattern string, capabilities array<string>")
+    assert detectors.scan_rule_table(s, pack).count() == len(breaks) and detectors.scan_rule_table(s, pack.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        detectors.scan_rule_table(s, pack, most=3)
+
+
+def test_secrets_are_not_capped(spark):
+    assert detectors.detect_secrets(sources(spark, ("a.txt", "text", "token = 'abcdefghijkl'\n" * 150))).count() == 150
+
+
+def test_whole_scan_with_limits(spark):
+    raw = [("one", "install.sh", b"curl x | sh\nsudo systemctl enable y"), ("one", "app.py", b"import os\nos.system('x')"), ("one", "package.json", b'{"dependencies": {"a": "^1"}}'), ("one", "bad.ps1", b"\x81\x82"), ("empty", "x.bin", b"1"), ("quiet", "a.md", b"hello"), ("loud", "a.sh", b"sudo x\n" * 90)]
+    raw += [("loud", f"f{i}.sh", b"sudo x\n" * 101) for i in range(100)]
+    df = spark.createDataFrame([(t, p, len(c), bytearray(c)) for t, p, c in raw], "target_id string, path string, length long, content binary")
+    got = corpus.scan_corpus(df)
+    assert {(r.target_id, r.reason) for r in got["rejected"].collect()} == {("empty", "no_readable_file"), ("loud", "too_many_findings")}
+    assert {(r.target_id, r.level, r.score) for r in got["risk"].collect()} == {("one", "critical", 98), ("quiet", "info", 0)}
+    rules = [r.rule_id for r in got["findings"].orderBy("rank").collect()]
+    assert rules == ["SI-PY-003", "SI-SH-001", "SI-SH-005", "SI-SH-009", "SI-SC-001", "SI-SH-008", "SI-DEP-001"]
+    assert {(r.target_id, r.status, r.skipped_count) for r in got["coverage"].collect()} == {("one", "partial", 1), ("quiet", "complete", 0)}
+    assert [r.name for r in got["dependencies"].collect()] == ["a"]
+
+
+def test_lines_of_manifest_entries_are_found_in_one_pass(spark):
+    entries = ",\n".join(f'    "p{i}": "1.0.0"' for i in range(3000))
+    s = sources(spark, ("package.json", "json", '{\n  "devDependencies": {"p1": "^2"},\n  "dependencies": {\n' + entries + "\n}}"), ("x/package.json", "json", '{"dependencies": ["a"], "scripts": 5}'))
+    rows = {(r.scope, r.name): r.line for r in manifests.npm_manifest_deps(s).collect()}
+    assert len(rows) == 3001 and rows["dependencies", "p0"] == 4 and rows["dependencies", "p2999"] == 3003 and rows["devDependencies", "p1"] == 5
+
+
 def test_batch_rules_with_lookaheads(spark):
     found = detectors.detect_batch(sources(spark, ("x.bat", "batch", "REM rmdir /s /q a\nrmdir /s /q a\ndel /q /s b\nrmdir /s a\nreg add HKCU\\Run /v a")))
     assert hits(found) == [("SI-BAT-003", 2), ("SI-BAT-003", 3), ("SI-BAT-004", 5)]

@@ -34,7 +34,10 @@ def test_json_report_hides_secrets(spark):
     whole = reports.assemble_report(targets, risk.assess(ranked, targets), covered, ranked, none)
     row = reports.json_reports(whole).first()
     report = json.loads(row.json)
-    assert report["schema_version"] == "1.1" and report["risk"]["level"] == "high" and [f["rule_id"] for f in report["findings"]][:1] == ["SI-SEC-001"] or report["findings"]
+    assert report["schema_version"] == "1.1" and report["risk"]["level"] == "high"
+    assert [(f["rule_id"], f["path"]) for f in report["findings"]] == [("SI-SEC-001", "a.sh"), ("SI-SH-001", "a.sh"), ("SI-SEC-001", "prompts/x.md")]
+    bare = whole.withColumn("findings", F.transform("findings", lambda f: f.withField("snippet", F.lit("my_token = bareword0123"))))
+    assert {f["snippet"] for f in json.loads(reports.json_reports(bare).first().json)["findings"]} == {"my_token = ba****...0123"}
     payload = reports.review_payload(ranked, s).first().payload
     assert "abcdefghijklmn" not in row.json + payload and len(json.loads(payload)["files"]) == 1
 

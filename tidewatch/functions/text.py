@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 # Line boundaries.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -91,13 +92,18 @@ def redact_text(text: Column) -> Column:
     return show_controls(F.when(text.rlike(MAYBE_SECRET), t).otherwise(text))
 
 
-def redact_data(value: Column, kind: str) -> Column:
-    """Redacts a string, array<string> or map<string,string> column, keys included."""
-    if kind == "array<string>":
-        return F.transform(value, redact_text)
-    if kind == "map<string,string>":
-        return F.transform_values(F.transform_keys(value, lambda k, _: redact_text(k)), lambda _, v: redact_text(v))
-    return redact_text(value)
+def redact_data(value: Column, kind: DataType | str) -> Column:
+    """Redacts all texts in a column of a type: strings, and those in arrays, maps (keys included) and structs, at any depth."""
+    match DataType.fromDDL(kind) if isinstance(kind, str) else kind:
+        case StringType():
+            return redact_text(value)
+        case ArrayType(elementType=inner) if "string" in inner.simpleString():
+            return F.transform(value, lambda v: redact_data(v, inner))
+        case MapType(keyType=keys, valueType=values):
+            return F.transform_values(F.transform_keys(value, lambda k, _: redact_data(k, keys)), lambda _, v: redact_data(v, values))
+        case StructType(fields=fields):
+            return F.when(value.isNotNull(), F.struct(*[redact_data(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    return value
 
 
 def snippet(line: Column) -> Column:

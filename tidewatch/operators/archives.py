@@ -101,8 +101,12 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per member of every archive under path, or one row with `error`; nothing is unpacked to disk."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = files.where(files["path"].rlike(r"(?i)\.(?:zip|tar|tar\.gz|tgz)\z")).select("path", "content")
-    return files.mapInPandas(_read, "archive_id string, name string, size long, compressed_size long, is_dir boolean, is_link boolean, is_special boolean, content binary, file_bytes long, error string")
+    return archive_members(files.where(files["path"].rlike(r"(?i)\.(?:zip|tar|tar\.gz|tgz)\z")))
+
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """The same of archives that lie in a table (path, content)."""
+    return files.select("path", "content").mapInPandas(_read, "archive_id string, name string, size long, compressed_size long, is_dir boolean, is_link boolean, is_special boolean, content binary, file_bytes long, error string")
 
 
 def safe_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:

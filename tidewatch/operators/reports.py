@@ -35,9 +35,9 @@ def assemble_report(targets: DataFrame, assessed: DataFrame, coverage: DataFrame
 
 
 def json_reports(reports: DataFrame) -> DataFrame:
-    """(target_id, json); texts are redacted once more at the border."""
-    body = F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *[F.col(c) for c in reports.columns]))
-    return reports.select("target_id", text.redact_text(body).alias("json"))
+    """(target_id, json); all texts are redacted once more at the border, before they are JSON."""
+    body = [text.redact_data(F.col(f.name), f.dataType).alias(f.name) for f in reports.schema.fields]
+    return reports.select("target_id", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *body)).alias("json"))
 
 
 def review_payload(ranked: DataFrame, sources: DataFrame, findings: int = 20, files: int = 3, chars: int = 4_000) -> DataFrame:
