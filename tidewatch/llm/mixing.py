@@ -1,10 +1,11 @@
 """Mixing sources to target weights: a low-discrepancy schedule of equal-token blocks.
 
-Slot i of the schedule is the golden-ratio point frac(i * phi); the cumulated targets of the sources map it to a source.
-A source's slots are ranked, and rank r takes block r of the source's stream: its documents in an order shuffled by hash,
-cut into blocks of `block` words, once per epoch. The last slots are cut at the source's target, and the few slots by
-which the points fall short of a target (less than a handful, by their low discrepancy) close the schedule, so a source
-takes its rounded target exactly. Everything is DataFrame operations.
+Slot i of the schedule is the van der Corput point of i (its bits reversed); the cumulated weights of the sources, in
+blocks, map it to a source. A source's slots are ranked, and rank r takes block r of the source's stream: its documents in
+an order shuffled by hash, cut into blocks of `block` words, once per epoch. The slots are a power of two, at least as many
+as the blocks of all targets, so every block's share of the unit interval holds a point: each source is hit as often as it
+has blocks to give, and its first ranks, the last cut at the target, take its rounded target. Where a document stands in the
+mixture, `slot`, follows from the schedule. Everything is DataFrame operations.
 
 Hot sources: ranks and running sums are two-level. The order is cut into CHUNKS pieces per source, pieces are summed with
 partial aggregation, and windows run within one piece, or over the at most CHUNKS pieces of a source.
@@ -16,6 +17,8 @@ without words, gives targets of 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,8 @@ from .common import free_name, n_words, written
 
 CHUNKS = 4096
 BINS = 4096
-#: frac(i * phi) in units of 2**-31, so that products stay in 64 bits.
-PERIOD, GOLDEN = 1 << 31, 1327217885
+#: Slots of a schedule at most, so that products stay in 64 bits; blocks grow beyond.
+MOST_SLOTS = 1 << 30
 
 
 def _key(source: Column) -> Column:
@@ -53,42 +56,45 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     )
 
 
-def schedule(sources: DataFrame, block: int) -> DataFrame:
-    """(key, rank, epoch, block, used): the slots in use, ranked per source, and the words each takes of its block.
+def van_der_corput(i: Column, bits: int) -> Column:
+    """The point of i in units of 2**-bits: its last `bits` bits (32 at most) in reverse."""
+    x = i
+    for mask, by in ((0x55555555, 1), (0x33333333, 2), (0x0F0F0F0F, 4), (0x00FF00FF, 8), (0x0000FFFF, 16)):
+        x = F.shiftleft(x.bitwiseAND(F.lit(mask)), by).bitwiseOR(F.shiftright(x, by).bitwiseAND(F.lit(mask)))
+    return F.shiftright(x, 32 - bits)
+
+
+def schedule(sources: DataFrame, block: int, point: Callable[[Column, int], Column] = van_der_corput) -> DataFrame:
+    """(key, rank, slot, epoch, block, used): the slots in use, ranked per source, and the words each takes of its block.
 
     The interval join of points and sources is an equi-join on bins of the unit interval.
     """
     spark = sources.sparkSession
-    total = float(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
-    slots = int(-(-total // block))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    high = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    spans = sources.where("target > 0").withColumn("high", high).withColumn("low", F.coalesce(F.lag("high").over(order), F.lit(0.0)))
-    last = F.lead("key").over(order).isNull()
-    scale = F.lit(BINS / total if total else 1.0)
-    spans = spans.select("key", (F.col("low") * scale).alias("low"), F.when(last, F.lit(float(BINS + 1))).otherwise(F.col("high") * scale).alias("high"))
-    spans = spans.withColumn("bin", F.explode(F.sequence(F.floor("low"), F.least(F.floor("high"), F.lit(BINS - 1).cast("long")))))
-    points = spark.range(slots).withColumn("point", F.pmod(F.pmod("id", F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD)) * F.lit(BINS / PERIOD))
-    placed = points.withColumn("bin", F.floor("point")).join(spans, "bin").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    piece = F.floor(F.col("id") * F.lit(CHUNKS / max(slots, 1)))
+    size, quota = F.col("source_size"), F.round("target").cast("long")
+    blocks = F.ceil(size / F.lit(block)).cast("long")
+    needed = F.floor(quota / size) * blocks + F.ceil((quota % size) / F.lit(block))
+    plan = sources.where("source_size > 0").select("key", "source", size.alias("size"), quota.alias("quota"), blocks.alias("blocks"), needed.cast("long").alias("needed")).where("needed > 0")
+    total = int(plan.agg(F.coalesce(F.sum("needed"), F.lit(0))).first()[0])
+    bits = max(1, (total - 1).bit_length())
+    order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    spans = plan.withColumn("high", F.sum("needed").over(order)).withColumn("low", F.col("high") - F.col("needed"))
+    in_bin = lambda x: F.floor(x * F.lit(BINS) / F.lit(max(total, 1))).cast("long")
+    spans = spans.select("key", "low", "high", F.explode(F.sequence(in_bin(F.col("low")), in_bin(F.col("high") - 1))).alias("bin"))
+    # Of 2**bits points each unit 0..total - 1 gets one at least.
+    slots = spark.range(1 << bits if total else 0).withColumn("unit", F.shiftright(point(F.col("id"), bits) * F.lit(total), bits))
+    placed = slots.withColumn("bin", in_bin(F.col("unit"))).join(spans, "bin").where((F.col("unit") >= F.col("low")) & (F.col("unit") < F.col("high")))
+    piece = F.floor(F.col("id") * F.lit(CHUNKS / (1 << bits)))
     placed = placed.select("key", "id", piece.alias("piece"))
     bases = placed.groupBy("key", "piece").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("key").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     bases = bases.withColumn("base", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     ranked = placed.join(bases.select("key", "piece", "base"), ["key", "piece"])
-    ranked = ranked.select("key", (F.col("base") + F.row_number().over(Window.partitionBy("key", "piece").orderBy("id")) - 1).alias("rank"))
-    size, quota = F.col("source_size"), F.round("target").cast("long")
-    blocks = F.ceil(size / F.lit(block)).cast("long")
-    needed = F.floor(quota / size) * blocks + F.ceil((quota % size) / F.lit(block))
-    plan = sources.where("source_size > 0").select("key", size.alias("size"), quota.alias("quota"), blocks.alias("blocks"), needed.cast("long").alias("needed"))
-    had = placed.groupBy("key").agg(F.count("*").alias("had"))
-    short = plan.join(had, "key", "left").withColumn("had", F.coalesce("had", F.lit(0))).where("had < needed")
-    closing = short.select("key", F.explode(F.sequence(F.col("had"), F.col("needed") - 1)).alias("rank"))
-    used = ranked.unionByName(closing).join(plan, "key").where("rank < needed")
+    ranked = ranked.select("key", F.col("id").alias("slot"), (F.col("base") + F.row_number().over(Window.partitionBy("key", "piece").orderBy("id")) - 1).alias("rank"))
+    used = ranked.join(plan, "key").where("rank < needed")
     used = used.withColumn("epoch", F.floor(F.col("rank") / F.col("blocks"))).withColumn("block", F.pmod("rank", "blocks"))
     begin = F.col("epoch") * F.col("size") + F.col("block") * block
     length = F.least(F.lit(block), F.col("size") - F.col("block") * block)
-    return used.select("key", "rank", "epoch", "block", F.greatest(F.lit(0), F.least(length, F.col("quota") - begin)).alias("used")).where("used > 0")
+    return used.select("key", "rank", "slot", "epoch", "block", F.greatest(F.lit(0), F.least(length, F.col("quota") - begin)).alias("used")).where("used > 0")
 
 
 def placed_documents(sized: DataFrame, sources: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -103,43 +109,52 @@ def placed_documents(sized: DataFrame, sources: DataFrame, carry: tuple[str, ...
     return shuffled.join(bases, ["key", "piece"]).select("doc_id", "key", "size", "source_size", "target", (F.col("base") + running - F.col("size")).alias("start"), *carry)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, first, second (words taken in each epoch).
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 1024, carry: tuple[str, ...] = (), point: Callable[[Column, int], Column] = van_der_corput
+) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, first, second (words taken in each epoch), first_slot,
+    second_slot (where the schedule takes them; null if it does not) and slot, the earlier of the two.
 
-    The columns `carry` follow their row, and order the rows that agree in id and size.
+    The columns `carry` follow their row, and order the rows that agree in id and size. Blocks are larger than `block` where
+    the schedule would have more than MOST_SLOTS slots.
     """
     sized = written(docs.select("doc_id", "source", _key(F.col("source")).alias("key"), n_words(F.col("text")).alias("size"), *carry), "sizes")
     sources = written(targets(sized, weights, share, most), "sources")
     placed = written(placed_documents(sized, sources, carry), "placed")
+    block = max(block, -(-int(sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]) // (MOST_SLOTS // 4)))
     size, start = F.col("size"), F.col("start")
     cut = F.sequence(F.floor(start / F.lit(block)), F.floor((start + size - 1) / F.lit(block)))
     pieces = placed.where("size > 0").withColumn("block", F.explode(cut))
-    slots = schedule(sources, block)
-    joined = pieces.join(slots, ["key", "block"], "left")
+    joined = pieces.join(schedule(sources, block, point), ["key", "block"], "left")
     begin = F.col("block") * block
     overlap = F.greatest(F.lit(0), F.least(start + size, begin + F.col("used")) - F.greatest(start, begin))
-    overlap = F.when(F.col("used").isNull(), F.lit(0)).otherwise(overlap)
+    joined = joined.withColumn("overlap", F.coalesce(F.when(F.col("used").isNotNull(), overlap), F.lit(0)))
+    per_epoch = {name: test for name, test in (("first", F.col("epoch") == 0), ("second", F.col("epoch") > 0))}
     taken = joined.groupBy("key", "start", "doc_id", "size", "source_size", "target", *carry).agg(
-        F.sum(F.when(F.col("epoch") == 0, overlap).otherwise(0)).alias("first"), F.sum(F.when(F.col("epoch") > 0, overlap).otherwise(0)).alias("second")
+        *[F.sum(F.when(test, F.col("overlap")).otherwise(0)).alias(name) for name, test in per_epoch.items()],
+        *[F.min(F.when(test & (F.col("overlap") > 0), F.col("slot"))).alias(f"{name}_slot") for name, test in per_epoch.items()],
     )
-    none = placed.where("size = 0").select("key", "start", "doc_id", "size", "source_size", "target", *carry, F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("second"))
-    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "first", "second", *carry)
+    none = placed.where("size = 0").select("key", "start", "doc_id", "size", "source_size", "target", *carry, *[F.lit(0).cast("long").alias(n) for n in per_epoch], *[F.lit(None).cast("long").alias(f"{n}_slot") for n in per_epoch])
+    every = taken.unionByName(none)
+    return every.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "first", "second", "first_slot", "second_slot", F.least("first_slot", "second_slot").alias("slot"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixture as rows of docs: a row stands once for each epoch that takes half of its words or more.
+    """The mixture as rows of docs in the order of the schedule: a row stands once for each epoch that takes half of its words or more.
 
     Whole documents keep their texts intact; a source's words then differ from its target by less than one document.
     Texts without words are in no mixture. Rows with a null id, and each of the rows that repeat an id, stand as often as
-    they are taken themselves: copies are counted by the id and a digest of source and text. Only where rows that agree
-    in these are taken unequally often are they ranked, by their other columns.
+    they are taken themselves: copies are counted by the id and a digest of source and text, and stand at the earliest slot
+    of their epoch. Only where rows that agree in these are taken unequally often are they ranked, by their other columns.
     """
     digest = F.unhex(F.sha2(F.concat(F.sha2(_key(F.col("source")), 256), "text"), 256))
     taken = mix(docs.select("doc_id", "source", "text", digest.alias("digest")), carry=("digest",), **options)
-    id_, mark, own, n, once, twice, times = (free_name(docs, c) for c in ("id", "mark", "own", "rows", "once", "twice", "times"))
+    id_, mark, own, n, once, twice, times, slots, slot = (free_name(docs, c) for c in ("id", "mark", "own", "rows", "once", "twice", "times", "slots", "slot"))
+    half = {name: 2 * F.col(name) >= F.col("size") for name in ("first", "second")}
     copies = taken.where("size > 0").groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(mark)).agg(
-        F.count("*").alias(n), F.count_if(2 * F.greatest("first", "second") >= F.col("size")).alias(once), F.count_if(2 * F.least("first", "second") >= F.col("size")).alias(twice)
-    )
+        F.count("*").alias(n), F.count_if(half["first"] | half["second"]).alias(once), F.count_if(half["first"] & half["second"]).alias(twice),
+        *[F.min(F.when(test, F.col(f"{name}_slot"))).alias(f"{name}_slot") for name, test in half.items()],
+    ).withColumn(slots, F.sort_array(F.array_compact(F.array("first_slot", "second_slot")))).drop("first_slot", "second_slot")
     copies = written(copies.where(F.col(once) > 0), "copies")
     rows = docs.withColumn(own, digest)
     unequal = (F.col(once) < F.col(n)) | F.col(twice).between(1, F.col(n) - 1)
@@ -150,4 +165,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(id_, mark).orderBy(*orderable))
         some = rows.join(ranked, rows["doc_id"].eqNullSafe(ranked[id_]) & (rows[own] == ranked[mark]))
         out = out.unionByName(some.withColumn(times, F.when(place <= F.col(twice), 2).when(place <= F.col(once), 1)).where(F.col(times).isNotNull()))
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(own, id_, mark, n, once, twice, times)
+    copy = out.withColumn(slot, F.explode(F.slice(slots, 1, F.col(times))))
+    return copy.orderBy(slot, own).drop(own, id_, mark, n, once, twice, times, slots, slot)
