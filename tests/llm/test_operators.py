@@ -73,15 +73,31 @@ def test_line_dedup(spark, extra):
     assert line_dedup.drop_repeated_lines(docs(spark, [])).count() == 0
 
 
-def test_line_runs_compact_and_anti_join(spark):
+def test_line_runs_compact_split_batches_and_reopen(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     text = lambda i: "\n".join(f"line number {k} that is long enough to be a key" for k in range(i, i + 3))
     for i in range(5):
         batch = line_dedup.hashed_lines(docs(spark, [(i, text(i))]), 40)
-        fresh = runs.unseen(batch).count()
-        assert fresh == (3 if i == 0 else 1)
+        fresh = runs.split(batch).groupBy("new").count().collect()
+        assert {r["new"]: r["count"] for r in fresh} == ({True: 3} if i == 0 else {True: 1, False: 2})
         runs.add(batch)
-    assert sum(map(len, runs.levels)) < 5 and runs.merged().agg(F.sum("n_docs")).first()[0] == 15
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    found = {(r.n_docs, r.holder) for r in runs.counts().collect()}
+    assert found == {(1, 0), (2, 1), (3, 2), (3, 3), (3, 4), (2, 4), (1, 4)} and runs.rows().where("new").count() == 7
+    for path in runs.levels[0] + runs.levels[2]:
+        spark.sql(f"drop table {runs._table(path)}")
+    again = line_dedup.LineRuns.open(spark, runs.root)
+    again.add(line_dedup.hashed_lines(docs(spark, [(9, text(0))]), 40))
+    assert [len(x) for x in again.levels] == [0, 1, 1] and max(r.n_docs for r in again.counts().collect()) == 4
+    plan = again.rows().groupBy("h1", "h2").agg(F.sum("n_docs"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_needs_the_anti_join(spark, monkeypatch):
+    rows = [(i, "this line is in all of the documents, word for word") for i in range(40)]
+    assert {tuple(r) for r in line_dedup.drop_repeated_lines(docs(spark, rows), min_docs=30).collect()} == brute_lines(rows, min_docs=30)
+    monkeypatch.setattr(line_dedup.LineRuns, "split", lambda self, own: own.withColumn("new", F.lit(True)))
+    assert {tuple(r) for r in line_dedup.drop_repeated_lines(docs(spark, rows), min_docs=30).collect()} != brute_lines(rows, min_docs=30)
 
 
 def brute_near(rows, width, percent):
@@ -155,10 +171,37 @@ def test_mixing(spark, extra):
     free = [per[s][2] / (5, 2, 1)[k % 3] for k, s in enumerate(order) if per[s][2] < 2 * per[s][1] - 1e-9]
     assert max(free) - min(free) < 1e-6
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [(1, None)])).first().taken == 0
+    plain = lambda i, bits: i
+    other = {r.doc_id: r.slot for r in mixing.mix(df, block=64, point=plain).collect()}
+    assert sum(r[-1] != other[r[0]] for r in first if r[0] is not None) > 100
     mixed = mixing.mixed_documents(df, block=64)
     assert mixed.columns == df.columns and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
 
 
+def test_schedule_spreads_each_source_evenly(spark):
+    points = [r[0] for r in spark.range(64).select(mixing.van_der_corput(F.col("id"), 6)).collect()]
+    assert points == [int(f"{i:06b}"[::-1], 2) for i in range(64)]
+    sources = spark.createDataFrame([("=a", "a", 40_000, 60_000.0), ("=b", "b", 9_000, 18_000.0), ("=c", "c", 7, 3.0), ("", None, 0, 0.0)], "key string, source string, source_size long, target double")
+    slots = mixing.schedule(sources, 100).orderBy("slot").collect()
+    words = {}
+    for i, r in enumerate(slots):
+        words[r.key] = words.get(r.key, 0) + r.used
+        if i > 100:  # at any time a source has had its share of the words so far, but for a few blocks
+            assert abs(words.get("=b", 0) - sum(words.values()) * 18 / 78) < 1_000
+    assert words == {"=a": 60_000, "=b": 18_000, "=c": 3}
+    assert [r.rank for r in slots if r.key == "=b"] == list(range(180)) and len({r.slot for r in slots}) == len(slots)
+
+
+def test_mixture_stands_in_the_order_of_the_schedule(spark):
+    df = docs(spark, [(i, f"w{i} " * 40, "en", f"s{i % 3}") for i in range(200)])
+    at = {r.doc_id: (r.first_slot, r.second_slot) for r in mixing.mix(df, block=64).collect()}
+    seen, slots = {}, []
+    for r in mixing.mixed_documents(df, block=64).select("doc_id").collect():
+        slots.append(sorted(x for x in at[r.doc_id] if x is not None)[seen.get(r.doc_id, 0)])
+        seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
+    assert sum(a <= b for a, b in zip(slots, slots[1:])) > 0.97 * len(slots)
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.Vocabulary.load()

@@ -1,9 +1,11 @@
 """Line dedup: levelled sorted runs of line hashes, compacted periodically; a batch merge-anti-joins the runs.
 
 A line's key is the line without white space at both ends and with A-Z in lower case; only keys of `min_chars` code
-points or more take part. A run is a table (h1, h2, n_docs, holder) sorted by the key's 128-bit hash, with the number of
-documents that hold the key and the largest doc_id among them. Each batch of documents adds one run at level 0;
-`fanout` runs of a level are merged into one of the next. Everything is DataFrame operations.
+points or more take part. A run is a table of key hashes (128 bits), bucketed and sorted by them, so that merges and the
+anti-join read it without a shuffle. Each batch of documents is split by the runs: keys that no run holds are new and stand
+in the batch's own run as such, the others add to the counts of a key that stands elsewhere. `fanout` runs of a level are
+merged into one of the next. The list of runs is a table as well, so that a later session can open it and add batches.
+Everything is DataFrame operations.
 
 Null or empty text is one empty line. A document is an id: rows that repeat an id count once for a key and share its
 fate. Null ids hold no line: they do not count, and their lines go like any others. Extra columns are ignored.
@@ -12,6 +14,7 @@ fate. Null ids hold no line: they do not count, and their lines go like any othe
 from __future__ import annotations
 
 import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,76 +39,112 @@ def hashed_lines(docs: DataFrame, min_chars: int, batches: int = 1) -> DataFrame
 
 
 class LineRuns:
-    """The runs of a corpus, as tables in the shared folder."""
+    """The runs of a corpus, as bucketed tables in the shared folder.
 
-    COLUMNS = "h1 long, h2 long, n_docs long, holder long"
+    A run has h1, h2, n_docs (documents that hold the key), holder (the largest doc_id) and `new`: whether the key stands
+    here first. A key is new in one run only, which is what the anti-join of a batch provides.
+    """
+
+    COLUMNS = "h1 long, h2 long, n_docs long, holder long, new boolean"
+    LIST = "version long, level int, place int, path string, buckets int"
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2):
+        """root: a folder that holds runs, or is new; None is a new folder in the shared one."""
         self.spark, self.fanout = spark, fanout
+        self.root = root or scratch(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, fanout: int = 2) -> LineRuns:
+        """The runs that an earlier session left under root."""
+        runs = cls(spark, root, fanout)
+        listed = spark.read.schema(cls.LIST).parquet(f"{root}/list")
+        last = listed.where(F.col("version") == listed.agg(F.max("version")).first()[0]).orderBy("level", "place").collect()
+        for row in last:
+            runs.version = row["version"]
+            while len(runs.levels) <= row["level"]:
+                runs.levels.append([])
+            runs.levels[row["level"]].append(row["path"])
+            if not spark.catalog.tableExists(cls._table(row["path"])):
+                spark.sql(f"create table {cls._table(row['path'])} ({cls.COLUMNS.replace('new ', '`new` ')}) using parquet clustered by (h1, h2) sorted by (h1, h2) into {row['buckets']} buckets location '{row['path']}'")
+        return runs
+
+    @staticmethod
+    def _table(path: str) -> str:
+        return path.rsplit("/", 1)[1].replace("-", "_")
+
+    def _buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, run: DataFrame, level: int) -> None:
-        path = scratch(self.spark, f"line-run-{level}")
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        path = f"{self.root}/run-{uuid.uuid4().hex}"
+        run.select("h1", "h2", "n_docs", "holder", "new").write.bucketBy(self._buckets(), "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(self._table(path))
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.COLUMNS).parquet(*paths)
+    def _note(self) -> None:
+        """Adds the present list of runs to the table of lists; the newest version counts."""
+        self.version += 1
+        rows = [(self.version, level, place, path, self._buckets()) for level, paths in enumerate(self.levels) for place, path in enumerate(paths)]
+        self.spark.createDataFrame(rows, self.LIST).coalesce(1).write.mode("append").parquet(f"{self.root}/list")
 
-    def merged(self) -> DataFrame:
-        """All runs as one; a single run is read as it lies, without a shuffle."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], self.COLUMNS)
-        return self._read(paths) if len(paths) == 1 else self._merge(paths)
+    def rows(self, paths: list[str] | None = None) -> DataFrame:
+        """The rows of some runs, or of all."""
+        out = self.spark.createDataFrame([], self.COLUMNS)
+        for k, path in enumerate([p for level in self.levels for p in level] if paths is None else paths):
+            out = self.spark.table(self._table(path)) if k == 0 else out.unionByName(self.spark.table(self._table(path)))
+        return out
 
-    def _merge(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
-
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """Of hashed lines those that no run holds yet: the merge anti-join of a new batch."""
-        return lines.join(self.merged().select("h1", "h2"), ["h1", "h2"], "left_anti")
+    def split(self, own: DataFrame) -> DataFrame:
+        """The merge anti-join of a batch's keys (h1, h2, ...): adds `new`, true for those that no run holds yet."""
+        known = self.rows().where("new").select("h1", "h2").hint("merge")
+        return own.join(known, ["h1", "h2"], "left_anti").withColumn("new", F.lit(True)).unionByName(own.join(known, ["h1", "h2"], "left_semi").withColumn("new", F.lit(False)))
 
     def add(self, lines: DataFrame) -> None:
         """Adds the run of a batch of hashed lines; the documents of two batches must differ."""
-        self._write(lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("holder")), 0)
+        own = lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("holder"))
+        self._write(self.split(own) if any(self.levels) else own.withColumn("new", F.lit(True)), 0)
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
-                paths, self.levels[level] = self.levels[level], []
-                self._write(self._merge(paths), level + 1)
+                self._compact(level)
+        self._note()
+
+    def _compact(self, level: int) -> None:
+        paths, self.levels[level] = self.levels[level], []
+        merged = self.rows(paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"), F.bool_or("new").alias("new"))
+        self._write(merged, level + 1)
 
-    def compact(self) -> None:
-        paths = [p for level in self.levels for p in level]
-        if len(paths) > 1:
-            self.levels = [[] for _ in self.levels]
-            self._write(self._merge(paths), len(self.levels) - 1)
+    def counts(self) -> DataFrame:
+        """(h1, h2, n_docs, holder) of all keys: new rows, and what later batches added to them."""
+        every = self.rows()
+        more = every.where("not new").groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("holder").alias("later"))
+        joined = every.where("new").join(more.hint("merge"), ["h1", "h2"], "left")
+        return joined.select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("holder", "later").alias("holder"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 6, fanout: int = 2, root: str | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): keys in `min_docs` documents or more stay in the largest doc_id only.
 
-    The hashed lines of all batches are written once and read batch by batch. The lines to drop are those that the
-    anti-join does not save: lines whose key is frequent and that another document holds. They are gathered per
-    document (never per key, so a line that all documents share costs one short row each), and only then do the texts
-    meet them, by id.
+    The hashed lines of all batches are written once and read batch by batch. The lines to drop are those whose key is
+    frequent and that another document holds. They are gathered per document (never per key, so a line that all documents
+    share costs one short row each), and only then do the texts meet them, by id. The runs stay under `root`.
     """
     spark = docs.sparkSession
     path = scratch(spark, "line-hashes")
     hashed_lines(docs, min_chars, batches).write.partitionBy("batch").parquet(path)
     hashed = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, root, fanout)
     for batch in range(batches):
         runs.add(hashed.where(F.col("batch") == batch))
-    runs.compact()
-    frequent = runs.merged().where((F.col("n_docs") >= min_docs) & F.col("holder").isNotNull())
+    frequent = runs.counts().where((F.col("n_docs") >= min_docs) & F.col("holder").isNotNull())
     lost = hashed.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    per_doc = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.concat_ws(" ", "h1", "h2")).alias("__lost"))
+    per_doc = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
 
     def survives(line):
         key = line_key(line)
-        mark = F.concat_ws(" ", F.xxhash64(key), F.xxhash64(F.lit("second half"), key))
+        mark = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second half"), key).alias("h2"))
         return (F.length(line) < min_chars) | (F.length(key) < min_chars) | ~F.array_contains(F.col("__lost"), mark)
 
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
