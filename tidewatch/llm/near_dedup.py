@@ -11,10 +11,13 @@ How pairs are found without ever making all pairs of a group:
 2. Nodes meet in band buckets. In each bucket all members are compared with one leader only: pairs grow as the rows do.
    Pairs that pass the signature estimate are confirmed on the full sets; links give parts.
 3. A bucket is settled once its members are all in one part. Members of other buckets are mostly texts that share a
-   passage. A shingle is private if only one part holds it; a node whose private shingles alone put every similarity to
-   other parts below the threshold is out, which loses no link.
-4. The nodes left are clustered by their shared buckets. A cluster is dealt into blocks of bounded size, and the members
-   of two blocks are compared on their full sets inside a task, which returns links only: no row per pair is made.
+   passage. Their shingles are put in one order: those that a single part holds first, then by the number of members that
+   hold them. Two sets that are similar enough share a shingle among the first of either (a prefix of about a fifth), so
+   nodes meet again by the shingles of their prefixes that several parts hold. A shared passage is far behind in that order.
+4. There too, members are first compared with one leader per shingle, the same for as many shingles as can be, in LEADERS
+   rounds; shingles whose members are all in one part are settled. What is left is clustered by shared shingles. A cluster
+   is dealt into blocks of bounded size, and the members of two blocks are compared on their full sets inside a task, which
+   returns links only: no row per pair is made.
 
 Null text has no words. Rows without id are linked with nothing: component_id is null and they are kept. A document is
 an id: rows that repeat an id share its links. Extra columns are ignored. Ties and empty tables need no special case.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -169,6 +172,22 @@ def _confirmed(percent: int):
     return run
 
 
+#: A node is hot with more than this share of all rows, so at most as many nodes are.
+HOT_SHARE = 500
+
+
+def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
+    """rows (u, v) with m, the least v of their u.
+
+    The minima are partial aggregates. They are joined back by a shuffle, but for hot nodes: of those there are at most
+    HOT_SHARE, whatever the size of the table, so their minima are broadcast and their rows stay where they are.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    hot = F.broadcast(least.where(F.col("d") * HOT_SHARE > n_rows).select("u", "m"))
+    cold = least.where(F.col("d") * HOT_SHARE <= n_rows).select("u", "m")
+    return rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (a, b); the component is its smallest node.
 
@@ -176,16 +195,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     are never gathered. Nodes in no edge are not returned.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
+    state, n = None, now.count()
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        starred = _with_least(both, 2 * n).withColumn("m", F.least("m", "u"))
+        large = written(starred.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        small = _with_least(large, large.count())
+        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(after, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        n = seen[0]
         if tuple(seen) == state:
             break
         state = tuple(seen)
@@ -234,27 +253,36 @@ def _pair(a: str, b: str):
 
 
 def _exploded_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: one row per shingle of doc_id, part, items."""
+    """mapInArrow function: one row per shingle of doc_id, part, n, items."""
     for batch in batches:
         for row in range(0, batch.num_rows, 64):
             piece = batch.slice(row, 64)
             sets = [np.frombuffer(x, np.int64) for x in piece.column("items").to_pylist()]
             sizes = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), sizes), pa.int64()) for c in ("doc_id", "part")] + [pa.array(np.concatenate(sets))], names=["doc_id", "part", "h"]
+                [pa.array(np.repeat(piece.column(c).to_numpy(zero_copy_only=False), sizes), pa.int64()) for c in ("doc_id", "part", "n")] + [pa.array(np.concatenate(sets))], names=["doc_id", "part", "n", "h"]
             )
 
 
-def _without_hopeless(members: DataFrame, percent: int) -> DataFrame:
-    """Of (doc_id, part, items, n) those that may be linked with another part, given how many of their shingles are private.
+def _prefixes(members: DataFrame, percent: int) -> DataFrame:
+    """(h, doc_id, part): of members (doc_id, part, n, items) the shingles of their prefixes that several parts hold.
 
-    A link needs 100 * intersection >= percent * union; no more than the other shingles can be shared.
+    A set of n may leave out n - ceil(percent * n / 100) shingles of its partner's and still be linked, so one of its first
+    n - ceil(percent * n / 100) + 1 is shared; shingles of one part only come first in the order and are never shared.
     """
-    rows = members.select("doc_id", "part", "items").mapInArrow(_exploded_sets, "doc_id long, part long, h long")
-    private = rows.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 = p1").select("h")
-    own = rows.join(private, "h").groupBy("doc_id").agg(F.count("*").alias("own"))
-    left = members.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    return left.where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")).drop("own")
+    rows = members.select("doc_id", "part", "n", "items").mapInArrow(_exploded_sets, "doc_id long, part long, n long, h long")
+    spread = rows.groupBy("h").agg(F.count("*").alias("f"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("h", "f")
+    shared = rows.join(spread, "h")
+    own = Window.partitionBy("doc_id")
+    least = F.ceil(F.col("n") * percent / 100)
+    ranked = shared.withColumn("c", F.count("*").over(own)).where(F.col("c") >= least).withColumn("r", F.row_number().over(own.orderBy("f", "h")))
+    return ranked.where(F.col("r") <= F.col("c") - least + 1).select("h", "doc_id", "part")
+
+
+def _unsettled(rows: DataFrame, key: str) -> DataFrame:
+    """Of rows (key, doc_id, part) those whose key several parts hold."""
+    open_ = rows.groupBy(key).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select(key)
+    return rows.join(open_, key)
 
 
 #: Members and shingles of a block, about; two blocks are in memory at a time.
@@ -304,21 +332,43 @@ def _linked_blocks(percent: int):
     return run
 
 
-def _links_between_parts(rows: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes of different parts that share a bucket. rows: bucket, doc_id, part."""
-    members = rows.select("doc_id", "part").distinct().join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id")
-    members = written(_without_hopeless(members, percent), "members")
-    alive = rows.join(members.select("doc_id"), "doc_id", "left_semi")
-    heads = alive.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket", "head")
-    near = written(alive.join(heads, "bucket").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "cluster-edges")
-    clusters = connected_components(near)
-    placed = members.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+#: Rounds of leaders among nodes that meet by shingles.
+LEADERS = 2
+
+
+def _marked(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
+    """rows (key, doc_id) with the part of each node."""
+    return rows.select(key, "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(key, "doc_id", F.coalesce("component", "doc_id").alias("part"))
+
+
+def _links_between_parts(rest: DataFrame, links: DataFrame, confirm: _Confirmer) -> DataFrame:
+    """Links (a, b) between nodes of different parts that are in an unsettled bucket. rest: bucket, doc_id, part."""
+    nodes, percent = confirm.nodes, confirm.percent
+    sets = confirm.sets_of(rest.select(F.col("doc_id").alias("__id")).distinct())
+    members = rest.select("doc_id", "part").distinct().join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id")
+    met = written(_unsettled(_prefixes(members, percent), "h"), "prefixes")
+    found = None
+    for turn in range(LEADERS):
+        if met.isEmpty():
+            return found if found is not None else links.limit(0)
+        order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("o"), "doc_id", "part")
+        heads = met.groupBy("h").agg(F.min(order).alias("head")).select("h", F.col("head.doc_id").alias("leader"), F.col("head.part").alias("lead"))
+        pairs = met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct()
+        more = confirm(pairs)
+        found = more if found is None else found.unionByName(more)
+        met = written(_unsettled(_marked(met, "h", connected_components(links.unionByName(found))), "h"), "prefixes")
+    if met.isEmpty():
+        return found
+    near = met.join(met.groupBy("h").agg(F.min("doc_id").alias("head")), "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = connected_components(written(near, "cluster-edges"))
+    placed = met.select("doc_id", "part").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    placed = placed.join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id")
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items_"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items_") / BLOCK_ITEMS)).cast("int")
     dealt = placed.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "part", "items")
-    return written(keyed.groupBy("cluster", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links")
+    return found.unionByName(written(keyed.groupBy("cluster", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links"))
 
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -336,12 +386,9 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     confirm = _Confirmer(docs, nodes, width, percent)
     links = confirm(rows.where("doc_id <> leader").select(*_pair("leader", "doc_id")).distinct())
     parts = connected_components(links)
-    marked = rows.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    unsettled = marked.groupBy("bucket").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 <> p1").select("bucket")
-    rest = written(marked.join(unsettled, "bucket"), "unsettled")
+    rest = written(_unsettled(_marked(rows, "bucket", parts), "bucket"), "unsettled")
     if not rest.isEmpty():
-        sets = confirm.sets_of(rest.select(F.col("doc_id").alias("__id")).distinct())
-        parts = connected_components(links.unionByName(_links_between_parts(rest, sets, nodes, percent)))
+        parts = connected_components(links.unionByName(_links_between_parts(rest, links, confirm)))
 
     named = light.select("doc_id", "n_shingles", "s1", "s2").join(per_set, ["s1", "s2", "n_shingles"], "left")
     joined = named.join(parts, "node", "left")
