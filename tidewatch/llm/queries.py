@@ -18,14 +18,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_records(spark, path, with_payload=False))
+    captures = warc.with_originals(warc.assemble(warc.read_records(spark, path, with_payload=False)))
     known = F.col("metadata.fields")
     return captures.select(
         known["page-id"].cast("long").alias("page_id"),
         F.coalesce("response.payload_bytes", known["payload-bytes"].cast("long")).alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.rec_type").alias("record_type"),
-        known["original-page-id"].cast("long").alias("refers_to"),
+        F.col("original.fields")["page-id"].cast("long").alias("refers_to"),
     )
 
 

@@ -11,10 +11,13 @@ fields, the offset and number of the unpacked bytes left over. Gzip data that do
 
 Assembly. Requests and metadata name the response in WARC-Concurrent-To; they are grouped by it (partial aggregation, the
 smallest record id of each kind stays, so no list grows) and joined to the responses: one nested row per capture.
-`unassembled` gives the records that no capture row holds.
+`with_originals` resolves the revisits of any archive by WARC-Refers-To. `unassembled` gives the records that no capture row
+holds.
 
 A null html is an empty payload, a null url an empty target. A row without page id is always a response and is nobody's
-original. Rows that repeat an id and a payload are captures of their own, with equal record ids, types and partners.
+original. Rows that repeat an id and a payload are captures of their own, with equal record ids, types and partners (the
+first request and metadata by record id, target and fields). Extra columns of pages are ignored. Empty tables give archives
+without records, and reading a folder without archives gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 MIN_REVISIT = 100
 CAPTURES_PER_FILE = 2_000
+#: Up to so many revisits (some 100 bytes each) are broadcast to the pages.
+FEW = 100_000
 UNPACK_BYTES = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "rec_type string, record_id string, concurrent_to string, refers_to string, target_uri string, fields map<string,string>, payload_digest string, payload_bytes long, payload binary"
@@ -61,10 +68,14 @@ def write_archives(pages: DataFrame, path: str, captures: int = CAPTURES_PER_FIL
     """Writes one capture per row of pages (page_id, url, html) into gzipped archives under path."""
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
-    # Only revisits are joined back, by id, and only their short rows: the html of the others is not needed to find them.
+    # Revisits are found on short rows; only they are joined back. A list of counted size is broadcast and no html moves; a
+    # longer one meets the pages by a shuffle. Pages without id are nobody's revisit and stay out of the join.
     light = pages.where("page_id is not null").select("page_id", F.sha2(payload, 256).alias("digest"))
-    again = light.join(originals(pages), "digest").where("page_id > original").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "original").distinct()
-    rows = rows.join(again.hint("shuffle_hash"), (rows["page_id"] == again["__id"]) & (rows["digest"] == again["__digest"]), "left")
+    again = written(light.join(originals(pages), "digest").where("page_id > original").select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "original").distinct(), "revisits")
+    side = F.broadcast(again) if again.count() <= FEW else again.hint("shuffle_hash")
+    known = rows.where("page_id is not null")
+    known = known.join(side, (known["page_id"] == again["__id"]) & (known["digest"] == again["__digest"]), "left")
+    rows = known.unionByName(rows.where("page_id is null"), allowMissingColumns=True)
     revisit = F.col("original").isNotNull()
     own = _urn("response", F.col("page_id"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.when(revisit, F.lit("")).otherwise(F.col("html")))
@@ -85,7 +96,6 @@ def write_archives(pages: DataFrame, path: str, captures: int = CAPTURES_PER_FIL
     request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _urn("request", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/http; msgtype=request")], asked)
     known = F.concat(
         F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")),
-        F.coalesce(F.concat(F.lit("original-page-id: "), F.col("original").cast("string"), F.lit("\r\n")), F.lit("")),
         F.lit("payload-bytes: "), F.octet_length("html").cast("string"), F.lit("\r\n"),
     )
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", F.col("page_id"), F.col("digest"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", "application/warc-fields")], known)
@@ -196,6 +206,19 @@ def assemble(records: DataFrame) -> DataFrame:
     return joined.select("record_id", "response", "request", known.alias("metadata"), F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
 
 
+def with_originals(captures: DataFrame) -> DataFrame:
+    """Adds `original` to captures of assemble(): of a revisit the capture that its WARC-Refers-To names, as (record_id,
+    target_uri, fields of its metadata); null for others, and for revisits of what is not there.
+
+    Only revisits are joined, so records that refer to nothing are no hot key; of records that share an id one is taken.
+    """
+    named = F.struct("record_id", F.col("response.target_uri").alias("target_uri"), F.col("metadata.fields").alias("fields"))
+    by_id = captures.groupBy(F.col("record_id").alias("__original")).agg(F.any_value(named).alias("original"))
+    again = captures.where(F.col("response.refers_to").isNotNull())
+    rest = captures.where(F.col("response.refers_to").isNull())
+    return again.join(by_id, again["response.refers_to"] == by_id["__original"], "left").drop("__original").unionByName(rest, allowMissingColumns=True)
+
+
 def unassembled(records: DataFrame, captures: DataFrame) -> DataFrame:
     """Records that are in no capture row: without a response, of another type, or beyond the first of their kind."""
     used = captures.select(F.explode(F.array("record_id", "request.record_id", "metadata.record_id")).alias("record_id")).where("record_id is not null").distinct()
