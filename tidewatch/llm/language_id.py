@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,24 @@ from .common import fold, written
 
 DIMENSIONS = 4096
 CHUNK = 1 << 20
-NOT_LETTERS = re.compile(r"[\W\d_]+")
-HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
+@cache
+def not_letters() -> re.Pattern:
+    """Runs of characters that are no letters: besides what \\W, \\d and _ hold, numbers such as a half or a superscript two."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[\W\d_{re.escape(numbers)}]+")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
 
 
 def counts(text: str) -> np.ndarray:
     """Counts of the hashed n-grams of a text."""
     total = np.zeros(DIMENSIONS)
-    words = NOT_LETTERS.sub(" ", text.lower())
+    words = not_letters().sub(" ", text.lower())
     for a in range(0, len(words), CHUNK):
         b = np.frombuffer((" " + words[a : a + CHUNK] + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
         two = b[:-1] * 257 + b[1:]
@@ -97,41 +108,37 @@ def k_means(x: np.ndarray, k: int, turns: int = 20) -> tuple[np.ndarray, np.ndar
     return centroids, (x @ centroids.T).argmax(axis=1)
 
 
-def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, most_languages: int = 512, folds: int = 3, held_out: int = 1, reject: float = 0.001) -> Model:
+def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, folds: int = 3, held_out: int = 1, reject: float = 0.001) -> Model:
     """Learns from rows outside the held-out fold: all of them for the frequencies, at most `per_language` texts of each
-    language, chosen by hash of the id, for the centroids. Languages beyond `most_languages` (the rarest) are an error."""
+    language, chosen by hash of the id, for the centroids. The model has `clusters` vectors for each language there is."""
     train = learnable(docs, folds, held_out)
     n, df = document_frequencies(train)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1.0
-    sizes = train.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()
-    if len(sizes) > most_languages:
-        raise ValueError(f"more than {most_languages} languages; raise most_languages")
-    names, centroids, furthest = [], [], []
-    if sizes:
-        # A hash limit per language keeps about per_language rows; what falls under it is sampled before any shuffle.
-        share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.5 * per_language / r["count"] + 30 / r["count"])))]), F.col("lang"))
-        mark = F.pmod(F.xxhash64("doc_id", F.lit("centroids")), F.lit(1 << 30))
-        sample = written(train.where(mark < share * (1 << 30)).select("doc_id", "lang", mark.alias("mark"), "text"), "language-sample")
-
-        def grouped(batches):
-            for batch in batches:
-                vectors = [vector(t, idf).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("mark"), pa.array(vectors, pa.binary())], names=["doc_id", "lang", "mark", "v"])
-
-        table = written(sample.mapInArrow(grouped, "doc_id long, lang string, mark long, v binary"), "language-vectors")
-        for r in sizes:  # one bounded language at a time on the driver: per_language vectors of 16 KB
-            rows = table.where(F.col("lang") == r["lang"]).orderBy("mark", "doc_id").limit(per_language).select("v").collect()
-            if not rows:
-                continue
-            x = np.stack([np.frombuffer(v[0], np.float32) for v in rows]).astype(np.float64)
-            found, own = k_means(x, clusters)
-            cosine = (x * found[own]).sum(axis=1)
-            for j in range(len(found)):
-                names.append(r["lang"])
-                centroids.append(found[j])
-                mine = cosine[own == j]
-                furthest.append(float(np.quantile(mine, reject)) * 0.9 if len(mine) else 0.0)
-    return Model(idf, names, np.array(centroids).reshape(len(names), DIMENSIONS), np.array(furthest))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("size"))
+    # A hash limit per language keeps about per_language rows; what falls under it is sampled before any shuffle of texts.
+    share = F.least(F.lit(1.0), (1.5 * per_language + 30) / F.col("size"))
+    limits = written(sizes.select(F.col("lang").alias("__lang"), (share * (1 << 30)).alias("__most")), "language-limits")
+    mark = F.pmod(F.xxhash64("doc_id", F.lit("centroids")), F.lit(1 << 30))
+    sample = written(train.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where(mark < F.col("__most")).select("doc_id", "lang", mark.alias("mark"), "text"), "language-sample")
+
+    def vectors(batches):
+        for batch in batches:
+            found = [vector(t, idf).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("mark"), pa.array(found, pa.binary())], names=["doc_id", "lang", "mark", "v"])
+
+    def clustered(table: pa.Table) -> pa.Table:
+        """One language: its centroids, and the least cosine of each that is not rejected."""
+        table = table.sort_by([("mark", "ascending"), ("doc_id", "ascending"), ("v", "ascending")]).slice(0, per_language)
+        x = np.stack([np.frombuffer(v, np.float32) for v in table.column("v").to_pylist()]).astype(np.float64)
+        found, own = k_means(x, clusters)
+        cosine = (x * found[own]).sum(axis=1)
+        least = [float(np.quantile(cosine[own == j], reject)) * 0.9 if (own == j).any() else 0.0 for j in range(len(found))]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(found), pa.string()), "j": pa.array(range(len(found)), pa.int32()), "centroid": pa.array([c.tobytes() for c in found], pa.binary()), "least": pa.array(least, pa.float64())})
+
+    per_text = written(sample.mapInArrow(vectors, "doc_id long, lang string, mark long, v binary"), "language-vectors")
+    rows = per_text.groupBy("lang").applyInArrow(clustered, "lang string, j int, centroid binary, least double").orderBy("lang", "j").collect()
+    centroids = np.array([np.frombuffer(r["centroid"]) for r in rows]).reshape(len(rows), DIMENSIONS)
+    return Model(idf, [r["lang"] for r in rows], centroids, np.array([r["least"] for r in rows]))
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -144,7 +151,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, rejected = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                if text is None or not len(m.languages) or not HAS_LETTER.search(text):
+                if text is None or not len(m.languages) or not has_letter(text):
                     langs.append("und"), scores.append(0.0), rejected.append(False)
                     continue
                 cosines = m.centroids @ vector(text, m.idf)
