@@ -3,8 +3,8 @@ temperature-calibrated probabilities.
 
 Every token is seen as two words, its text and its shape (letters by case, digits, other characters as they are); a word
 is hashed to one of BUCKETS places. A place has a sparse random index vector; its word vector adds the index vectors of
-its neighbours in the sample (random indexing). A document is the mean of its word vectors, the lengths of both means
-(texts that repeat themselves have long ones), and a few rates. The network is trained on a bounded sample; a temperature
+its neighbours in all documents (random indexing). A document is the mean of its word vectors, the lengths of both means
+(texts that repeat themselves have long ones), and a few rates. The network is trained on a bounded sample of labelled documents; a temperature
 is fitted on a part of the sample that the network has not seen.
 
 Null and empty texts pool to zeros and are scored as such. Labels of repeated ids count once; without labels of both kinds
@@ -28,6 +28,8 @@ from .common import labelled_sample, written
 BUCKETS, WIDTH = 1 << 14, 24
 #: Words of a text that are pooled at once.
 CHUNK = 1 << 16
+#: Words whose neighbours are counted at once, about.
+GATHERED = 1 << 18
 _SHAPE = bytearray(range(256))
 for _c in range(256):
     _SHAPE[_c] = ord("A") if 65 <= _c <= 90 else ord("0") if 48 <= _c <= 57 else ord("a") if 97 <= _c <= 122 or _c >= 128 else _c
@@ -97,22 +99,46 @@ class Model:
 def context_vectors(sample: DataFrame) -> np.ndarray:
     """Word vectors: index vectors plus what the neighbours within two places add, normalised.
 
-    The sums are of integers, so they agree in any order; Spark adds them up, and BUCKETS rows reach the driver.
+    Neighbours are counted over whole texts of all rows. The sums are of integers, so they agree in any order; Spark adds
+    them up, and at most BUCKETS rows reach the driver.
     """
     index = index_vectors()
+    # The places of each index vector that are not 0 and their values, as lists of equal length.
+    most = int((index != 0).sum(axis=1).max())
+    columns = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :most]
+    values = np.take_along_axis(index, columns, axis=1).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BUCKETS, WIDTH), np.int64)
-        steps = index.astype(np.int64)
+        total = np.zeros(BUCKETS * WIDTH)
+
+        def add(at: np.ndarray, neighbours: np.ndarray) -> None:
+            """Adds the neighbours' index vectors at the words' places; sums of small integers are exact as floats."""
+            for k in range(most):
+                total[:] += np.bincount(at * WIDTH + columns[neighbours, k], values[neighbours, k], BUCKETS * WIDTH)
+
+        def flush(words: list[np.ndarray]) -> None:
+            # Two empty places part the texts, so no word has a neighbour in another text.
+            w = np.concatenate([x for t in words for x in (t, [-1, -1])]).astype(np.int64)
+            for gap in (1, 2):
+                left, right = w[:-gap], w[gap:]
+                both = (left >= 0) & (right >= 0)
+                add(left[both], right[both])
+                add(right[both], left[both])
+
+        waiting, size = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                data = text.encode("utf-8", "replace")
+            for text in batch.column("text"):
+                data = (text.as_py() or "").encode("utf-8", "replace")
                 for words in (data.split(), data.translate(_SHAPE).split()):
                     for a in range(0, len(words), CHUNK):
-                        w = places(words[a : a + CHUNK])
-                        for gap in (1, 2):
-                            np.add.at(total, w[:-gap], steps[w[gap:]])
-                            np.add.at(total, w[gap:], steps[w[:-gap]])
+                        waiting.append(places(words[max(0, a - 2) : a + CHUNK]).astype(np.int64))
+                        size += len(waiting[-1])
+                        if size >= GATHERED:
+                            flush(waiting)
+                            waiting, size = [], 0
+        if waiting:
+            flush(waiting)
+        total = total.astype(np.int64).reshape(BUCKETS, WIDTH)
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, k]) for k in range(WIDTH))], names=["place", *(f"v{k}" for k in range(WIDTH))])
 
@@ -161,9 +187,9 @@ def train(model: Model, x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 6_000, folds: int = 3, held_out: int = 1) -> Model:
-    """Learns from at most `rows` labelled documents outside the held-out fold."""
+    """Word vectors from all documents; network and temperature from at most `rows` labelled ones outside the held-out fold."""
     sample = written(labelled_sample(docs, labels, "quality", folds, held_out, rows), "quality-sample")
-    model = Model(context_vectors(sample))
+    model = Model(context_vectors(docs))
     vectors = docs.sparkSession.sparkContext.broadcast(model.vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
