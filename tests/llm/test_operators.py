@@ -294,9 +294,9 @@ def test_pieces_frames(spark):
 
 def test_quality_counts_by_hand(spark):
     t = quality_rules.Text("a b c a b c d")
-    assert (len(t.words), t.repeated_words(), t.word_chars()) == (7, 6, 7)
-    assert quality_rules.Text("x x x x").repeated_words() == 4 and quality_rules.Text("x x x").repeated_words() == 0
-    assert quality_rules.Text("q\nq\n \n \nq").duplicate_lines() == 2
+    assert (len(t.words), t.repeated_words, t.word_chars) == (7, 6, 7)
+    assert quality_rules.Text("x x x x").repeated_words == 4 and quality_rules.Text("x x x").repeated_words == 0
+    assert quality_rules.Text("q\nq\n \n \nq").duplicate_lines == 2
     rows = {r.doc_id: r for r in quality_rules.measured(docs(spark, ODD, True)).collect()}
     assert rows[1].n_words == 0 and rows[1].base_failed and not rows[1].kept
     assert rows[4].n_words == 60 and rows[4].kept and not rows[7].kept
@@ -307,7 +307,7 @@ def test_cascade_verdict_does_not_depend_on_order(spark):
     df = docs(spark, [(i, t) for i, t in enumerate([BASE, BASE + " ### $$$ %%%" * 30, "WOW!!! " * 80, "x " * 80, None, ""])])
     one = sorted(tuple(r) for r in quality_rules.judged(df, quality_rules.RULES).collect())
     assert one == sorted(tuple(r) for r in quality_rules.judged(df, quality_rules.RULES[::-1]).collect())
-    order = quality_rules.estimated_order(df, fraction=1.0)
+    order = quality_rules.estimated_order(df)
     assert sorted(r.name for r in order) == sorted(r.name for r in quality_rules.RULES)
 
 
@@ -317,9 +317,9 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_archives(spark.createDataFrame(rows, page), str(tmp_path / "w"), captures=2)
     records = warc.read_records(spark, str(tmp_path / "w"))
     found = {}
-    for r in warc.assemble(records).collect():
+    for r in warc.with_originals(warc.assemble(records)).collect():
         f = r.metadata.fields
-        found[f.get("page-id")] = (r.response.rec_type, f.get("original-page-id"), r.response.payload_digest, int(f["payload-bytes"]), r.n_requests, r.n_metadata, r.response.payload)
+        found[f.get("page-id")] = (r.response.rec_type, r.original and r.original.fields["page-id"], r.response.payload_digest, int(f["payload-bytes"]), r.n_requests, r.n_metadata, r.response.payload)
     for i, _, html in rows:
         kind, original, digest, size, requests, metadata, payload = found[None if i is None else str(i)]
         data = (html or "").encode()

@@ -1,11 +1,13 @@
 """Toxicity: a weighted finite-state pattern grammar that scores matched clauses rather than isolated words.
 
-Four transducers read the tokens of a clause side by side and are composed into one machine:
+Five transducers form a chain; each reads the symbols that the one before writes, and they are composed into one machine:
 
-- target: remembers that a person or group was addressed ("you", "those people");
-- negation: opens a scope of three tokens in which what follows is discounted ("not stupid");
-- reported speech: discounts the rest of the clause ("said", "called", an opening quote);
-- attack: an insult or a threat; its arc carries the term's weight times what the other three states say.
+- negation: opens a scope of three tokens and writes what follows in it as a milder attack ("not stupid");
+- reported speech: discounts the attacks in the rest of the clause ("said", "called", an opening quote);
+- target: a person or group was addressed ("you", "those people"): attacks weigh more, and threats without target less;
+- insult and threat: the first of a kind counts in full, further ones of the clause more, and milder ones half.
+
+An attack's score is its term's weight times the weights of the arcs that it takes.
 
 A clause ends at punctuation or a line break. Insults are seed terms plus word prefixes learned from labelled documents
 by their log odds, which also covers languages without a seed list. A logistic layer turns a document's clause scores
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, written
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, MILD_INSULT, MILD_THREAT = range(9)
+SYMBOLS = 9
 
 SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns imbecile vermin dumbass bastard cretin".split()
 SEED_THREATS = "kill murder hurt destroy strangle stab shoot beat punish hunt burn".split()
@@ -42,40 +46,41 @@ BREAKS = tuple(".,;:!?…")
 
 
 class Transducer:
-    """A weighted machine over token classes: arcs[state][class] = (next state, factor); a missing arc stays with factor 1."""
+    """arcs[state, symbol] = (next state, symbol written, weight). A symbol without arc is written as it is, with weight 1,
+    and the state stays, or changes as `idle` says. END leads back to the start."""
 
-    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, float]], default: dict[int, int] | None = None):
-        self.states, self.arcs, self.default = states, arcs, default or {}
+    def __init__(self, states: int, arcs: dict[tuple[int, int], tuple[int, int, float]], idle: dict[int, int] | None = None):
+        self.states, self.arcs, self.idle = states, arcs, idle or {}
 
-    def step(self, state: int, label: int) -> tuple[int, float]:
-        return self.arcs.get((state, label), (self.default.get(state, state), 1.0))
+    def step(self, state: int, symbol: int) -> tuple[int, int, float]:
+        if symbol == END:
+            return 0, END, 1.0
+        return self.arcs.get((state, symbol), (self.idle.get(state, state), symbol, 1.0))
 
 
-def compose(machines: list[Transducer], labels: range) -> tuple[list[list[int]], list[list[float]]]:
-    """The product machine as tables next[state][class], factor[state][class]; state 0 is every machine's start."""
-    states = list(product(*[range(m.states) for m in machines]))
-    number = {s: i for i, s in enumerate(states)}
-    nexts, factors = [], []
-    for state in states:
-        row, weight = [], []
-        for label in labels:
-            steps = [m.step(s, label) for m, s in zip(machines, state)]
-            row.append(number[tuple(s for s, _ in steps)])
-            weight.append(math.prod(w for _, w in steps))
-        nexts.append(row)
-        factors.append(weight)
-    return nexts, factors
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that hands what the first writes to the second; state s * second.states + t stands for both."""
+    arcs = {}
+    for s, t in product(range(first.states), range(second.states)):
+        for symbol in range(SYMBOLS):
+            after, written_, w = first.step(s, symbol)
+            then, out, v = second.step(t, written_)
+            arcs[s * second.states + t, symbol] = (after * second.states + then, out, w * v)
+    return Transducer(first.states * second.states, arcs)
 
 
 def grammar() -> tuple[list[list[int]], list[list[float]]]:
-    attacks = (INSULT, THREAT)
-    ends = lambda n: {(s, END): (0, 1.0) for s in range(n)}
-    target = Transducer(2, {(0, TARGET): (1, 1.0), (0, THREAT): (0, 0.4)} | {(1, a): (1, 1.3) for a in attacks} | ends(2))
+    """The composed machine as tables next[state][symbol], weight[state][symbol]; state 0 is the start."""
+    milder = {INSULT: MILD_INSULT, THREAT: MILD_THREAT}
+    attacks = (INSULT, THREAT, MILD_INSULT, MILD_THREAT)
     # State n > 0: n more tokens in the scope of a negation.
-    negation = Transducer(4, {(s, NEGATION): (3, 1.0) for s in range(4)} | {(s, a): (s - 1, 0.5) for s in (1, 2, 3) for a in attacks} | ends(4), {1: 0, 2: 1, 3: 2})
-    report = Transducer(2, {(0, REPORT): (1, 1.0)} | {(1, a): (1, 0.6) for a in attacks} | ends(2))
-    attack = Transducer(2, {(0, a): (1, 1.0) for a in attacks} | {(1, a): (1, 1.2) for a in attacks} | ends(2))
-    return compose([target, negation, report, attack], range(7))
+    negation = Transducer(4, {(s, NEGATION): (3, OTHER, 1.0) for s in range(4)} | {(s, a): (s - 1, mild, 1.0) for s in (1, 2, 3) for a, mild in milder.items()}, {1: 0, 2: 1, 3: 2})
+    report = Transducer(2, {(0, REPORT): (1, OTHER, 1.0)} | {(1, a): (1, a, 0.6) for a in attacks})
+    target = Transducer(2, {(0, TARGET): (1, OTHER, 1.0)} | {(0, a): (0, a, 0.4) for a in (THREAT, MILD_THREAT)} | {(1, a): (1, a, 1.3) for a in attacks})
+    kind = lambda full, mild: Transducer(2, {(0, full): (1, full, 1.0), (1, full): (1, full, 1.2), (0, mild): (1, mild, 0.5), (1, mild): (1, mild, 0.6)})
+    machine = reduce(compose, (negation, report, target, kind(INSULT, MILD_INSULT), kind(THREAT, MILD_THREAT)))
+    steps = [[machine.step(state, symbol) for symbol in range(SYMBOLS)] for state in range(machine.states)]
+    return [[s for s, _, _ in row] for row in steps], [[w for _, _, w in row] for row in steps]
 
 
 @dataclass
