@@ -14,9 +14,8 @@ How pairs are found without ever making all pairs of a group:
    passage. Their shingles are put in one order: those that a single part holds first, then by the number of members that
    hold them. Two sets that are similar enough share a shingle among the first of either (a prefix of about a fifth), so
    nodes meet again by the shingles of their prefixes that several parts hold. A shared passage is far behind in that order.
-4. There too, members are first compared with one leader per shingle, the same for as many shingles as can be, in LEADERS
-   rounds; shingles whose members are all in one part are settled. What is left is clustered by shared shingles. A cluster
-   is dealt into blocks of bounded size, and the members of two blocks are compared on their full sets inside a task, which
+4. There too, members are first compared with one leader per shingle, the same for as many shingles as can be; shingles
+   whose members are all in one part are settled. What is left is clustered by shared shingles. A cluster is dealt into blocks of bounded size, and the members of two blocks are compared on their full sets inside a task, which
    returns links only: no row per pair is made.
 
 Null text has no words. Rows without id are linked with nothing: component_id is null and they are kept. A document is
@@ -172,45 +171,35 @@ def _confirmed(percent: int):
     return run
 
 
-#: A node is hot with more than this share of all rows, so at most as many nodes are.
-HOT_SHARE = 500
-
-
-def _with_least(rows: DataFrame, n_rows: int) -> DataFrame:
-    """rows (u, v) with m, the least v of their u.
-
-    The minima are partial aggregates. They are joined back by a shuffle, but for hot nodes: of those there are at most
-    HOT_SHARE, whatever the size of the table, so their minima are broadcast and their rows stay where they are.
-    """
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
-    hot = F.broadcast(least.where(F.col("d") * HOT_SHARE > n_rows).select("u", "m"))
-    cold = least.where(F.col("d") * HOT_SHARE <= n_rows).select("u", "m")
-    return rows.join(hot, "u").unionByName(rows.join(hot.select("u"), "u", "left_anti").join(cold, "u"))
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (a, b); the component is its smallest node.
 
     Alternating large-star and small-star: every round is two grouped minima and joins on the node. All edges of a node
-    are never gathered. Nodes in no edge are not returned.
+    are never gathered: the minima of a round are partial aggregates and a table of their own, so the join of a hot node's
+    edges with its minimum is one that Spark can split. Nodes in no edge are not returned.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state, n = None, now.count()
+    state = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        starred = _with_least(both, 2 * n).withColumn("m", F.least("m", "u"))
-        large = written(starred.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        small = _with_least(large, large.count())
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = written(after, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        n = seen[0]
         if tuple(seen) == state:
             break
         state = tuple(seen)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of known parts (node, component) and further links."""
+    return parts if links.isEmpty() else connected_components(parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 class _Confirmer:
     """Confirms candidate pairs; keeps the full sets of the nodes seen so far, so that no text is read twice for them."""
 
@@ -332,43 +321,35 @@ def _linked_blocks(percent: int):
     return run
 
 
-#: Rounds of leaders among nodes that meet by shingles.
-LEADERS = 2
-
-
 def _marked(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     """rows (key, doc_id) with the part of each node."""
     return rows.select(key, "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(key, "doc_id", F.coalesce("component", "doc_id").alias("part"))
 
 
-def _links_between_parts(rest: DataFrame, links: DataFrame, confirm: _Confirmer) -> DataFrame:
-    """Links (a, b) between nodes of different parts that are in an unsettled bucket. rest: bucket, doc_id, part."""
+def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer) -> DataFrame:
+    """The parts, joined by the links between nodes of different parts that are in an unsettled bucket. rest: bucket, doc_id, part."""
     nodes, percent = confirm.nodes, confirm.percent
     sets = confirm.sets_of(rest.select(F.col("doc_id").alias("__id")).distinct())
     members = rest.select("doc_id", "part").distinct().join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id")
     met = written(_unsettled(_prefixes(members, percent), "h"), "prefixes")
-    found = None
-    for turn in range(LEADERS):
-        if met.isEmpty():
-            return found if found is not None else links.limit(0)
-        order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("o"), "doc_id", "part")
-        heads = met.groupBy("h").agg(F.min(order).alias("head")).select("h", F.col("head.doc_id").alias("leader"), F.col("head.part").alias("lead"))
-        pairs = met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct()
-        more = confirm(pairs)
-        found = more if found is None else found.unionByName(more)
-        met = written(_unsettled(_marked(met, "h", connected_components(links.unionByName(found))), "h"), "prefixes")
     if met.isEmpty():
-        return found
+        return parts
+    # The same order of leaders for all shingles, so that nodes which share many meet one leader.
+    heads = met.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "part")).alias("head")).select("h", F.col("head.doc_id").alias("leader"), F.col("head.part").alias("lead"))
+    parts = _joined(parts, confirm(met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct()))
+    met = written(_unsettled(_marked(met, "h", parts), "h"), "prefixes")
+    if met.isEmpty():
+        return parts
     near = met.join(met.groupBy("h").agg(F.min("doc_id").alias("head")), "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = connected_components(written(near, "cluster-edges"))
+    clusters = connected_components(near)
     placed = met.select("doc_id", "part").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    placed = placed.join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id")
+    placed = written(placed.join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id"), "clusters")
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items_"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items_") / BLOCK_ITEMS)).cast("int")
     dealt = placed.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = spread.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "part", "items")
-    return found.unionByName(written(keyed.groupBy("cluster", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links"))
+    return _joined(parts, written(keyed.groupBy("cluster", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links"))
 
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -388,7 +369,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     parts = connected_components(links)
     rest = written(_unsettled(_marked(rows, "bucket", parts), "bucket"), "unsettled")
     if not rest.isEmpty():
-        parts = connected_components(links.unionByName(_links_between_parts(rest, links, confirm)))
+        parts = _parts_by_shingles(rest, parts, confirm)
 
     named = light.select("doc_id", "n_shingles", "s1", "s2").join(per_set, ["s1", "s2", "n_shingles"], "left")
     joined = named.join(parts, "node", "left")
