@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, scratch
+from .common import SPACE_CHARS, scratch, written
 
 
 def line_key(line: Column) -> Column:
@@ -138,7 +138,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     runs = LineRuns(spark, root, fanout)
     for batch in range(batches):
         runs.add(hashed.where(F.col("batch") == batch))
-    frequent = runs.counts().where((F.col("n_docs") >= min_docs) & F.col("holder").isNotNull())
+    # A table of its own: broadcast if it is small, else the join with the hashed lines is one that Spark can split by skew.
+    frequent = written(runs.counts().where((F.col("n_docs") >= min_docs) & F.col("holder").isNotNull()), "frequent-lines")
     lost = hashed.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     per_doc = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
 
