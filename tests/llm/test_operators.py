@@ -392,10 +392,11 @@ def test_quality_model_learns_and_handles_odd_rows(spark):
 def test_language_id(spark):
     words = {"aa": "kalo mira tuno vesa", "bb": "schrupf knacht pflitz zwerg", "cc": "oiseau queux jardin lieux"}
     rows = [(i, " ".join(words[g].split()[(i + k) % 4] for k in range(25)), g) for i in range(120) for g in [list(words)[i % 3]]]
-    df = docs(spark, rows + [(500, None, "aa"), (501, "123 !?", "aa"), (502, "kalo mira", None), (503, "", "bb")], True)
+    df = docs(spark, rows + [(500, None, "aa"), (501, "123 !?", "aa"), (502, "kalo mira", None), (503, "", "bb"), (504, "² ½ ① 7", "aa")], True)
     found = {r.doc_id: r for r in language_id.predicted(df, language_id.fit(df)).collect()}
     assert all(found[i].lang_pred == g and 0 < found[i].score <= 1 for i, _, g in rows)
-    assert [found[i].lang_pred for i in (500, 501, 502, 503)] == ["und", "und", "aa", "und"]
+    assert [found[i].lang_pred for i in (500, 501, 502, 503, 504)] == ["und", "und", "aa", "und", "und"]
+    assert language_id.letters_of("Ab²c ½ 1-d") == "ab c d" and language_id.letters_of("Éa_b") == "éa b" and language_id.letters_of("") == ""
     empty = language_id.fit(docs(spark, []))
     assert {r.lang_pred for r in language_id.predicted(docs(spark, ODD), empty).collect()} == {"und"}
 

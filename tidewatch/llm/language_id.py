@@ -28,11 +28,21 @@ DIMENSIONS = 4096
 CHUNK = 1 << 20
 
 
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
 @cache
-def not_letters() -> re.Pattern:
-    """Runs of characters that are no letters: besides what \\W, \\d and _ hold, numbers such as a half or a superscript two."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[\W\d_{re.escape(numbers)}]+")
+def _numbers() -> dict[int, str]:
+    """Characters that the expression above lets through and that are no letters, such as a half or a superscript two."""
+    return {ord(c): " " for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+
+
+def letters_of(text: str) -> str:
+    """The lower-cased text with everything but letters turned into single blanks."""
+    words = NOT_LETTERS.sub(" ", text.lower())
+    if words and not words.replace(" ", "a").isalpha():
+        words = re.sub(" +", " ", words.translate(_numbers()))
+    return words
 
 
 def has_letter(text: str) -> bool:
@@ -43,7 +53,7 @@ def has_letter(text: str) -> bool:
 def counts(text: str) -> np.ndarray:
     """Counts of the hashed n-grams of a text."""
     total = np.zeros(DIMENSIONS)
-    words = not_letters().sub(" ", text.lower())
+    words = letters_of(text)
     for a in range(0, len(words), CHUNK):
         b = np.frombuffer((" " + words[a : a + CHUNK] + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32)
         two = b[:-1] * 257 + b[1:]
