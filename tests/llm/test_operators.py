@@ -138,6 +138,24 @@ def test_near_classes_match_brute_force(spark, width, extra):
     assert found == brute_near(rows, width, 80)
 
 
+@pytest.mark.parametrize("block", [3, 10_000])
+def test_near_chains_are_compared_by_shingle_or_as_one(spark, monkeypatch, block):
+    """A long chain of windows, each near some of its neighbours only, whose shingles are held by a few of them."""
+    import random
+
+    rng, at, rows = random.Random(9), 0, []
+    for n in range(1, 90):
+        rows.append((n, " ".join(f"c{k}" for k in range(at, at + 72))))
+        at += rng.choice((5, 9, 12))
+    rows += [(n + 1000, t) for n, t in near_rows()]
+    seen, units = [], near_dedup._units
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "_units", lambda met: seen.append(units(met)) or seen[-1])
+    assert {tuple(r) for r in near_dedup.near_classes(docs(spark, rows), 4, 80).collect()} == brute_near(rows, 4, 80)
+    single = sum(u.where("unit <> cluster").count() for _, u in seen)
+    assert single > 0 if block == 3 else seen and single == 0
+
+
 def test_near_edges(spark):
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
     kept = near_dedup.drop_near_copies(docs(spark, ODD, True))

@@ -15,8 +15,9 @@ How pairs are found without ever making all pairs of a group:
    hold them. Two sets that are similar enough share a shingle among the first of either (a prefix of about a fifth), so
    nodes meet again by the shingles of their prefixes that several parts hold. A shared passage is far behind in that order.
 4. There too, members are first compared with one leader per shingle, the same for as many shingles as can be; shingles
-   whose members are all in one part are settled. What is left is clustered by shared shingles. A cluster is dealt into blocks of bounded size, and the members of two blocks are compared on their full sets inside a task, which
-   returns links only: no row per pair is made.
+   whose members are all in one part are settled. What is left is clustered by shared shingles. A cluster, or each of its
+   shingles where that sends fewer sets, is dealt into blocks of bounded size, and the members of two blocks are compared
+   on their full sets inside a task, which returns links only: no row per pair is made.
 
 Null text has no words. Rows without id are linked with nothing: component_id is null and they are kept. A document is
 an id: rows that repeat an id share its links. Extra columns are ignored. Ties and empty tables need no special case.
@@ -279,14 +280,14 @@ BLOCK, BLOCK_ITEMS = 192, 150_000
 
 
 def _linked_blocks(percent: int):
-    """applyInArrow function over two blocks of a cluster (side 0, side 1; one block alone has i = j): links between parts."""
+    """applyInArrow function over two blocks of a unit (side 0, side 1; one block alone has i = j): links between parts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, part, side = (table.column(c).to_numpy() for c in ("doc_id", "part", "side"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
         order = np.lexsort((ids, side))
         n = np.array([len(s) for s in sets], np.int64)
-        alone = key[1].as_py() == key[2].as_py()
+        alone = key[2].as_py() == key[3].as_py()
         left = [k for k in order if side[k] == 0]
         right = left if alone else [k for k in order if side[k] == 1]
         links: list[tuple[int, int]] = []
@@ -321,6 +322,28 @@ def _linked_blocks(percent: int):
     return run
 
 
+def _units(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How rows (h, doc_id, part, cluster, n) are compared: (cluster, unit, doc_id, part) and (cluster, unit, blocks).
+
+    A cluster is one unit, or each of its shingles is one (shingles with the same members count once), whichever sends
+    fewer sets. All pairs that share a shingle meet either way: close groups go as a whole, long chains of small groups
+    by shingle, so that the rows of a chain grow as its length does.
+    """
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items_") / BLOCK_ITEMS)).cast("int")
+    size = [F.count("*").alias("m"), F.sum("n").alias("items_")]
+    whole = met.select("cluster", F.col("cluster").alias("unit"), "doc_id", "part", "n").distinct()
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    single = met.groupBy("cluster", "h").agg(*size, *marks).groupBy("cluster", "m", "items_", "mark0", "mark1").agg(F.min("h").alias("unit"))
+    units = whole.groupBy("cluster", "unit").agg(*size).select("cluster", "unit", "m", blocks.alias("blocks"), F.lit(True).alias("whole"))
+    units = written(units.unionByName(single.select("cluster", "unit", "m", blocks.alias("blocks"), F.lit(False).alias("whole"))), "units")
+    rows = F.col("m") * F.col("blocks")
+    cost = units.groupBy("cluster").agg(F.sum(F.when(F.col("whole"), rows)).alias("as_one"), F.sum(F.when(~F.col("whole"), rows)).alias("by_shingle"))
+    chosen = written(units.join(cost, "cluster").where(F.col("whole") == (F.col("as_one") <= F.col("by_shingle"))).select("cluster", "unit", "blocks", "whole"), "units")
+    of_cluster = whole.select("cluster", "unit", "doc_id", "part").join(chosen.where("whole").select("cluster", "unit"), ["cluster", "unit"], "left_semi")
+    of_shingle = met.select("cluster", F.col("h").alias("unit"), "doc_id", "part").join(chosen.where("not whole").select("cluster", "unit"), ["cluster", "unit"], "left_semi")
+    return of_cluster.unionByName(of_shingle), chosen.select("cluster", "unit", "blocks")
+
+
 def _marked(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     """rows (key, doc_id) with the part of each node."""
     return rows.select(key, "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(key, "doc_id", F.coalesce("component", "doc_id").alias("part"))
@@ -341,15 +364,13 @@ def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer) -
     if met.isEmpty():
         return parts
     near = met.join(met.groupBy("h").agg(F.min("doc_id").alias("head")), "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = connected_components(near)
-    placed = met.select("doc_id", "part").distinct().join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    placed = written(placed.join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id").join(sets, "doc_id"), "clusters")
-    sizes = placed.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("items_"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("items_") / BLOCK_ITEMS)).cast("int")
-    dealt = placed.join(sizes.select("cluster", blocks.alias("blocks")), "cluster").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    clusters = connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    met = written(met.join(clusters, "doc_id").join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "clusters")
+    members, units = _units(met)
+    dealt = members.join(units, ["cluster", "unit"]).join(sets, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keyed = spread.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "part", "items")
-    return _joined(parts, written(keyed.groupBy("cluster", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links"))
+    keyed = spread.select("cluster", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "part", "items")
+    return _joined(parts, written(keyed.groupBy("cluster", "unit", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links"))
 
 
 def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
