@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to encoded training rows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next stage's
-docs. All stages but the last return the columns of documents.
+docs. All stages but the last return the columns of documents, extra ones included, whatever they are called. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -13,27 +14,30 @@ from tidewatch.llm.common import read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar rejects go."""
+    """Documents that the toxicity grammar rejects go. A null or empty text is scored as one without matches; rows without
+    id, or that repeat one, are judged each by its text."""
     return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the smallest id stays, once. Null and empty texts are equal; a row without id stays only where its
+    text has no other row with an id."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest id stays."""
+    """Of each group of near copies the smallest id stays. Rows without id, and texts without words, all stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the sources' target weights; a repeated document stands twice."""
+    """Documents by the sources' target weights; a repeated document stands twice. A null source is a source of its own; a
+    text without words is in no mixture and is left out; each row counts by itself, without id or with a repeated one."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of token ids per row of the mixture."""
+    """One row of token ids per row of the mixture; the ids of a null text are null, those of an empty one an empty list."""
     return pieces.encoded(docs)
 
 
