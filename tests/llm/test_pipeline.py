@@ -60,3 +60,27 @@ def test_mixture_of_odd_rows_against_the_definition(spark):
     assert Counter((r.doc_id, r.text, r.source) for r in got) == expected
     assert max(Counter(r.n_chars for r in got).values()) == 2 and any(k[0] is None for k in expected)
     assert sorted(map(str, got)) == sorted(map(str, corpus_pipeline.mix_sources(spark, docs.repartition(5), "").collect()))
+
+
+def test_stages_on_odd_rows_clashing_names_and_an_empty_table(spark, sf_dir):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, None, None, None), (2, "", "en", "b"), (3, " \n\t ", "en", None), (None, "text without an id", None, "b"), (None, base, "en", "b"), (4, base, "en", "a"), (4, base, "en", "a"), (5, base + " tail", "en", "a"), (6, "é" * 3000, "fr", None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(None).cast("long"))
+    odd = plain.withColumns({c: F.lit(1) for c in ("__keep", "__sha", "__rows", "__id", "digest", "node", "kept", "times", "size", "slot", "target", "key", "piece", "epoch", "mark", "score", "label")})
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, none = stage(spark, odd, sf_dir), stage(spark, odd.limit(0), sf_dir)
+        assert out.columns == odd.columns == none.columns and none.count() == 0, name
+        found = ids(out)
+        if name == "toxicity":
+            assert found == ids(odd)
+        elif name == "exact_dedup":
+            assert found == Counter([1, 3, None, 4, 5, 6])
+        elif name == "near_dedup":
+            assert found == Counter([1, 2, 3, None, None, 4, 4, 6])
+        else:
+            assert set(found) <= {None, 4, 5, 6} and max(found.values()) <= 4
+    out = {(r.doc_id, r.ids is None, r.n_tokens == 0, r.round_trip) for r in stages["encoding"](spark, odd, sf_dir).collect()}
+    assert {r for r in out if r[0] in (1, 2)} == {(1, True, True, True), (2, False, True, True)} and all(r[3] for r in out)
+    assert stages["encoding"](spark, odd.limit(0), sf_dir).count() == 0
