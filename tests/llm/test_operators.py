@@ -350,6 +350,16 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], page), str(tmp_path / "e"))
 
 
+def test_warc_repeated_rows_and_extra_columns(spark, tmp_path):
+    big = "text " * 40
+    rows = [(1, "http://a", big), (1, "http://a", big), (2, "http://b", big), (2, "http://b", big), (3, "http://c", "x"), (3, "http://d", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit("extra") for c in ("digest", "original", "size", "n", "__id", "__digest", "payload")})
+    warc.write_archives(pages, str(tmp_path / "w"))
+    found = [(r.metadata.fields["page-id"], r.response.rec_type, r.original and r.original.fields["page-id"]) for r in warc.with_originals(warc.assemble(warc.read_records(spark, str(tmp_path / "w")))).collect()]
+    assert sorted(found, key=str) == sorted([("1", "response", None)] * 2 + [("2", "revisit", "1")] * 2 + [("3", "response", None)] * 2, key=str)
+
+
 def test_warc_parse_stops_at_a_broken_tail():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     assert [b for _, b in warc.parse_records(good + good[:-8])] == [b"abc"]
