@@ -39,6 +39,20 @@ def test_exact_collisions_are_told_apart_by_bytes(spark):
     assert rows == {(1, 1, 2), (3, 1, 2), (2, 2, 2), (4, 2, 2), (5, 5, 1)}
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 26])
+def test_exact_classes_do_not_depend_on_the_map_of_repeated_hashes(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "BITS", bits)
+    rows = [(i, f"text {i % 300}") for i in range(500)] + [(None, "text 7"), (None, "alone"), (600, None)]
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(t or "", []).append(i)
+    keep = {t: min((i for i in ids if i is not None), default=None) for t, ids in texts.items()}
+    expected = sorted((str(i), str(keep[t or ""]), len(texts[t or ""])) for i, t in rows)
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in exact_dedup.classes(docs(spark, rows)).collect()) == expected
+    kept = sorted((str(r.doc_id), r.text or "") for r in exact_dedup.drop_copies(docs(spark, rows)).collect())
+    assert kept == sorted((str(keep[t]), t) for t in texts)
+
+
 def test_drop_copies_keeps_columns(spark):
     df = docs(spark, ODD, True)
     kept = exact_dedup.drop_copies(df)
