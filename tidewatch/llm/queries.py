@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, toxicity, warc
+from . import decontamination, exact_dedup, filter_audit, language_id, line_dedup, mixing, near_dedup, pieces, quality_model, quality_rules, spelling, toxicity, warc
 from .common import fold, read, scratch
 
 
@@ -70,6 +70,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(docs, language_id.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.found(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -81,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_decontamination": op13_decontamination,
 }
 
 SQL: dict[str, str] = {
@@ -129,4 +146,75 @@ from m group by doc_id""",
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
 g as (select t, min(doc_id) as keep_id, count(*)::bigint as group_size from n group by t)
 select n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id as kept, sha256(n.t) as text_sha256 from n join g on n.t = g.t""",
+    "op11_filter_audit": r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first from d),
+f as (
+  select part,
+    (len(words) < 200)::int + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::int + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::int
+      + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * coalesce(doc_id > first, false)::int as fails,
+    doc_id in (select doc_id from labels where quality = 1) as good, doc_id in (select doc_id from labels where toxic = 1) as toxic
+  from w
+), c as (select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic from f group by part, fails),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (
+  select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+  where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x
+), s as (
+  select filter_order, step, filter_order[step] as letter, 1 << (ascii(filter_order[step]) - 65) as own,
+    list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))) as earlier
+  from o, unnest(range(1, 6)) as r(step)
+), t as (
+  select part, filter_order, step::int as step, letter,
+    coalesce(sum(n) filter (where fails & (own | before) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where fails & own > 0 and fails & before = 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where fails & own > 0 and fails & before > 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where fails = own), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where fails & own > 0 and fails & before = 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where fails & own > 0 and fails & before = 0), 0)::bigint as toxic_lost
+  from c, (select * exclude (earlier), coalesce(earlier, 0)::int as before from s) group by part, filter_order, step, letter
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from t""",
+    "op12_spelling_variants": r"""
+with recursive table_ as (
+  select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), r as (
+  select doc_id, translate(u.w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) as u(w)
+), p as (
+  select doc_id, run, count(*) as n, coalesce(doc_id::varchar, '') || ':' || run as named from r where length(run) >= 7 group by doc_id, run
+), h as (
+  select run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(named, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] end))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) as h from p, table_
+), m as (
+  select case when h % 31 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from h
+), w as (select word, sum(n)::bigint as n from m where length(word) >= 7 group by word having sum(n) >= 2),
+x as (select word, n, i, left(word, i::int - 1) || substr(word, i::int + 1) as shorter from w, unnest(range(1, length(word) + 1)) as u(i)),
+e as (
+  select a.word as a, b.word as b from x a join w b on a.shorter = b.word union select b.word, a.word from x a join w b on a.shorter = b.word
+  union select a.word, b.word from x a join x b on a.i = b.i and a.shorter = b.shorter and a.word <> b.word
+), g as (
+  select e.a as word, count(*)::bigint as n_near, first(e.b order by w.n desc, e.b) as best, max(w.n) as best_n from e join w on e.b = w.word group by e.a
+), f as (
+  select w.word, w.n, coalesce(g.n_near, 0)::bigint as n_near, case when g.best_n >= 10 * w.n then g.best end as form, case when g.best_n >= 10 * w.n then g.best_n end as form_n
+  from w left join g on w.word = g.word
+), chain as (
+  select word, word as root, form as next from f
+  union all select c.word, f.word, f.form from chain c join f on c.next = f.word
+)
+select f.word, f.form, chain.root, f.n, f.n_near, f.form_n from f join chain on chain.word = f.word and chain.next is null""",
+    "op13_decontamination": r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), b as (
+  select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), i as (
+  select distinct item, k, array_to_string(w[j:j + k - 1], ' ') as s from (select item, w, least(10, len(w)) as k from b where len(w) > 0), unnest(range(1, len(w) - k + 2)) as u(j)
+), g as (
+  select doc_id, k, j, array_to_string(w[j:j + k - 1], ' ') as s from d, (select distinct k from i), unnest(range(1, len(w) - k + 2)) as u(j)
+), m as (select g.doc_id, g.k, g.j, i.item from g join i on g.k = i.k and g.s = i.s),
+hit as (select doc_id, count(distinct j + o) as n_hit from (select distinct doc_id, k, j from m), unnest(range(k)) as u(o) group by doc_id),
+items as (select doc_id, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as listed from m group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit on d.doc_id = hit.doc_id left join items on d.doc_id = items.doc_id""",
 }
