@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+from .patterns import java
+
 # Line boundaries.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 # White space at the ends of a line.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Words that make an assignment's key a secret.
 SECRET_WORDS = "password|passwd|pwd|token|secret|api_key|access_key"
+# Patterns are in Python's syntax and sense; java() prints them for the JVM.
 SECRET_KEY = rf"\b(?:[A-Za-z_][A-Za-z0-9_]*)?(?:{SECRET_WORDS})[A-Za-z0-9_]*\b"
-ASSIGNED = rf"""((?:"{SECRET_KEY}"|'{SECRET_KEY}'|{SECRET_KEY})\s*[:=]\s*)"""
-# Shapes of credentials.
-API_KEY = r"\bsk-[A-Za-z0-9_-]{16,}\b"
-GIT_TOKEN = r"\bgh[pousr]_[A-Za-z0-9]{20,}\b"
-CLOUD_KEY = r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"
-BEARER = r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}"
+ASSIGNED = rf"""(?:"{SECRET_KEY}"|'{SECRET_KEY}'|{SECRET_KEY})\s*[:=]\s*"""
+#: Quoted values, escapes included; nothing inside can be given back, so the repetition is possessive.
+DOUBLE, SINGLE = r'"[^"\\\r\n]*+(?:\\.[^"\\\r\n]*+)*+"', r"'[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+'"
+ASSIGNMENT = rf"(?i){ASSIGNED}(?:{DOUBLE}|{SINGLE}|[^\s#,;]+)"
+# Shapes of credentials. Where only a part is shown, it is a group.
+PRIVATE_KEY = r"(?s)-----BEGIN ((?:[A-Z0-9 ]+ )?PRIVATE KEY)-----.*?(?:-----END \1-----|$)"
+API_KEY = r"\b(sk-)[A-Za-z0-9_-]{12,}([A-Za-z0-9_-]{4})\b"
+GIT_TOKEN = r"\b(gh[pousr]_)[A-Za-z0-9]{16,}([A-Za-z0-9]{4})\b"
+CLOUD_KEY = r"\b(AKIA|ASIA)[A-Z0-9]{12}([A-Z0-9]{4})\b"
+_TOKEN = "[A-Za-z0-9._~+/=-]"
+BEARER = rf"(?i)\bBearer\s+(?={_TOKEN}{{12}})((?-i:sk-|AKIA|ASIA|gh..)|{_TOKEN}{{2}}){_TOKEN}*({_TOKEN}{{4}})"
 URL_LOGIN = r"(?i)(\b[a-z][a-z0-9+.-]*://)[^/@\s]+@"
-PRIVATE_KEY = r"(?s)-----BEGIN ((?:[A-Z0-9 ]+ )?PRIVATE KEY)-----.*?(?:-----END \1-----|\z)"
+#: All patterns of redaction.
+REDACTED = (PRIVATE_KEY, ASSIGNMENT, API_KEY, GIT_TOKEN, CLOUD_KEY, BEARER, URL_LOGIN)
 # Characters that are shown as escapes.
 CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{061C}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]"
 
@@ -45,19 +56,33 @@ def mask_secret(value: Column) -> Column:
     return F.when(value.startswith("sk-"), F.concat(F.lit("sk-****..."), last)).when(F.length(value) <= 8, F.lit("****")).otherwise(F.concat(lead, F.lit("****..."), last))
 
 
-def _mask_assigned(text: Column, open_: str, char: str, close: str) -> Column:
-    """Masks the assigned values of one quoting; every pass leaves masked values as they are."""
-    guard = "" if open_ else r"""(?!"(?:\\.|[^"\\\r\n])*"|'(?:\\.|[^'\\\r\n])*')"""
-    head = rf"(?i){ASSIGNED}{open_}{guard}"
-    tail = close or rf"(?!{char})"
-    sk = rf"{head}((?-i:sk-)){char}*?({char}{{4}}){tail}"
-    four = rf"{head}((?-i:(?:AKIA|ASIA)|gh{char}{char})){char}+({char}{{4}}){tail}"
-    two = rf"{head}(?!(?-i:sk-|AKIA|ASIA|gh){char}*{tail})({char}{{2}}){char}{{3,}}({char}{{4}}){tail}"
-    short = rf"{head}(?!(?-i:sk-)){char}{{0,8}}{tail}" if open_ else rf"{head}(?!(?-i:sk-)){char}{{1,8}}{tail}"
-    text = F.regexp_replace(text, short, f"$1{open_}****{close}")
-    for pattern in (sk, four, two):
-        text = F.regexp_replace(text, pattern, f"$1{open_}$2****...$3{close}")
-    return text
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _masked_assignment(token: Column) -> Column:
+    """A found assignment with its value masked; quotes stay."""
+    head = F.regexp_extract(token, java(rf"\A(?i:{ASSIGNED})"), 0)
+
+    def masked(x: Column) -> Column:
+        value = F.substring(token, F.length(x) + 1, F.length(token))
+        quoted = value.rlike(java(rf"\A(?:{DOUBLE}|{SINGLE})\Z"))
+        mark = F.when(quoted, F.substring(value, 1, 1)).otherwise("")
+        return F.concat(x, mark, mask_secret(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)), mark)
+
+    return bound(head, masked)
+
+
+def _mask_assignments(text: Column) -> Column:
+    """Every assignment is a token and masked by itself; what stands between stays. Two passes over the text."""
+
+    def joined(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(java(ASSIGNMENT)), F.lit(0))
+        whole = F.zip_with(F.split(t, java(ASSIGNMENT), -1), F.transform(tokens, _masked_assignment), lambda rest, token: F.concat(rest, F.coalesce(token, F.lit(""))))
+        return F.array_join(whole, "")
+
+    return bound(text, joined)
 
 
 def show_controls(text: Column) -> Column:
@@ -67,29 +92,21 @@ def show_controls(text: Column) -> Column:
         letters = F.transform(F.split(t, ""), lambda c: F.when(c.rlike(CONTROLS), F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c))
         return F.when(t.rlike(CONTROLS), F.array_join(letters, "")).otherwise(t)
 
-    # Bound once: what comes in may be a long chain of replacements.
-    return F.element_at(F.transform(F.array(text), shown), 1)
+    return bound(text, shown)
 
 
 def redact_text(text: Column) -> Column:
     """Masks credentials: private keys, secret assignments, known key shapes, bearer tokens and logins in URLs.
 
-    Quoted values that hold a backslash escape are masked whole. A text without any sign of a secret passes one cheap
-    test only. Null stays null; redacting twice changes nothing.
+    A text without any sign of a secret passes one cheap test only. Null stays null; redacting twice changes nothing.
     """
-    t = F.regexp_replace(text, PRIVATE_KEY, "-----BEGIN $1-----\n[REDACTED PRIVATE KEY]")
-    t = F.regexp_replace(t, rf'(?i){ASSIGNED}"(?=[^"\r\n]*\\)(?:\\.|[^"\\\r\n])*"', '$1"****"')
-    t = F.regexp_replace(t, rf"(?i){ASSIGNED}'(?=[^'\r\n]*\\)(?:\\.|[^'\\\r\n])*'", "$1'****'")
-    t = _mask_assigned(t, '"', r'[^"\\\r\n]', '"')
-    t = _mask_assigned(t, "'", r"[^'\\\r\n]", "'")
-    t = _mask_assigned(t, "", r"[^\s#,;]", "")
-    t = F.regexp_replace(t, r"\b(sk-)[A-Za-z0-9_-]{12,}([A-Za-z0-9_-]{4})\b", "$1****...$2")
-    t = F.regexp_replace(t, r"\b(gh[pousr]_)[A-Za-z0-9]{16,}([A-Za-z0-9]{4})\b", "$1****...$2")
-    t = F.regexp_replace(t, r"\b(AKIA|ASIA)[A-Z0-9]{12}([A-Z0-9]{4})\b", "$1****...$2")
-    t = F.regexp_replace(t, r"(?i)\bBearer\s+(?-i:(AKIA|ASIA|gh[A-Za-z0-9._~+/=-]{2}))[A-Za-z0-9._~+/=-]{4,}([A-Za-z0-9._~+/=-]{4})", "Bearer $1****...$2")
-    t = F.regexp_replace(t, r"(?i)\bBearer\s+(?!(?-i:AKIA|ASIA|gh))([A-Za-z0-9._~+/=-]{2})[A-Za-z0-9._~+/=-]{6,}([A-Za-z0-9._~+/=-]{4})", "Bearer $1****...$2")
-    t = F.regexp_replace(t, URL_LOGIN, "$1****@")
-    return show_controls(F.when(text.rlike(MAYBE_SECRET), t).otherwise(text))
+    t = F.regexp_replace(text, java(PRIVATE_KEY), "-----BEGIN $1-----\n[REDACTED PRIVATE KEY]")
+    t = _mask_assignments(t)
+    for pattern in (API_KEY, GIT_TOKEN, CLOUD_KEY):
+        t = F.regexp_replace(t, java(pattern), "$1****...$2")
+    t = F.regexp_replace(t, java(BEARER), "Bearer $1****...$2")
+    t = F.regexp_replace(t, java(URL_LOGIN), "$1****@")
+    return show_controls(F.when(text.rlike(java(MAYBE_SECRET)), t).otherwise(text))
 
 
 def redact_data(value: Column, kind: DataType | str) -> Column:

@@ -49,6 +49,20 @@ def lines_sql(source: str, columns: str) -> str:
     return f"select {columns}, u.pos as line, u.raw from ({source}) s, unnest(case when content = '' then [] else regexp_split_to_array({body}, '{NL}') end) with ordinality as u(raw, pos)"
 
 
+#: Blanks and letters beyond ASCII that the tables and the derived lines hold; the other engine's \\s and \\b know ASCII only.
+WIDE_BLANKS, WIDE_LETTERS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", r"\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{3FF}\x{400}-\x{4FF}"
+
+
+def blank_sql(x: str) -> str:
+    """Every white space is one that \\s knows."""
+    return f"regexp_replace({x}, '[{WIDE_BLANKS}]', ' ', 'g')"
+
+
+def plain_sql(x: str) -> str:
+    """Blanks as blank_sql, and a word with letters beyond ASCII is a digit, so that \\b is where Python has it."""
+    return f"regexp_replace({blank_sql(x)}, '[A-Za-z0-9_]*[{WIDE_LETTERS}][A-Za-z0-9_{WIDE_LETTERS}]*', '0', 'g')"
+
+
 def strip_sql(x: str) -> str:
     return f"trim({x}, {BLANKS})"
 
@@ -92,7 +106,7 @@ def documents_as_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SECRET_KEY = r"\b(?:[A-Za-z_][A-Za-z0-9_]*)?(?:password|passwd|pwd|token|secret|api_key|access_key)[A-Za-z0-9_]*\b"
-ASSIGNED = f"""(?:"{SECRET_KEY}"|''{SECRET_KEY}''|{SECRET_KEY})\\s*[:=]\\s*"""
+ASSIGNED = f"""(?:"{SECRET_KEY}"|''{SECRET_KEY}''|{SECRET_KEY})[\\s{WIDE_BLANKS}]*[:=][\\s{WIDE_BLANKS}]*"""
 
 
 # --- F, P: text and paths ---------------------------------------------------------------------------------------------
@@ -169,11 +183,14 @@ def _mask_sql(value: str) -> str:
 
 
 @register("f1_redacted_documents", f"""
-select doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)({ASSIGNED})"([^"\\\\\\r\\n]{{2}})[^"\\\\\\r\\n]{{3,}}([^"\\\\\\r\\n]{{4}})"', '\\1"\\2****...\\3"', 'g'), '(?i)({ASSIGNED})"[^"\\\\\\r\\n]{{0,8}}"', '\\1"****"', 'g')) as redacted_sha256
+select doc_id, sha256(regexp_replace(regexp_replace(text, '(?i)({ASSIGNED})"([^"\\\\\\r\\n]{{2}})[^"\\\\\\r\\n]{{3,}}([^"\\\\\\r\\n]{{4}})"', '\\1"\\2****...\\3"', 'g'), '(?i)({ASSIGNED})"[^"\\\\\\r\\n]{{0,8}}"', '\\1"****"', 'g')
+  || chr(10) || {sql_pick([wanted for _, wanted in inputs.REDACTED_LINES], 'doc_id')}) as redacted_sha256
 from documents""")
 def f1_redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a line more, whose redaction is known by hand."""
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.sha2(text.redact_text(F.col("text")), 256).alias("redacted_sha256"))
+    whole = F.concat("text", F.lit("\n"), inputs.pick([raw for raw, _ in inputs.REDACTED_LINES], F.col("doc_id")))
+    return d.select("doc_id", F.sha2(text.redact_text(whole), 256).alias("redacted_sha256"))
 
 
 @register("f2_masked_values", f"with v as (select p_partkey, ([ 'sk-', 'AKIA', '', 'ghp_', 'x' ])[1 + p_partkey % 5] || case when p_partkey % 4 = 0 then left(p_name, 6) else p_name end as value from part) select p_partkey, {_mask_sql('value')} as masked from v")
@@ -291,8 +308,8 @@ def _flat(findings: DataFrame) -> DataFrame:
 def rules_sql(language: str, files_sql: str, masked: str, skip: tuple[str, ...] = ()) -> str:
     """All hits of a language's rules: target_id, path, line, rule_id, severity, category, capabilities, raw."""
     rules = [r for r in BUILTIN if r.language == language and r.id not in skip]
-    cases = ", ".join(f"case when regexp_matches(m, {quoted(r.pattern)}) then {{'id': '{r.id}', 'sev': '{r.severity}', 'cat': '{r.category}', 'caps': '{','.join(r.capabilities)}'}} end" for r in rules)
-    return f"select target_id, path, line::int as line, h.x.id as rule_id, h.x.sev as severity, h.x.cat as category, h.x.caps as capabilities, raw from (select *, {masked} as m from ({lines_sql(files_sql, 'target_id, path, language')}) l) q, unnest([{cases}]) as h(x) where h.x is not null"
+    cases = ", ".join(f"case when regexp_matches(p, {quoted(r.pattern)}) then {{'id': '{r.id}', 'sev': '{r.severity}', 'cat': '{r.category}', 'caps': '{','.join(r.capabilities)}'}} end" for r in rules)
+    return f"select target_id, path, line::int as line, h.x.id as rule_id, h.x.sev as severity, h.x.cat as category, h.x.caps as capabilities, raw from (select *, {plain_sql(masked)} as p from ({lines_sql(files_sql, 'target_id, path, language')}) l) q, unnest([{cases}]) as h(x) where h.x is not null"
 
 
 def redact_line_sql(raw: str) -> str:
@@ -300,9 +317,10 @@ def redact_line_sql(raw: str) -> str:
     t = strip_sql(raw)
     t = f"""regexp_replace({t}, '(?i)({ASSIGNED})"([^"\\\\\\r\\n]{{2}})[^"\\\\\\r\\n]{{3,}}([^"\\\\\\r\\n]{{4}})"', '\\1"\\2****...\\3"', 'g')"""
     t = f"""regexp_replace({t}, '(?i)({ASSIGNED})''[^''\\\\\\r\\n]{{0,8}}''', '\\1''****''', 'g')"""
+    t = f"""regexp_replace({t}, '(?i)({ASSIGNED})([^\\s{WIDE_BLANKS}#,;"''][^\\s#,;])[^\\s#,;]{{3,}}([^\\s#,;]{{4}})', '\\1\\2****...\\3', 'g')"""
     t = f"regexp_replace({t}, '\\b(sk-)[A-Za-z0-9_-]{{12,}}([A-Za-z0-9_-]{{4}})\\b', '\\1****...\\2', 'g')"
     t = f"regexp_replace({t}, '\\b(gh[pousr]_)[A-Za-z0-9]{{16,}}([A-Za-z0-9]{{4}})\\b', '\\1****...\\2', 'g')"
-    t = f"regexp_replace({t}, '(?i)\\bBearer\\s+([A-Za-z0-9._~+/=-]{{2}})[A-Za-z0-9._~+/=-]{{6,}}([A-Za-z0-9._~+/=-]{{4}})', 'Bearer \\1****...\\2', 'g')"
+    t = f"regexp_replace({t}, '(?i)\\bBearer[\\s{WIDE_BLANKS}]+([A-Za-z0-9._~+/=-]{{2}})[A-Za-z0-9._~+/=-]{{6,}}([A-Za-z0-9._~+/=-]{{4}})', 'Bearer \\1****...\\2', 'g')"
     return f"substr({t}, 1, 500)"
 
 
@@ -345,15 +363,19 @@ def r1_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.scan_rules(sources(spark, sf_dir), rules).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.countDistinct("target_id").alias("n_targets"))
 
 
-PACK = [("SI-USR-001", "text", r"(?i)\bthe\b"), ("SI-USR-002", "text", r"==\d"), ("SI-USR-003", "markdown", r"\bnothing\b")]
+#: User rules: id, language, pattern, and the pattern for the other engine where it has no such anchors and lookarounds.
+PACK = [
+    ("SI-USR-001", "text", r"(?i)\bthe\b", r"(?i)\bthe\b"), ("SI-USR-002", "text", r"==\d", r"==\d"), ("SI-USR-003", "markdown", r"\bnothing\b", r"\bnothing\b"), ("SI-USR-004", "text", r"\Aimport\s", r"^import\s"),
+    ("SI-USR-005", "markdown", r"(?<!\s)curl", r"(?:^|[^\s])curl"), ("SI-USR-006", "text", r"(?:else|more)\Z", r"(?:else|more)$"), ("SI-USR-007", "text", r"(?=.*\bwords\b)(?=.*\bnothing\b)", r"\bwords\b.*\bnothing\b"), ("SI-USR-008", "markdown", r"^\s*\w+\s+\w+$", r"^\s*\w+\s+\w+\b$"),
+]
 
 
 @register("r1_user_rules", f"""
-with hits as (select target_id, path, line::int as line, r.id as rule_id from ({lines_sql(SOURCES_SQL, 'target_id, path, language')}) l join (values {', '.join(f"('{i}', '{g}', {quoted(p)})" for i, g, p in PACK)}) r(id, lang, pattern)
-  on l.language = r.lang and regexp_matches(substr(l.raw, 1, 20000), r.pattern))
+with hits as (select target_id, path, line::int as line, r.id as rule_id from ({lines_sql(SOURCES_SQL, 'target_id, path, language')}) l join (values {', '.join(f"('{i}', '{g}', {quoted(p)})" for i, g, _, p in PACK)}) r(id, lang, pattern)
+  on l.language = r.lang and regexp_matches(case when contains(r.pattern, '\\b') then {plain_sql('substr(l.raw, 1, 20000)')} else {blank_sql('substr(l.raw, 1, 20000)')} end, r.pattern))
 select target_id, path, line, rule_id from (select *, row_number() over (partition by target_id, path, rule_id order by line) as n from hits) c where n <= 100""")
 def r1_user_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pack = spark.createDataFrame([(i, i, "low", "user_rule", g, p, []) for i, g, p in PACK], "id string, name string, severity string, category string, language string, pattern string, capabilities array<string>")
+    pack = spark.createDataFrame([(i, i, "low", "user_rule", g, p, []) for i, g, p, _ in PACK], "id string, name string, severity string, category string, language string, pattern string, capabilities array<string>")
     return detectors.scan_rule_table(sources(spark, sf_dir), pack).select("target_id", "path", "line", "rule_id")
 
 
@@ -392,7 +414,7 @@ BARE = f"ltrim(raw, {BLANKS})"
 
 @register("d6_sensitive_paths", f"""
 with l as ({lines_sql(f"select * from ({SOURCES_SQL}) z where {ROLES['is_sensitive']}", 'target_id, path, language')}),
-c as (select *, case {' '.join(f"when regexp_matches(raw, {quoted(p)}) then '{k}'" for k, _, p in SENSITIVE_SQL)} end as path_class from l
+c as (select *, case {' '.join(f"when regexp_matches({blank_sql('raw')}, {quoted(p)}) then '{k}'" for k, _, p in SENSITIVE_SQL)} end as path_class from l
   where not coalesce((language in ('powershell', 'shell') and starts_with({BARE}, '#')) or (language = 'javascript' and (starts_with({BARE}, '//') or starts_with({BARE}, '/*') or starts_with({BARE}, '*')))
     or (language = 'batch' and (starts_with({BARE}, '::') or starts_with(lower({BARE}), 'rem '))), false))
 select target_id, path, line::int as line, path_class, case when path_class in ('user_config', 'home') then 'low' else 'medium' end as severity from c where path_class is not null""")
@@ -403,10 +425,10 @@ def d6_sensitive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("d7_docker", f"""
 with l as (select * from (select *, {strip_sql('raw')} as bare from ({lines_sql(f"select * from ({SOURCES_SQL}) z where language = 'dockerfile'", 'target_id, path, language')}) x) y where bare <> '' and not starts_with(bare, '#')),
-i as (select *, list_filter(regexp_split_to_array(bare, '\\s+')[2:], lambda w: not starts_with(w, '--'))[1] as image from l)
+i as (select *, list_filter(regexp_split_to_array({blank_sql('bare')}, '\\s+')[2:], lambda w: not starts_with(w, '--'))[1] as image from l)
 select target_id, path, line::int as line, 'SI-SC-003' as rule_id from i where starts_with(lower(bare), 'from ') and image is not null and not contains(lower(image), '@sha256:')
   and (not contains(string_split(image, '/')[-1], ':') or lower(image) like '%:latest')
-union all select target_id, path, line::int, 'SI-SC-002' from i where regexp_matches(bare, '\\b(?:curl|wget)\\b[^|\\n]*\\|\\s*(?:bash|sh)\\b')""")
+union all select target_id, path, line::int, 'SI-SC-002' from i where regexp_matches({plain_sql('bare')}, '\\b(?:curl|wget)\\b[^|\\n]*\\|\\s*(?:bash|sh)\\b')""")
 def d7_docker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.detect_docker(sources(spark, sf_dir)).select("target_id", "path", "line", "rule_id")
 
@@ -418,12 +440,12 @@ def d8_installers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SECRET_SQL = [
     ("SI-SEC-001", "high", f"(?i){ASSIGNED}[^\\s#,;]"), ("SI-SEC-002", "high", text.API_KEY), ("SI-SEC-003", "high", text.GIT_TOKEN), ("SI-SEC-004", "critical", "-----BEGIN (?:[A-Z0-9 ]+ )?PRIVATE KEY-----"),
-    ("SI-SEC-005", "high", text.CLOUD_KEY), ("SI-SEC-006", "high", text.BEARER), ("SI-SEC-007", "medium", text.URL_LOGIN),
+    ("SI-SEC-005", "high", text.CLOUD_KEY), ("SI-SEC-006", "high", r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{12,}"), ("SI-SEC-007", "medium", text.URL_LOGIN),
 ]
 
 
 def secrets_sql(files: str) -> str:
-    cases = ", ".join(f"case when regexp_matches(raw, '{p}') then {{'id': '{i}', 'sev': '{s}'}} end" for i, s, p in SECRET_SQL)
+    cases = ", ".join(f"case when regexp_matches({plain_sql('raw')}, '{p}') then {{'id': '{i}', 'sev': '{s}'}} end" for i, s, p in SECRET_SQL)
     hits = f"select target_id, path, line::int as line, h.x.id as rule_id, h.x.sev as severity, 'secret_exposure' as category, raw from ({lines_sql(files, 'target_id, path, language')}) l, unnest([{cases}]) as h(x) where h.x is not null"
     env = f"select target_id, path, 1 as line, 'SI-SEC-008' as rule_id, 'medium' as severity, 'sensitive_file' as category, null::varchar as snippet from ({files}) e where {NAME} = '.env' or {NAME} like '.env.%'"
     return f"select target_id, path, line, rule_id, severity, category, {redact_line_sql('raw')} as snippet from ({hits}) c union all {env}"

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..functions.patterns import java
 from .python_code import capability_severity, frame, hit, in_order, labels, reported, strings, with_snippets
 from .safe_yaml import YamlFault, read_yaml
 
@@ -24,7 +25,7 @@ DECLARED = "target_id string, path string, language string, kind string, line in
 
 def tool_names(tools: Column, spaced: Column) -> Column:
     """Names of tools: of a list its entries, of one text (spaced) what commas and white space part; at most 100 characters each."""
-    items = F.when(spaced, F.split(F.array_join(tools, " "), r"[,\s]+")).otherwise(tools)
+    items = F.when(spaced, F.split(F.array_join(tools, " "), java(r"[,\s]+"))).otherwise(tools)
     return F.transform(F.filter(items, lambda t: t != ""), lambda t: F.substring(t, 1, 100))
 
 

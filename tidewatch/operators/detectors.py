@@ -1,7 +1,7 @@
 """Native detectors: rules over the lines of source files.
 
-A file is tested once with the alternation of all patterns of its language before its lines are exploded; only then are the
-unrolled patterns run line by line. Everything is Column expressions; the caps per rule and file are windows, so they are for
+A file is tested once for texts that the patterns of its language need before its lines are exploded; only then are the
+unrolled patterns run line by line. Patterns are in Python's syntax and have its sense. Everything is Column expressions; the caps per rule and file are windows, so they are for
 tables, not for streams.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..functions.patterns import java, prefilter
 from . import findings as fd
 from .rulebook import BUILTIN, SECRETS, SENSITIVE_PATHS, Rule
 
@@ -25,12 +26,13 @@ def _numbered(sources: DataFrame) -> DataFrame:
 
 
 def _anywhere(content: Column, patterns: list[str]) -> Column:
-    """Whether a file may hold a line that matches: the alternation of all patterns, ^ and $ at every line.
+    """Whether a file may hold a line in which one of the patterns matches: one of the texts that every match holds is there.
 
-    Line breaks that the engine's multi-line mode does not know become line feeds first, so the test is a superset.
+    The texts come from the patterns' syntax trees, so no anchor, lookaround or cut of a line makes the test miss a line. Where
+    a pattern has no such text, all files pass.
     """
-    known = F.when(content.rlike(r"[\x0B\x0C\x1C-\x1E]"), F.regexp_replace(content, r"[\x0B\x0C\x1C-\x1E]", "\n")).otherwise(content)
-    return known.rlike("|".join(f"(?:(?m){p})" for p in patterns))
+    test = prefilter(patterns)
+    return F.lit(True) if test is None else content.rlike(test)
 
 
 def is_comment(line: Column, language: Column, javascript: bool = False) -> Column:
@@ -50,7 +52,7 @@ def mask_comment_lines(lines: DataFrame) -> DataFrame:
 def scan_rules(sources: DataFrame, rules: tuple[Rule, ...] = BUILTIN, mask: Callable[[DataFrame], DataFrame] = mask_comment_lines) -> DataFrame:
     """Findings of line rules on files of the rules' languages; snippets come from the unmasked line.
 
-    The test of the whole file is a superset of the line tests, but for files whose comments are masked it may pass in vain.
+    The test of the whole file is a superset of the line tests.
     """
     out = None
     languages = sorted({r.language for r in rules})
@@ -58,7 +60,7 @@ def scan_rules(sources: DataFrame, rules: tuple[Rule, ...] = BUILTIN, mask: Call
         own = tuple(r for r in rules if r.language == language)
         files = sources.where((F.col("language") == language) & _anywhere(F.col("content"), [r.pattern for r in own]))
         lines = mask(_numbered(files)).withColumn("masked", F.substring("masked", 1, MAX_LINE))
-        hits = F.array_compact(F.array(*[F.when(F.col("masked").rlike(r.pattern), F.lit(i)) for i, r in enumerate(own)]))
+        hits = F.array_compact(F.array(*[F.when(F.col("masked").rlike(java(r.pattern)), F.lit(i)) for i, r in enumerate(own)]))
         hit = lines.select("target_id", "path", "language", "line", "raw", F.explode(hits).alias("i"))
         part = hit.select("*", *_described(own, F.col("i"))).withColumn("emit_seq", F.col("i").cast("long") * 10_000_000 + F.col("line"))
         out = part if out is None else out.unionByName(part)
@@ -84,7 +86,7 @@ def scan_rule_table(sources: DataFrame, rules: DataFrame, most: int = MAX_PACK)
     """User rules as a table (id, name, severity, category, language, pattern, capabilities) on all lines of their languages.
 
     A pack is configuration: its size is checked before it is read, and then it is unrolled like the built-in rules, behind
-    the same test of whole files. Larger tables are an error.
+    the same test of whole files. Larger tables are an error, and so is a pattern that the JVM can't say in Python's sense.
     """
     size = rules.agg(F.coalesce(F.sum(F.length("pattern") + F.length("name") + F.length("id")), F.lit(0))).first()[0]
     if size > most:
@@ -117,7 +119,7 @@ def detect_sensitive_paths(sources: DataFrame) -> DataFrame:
     role = paths.roles(F.col("path"), F.col("language"))["is_sensitive"]
     lines = _numbered(sources.where(role & _anywhere(F.col("content"), [p for _, _, p in SENSITIVE_PATHS])))
     lines = lines.where(~F.coalesce(is_comment(F.col("raw"), F.col("language"), javascript=True), F.lit(False)))
-    which = F.coalesce(*[F.when(F.col("raw").rlike(p), F.lit(i)) for i, (_, _, p) in enumerate(SENSITIVE_PATHS)])
+    which = F.coalesce(*[F.when(F.col("raw").rlike(java(p)), F.lit(i)) for i, (_, _, p) in enumerate(SENSITIVE_PATHS)])
     hit = lines.withColumn("i", which).where("i is not null")
     pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in SENSITIVE_PATHS]), F.col("i") + 1)
     out = hit.select(
@@ -128,7 +130,7 @@ def detect_sensitive_paths(sources: DataFrame) -> DataFrame:
     return fd.cap_per_file(out).withColumn("snippet", text.snippet(F.col("raw"))).drop("raw")
 
 
-_SECRET_PATTERNS = {
+SECRET_PATTERNS = {
     "assignment": rf"(?i){text.ASSIGNED}[^\s#,;]",
     "api_key": text.API_KEY,
     "git_token": text.GIT_TOKEN,
@@ -141,9 +143,9 @@ _SECRET_PATTERNS = {
 
 def detect_secrets(sources: DataFrame) -> DataFrame:
     """One finding per line and kind of secret, however many a file holds, snippet redacted; files named .env* are a finding of their own."""
-    lines = _numbered(sources.where(F.col("content").rlike(text.MAYBE_SECRET)))
-    hits = F.array_compact(F.array(*[F.when(F.col("raw").rlike(_SECRET_PATTERNS[kind]), F.lit(i)) for i, (_, _, _, kind) in enumerate(SECRETS)]))
-    hit = lines.where(F.col("raw").rlike(text.MAYBE_SECRET)).select("target_id", "path", "language", "line", "raw", F.explode(hits).alias("i"))
+    lines = _numbered(sources.where(F.col("content").rlike(java(text.MAYBE_SECRET))))
+    hits = F.array_compact(F.array(*[F.when(F.col("raw").rlike(java(SECRET_PATTERNS[kind])), F.lit(i)) for i, (_, _, _, kind) in enumerate(SECRETS)]))
+    hit = lines.where(F.col("raw").rlike(java(text.MAYBE_SECRET))).select("target_id", "path", "language", "line", "raw", F.explode(hits).alias("i"))
     pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in SECRETS]), F.col("i") + 1)
     found = hit.select(
         "target_id", "path", "language", "line", pick(0).alias("rule_id"), pick(2).alias("name"), pick(1).alias("severity"), F.lit("secret_exposure").alias("category"),
@@ -162,10 +164,10 @@ def detect_secrets(sources: DataFrame) -> DataFrame:
 def detect_docker(sources: DataFrame) -> DataFrame:
     """Unpinned base images and downloads piped into a shell."""
     lines = _numbered(sources.where(F.col("language") == "dockerfile")).withColumn("bare", text.strip(F.col("raw"))).where((F.col("bare") != "") & ~F.col("bare").startswith("#"))
-    image = F.try_element_at(F.filter(F.slice(F.split("bare", r"\s+"), 2, 1_000_000), lambda w: ~w.startswith("--")), F.lit(1))
+    image = F.try_element_at(F.filter(F.slice(F.split("bare", java(r"\s+")), 2, 1_000_000), lambda w: ~w.startswith("--")), F.lit(1))
     low = F.lower(image)
     unpinned = F.lower("bare").startswith("from ") & image.isNotNull() & ~low.contains("@sha256:") & (~F.substring_index(image, "/", -1).contains(":") | low.endswith(":latest"))
-    piped = F.col("bare").rlike(r"\b(?:curl|wget)\b[^|\n]*\|\s*(?:bash|sh)\b")
+    piped = F.col("bare").rlike(java(r"\b(?:curl|wget)\b[^|\n]*\|\s*(?:bash|sh)\b"))
     own = (
         Rule("SI-SC-003", "dockerfile", "low", "supply_chain", (), "Base image is not pinned", ""),
         Rule("SI-SC-002", "dockerfile", "high", "download_and_execute", ("network_access", "download_execute", "shell_execution"), "Build step runs a fetched script", ""),

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import paths, text
+from ..functions.patterns import java
 
 DEPENDENCIES = "target_id string, ecosystem string, name string, specifier string, scope string, source_file string, pinned boolean, source_type string"
 MOST = 20_000
 # Sections and scripts of a package file, in reading order.
 SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
 LIFECYCLE = ("preinstall", "install", "postinstall", "prepare")
-# Exact versions.
-EXACT_NPM = r"^(?:v)?\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?\z"
-EXACT_PYTHON = r"^={2,3}[^,;*\s]+\z"
-COMMIT = r"[0-9a-fA-F]{40}(?:[#?]|\z)"
+# Exact versions, in Python's syntax.
+EXACT_NPM = r"^(?:v)?\d+\.\d+\.\d+(?:-[0-9A-Za-z.-]+)?$"
+EXACT_PYTHON = r"^={2,3}[^,;*\s]+$"
+COMMIT = r"[0-9a-fA-F]{40}(?:[#?]|$)"
 _KEY = re.compile(r'[ \t]*"((?:[^"\\]|\\.)*)"[ \t]*:')
 PYTHON_NAME = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]+\])?"
 
@@ -34,7 +35,7 @@ def npm_source_type(specifier: Column) -> Column:
 
 
 def is_exact_npm(version: Column) -> Column:
-    return version.rlike(EXACT_NPM)
+    return version.rlike(java(EXACT_NPM))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -135,7 +136,7 @@ def npm_lock_deps(sources: DataFrame) -> DataFrame:
     git = F.lower("version").startswith("git+") | F.lower("resolved").startswith("git+")
     return rows.select(
         "target_id", F.lit("npm").alias("ecosystem"), F.substring_index("key", "node_modules/", -1).alias("name"), text.redact_text(F.col("version")).alias("specifier"), F.lit("lockfile").alias("scope"),
-        F.col("path").alias("source_file"), F.when(git, F.concat("version", "resolved").rlike(COMMIT)).otherwise(is_exact_npm(F.col("version"))).alias("pinned"), F.when(git, "git").otherwise("registry").alias("source_type"),
+        F.col("path").alias("source_file"), F.when(git, F.concat("version", "resolved").rlike(java(COMMIT))).otherwise(is_exact_npm(F.col("version"))).alias("pinned"), F.when(git, "git").otherwise("registry").alias("source_type"),
         F.col("pos").cast("long").alias("place"), "line",
     )
 
@@ -143,14 +144,14 @@ def npm_lock_deps(sources: DataFrame) -> DataFrame:
 def parse_requirement(declaration: Column) -> Column:
     """struct(name, specifier, source_type, pinned) of one Python requirement; name is null if there is none."""
     d = text.strip(F.substring_index(declaration, ";", 1))
-    name = F.regexp_extract(d, PYTHON_NAME, 1)
-    rest = text.strip(F.regexp_replace(d, PYTHON_NAME, ""))
+    name = F.regexp_extract(d, java(PYTHON_NAME), 1)
+    rest = text.strip(F.regexp_replace(d, java(PYTHON_NAME), ""))
     target = text.strip(F.substring(rest, 2, 1_000_000))
     egg = F.regexp_extract(d, r"[#&]egg=([A-Za-z0-9._-]+)", 1)
     at, git = rest.startswith("@"), F.lower(target).startswith("git+")
     named = F.struct(
         name.alias("name"), F.when(rest == "", "*").otherwise(rest).alias("specifier"), F.when(~at, "registry").when(git, "git").otherwise("url").alias("source_type"),
-        F.when(at, git & target.rlike("@" + COMMIT)).otherwise(rest.rlike(EXACT_PYTHON)).alias("pinned"),
+        F.when(at, git & target.rlike(java("@" + COMMIT))).otherwise(rest.rlike(java(EXACT_PYTHON))).alias("pinned"),
     )
     by_egg = F.struct(F.nullif(egg, F.lit("")).alias("name"), d.alias("specifier"), F.when(F.lower(d).contains("git+"), "git").otherwise("url").alias("source_type"), F.lit(False).alias("pinned"))
     return F.when(name != "", named).otherwise(by_egg)

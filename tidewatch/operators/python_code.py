@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import paths, text
+from ..functions.patterns import java
 from . import findings as fd
 from .rulebook import CAPABILITIES
 
@@ -238,7 +239,7 @@ def scan_python_calls(sources: DataFrame) -> DataFrame:
     """Programs started, code made from text, unsafe loading: SI-PY-001 to 006."""
     facts = python_facts(sources.where(F.col("language") == "python")).where("kind = 'call' and place is not null")
     name, starts = F.col("name"), F.col("name").isin(STARTS)
-    git = F.when(F.col("listed"), F.lower("program").rlike(r"(?:\A|[\\/])git(?:\.exe)?\z")).otherwise(F.col("program").rlike(r"(?i)\A\s*git(?:\.exe)?(?:\s|\z)"))
+    git = F.when(F.col("listed"), F.lower("program").rlike(r"(?:\A|[\\/])git(?:\.exe)?\z")).otherwise(F.col("program").rlike(java(r"(?i)^\s*git(?:\.exe)?(?:\s|$)")))
     shells = F.when(F.coalesce(git, F.lit(False)), strings("shell_execution", "git_operations")).otherwise(strings("shell_execution"))
     safe = F.coalesce(F.col("loader").isin(SAFE_LOADERS), F.lit(False))
     hits = [
@@ -325,7 +326,7 @@ def in_order(flags: dict[str, Column]) -> Column:
 def scan_mcp_python(sources: DataFrame) -> DataFrame:
     """SI-MCP-002: what the tool functions of a Python server may do, one finding per file; names as written in the file."""
     component = paths.roles(F.col("path"), F.col("language"))["is_component"]
-    shaped = (F.col("language") == "python") & F.col("content").rlike(r"(?m)^\s*@\w+(?:\.\w+)*\.tool\s*\(")
+    shaped = (F.col("language") == "python") & F.col("content").rlike(java(r"(?m)^\s*@\w+(?:\.\w+)*\.tool\s*\("))
     facts = python_facts(sources.where((paths.file_name(F.col("path")) == "mcp_server.py") | (component & shaped))).where("in_tool")
     call, name, last = F.col("kind") == "call", F.col("written"), _last(F.col("written"))
     dotted, writes = F.contains("written", F.lit(".")), _opens_to_write(F.col("mode"))

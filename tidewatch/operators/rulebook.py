@@ -65,11 +65,11 @@ SECRETS = (
 _ROOT = r"(?:~[\\/]|\$HOME[\\/]|\$\{HOME\}[\\/]|%USERPROFILE%[\\/])?"
 # Path classes in the order in which the first wins.
 SENSITIVE_PATHS = (
-    ("ssh", "medium", rf"(?i)(?<!\w){_ROOT}\.ssh(?:[\\/]|(?!\w))"),
-    ("aws", "medium", rf"(?i)(?<!\w){_ROOT}\.aws(?:[\\/]|(?!\w))"),
+    ("ssh", "medium", rf"(?i)(?<![\w]){_ROOT}\.ssh(?:[\\/]|(?![\w]))"),
+    ("aws", "medium", rf"(?i)(?<![\w]){_ROOT}\.aws(?:[\\/]|(?![\w]))"),
     ("browser", "medium", r"(?i)(?:Google[\\/]Chrome[\\/]User Data|Mozilla[\\/]Firefox|Firefox[\\/]Profiles|Library[\\/]Application Support[\\/]Google[\\/]Chrome)"),
     ("system", "medium", r"""(?i)(?:^|[\s'"(])(?:/etc/|(?:[A-Z]:)?[\\/]Windows[\\/]System32[\\/])"""),
-    ("environment_file", "medium", r"(?i)(?<!\w)\.env(?:\.[A-Za-z0-9_.-]+)?(?!\w)"),
-    ("user_config", "low", rf"(?i)(?<!\w){_ROOT}\.config(?:[\\/]|(?!\w))"),
+    ("environment_file", "medium", r"(?i)(?<![\w])\.env(?:\.[A-Za-z0-9_.-]+)?(?![\w])"),
+    ("user_config", "low", rf"(?i)(?<![\w]){_ROOT}\.config(?:[\\/]|(?![\w]))"),
     ("home", "low", r"(?i)(?:~[\\/]|\$HOME(?:[\\/]|\b)|\$\{HOME\}[\\/]|%USERPROFILE%[\\/])"),
 )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.patterns import java
 from .python_code import MAX_PER_FILE, hit, labels, reported, strings, with_snippets
 from .safe_yaml import YamlFault, read_yaml
 
@@ -115,9 +116,9 @@ def scan_workflows(sources: DataFrame) -> DataFrame:
         hit((kind == "rights") & (value == "write-all"), "SI-GHA-002", "All rights to write", "high", "workflow_permission", strings("privilege_escalation")),
         hit(published & ~owner.isin("actions", "github"), "SI-GHA-003", "Action of another publisher", "info", "third_party_action", strings(), metadata=known),
         hit(published & ~reference.rlike(r"\A[0-9a-fA-F]{40}\z"), "SI-GHA-004", "Action is not pinned to a commit", "medium", "supply_chain", strings(), metadata=known),
-        hit((kind == "run") & value.rlike(r"\b(?:curl|wget)\b[^|\n]*\|\s*(?:bash|sh)\b"), "SI-GHA-005", "Step runs a fetched script", "high", "download_and_execute", strings("network_access", "download_execute", "shell_execution")),
-        hit((kind == "run") & value.rlike(r"\$\{\{\s*github\.event\.pull_request\."), "SI-GHA-006", "Text of a stranger in a shell step", "high", "command_injection", strings("shell_execution")),
-        hit((kind == "text") & value.rlike(r"\$\{\{\s*secrets\.[A-Za-z_][A-Za-z0-9_]*\s*\}\}"), "SI-GHA-007", "Secret handed to a step", "medium", "sensitive_data_access", strings("sensitive_data_access")),
+        hit((kind == "run") & value.rlike(java(r"\b(?:curl|wget)\b[^|\n]*\|\s*(?:bash|sh)\b")), "SI-GHA-005", "Step runs a fetched script", "high", "download_and_execute", strings("network_access", "download_execute", "shell_execution")),
+        hit((kind == "run") & value.rlike(java(r"\$\{\{\s*github\.event\.pull_request\.")), "SI-GHA-006", "Text of a stranger in a shell step", "high", "command_injection", strings("shell_execution")),
+        hit((kind == "text") & value.rlike(java(r"\$\{\{\s*secrets\.[A-Za-z_][A-Za-z0-9_]*\s*\}\}")), "SI-GHA-007", "Secret handed to a step", "medium", "sensitive_data_access", strings("sensitive_data_access")),
         hit(published & moved.isNotNull(), "SI-GHA-008", F.concat(F.lit("Artifact "), moved), "info", "artifact_handling", F.when(moved == "download", strings("filesystem_write")).otherwise(strings("filesystem_read")), metadata=labels(action=action, reference=reference, operation=moved)),
         hit(kind == "run", "SI-GHA-009", "Shell step", "info", "command_execution", strings("shell_execution")),
     ]
