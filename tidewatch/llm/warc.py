@@ -5,9 +5,11 @@ writer makes the files, so archives can lie in any store that Spark reaches. Eac
 Of captures with equal payloads of MIN_REVISIT bytes or more, that with the smallest page id is the response and the
 others are revisits without payload, referring to it.
 
-Reading. A file's bytes are parsed record by record by Content-Length; all gzip members of a file are read. A malformed
-record, a broken tail or a cut gzip member ends its file: a row of type `unread` then gives the file as its target and, in its
-fields, the offset and number of the unpacked bytes left over. Gzip data that don't unpack are an error.
+Reading. A file is unpacked in pieces and parsed record by record by Content-Length, so that of an unpacked archive a task holds
+a piece and a record at a time; all gzip members of a file are read. A malformed record (a Content-Length that is no number of
+1 to 18 ASCII digits among them), headers beyond MAX_HEADERS or a block beyond MAX_BLOCK bytes, a broken tail, a cut gzip member or gzip data that don't
+unpack end their file: a row of type `unread` then gives the file as its target and, in its fields, the offset and number of the
+unpacked bytes left over. The packed file is a row of Spark's binaryFile source, which takes files up to 2 GiB.
 
 Assembly. Requests and metadata name the response in WARC-Concurrent-To; they are grouped by it (partial aggregation, the
 smallest record id of each kind stays, so no list grows) and joined to the responses: one nested row per capture.
@@ -22,8 +24,9 @@ without records, and reading a folder without archives gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Generator, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +38,10 @@ MIN_REVISIT = 100
 CAPTURES_PER_FILE = 2_000
 #: Up to so many revisits (some 100 bytes each) are broadcast to the pages.
 FEW = 100_000
-UNPACK_BYTES = 1 << 16
+#: Bytes that are unpacked at once, and of the headers of a record at most.
+UNPACK_BYTES, MAX_HEADERS = 1 << 16, 1 << 20
+#: Bytes of a block at most: it is a value of a row.
+MAX_BLOCK = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "rec_type string, record_id string, concurrent_to string, refers_to string, target_uri string, fields map<string,string>, payload_digest string, payload_bytes long, payload binary"
 
@@ -102,54 +108,106 @@ def write_archives(pages: DataFrame, path: str, captures: int = CAPTURES_PER_FIL
     rows.select(F.concat(request, response, metadata).alias("value")).write.option("maxRecordsPerFile", captures).option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def parse_records(data: bytes) -> Generator[tuple[dict[str, str], bytes], None, int]:
-    """(headers in lower case, block) of every whole record; the generator's value is the offset where reading ended."""
-    at, n = 0, len(data)
-    while at < n:
-        while at < n and data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            return at
+class Pieces:
+    """The unpacked bytes of a file, read on demand: all its gzip members, or a file without gzip as it is."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.held, self.offset = raw, 0, bytearray(), 0
+        self.member = None
+        self.packed = raw.startswith(b"\x1f\x8b")
+        #: Whether all that was read so far could be unpacked, and nothing else stood behind the last member.
+        self.whole = True
+
+    def _more(self) -> bool:
+        """Unpacks one piece; false at the end."""
+        if not self.packed:
+            piece = self.raw[self.at : self.at + UNPACK_BYTES]
+            self.at += len(piece)
+            self.held += piece
+            return bool(piece)
+        if self.member is None:
+            if not self.raw.startswith(b"\x1f\x8b", self.at):
+                self.whole = self.whole and not self.raw[self.at :].strip(b"\0")
+                return False
+            self.member = zlib.decompressobj(47)
+        # What a piece unpacks to is bounded as well; the rest of the piece is given again.
+        piece = self.member.unconsumed_tail or self.raw[self.at : self.at + UNPACK_BYTES]
+        self.at += 0 if self.member.unconsumed_tail else len(piece)
+        if not piece:
+            self.whole = False
+            return False
+        try:
+            self.held += self.member.decompress(piece, 16 * UNPACK_BYTES)
+        except zlib.error:
+            self.whole, self.packed, self.at = False, False, len(self.raw)
+            return False
+        if self.member.eof:
+            self.at -= len(self.member.unused_data)
+            self.member = None
+        return True
+
+    def find(self, mark: bytes, most: int) -> int:
+        """Where a mark begins in what is held, reading on for at most `most` bytes; -1 if it doesn't."""
+        begin = 0
+        while (at := self.held.find(mark, begin)) < 0 and len(self.held) < most:
+            begin = max(0, len(self.held) - len(mark) + 1)
+            if not self._more():
+                return -1
+        return at
+
+    def fill(self, n: int) -> bool:
+        """Holds n bytes, if there are as many."""
+        while len(self.held) < n:
+            if not self._more():
+                return False
+        return True
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        self.offset += n
+        return out
+
+    def rest(self) -> int:
+        """Number of the bytes that are left; they are let go."""
+        n = len(self.held)
+        self.held.clear()
+        while self._more():
+            n += len(self.held)
+            self.held.clear()
+        return n
+
+
+def parse_records(data: Pieces) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of every whole record; the data stand where reading ended."""
+    while True:
+        while data.fill(1) and data.held[:1] in (b"\r", b"\n"):
+            data.take(1)
+        end = data.find(b"\r\n\r\n", MAX_HEADERS)
+        if end < 0 or not data.held.startswith(b"WARC/"):
+            return
         headers = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(data.held[:end]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
         size = headers.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > n:
-            return at
-        yield headers, data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
-    return at
-
-
-def unpack(raw: bytes) -> tuple[bytes, bool]:
-    """The bytes of all gzip members, and whether the file held nothing else; a file without gzip is given as it is."""
-    if not raw.startswith(b"\x1f\x8b"):
-        return raw, True
-    parts, at = [], 0
-    while raw.startswith(b"\x1f\x8b", at):
-        member = zlib.decompressobj(47)
-        # In pieces, so that a file of many small members isn't copied once for each of them.
-        while not member.eof and at < len(raw):
-            piece = raw[at : at + UNPACK_BYTES]
-            parts.append(member.decompress(piece))
-            at += len(piece) - len(member.unused_data)
-        if not member.eof:
-            return b"".join(parts), False
-    return b"".join(parts), not raw[at:].strip(b"\0")
+        if not re.fullmatch("[0-9]{1,18}", size) or int(size) > MAX_BLOCK or not data.fill(end + 4 + int(size)):
+            return
+        data.take(end + 4)
+        yield headers, data.take(int(size))
 
 
 def file_records(raw: bytes, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a file, and one of type unread if some of it could not be read."""
-    data, whole = unpack(raw)
-    end = yield from parse_records(data)
-    if end < len(data) or not whole:
-        yield {"warc-type": "unread", "warc-target-uri": path}, b"offset: %d\r\nbytes: %d" % (end, len(data) - end)
+    data = Pieces(raw)
+    yield from parse_records(data)
+    at, left = data.offset, data.rest()
+    if left or not data.whole:
+        yield {"warc-type": "unread", "warc-target-uri": path}, b"offset: %d\r\nbytes: %d" % (at, left)
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record; payload is the body of an HTTP response. A task reads one archive at a time."""
+    """One row per record; payload is the body of an HTTP response. A task reads one archive at a time, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
