@@ -1,10 +1,13 @@
 """Toxicity: a weighted finite-state pattern grammar that scores matched clauses rather than isolated words.
 
-Five transducers form a chain; each reads the symbols that the one before writes, and they are composed into one machine:
+Six transducers form a chain; each reads the symbols that the one before writes. The first reads a clause from its end, the
+others, composed into one machine, from its beginning:
 
+- target behind: writes an attack before a person or group ("kill you") as an aimed one;
 - negation: opens a scope of three tokens and writes what follows in it as a milder attack ("not stupid");
 - reported speech: discounts the attacks in the rest of the clause ("said", "called", an opening quote);
-- target: a person or group was addressed ("you", "those people"): attacks weigh more, and threats without target less;
+- target: a person or group was addressed ("you idiot"), which aims the attacks behind it; aimed attacks weigh more, and threats
+  without target less;
 - insult and threat: the first of a kind counts in full, further ones of the clause more, and milder ones half.
 
 An attack's score is its term's weight times the weights of the arcs that it takes.
@@ -32,8 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample, written
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, MILD_INSULT, MILD_THREAT = range(9)
-SYMBOLS = 9
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, MILD_INSULT, MILD_THREAT, AIMED_INSULT, AIMED_THREAT, MILD_AIMED_INSULT, MILD_AIMED_THREAT = range(13)
+SYMBOLS = 13
+#: An attack as an aimed one, as a milder one, and without its aim.
+AIMED = {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT, MILD_INSULT: MILD_AIMED_INSULT, MILD_THREAT: MILD_AIMED_THREAT}
+MILDER = {INSULT: MILD_INSULT, THREAT: MILD_THREAT, AIMED_INSULT: MILD_AIMED_INSULT, AIMED_THREAT: MILD_AIMED_THREAT}
+PLAIN = {aimed: attack for attack, aimed in AIMED.items()}
 
 SEED_INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown clowns imbecile vermin dumbass bastard cretin".split()
 SEED_THREATS = "kill murder hurt destroy strangle stab shoot beat punish hunt burn".split()
@@ -69,14 +76,19 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(first.states * second.states, arcs)
 
 
+def target_behind() -> Transducer:
+    """Reads a clause from its end."""
+    return Transducer(2, {(0, TARGET): (1, TARGET, 1.0)} | {(1, attack): (1, AIMED[attack], 1.0) for attack in (INSULT, THREAT)})
+
+
 def grammar() -> tuple[list[list[int]], list[list[float]]]:
     """The composed machine as tables next[state][symbol], weight[state][symbol]; state 0 is the start."""
-    milder = {INSULT: MILD_INSULT, THREAT: MILD_THREAT}
-    attacks = (INSULT, THREAT, MILD_INSULT, MILD_THREAT)
+    attacks = (*AIMED, *PLAIN)
     # State n > 0: n more tokens in the scope of a negation.
-    negation = Transducer(4, {(s, NEGATION): (3, OTHER, 1.0) for s in range(4)} | {(s, a): (s - 1, mild, 1.0) for s in (1, 2, 3) for a, mild in milder.items()}, {1: 0, 2: 1, 3: 2})
+    negation = Transducer(4, {(s, NEGATION): (3, OTHER, 1.0) for s in range(4)} | {(s, a): (s - 1, mild, 1.0) for s in (1, 2, 3) for a, mild in MILDER.items()}, {1: 0, 2: 1, 3: 2})
     report = Transducer(2, {(0, REPORT): (1, OTHER, 1.0)} | {(1, a): (1, a, 0.6) for a in attacks})
-    target = Transducer(2, {(0, TARGET): (1, OTHER, 1.0)} | {(0, a): (0, a, 0.4) for a in (THREAT, MILD_THREAT)} | {(1, a): (1, a, 1.3) for a in attacks})
+    aimed = {(s, a): (s, plain, 1.3) for s in (0, 1) for a, plain in PLAIN.items()}
+    target = Transducer(2, {(0, TARGET): (1, OTHER, 1.0)} | aimed | {(0, a): (0, a, 0.4) for a in (THREAT, MILD_THREAT)} | {(1, a): (1, a, 1.3) for a in AIMED})
     kind = lambda full, mild: Transducer(2, {(0, full): (1, full, 1.0), (1, full): (1, full, 1.2), (0, mild): (1, mild, 0.5), (1, mild): (1, mild, 0.6)})
     machine = reduce(compose, (negation, report, target, kind(INSULT, MILD_INSULT), kind(THREAT, MILD_THREAT)))
     steps = [[machine.step(state, symbol) for symbol in range(SYMBOLS)] for state in range(machine.states)]
@@ -115,6 +127,7 @@ class Scorer:
         self.table, self.prefixes = model.lookup(), model.prefixes
         self.lengths = sorted({len(p) for p in model.prefixes})
         self.nexts, self.factors = grammar()
+        self.behind = target_behind()
         self.seen: dict[str, tuple[int, float, bool]] = {}
 
     def token(self, raw: str) -> tuple[int, float, bool]:
@@ -132,6 +145,20 @@ class Scorer:
         self.seen[raw] = got
         return got
 
+    def clause(self, tokens: list[tuple[int, float]]) -> float:
+        """The score of a clause: once over its symbols from the end, once from the beginning."""
+        if not any(weight for _, weight in tokens):
+            return 0.0
+        symbols, state = [], 0
+        for label, _ in reversed(tokens):
+            state, label, _ = self.behind.step(state, label)
+            symbols.append(label)
+        state, score = 0, 0.0
+        for label, (_, weight) in zip(reversed(symbols), tokens):
+            score += weight * self.factors[state][label]
+            state = self.nexts[state][label]
+        return score
+
     def features(self, text: str) -> tuple[float, float, float]:
         """log1p of the sum, and the largest, of the clause scores; log1p of the number of matched clauses."""
         seen, token = self.seen, self.token
@@ -140,17 +167,14 @@ class Scorer:
             classes = [seen.get(raw) or token(raw) for raw in line.split()]
             if not any(c[0] == INSULT or c[0] == THREAT for c in classes):
                 continue
-            state, score = 0, 0.0
+            clause: list[tuple[int, float]] = []
             for label, weight, ends in classes:
-                score += weight * self.factors[state][label]
-                state = self.nexts[state][label]
+                clause.append((label, weight))
                 if ends:
-                    state = self.nexts[state][END]
-                    if score:
-                        clauses.append(score)
-                    score = 0.0
-            if score:
-                clauses.append(score)
+                    clauses.append(self.clause(clause))
+                    clause = []
+            clauses.append(self.clause(clause))
+        clauses = [c for c in clauses if c]
         return math.log1p(sum(clauses)), max(clauses, default=0.0), math.log1p(len(clauses))
 
 
