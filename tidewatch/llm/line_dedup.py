@@ -4,8 +4,9 @@ A line's key is the line without white space at both ends and with A-Z in lower
 points or more take part. A run is a table of key hashes (128 bits), bucketed and sorted by them, so that merges and the
 anti-join read it without a shuffle. Each batch of documents is split by the runs: keys that no run holds are new and stand
 in the batch's own run as such, the others add to the counts of a key that stands elsewhere. `fanout` runs of a level are
-merged into one of the next. The list of runs is a table as well, so that a later session can open it and add batches.
-Everything is DataFrame operations.
+merged into one of the next. The list of runs is a table as well, so that a later call or session with the same root goes on
+with the runs: its documents are judged with all that earlier ones held. Their ids must be others than those of earlier calls,
+as a document counts once per call. Everything is DataFrame operations.
 
 Null or empty text is one empty line. A document is an id: rows that repeat an id count once for a key and share its
 fate. Null ids hold no line: they do not count, and their lines go like any others. Extra columns are ignored.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import string
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,17 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_mark(text: Column) -> Column:
+    """Tells the texts of rows that repeat an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def hashed_lines(docs: DataFrame, min_chars: int, batches: int = 1) -> DataFrame:
-    """(doc_id, h1, h2, batch) of the lines long enough; the batch follows the id."""
-    lines = docs.select("doc_id", F.explode(lines_of(F.col("text"))).alias("line")).where(F.length("line") >= min_chars)
-    keys = lines.select("doc_id", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    """(doc_id, mark, pos, h1, h2, batch) of the lines long enough; the batch follows the id."""
+    lines = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).where(F.length("line") >= min_chars)
+    keys = lines.select("doc_id", "mark", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    return keys.select("doc_id", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second half"), F.col("key")).alias("h2"), batch.alias("batch"))
+    return keys.select("doc_id", "mark", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second half"), F.col("key")).alias("h2"), batch.alias("batch"))
 
 
 class LineRuns:
@@ -49,7 +56,7 @@ class LineRuns:
     LIST = "version long, level int, place int, path string, buckets int"
 
     def __init__(self, spark: SparkSession, root: str | None = None, fanout: int = 2):
-        """root: a folder that holds runs, or is new; None is a new folder in the shared one."""
+        """root: a new folder (`open` goes on with one that holds runs); None is a new folder in the shared one."""
         self.spark, self.fanout = spark, fanout
         self.root = root or scratch(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
@@ -57,9 +64,14 @@ class LineRuns:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, fanout: int = 2) -> LineRuns:
-        """The runs that an earlier session left under root."""
+        """The runs that an earlier call or session left under root; none yet if it is new."""
         runs = cls(spark, root, fanout)
-        listed = spark.read.schema(cls.LIST).parquet(f"{root}/list")
+        try:
+            listed = spark.read.schema(cls.LIST).parquet(f"{root}/list")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return runs
         last = listed.where(F.col("version") == listed.agg(F.max("version")).first()[0]).orderBy("level", "place").collect()
         for row in last:
             runs.version = row["version"]
@@ -98,9 +110,10 @@ class LineRuns:
         return out
 
     def split(self, own: DataFrame) -> DataFrame:
-        """The merge anti-join of a batch's keys (h1, h2, ...): adds `new`, true for those that no run holds yet."""
-        known = self.rows().where("new").select("h1", "h2").hint("merge")
-        return own.join(known, ["h1", "h2"], "left_anti").withColumn("new", F.lit(True)).unionByName(own.join(known, ["h1", "h2"], "left_semi").withColumn("new", F.lit(False)))
+        """The merge anti-join of a batch's keys (h1, h2, ...): adds `new`, true for those that no run holds yet. One left merge
+        join tells both sides, as a key is new in one run only."""
+        known = self.rows().where("new").select("h1", "h2", F.lit(True).alias("known")).hint("merge")
+        return own.join(known, ["h1", "h2"], "left").withColumn("new", F.col("known").isNull()).drop("known")
 
     def add(self, lines: DataFrame) -> None:
         """Adds the run of a batch of hashed lines; the documents of two batches must differ."""
@@ -128,29 +141,27 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     """(doc_id, n_lines, n_dropped, kept_text): keys in `min_docs` documents or more stay in the largest doc_id only.
 
     The hashed lines of all batches are written once and read batch by batch. The lines to drop are those whose key is
-    frequent and that another document holds. They are gathered per document (never per key, so a line that all documents
-    share costs one short row each), and only then do the texts meet them, by id. The runs stay under `root`.
+    frequent and that another document holds. Their places are gathered per text (never per key, so a line that all documents
+    share costs one short row each), and only then do the texts meet them, by id and mark of the text. The runs stay under
+    `root`; one that holds runs of earlier calls is gone on with.
     """
     spark = docs.sparkSession
     path = scratch(spark, "line-hashes")
     hashed_lines(docs, min_chars, batches).write.partitionBy("batch").parquet(path)
-    hashed = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, root, fanout)
+    hashed = spark.read.schema("doc_id long, mark long, pos int, h1 long, h2 long, batch int").parquet(path)
+    runs = LineRuns.open(spark, root, fanout) if root else LineRuns(spark, None, fanout)
     for batch in range(batches):
         runs.add(hashed.where(F.col("batch") == batch))
     # A table of its own: broadcast if it is small, else the join with the hashed lines is one that Spark can split by skew.
     frequent = written(runs.counts().where((F.col("n_docs") >= min_docs) & F.col("holder").isNotNull()), "frequent-lines")
     lost = hashed.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    per_doc = lost.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__lost"))
-
-    def survives(line):
-        key = line_key(line)
-        mark = F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second half"), key).alias("h2"))
-        return (F.length(line) < min_chars) | (F.length(key) < min_chars) | ~F.array_contains(F.col("__lost"), mark)
-
+    per_text = lost.groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).agg(F.collect_set("pos").alias("__lost"))
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    joined = texts.join(per_doc.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(per_doc["__id"]), "left").withColumn("__lines", lines_of(F.col("text")))
-    kept = joined.withColumn("__kept", F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.filter("__lines", survives)))
+    met = texts["doc_id"].eqNullSafe(per_text["__id"]) & (text_mark(texts["text"]) == per_text["__mark"])
+    joined = texts.join(per_text.hint("shuffle_hash"), met, "left").withColumn("__lines", lines_of(F.col("text")))
+    # The places that stay are a difference of sets, so a text of many lost lines costs no more than its lines.
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__lost"))
+    kept = joined.withColumn("__kept", F.when(F.col("__lost").isNull(), F.col("__lines")).otherwise(F.transform(places, lambda i: F.get("__lines", i))))
     return kept.select(
         "doc_id",
         F.size("__lines").cast("long").alias("n_lines"),
