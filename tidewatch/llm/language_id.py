@@ -7,7 +7,10 @@ it than nearly all of that language's sample is marked rejected.
 
 Null texts and texts without a letter are "und" with score 0, not rejected. Null languages teach nothing. Without any
 learnable document every text is "und". Of equally near centroids the first by language name wins. Rows that repeat an id
-are all predicted. Extra columns are ignored. Long texts are counted whole, CHUNK characters at a time.
+are all predicted, and teach each by its text; rows that repeat both are one row of the sample, so every language with a
+learnable row has a centroid, however its ids are dealt. Extra columns are ignored. Long texts are counted whole, CHUNK
+characters at a time. The model grows with the languages, so their number is counted first: more than `most_languages` are a
+ValueError.
 """
 
 from __future__ import annotations
@@ -118,18 +121,22 @@ def k_means(x: np.ndarray, k: int, turns: int = 20) -> tuple[np.ndarray, np.ndar
     return centroids, (x @ centroids.T).argmax(axis=1)
 
 
-def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, folds: int = 3, held_out: int = 1, reject: float = 0.001) -> Model:
+def fit(docs: DataFrame, per_language: int = 300, clusters: int = 4, folds: int = 3, held_out: int = 1, reject: float = 0.001, most_languages: int = 1_000) -> Model:
     """Learns from rows outside the held-out fold: all of them for the frequencies, at most `per_language` texts of each
-    language, chosen by hash of the id, for the centroids. The model has `clusters` vectors for each language there is."""
+    language, chosen by hash of id and text, for the centroids. The model has `clusters` vectors of 32 KB for each language."""
     train = learnable(docs, folds, held_out)
     n, df = document_frequencies(train)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1.0
-    sizes = train.groupBy("lang").agg(F.count("*").alias("size"))
+    mark = F.pmod(F.xxhash64("doc_id", "text", F.lit("centroids")), F.lit(1 << 30))
+    sizes = train.groupBy("lang").agg(F.approx_count_distinct(mark).alias("size"), F.min(mark).alias("first"))
     # A hash limit per language keeps about per_language rows; what falls under it is sampled before any shuffle of texts.
     share = F.least(F.lit(1.0), (1.5 * per_language + 30) / F.col("size"))
-    limits = written(sizes.select(F.col("lang").alias("__lang"), (share * (1 << 30)).alias("__most")), "language-limits")
-    mark = F.pmod(F.xxhash64("doc_id", F.lit("centroids")), F.lit(1 << 30))
-    sample = written(train.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where(mark < F.col("__most")).select("doc_id", "lang", mark.alias("mark"), "text"), "language-sample")
+    # The smallest hash is always under the limit.
+    limits = written(sizes.select(F.col("lang").alias("__lang"), F.greatest(share * (1 << 30), F.col("first") + 1.0).alias("__most")), "language-limits")
+    if (found := limits.count()) > most_languages:
+        raise ValueError(f"{found} languages; a model holds at most {most_languages}")
+    picked = train.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where(mark < F.col("__most")).select("doc_id", "lang", mark.alias("mark"), "text")
+    sample = written(picked.dropDuplicates(["lang", "mark"]), "language-sample")
 
     def vectors(batches):
         for batch in batches:
