@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import re
+import tracemalloc
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -114,6 +116,23 @@ def test_line_dedup_needs_the_anti_join(spark, monkeypatch):
     assert {tuple(r) for r in line_dedup.drop_repeated_lines(docs(spark, rows), min_docs=30).collect()} != brute_lines(rows, min_docs=30)
 
 
+def test_line_dedup_goes_on_with_a_root(spark, tmp_path):
+    shared, other = "this line is in all of the documents, word for word", "and this one in the last four documents of the six"
+    rows = [(i, f"own {i}\n{shared}\n" + (other if i > 2 else "x")) for i in (5, 2, 6, 1, 4, 3)]
+    root = str(tmp_path / "runs")
+    call = lambda part: {tuple(r) for r in line_dedup.drop_repeated_lines(docs(spark, part), min_docs=4, batches=2, root=root).collect()}
+    assert call(rows[:3]) == brute_lines(rows[:3], min_docs=4)
+    assert call(rows[3:]) == {r for r in brute_lines(rows, min_docs=4) if r[0] in (1, 3, 4)}
+    counts = sorted((r.n_docs, r.holder) for r in line_dedup.LineRuns.open(spark, root).counts().collect())
+    assert counts == [(4, 6), (6, 6)]
+
+
+def test_line_dedup_of_a_text_of_many_lost_lines(spark):
+    lines = [f"line {k} that is long enough to be a key of the runs" for k in range(3000)]
+    rows = [(i, "\n".join(lines) + f"\nown {i}") for i in range(5)] + [(2, "\n".join(lines[:50] + ["again"])), (2, "\n".join(lines[:50] + ["again"]))]
+    assert {tuple(r) for r in line_dedup.drop_repeated_lines(docs(spark, rows)).collect()} == brute_lines(rows)
+
+
 def brute_near(rows, width, percent):
     sets = {}
     for i, t in rows:
@@ -224,14 +243,40 @@ def test_schedule_spreads_each_source_evenly(spark):
     assert [r.rank for r in slots if r.key == "=b"] == list(range(180)) and len({r.slot for r in slots}) == len(slots)
 
 
-def test_mixture_stands_in_the_order_of_the_schedule(spark):
-    df = docs(spark, [(i, f"w{i} " * 40, "en", f"s{i % 3}") for i in range(200)])
-    at = {r.doc_id: (r.first_slot, r.second_slot) for r in mixing.mix(df, block=64).collect()}
-    seen, slots = {}, []
-    for r in mixing.mixed_documents(df, block=64).select("doc_id").collect():
-        slots.append(sorted(x for x in at[r.doc_id] if x is not None)[seen.get(r.doc_id, 0)])
-        seen[r.doc_id] = seen.get(r.doc_id, 0) + 1
-    assert sum(a <= b for a, b in zip(slots, slots[1:])) > 0.97 * len(slots)
+def test_mixture_has_its_slots(spark):
+    df = docs(spark, [(i, f"w{i} " * 40, "en", f"s{i % 3}") for i in range(200)]).withColumn("place", F.lit(1))
+    digest = F.unhex(F.sha2(F.concat(F.sha2(mixing._key(F.col("source")), 256), "text"), 256))
+    at = {r.doc_id: {x for x in (r.first_slot, r.second_slot) if x is not None} for r in mixing.mix(df.withColumn("digest", digest), block=64, carry=("digest",)).collect()}
+    mixed = mixing.mixed_documents(df, slot="at", block=64)
+    assert mixed.columns == [*df.columns, "at"]
+    seen = {}
+    for r in mixed.collect():
+        seen.setdefault(r.doc_id, []).append(r["at"])
+    assert len(seen) > 100 and all(len(set(x)) == len(x) and set(x) <= at[i] for i, x in seen.items())
+
+
+def test_points_and_products_of_long_schedules(spark):
+    i, bits, total = (1 << 40) - 12_345, 41, (1 << 41) - 7
+    r = spark.range(1).select(mixing.van_der_corput(F.lit(i), bits).alias("p"), mixing.scaled(mixing.van_der_corput(F.lit(i), bits), total, bits).alias("u")).first()
+    point = int(f"{i:041b}"[::-1], 2)
+    assert (r.p, r.u) == (point, point * total >> bits)
+    for bits, total in ((1, 2), (6, 50), (20, (1 << 20) - 3), (25, 30_000_001)):
+        rows = spark.range(0, 1 << bits, max(1, (1 << bits) // 50)).select("id", mixing.scaled(F.col("id"), total, bits).alias("u")).collect()
+        assert all(x.u == x.id * total >> bits for x in rows)
+    huge = spark.createDataFrame([("=a", "a", 1 << 62, float(1 << 62))], "key string, source string, source_size long, target double")
+    with pytest.raises(ValueError):
+        mixing.schedule(huge, 1024)
+
+
+def test_rows_that_are_alike_are_dealt_over_the_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    df = docs(spark, [(7, "some words here", "en", "a")] * 300 + [(None, "x y", "en", "a")] * 100 + [(1, "one", "en", "b")])
+    sized = df.select("doc_id", "source", mixing._key(F.col("source")).alias("key"), mixing.n_words(F.col("text")).alias("size")).groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n"))
+    placed = mixing.placed_documents(sized, mixing.targets(sized)).orderBy("key", "start").collect()
+    ends = [r.start + r.size for r in placed]
+    assert len(placed) == 401 and [r.start for r in placed] == [0, *ends[:399], 0] and ends[399] == 1100
+    mixed = mixing.mix(df, block=64).collect()
+    assert sum(r.taken for r in mixed) == round(1.5 * 1101) and len({r.taken for r in mixed if r.doc_id == 7}) > 1
 
 
 @pytest.fixture(scope="module")
@@ -376,8 +421,34 @@ def test_warc_repeated_rows_and_extra_columns(spark, tmp_path):
 
 def test_warc_parse_stops_at_a_broken_tail():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [b for _, b in warc.parse_records(good + good[:-8])] == [b"abc"]
-    assert list(warc.parse_records(b"")) == [] and list(warc.parse_records(b"junk")) == []
+    read = lambda data: [b for _, b in warc.parse_records(warc.Pieces(data))]
+    assert read(good + good[:-8]) == [b"abc"] and read(gzip.compress(good * 3)) == [b"abc"] * 3
+    assert read(b"") == [] and read(b"junk") == []
+
+
+@pytest.mark.parametrize("size", ["²", "9" * 5000, "-1", "", "3.0", "٣", "1 2", "99999999999"])
+def test_warc_headers_that_are_no_numbers_are_unread(spark, tmp_path, size):
+    good = b"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: r1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    bad = f"WARC/1.1\r\nWARC-Type: request\r\nContent-Length: {size}\r\n\r\nabc\r\n\r\n".encode()
+    (tmp_path / "bad.warc").write_bytes(good + bad + good)
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert [(r.rec_type, r.record_id) for r in rows] == [("request", "r1"), ("unread", None)]
+    assert rows[1].fields == {"offset": str(len(good)), "bytes": str(len(bad) + len(good))}
+
+
+def test_warc_holds_a_piece_of_an_archive_at_a_time():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 1000000\r\n\r\n" + b"a" * 1_000_000 + b"\r\n\r\n"
+    packer = zlib.compressobj(wbits=31)
+    raw = b"".join([packer.compress(record) for _ in range(150)] + [packer.flush()])
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for _, b in warc.file_records(raw, "x")) == 150_000_000
+        assert tracemalloc.get_traced_memory()[1] < 10_000_000
+    finally:
+        tracemalloc.stop()
+    broken = gzip.compress(record * 2)
+    broken = broken[: len(broken) // 2] + bytes(40) + broken[len(broken) // 2 + 40 :]
+    assert [h["warc-type"] for h, _ in warc.file_records(broken, "x")][-1] == "unread"
 
 
 def test_warc_reads_all_members_and_reports_what_is_unread(spark, tmp_path):
@@ -402,6 +473,8 @@ def test_toxicity_grammar_scores_clauses():
     assert total("you idiot") > total("an idiot") > total("not an idiot") > 0
     assert total("an idiot") > total("he said idiot") * 0.99 and total("they said an idiot") < total("they are an idiot")
     assert total("you will kill") > total("kill") > 0
+    assert total("i will kill you") == total("you i will kill") > 2 * total("i will kill") and total("idiot you") == total("you idiot")
+    assert total("kill. you") == total("kill") and total("will not kill you") < total("will kill you")
     assert total("not today. an idiot") == total("today. an idiot")
 
 
@@ -431,6 +504,18 @@ def test_quality_model_learns_and_handles_odd_rows(spark):
     assert {r.score for r in quality_model.scored(docs(spark, ODD), empty).collect()} == {0.5}
 
 
+def test_language_id_keeps_languages_whose_rows_repeat_an_id(spark):
+    learnt = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(learnt[0], f"der die das und nicht ein haus {k % 7}", "de") for k in range(2000)] + [(i, f"the house and not a {i} tree of it", "en") for i in range(600)]
+    rows += [(learnt[1], "le chat et la maison", "fr")] * 500 + [(None, "el gato y la casa", "es")] * 5
+    model = language_id.fit(docs(spark, rows))
+    assert sorted(set(model.languages)) == ["de", "en", "fr"]
+    found = {r.doc_id: r.lang_pred for r in language_id.predicted(docs(spark, [(1, "das haus und die"), (2, "the tree and it"), (3, "la maison et le")]), model).collect()}
+    assert found == {1: "de", 2: "en", 3: "fr"}
+    with pytest.raises(ValueError):
+        language_id.fit(docs(spark, rows), most_languages=2)
+
+
 def test_language_id(spark):
     words = {"aa": "kalo mira tuno vesa", "bb": "schrupf knacht pflitz zwerg", "cc": "oiseau queux jardin lieux"}
     rows = [(i, " ".join(words[g].split()[(i + k) % 4] for k in range(25)), g) for i in range(120) for g in [list(words)[i % 3]]]

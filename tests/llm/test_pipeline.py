@@ -35,28 +35,36 @@ def brute_mixture(rows, marks, weights=(5, 2, 1), share=1.5, most=2.0):
         low, high = (low, level) if enough else (level, high)
     out = Counter()
     for s in sources:
-        digest = lambda text: sha256((sha256(("" if s is None else "=" + s).encode()).hexdigest() + text).encode()).digest()  # noqa: B023, E731
-        stream = sorted((marks[r[0]], r[0] or 0, len(r[1].split()), digest(r[1]), r[1], r[0]) for r in rows if r[2] == s and r[1] and r[1].split())
+        own = Counter((r[0], r[1]) for r in rows if r[2] == s and r[1] and r[1].split())
+        stream = sorted((marks[doc_id, text, s, copy], len(text.split()), text, doc_id) for (doc_id, text), n in own.items() for copy in range(n))
         quota = round(min(most * words[s], weight[s] * high))
         for epoch in (0, 1):
             start, end = 0, min(quota - epoch * words[s], words[s])
-            for _, _, size, _, text, doc_id in stream:
+            for _, size, text, doc_id in stream:
                 out[doc_id, text, s] += 2 * max(0, min(size, end - start)) >= size
                 start += size
     return +out
 
 
+def stream_marks(spark, rows):
+    """Where each row, and each of those that are alike, stands in its source's shuffled stream."""
+    digest = lambda text, s: bytearray(sha256((sha256(("" if s is None else "=" + s).encode()).hexdigest() + text).encode()).digest())
+    alike = [(doc_id, text, s, copy) for (doc_id, text, s), n in Counter(r[:3] for r in rows if r[1]).items() for copy in range(n)]
+    table = spark.createDataFrame([(*r, len(r[1].split()), digest(r[1], r[2])) for r in alike], "doc_id long, text string, source string, copy long, size long, digest binary")
+    found = table.select("doc_id", "text", "source", "copy", F.xxhash64("doc_id", "size", "digest", "copy", F.lit("shuffle")).alias("mark")).collect()
+    return {(r.doc_id, r.text, r.source, r.copy): r.mark for r in found}
+
+
 def test_mixture_of_odd_rows_against_the_definition(spark):
     rows = [(i, f"w{i} " * (3 + i * 7 % 50), f"s{i % 3}") for i in range(1, 120)]
     rows += [(None, f"null {k} " * (1 + k % 9), f"s{k % 3}" if k % 5 else None) for k in range(60)]
     rows += [(7, f"again {k % 6} " * (1 + k % 12), f"s{k % 3}") for k in range(60)] + [(500, "copy of it", "s1")] * 40 + [(None, "copy of it", "s1")] * 40
     rows += [(600, "", "s0"), (601, None, "s0"), (None, " \n ", "s1"), (None, None, None), (1, "", "s2")]
     docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
-    marks = {r.doc_id: r.mark for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit("shuffle")).alias("mark")).distinct().collect()}
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
     assert mixed.columns == docs.columns
     got = mixed.collect()
-    expected = brute_mixture(rows, marks)
+    expected = brute_mixture(rows, stream_marks(spark, rows))
     assert Counter((r.doc_id, r.text, r.source) for r in got) == expected
     assert max(Counter(r.n_chars for r in got).values()) == 2 and any(k[0] is None for k in expected)
     assert sorted(map(str, got)) == sorted(map(str, corpus_pipeline.mix_sources(spark, docs.repartition(5), "").collect()))
