@@ -1,7 +1,9 @@
 """Fixtures of the syntax detectors, and the masks against a character-by-character version."""
 
 import random
+import time
 
+from tidewatch.functions import search
 from tidewatch.operators import components, python_code, syntax, workflows
 
 SOURCES = "target_id string, path string, language string, content string"
@@ -108,3 +110,29 @@ def test_powershell_mask_keeps_length_and_lines():
     code = "a '#x' \"`\"#y\" # c\n<# d\n#> e 'it''s' f"
     assert syntax.mask_powershell_text(code, False) == "a '#x' \"`\"#y\"    \n    \n   e 'it''s' f"
     assert syntax.mask_powershell_text(code, True) == "a" + " " * 16 + "\n    \n   e         f"
+
+
+def test_first_lines_against_find():
+    chance = random.Random(3)
+    for _ in range(300):
+        text = "".join(chance.choice("ab\n\r\u2028é") for _ in range(chance.randint(0, 60)))
+        needles = {"".join(chance.choice("abé") for _ in range(chance.randint(0, 4))) for _ in range(9)}
+        ends = [len("".join(text.splitlines(keepends=True)[: k + 1])) for k in range(len(text.splitlines()))]
+        assert search.first_places(text, needles) == {n: text.find(n) for n in needles if n and n in text}
+        assert search.first_lines(text, needles) == {n: 1 + sum(e <= text.find(n) for e in ends) for n in needles if n and n in text}
+
+
+def test_lines_of_many_entries_take_time_in_proportion():
+    def seconds(n):
+        keys = [f"node_modules/package-{i * 7919 % n:x}/node_modules/part{i}" for i in range(n)]
+        text = "{\n" + ",\n".join(f'  "{k}": {{"version": "1.0.{i}"}}' for i, k in enumerate(keys)) + "\n}"
+        jobs = "on: push\njobs:\n  j:\n    steps:\n" + "".join(f"      - run: echo number {i}\n" for i in range(n // 10))
+        began = time.process_time()
+        assert search.first_lines(text, keys)[keys[-1]] == n + 1
+        rows = workflows.workflow_entries(jobs)
+        assert len(rows) == n // 10 and {r[2] for r in rows} == set(range(5, 5 + n // 10))
+        return time.process_time() - began
+
+    seconds(2_000)
+    once, twice = seconds(10_000), seconds(20_000)
+    assert twice < 4 * once + 0.2 and twice < 3

@@ -4,9 +4,7 @@ one pass over a file for all of its entries."""
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import paths, text
 from ..functions.patterns import java
+from ..functions.search import first_lines
 
 DEPENDENCIES = "target_id string, ecosystem string, name string, specifier string, scope string, source_file string, pinned boolean, source_type string"
 MOST = 20_000
@@ -56,15 +55,14 @@ def key_lines(content: pd.Series, keys: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def lines_containing(content: pd.Series, values: pd.Series) -> pd.Series:
-    """For each value the first line that holds it, whatever the case, or 1."""
+    """For each value the first line that holds it, whatever the case, or 1; one scan over a file for all of its values."""
 
     def one(text_: str | None, wanted: list | None) -> list[int] | None:
         if wanted is None:
             return None
-        low = (text_ or "").lower()
-        ends = list(accumulate(map(len, low.splitlines(keepends=True))))
-        places = (low.find((v or "").lower()) for v in wanted)
-        return [bisect_right(ends, at) + 1 if at >= 0 else 1 for at in places]
+        low = [(v or "").lower() for v in wanted]
+        lines = first_lines((text_ or "").lower(), low)
+        return [lines.get(v, 1) for v in low]
 
     return pd.Series([one(c, v) for c, v in zip(content, values)], dtype=object)
 

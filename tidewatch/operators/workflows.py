@@ -3,7 +3,6 @@ are columns over the entries. A file that goes beyond the reader's limits has no
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,43 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.patterns import java
+from ..functions.search import first_lines
 from .python_code import MAX_PER_FILE, hit, labels, reported, strings, with_snippets
 from .safe_yaml import YamlFault, read_yaml
 
 ENTRIES = "target_id string, path string, language string, kind string, seq long, line int, value string, raw string"
 
 
-class _Lines:
-    """Finds the line on which a text stands; an index is built once per file."""
-
-    def __init__(self, content: str):
-        self.content, self.lines = content, content.splitlines()
-        self.starts = [0]
-        for line in content.splitlines(keepends=True):
-            self.starts.append(self.starts[-1] + len(line))
-
-    def of(self, value: str, otherwise: str) -> int:
-        """Line of the first 80 characters of the value's first line, else of the other text, else 1."""
-        lead = value.strip().splitlines()
-        for wanted in (lead[0][:80] if lead else "", otherwise):
-            at = self.content.find(wanted) if wanted else -1
-            if at >= 0:
-                return bisect_right(self.starts, at)
-        return 1
-
-
 def workflow_entries(content: str) -> list[tuple[str, str, int, str]]:
     """(kind, value, line, text of the line): trigger, rights, uses and run entries of all mappings, then all strings as text.
 
-    Deeper entries come level by level from the end of the file, as a stack gives them.
+    Deeper entries come level by level from the end of the file, as a stack gives them. An entry stands on the line of the
+    first 80 characters of its value's first line, else of its kind's mark, else on the first; all are looked up in one scan.
     """
     document = read_yaml(content)
     if not isinstance(document, dict):
         return []
-    where, out, texts = _Lines(content), [], []
+    out, texts = [], []
     trigger = document.get("on")
     if trigger == "pull_request_target" or (isinstance(trigger, dict) and "pull_request_target" in trigger):
-        out.append(("trigger", "pull_request_target", where.of("", "pull_request_target")))
+        out.append(("trigger", "pull_request_target", "", "pull_request_target"))
     anchor = {"permissions": ("rights", "permissions: write-all"), "uses": ("uses", "uses:"), "run": ("run", "run:")}
     rest: list[object] = [document]
     while rest:
@@ -61,10 +43,14 @@ def workflow_entries(content: str) -> list[tuple[str, str, int, str]]:
                 for key, (kind, mark) in anchor.items():
                     value = entry.get(key)
                     if isinstance(value, str):
-                        out.append((kind, value, where.of("" if kind == "rights" else value, mark)))
+                        out.append((kind, value, "" if kind == "rights" else value, mark))
                 rest += entry.values()
-    out += [("text", t, where.of(t, "secrets.")) for t in texts if "secrets." in t]
-    return [(kind, value, line, where.lines[line - 1] if line <= len(where.lines) else "") for kind, value, line in out]
+    out += [("text", t, t, "secrets.") for t in texts if "secrets." in t]
+    leads = [next(iter(shown.strip().splitlines()), "")[:80] for _, _, shown, _ in out]
+    at = first_lines(content, {*leads, *(mark for *_, mark in out)})
+    lines = content.splitlines()
+    found = [(kind, value, at.get(lead) or at.get(mark, 1)) for (kind, value, _, mark), lead in zip(out, leads)]
+    return [(kind, value, line, lines[line - 1] if line <= len(lines) else "") for kind, value, line in found]
 
 
 def _entries(files: DataFrame) -> DataFrame:
