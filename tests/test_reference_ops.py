@@ -13,6 +13,7 @@ from tidewatch.functions import paths, text
 from tidewatch.operators import archives, corpus, detectors, manifests, risk, syntax
 from tidewatch.operators import findings as fd
 from tidewatch.sources import files
+from tidewatch.sources.shared import written
 
 SOURCES = "target_id string, path string, language string, content string"
 FINDINGS = "target_id string, path string, rule_id string, name string, severity string, category string, line int, capabilities array<string>, method string, destination string, scanner_seq int, emit_seq long"
@@ -283,3 +284,23 @@ def test_user_rules_find_lines_whatever_their_anchors(spark):
     s = sources(spark, *[(f"{i}.txt", "text", c) for i, c in enumerate(contents)])
     found = {(r.rule_id, r.path, r.line) for r in detectors.scan_rule_table(s, rules).collect()}
     assert found == {(i, f"{k}.txt", n) for i, p in pack for k, c in enumerate(contents) for n, line in enumerate(c.splitlines(), 1) if re.search(p, line[:20_000])}
+
+
+def test_content_is_read_by_the_pass_over_lines_and_by_its_language(spark, monkeypatch):
+    """Every table that a scan writes is planned here; its scans of the discovered files that read content are counted."""
+    raw = [("one", p, b"import os\nos.system('x')\npassword = 'abcdefghijkl'") for p in ("a.py", "a.sh", "a.js", "a.ps1", "a.bat", "Dockerfile", "skill.md", "package.json", "pyproject.toml", "requirements.txt", ".github/workflows/c.yml", "mcp.json")]
+    df = spark.createDataFrame([(t, p, len(c), bytearray(c)) for t, p, c in raw], "target_id string, path string, length long, content binary")
+    plans = []
+
+    def planned(frame, name, partition_by=()):
+        plans.append(frame._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        return written(frame, name, partition_by)
+
+    monkeypatch.setattr(corpus, "written", planned)
+    got = corpus.scan_corpus(df)
+    plans += [t._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) for t in got.values()]
+    reads = [s for p in plans for s in re.findall(r"Scan parquet.*?(?=\n\n)", p, re.DOTALL) if "/discovered-" in s and "content" in re.search(r"ReadSchema: (.*)", s)[1]]
+    whole = [s for s in reads if "language" not in re.search(r"PartitionFilters: (.*)|$", s)[0]]
+    assert len(whole) == 1
+    for language in ("python", "shell", "javascript", "powershell", "batch", "dockerfile", "json", "toml", "text", "markdown", "github-actions"):
+        assert sum(re.search(rf"PartitionFilters: .*[^a-z]{language}[^a-z]", s) is not None for s in reads if s not in whole) <= 1, language

@@ -136,3 +136,10 @@ def test_lines_of_many_entries_take_time_in_proportion():
     seconds(2_000)
     once, twice = seconds(10_000), seconds(20_000)
     assert twice < 4 * once + 0.2 and twice < 3
+
+
+def test_powershell_lines_are_capped_by_what_was_looked_at(spark):
+    quoted, plain = 'x "-WindowStyle Hidden"', "x -WindowStyle Hidden"
+    s = sources(spark, ("a.ps1", "powershell", "\n".join([quoted] * 120 + [plain] * 120)))
+    lines = [r.line for r in syntax.detect_powershell(s).orderBy("line").collect()]
+    assert lines == [*range(1, 101), *range(121, 221)]

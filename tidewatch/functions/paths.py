@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Directories whose content is not looked at.
@@ -36,6 +36,11 @@ def file_name(path: Column) -> Column:
     return F.lower(F.element_at(parts(path), -1))
 
 
+def named(files: DataFrame, *names: str) -> Column:
+    """Whether a file is called so; a table that is partitioned by `file_name` is read in those partitions only."""
+    return (F.col("file_name") if "file_name" in files.columns else file_name(F.col("path"))).isin(*names)
+
+
 def directories(path: Column) -> Column:
     p = parts(path)
     return F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.lower)

@@ -20,6 +20,8 @@ TOOL_WORDS = {
     "filesystem_read": ["read"], "filesystem_write": ["edit", "write"], "shell_execution": ["bash", "command", "exec", "powershell", "shell"],
     "network_access": ["browser", "fetch", "http", "network", "web"], "environment_read": ["env"],
 }
+# Files that declare what an assistant's component may do.
+COMPONENTS = ("skill.md", "plugin.json", "mcp.json")
 DECLARED = "target_id string, path string, language string, kind string, line int, raw string, spaced boolean, tools array<string>, servers array<string>, commands array<string>, urls array<string>, keys array<string>"
 
 
@@ -103,7 +105,7 @@ def _cut(values: Column, most: int) -> Column:
 
 def scan_components(sources: DataFrame) -> DataFrame:
     """SI-AI-001 to 004 and SI-MCP-001, by file name: skill.md, plugin.json, mcp.json."""
-    files = sources.where(paths.file_name(F.col("path")).isin("skill.md", "plugin.json", "mcp.json"))
+    files = sources.where(paths.named(sources, *COMPONENTS))
     facts = _declared(files).withColumn("names", F.coalesce(tool_names(F.col("tools"), F.col("spaced")), F.array().cast("array<string>")))
     kind, some = F.col("kind"), lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
     listed = in_order({"shell_execution": some("commands"), "network_access": some("urls"), "environment_read": some("keys")})

@@ -68,7 +68,7 @@ def lines_containing(content: pd.Series, values: pd.Series) -> pd.Series:
 
 
 def _manifests(sources: DataFrame, name: str) -> DataFrame:
-    return sources.where(paths.file_name(F.col("path")) == name).select("target_id", "path", "language", "content")
+    return sources.where(paths.named(sources, name)).select("target_id", "path", "language", "content")
 
 
 def _objects(sources: DataFrame, name: str) -> DataFrame:

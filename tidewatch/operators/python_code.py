@@ -40,6 +40,7 @@ READS = ["readFile", "readFileSync", "read_bytes", "read_text"]
 WRITES = ["append_text", "writeFile", "writeFileSync", "write_bytes", "write_text"]
 DELETES = ["remove", "rm", "rmdir", "unlink"]
 DELETE_NAMES = ["os.remove", "os.rmdir", "os.unlink", "shutil.rmtree"]
+FILE_CALLS = {"open", *READS, *WRITES, *DELETES}
 # Sensitive places in file calls, in the order in which the first wins.
 PLACES = {
     "ssh": ["/.ssh/", "~/.ssh", ".ssh/"], "aws": ["/.aws/", "~/.aws", ".aws/"], "user_config": ["/.config/", "~/.config", ".config/", "/.env"],
@@ -53,7 +54,7 @@ TOOL_OPENS = ["Path.open", "open", "pathlib.Path.open"]
 
 FACTS = (
     "target_id string, path string, language string, kind string, seq long, place long, line int, name string, written string, n_args int, listed boolean, program string, "
-    "first string, mode string, shell boolean, loader string, method string, payload boolean, address string, host string, texts array<string>, in_tool boolean, raw string"
+    "first string, mode string, shell boolean, loader string, method string, payload boolean, address string, host string, texts array<string>, in_tool boolean, raw string, server boolean"
 )
 
 
@@ -105,8 +106,8 @@ class _File:
         return self.bound.get(head, head) + dot + rest
 
 
-def _call_facts(call: ast.Call) -> dict:
-    """What the arguments of a call spell out."""
+def _call_facts(call: ast.Call, name: str) -> dict:
+    """What the arguments of a call spell out; texts at any depth only where files may be used."""
     said = {k.arg: k.value for k in call.keywords}
     literal = {name: str(v.value) for name, v in said.items() if isinstance(v, ast.Constant)}
     plain = [a.value if isinstance(a, ast.Constant) else None for a in call.args]
@@ -126,7 +127,7 @@ def _call_facts(call: ast.Call) -> dict:
         "mode": str(plain[1]) if len(call.args) > 1 and isinstance(call.args[1], ast.Constant) else literal.get("mode"),
         "shell": isinstance(said.get("shell"), ast.Constant) and said["shell"].value is True, "loader": getattr(loader, "id", getattr(loader, "attr", None)),
         "method": literal.get("method"), "payload": not said.keys().isdisjoint(PAYLOADS), "address": address[0] if address else None, "host": host,
-        "texts": [n.value for n in ast.walk(call) if isinstance(n, ast.Constant) and isinstance(n.value, str)],
+        "texts": [n.value for n in ast.walk(call) if isinstance(n, ast.Constant) and isinstance(n.value, str)] if name in DELETE_NAMES or name.rsplit(".", 1)[-1] in FILE_CALLS else None,
     }
 
 
@@ -142,7 +143,7 @@ def file_facts(content: str) -> list[dict]:
         fact = {"seq": seq, "line": getattr(node, "lineno", 1), "in_tool": inside}
         if isinstance(node, ast.Call) and (written := _spelled(node.func)):
             resolved = file.resolved(written) if not isinstance(_root(node.func), ast.Call) else written
-            out.append(fact | {"kind": "call", "written": written, "name": resolved, "place": place.get(id(node))} | _call_facts(node))
+            out.append(fact | {"kind": "call", "written": written, "name": resolved, "place": place.get(id(node))} | _call_facts(node, resolved))
         elif isinstance(node, (ast.Subscript, ast.Attribute)):
             written = _spelled(node.value)
             out.append(fact | {"kind": "item" if isinstance(node, ast.Subscript) else "attribute", "written": written, "name": file.resolved(written)})
@@ -156,20 +157,33 @@ def _root(node: ast.AST) -> ast.AST:
     return node
 
 
+def _is_server(content: Column) -> Column:
+    """Whether a Python file may be a tool server."""
+    component = paths.roles(F.col("path"), F.col("language"))["is_component"]
+    shaped = (F.col("language") == "python") & content.rlike(java(r"(?m)^\s*@\w+(?:\.\w+)*\.tool\s*\("))
+    return (paths.file_name(F.col("path")) == "mcp_server.py") | (component & shaped)
+
+
 def python_facts(files: DataFrame) -> DataFrame:
-    """Facts of all Python files; a file that does not parse has none, see parse_status."""
+    """Facts of all Python files, each parsed once; a file that does not parse has none, see parse_status. The scanners below
+    take the facts of a corpus where they are at hand."""
     columns = [c.split(" ")[0] for c in FACTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for target, path, language, content in zip(batch["target_id"], batch["path"], batch["language"], batch["content"]):
+            for target, path, language, content, server in zip(batch["target_id"], batch["path"], batch["language"], batch["content"], batch["server"]):
                 lines = content.splitlines()
                 for f in file_facts(content):
-                    rows.append(f | {"target_id": target, "path": path, "language": language, "raw": lines[f["line"] - 1] if 0 < f["line"] <= len(lines) else ""})
+                    rows.append(f | {"target_id": target, "path": path, "language": language, "server": server, "raw": lines[f["line"] - 1] if 0 < f["line"] <= len(lines) else ""})
             yield frame(rows, columns)
 
-    return files.select("target_id", "path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(run, FACTS)
+    content = F.coalesce("content", F.lit(""))
+    return files.select("target_id", "path", "language", content.alias("content"), _is_server(content).alias("server")).mapInPandas(run, FACTS)
+
+
+def _facts(sources: DataFrame, files: Column, known: DataFrame | None) -> DataFrame:
+    return python_facts(sources.where(files)) if known is None else known
 
 
 @F.pandas_udf(StringType())
@@ -235,9 +249,9 @@ def _opens_to_write(mode: Column) -> Column:
     return F.coalesce(mode, F.lit("r")).rlike("[wax+]")
 
 
-def scan_python_calls(sources: DataFrame) -> DataFrame:
+def scan_python_calls(sources: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Programs started, code made from text, unsafe loading: SI-PY-001 to 006."""
-    facts = python_facts(sources.where(F.col("language") == "python")).where("kind = 'call' and place is not null")
+    facts = _facts(sources, F.col("language") == "python", facts).where("kind = 'call' and place is not null")
     name, starts = F.col("name"), F.col("name").isin(STARTS)
     git = F.when(F.col("listed"), F.lower("program").rlike(r"(?:\A|[\\/])git(?:\.exe)?\z")).otherwise(F.col("program").rlike(java(r"(?i)^\s*git(?:\.exe)?(?:\s|$)")))
     shells = F.when(F.coalesce(git, F.lit(False)), strings("shell_execution", "git_operations")).otherwise(strings("shell_execution"))
@@ -293,13 +307,13 @@ def _file_hits() -> list[Column]:
     ]
 
 
-def scan_python_behavior(sources: DataFrame) -> DataFrame:
+def scan_python_behavior(sources: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Environment, network and file use: SI-PY-020 to 026 and SI-FS-001.
 
     The first MAX_PER_FILE of a file in order of the tree, uses of the environment by key first; of equal rule, line and text
     the last stays; order by line and rule.
     """
-    facts = python_facts(sources.where(F.col("language") == "python")).where("kind in ('call', 'item')")
+    facts = _facts(sources, F.col("language") == "python", facts).where("kind in ('call', 'item')")
     by_key = (F.col("kind") == "item") & (F.col("name") == "os.environ")
     by_call = (F.col("kind") == "call") & F.col("name").isin(ENVIRONMENT)
     hits = [hit(by_key | by_call, "SI-PY-020", "Environment read", "low", "environment_access", strings("environment_read")), *_network_hits(), *_file_hits()]
@@ -323,11 +337,9 @@ def in_order(flags: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(flags[c], F.lit(c)) for c in CAPABILITIES if c in flags]))
 
 
-def scan_mcp_python(sources: DataFrame) -> DataFrame:
+def scan_mcp_python(sources: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """SI-MCP-002: what the tool functions of a Python server may do, one finding per file; names as written in the file."""
-    component = paths.roles(F.col("path"), F.col("language"))["is_component"]
-    shaped = (F.col("language") == "python") & F.col("content").rlike(java(r"(?m)^\s*@\w+(?:\.\w+)*\.tool\s*\("))
-    facts = python_facts(sources.where((paths.file_name(F.col("path")) == "mcp_server.py") | (component & shaped))).where("in_tool")
+    facts = _facts(sources, _is_server(F.col("content")), facts).where("server and in_tool")
     call, name, last = F.col("kind") == "call", F.col("written"), _last(F.col("written"))
     dotted, writes = F.contains("written", F.lit(".")), _opens_to_write(F.col("mode"))
     tests = {
