@@ -304,3 +304,15 @@ def test_content_is_read_by_the_pass_over_lines_and_by_its_language(spark, monke
     assert len(whole) == 1
     for language in ("python", "shell", "javascript", "powershell", "batch", "dockerfile", "json", "toml", "text", "markdown", "github-actions"):
         assert sum(re.search(rf"PartitionFilters: .*[^a-z]{language}[^a-z]", s) is not None for s in reads if s not in whole) <= 1, language
+
+
+def test_ranks_of_a_target_that_holds_nearly_all_rows(spark):
+    rows = [("big" if i % 40 else None if i % 80 else "small", (i * 7919) % 1009, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "target_id string, k int, i int")
+    ranked = fd.ranked_within(df, "target_id", [F.desc("k"), F.col("i")]).collect()
+    for target in ("big", "small", None):
+        own = sorted((r for r in rows if r[0] == target), key=lambda r: (-r[1], r[2]))
+        assert [(r.k, r.i) for r in sorted((r for r in ranked if r.target_id == target), key=lambda r: r["rank"])] == [r[1:] for r in own]
+        assert sorted(r["rank"] for r in ranked if r.target_id == target) == list(range(1, len(own) + 1))
+    plan = fd.ranked_within(df, "target_id", [F.desc("k"), F.col("i")])._jdf.queryExecution().executedPlan().toString()
+    assert "windowspecdefinition(target_id" not in plan.replace("__piece", "") or re.search(r"windowspecdefinition\(target_id#\d+, __piece", plan)

@@ -497,7 +497,7 @@ def i7_manifest_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.manifest_caps(deps, 3).groupBy("target_id").agg(F.count("*").alias("n"))
 
 
-@register("i9_sorted_dependencies", f"select target_id, name, line::int as line, row_number() over (partition by target_id order by lower(name), line)::int as rank from ({PARSED_SQL}) p")
+@register("i9_sorted_dependencies", f"select target_id, name, line::int as line, row_number() over (partition by target_id order by lower(name), line)::bigint as rank from ({PARSED_SQL}) p")
 def i9_sorted_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = manifests.requirements_deps(inputs.requirement_files(spark, sf_dir))
     return manifests.sort_dependencies(deps).select("target_id", "name", "line", "rank")
@@ -577,12 +577,21 @@ def u2_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.dedupe_findings(inputs.findings(spark, sf_dir)).select("target_id", "path", "rule_id", "line", "name", "severity", "emit_seq")
 
 
-@register("u3_rank", f"select target_id, path, rule_id, line, name, rank from ({RANKED_SQL}) r")
+@register("u3_rank", f"select target_id, path, rule_id, line, name, rank::bigint as rank from ({RANKED_SQL}) r")
 def u3_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = fd.rank_findings(fd.dedupe_findings(inputs.findings(spark, sf_dir)))
     return ranked.select("target_id", "path", "rule_id", "line", "name", "rank")
 
 
+@register("u3_rank_one_target", f"""with f as ({FINDINGS_SQL})
+select path, rule_id, line, name, scanner_seq, emit_seq, row_number() over (order by sev desc, lower(path), line, rule_id, scanner_seq, emit_seq, name, target_id)::bigint as rank from f""")
+def u3_rank_one_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in one target, each a place of its own: no task ranks them alone."""
+    found = inputs.findings(spark, sf_dir).withColumn("own", F.col("target_id")).withColumn("target_id", F.lit("all"))
+    order = [F.desc(fd.severity_rank(F.col("severity"))), F.lower("path"), F.col("line"), F.col("rule_id"), F.col("scanner_seq"), F.col("emit_seq"), F.col("name"), F.col("own")]
+    return fd.ranked_within(found, "target_id", order).select("path", "rule_id", "line", "name", "scanner_seq", "emit_seq", "rank")
+
+
 @register("u4_top_findings", f"select target_id, rank, rule_id, name from ({RANKED_SQL}) r where rank <= 5")
 def u4_top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.top_findings(fd.dedupe_findings(inputs.findings(spark, sf_dir))).select("target_id", "rank", "rule_id", "name")

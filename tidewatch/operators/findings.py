@@ -2,7 +2,7 @@
 
 Columns: target_id, path, rule_id, name, severity, category, language, line, snippet, capabilities, confidence, method,
 destination, metadata, scanner_seq, emit_seq. Caps and dedupe are windows by target and path, so a large target is no hot key;
-ranks are by target, whose findings limit_check bounds, and are taken over narrow rows.
+ranks are taken in ranges of their order.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .rulebook import SEVERITIES
 
 SCHEMA = (
@@ -69,14 +70,31 @@ def _order() -> list[Column]:
     return [F.desc(severity_rank(F.col("severity"))), F.lower("path").asc(), F.coalesce("line", F.lit(0)).asc(), F.col("rule_id").asc(), F.col("first_seq").asc(), F.col("first_emit").asc()]
 
 
+def ranked_within(rows: DataFrame, group: str, order: list[Column], name: str = "rank") -> DataFrame:
+    """Adds the place of each row in its group, from 1, as long; a group may hold all rows.
+
+    Rows are dealt by ranges of (group, order) and written; a piece is what a range has of a group. A row's place is the number
+    of rows in its group's earlier pieces, which are summed from one count per piece, and its place in its own piece. Rows that
+    agree in the whole order are in one piece, so it should tell rows apart.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = written(rows.repartitionByRange(ranges, F.col(group), *order).withColumn("__piece", F.spark_partition_id()), "ranges")
+    sizes = pieces.groupBy(F.col(group).alias("__group"), F.col("__piece").alias("__of")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    known = pieces.join(sizes, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__piece") == F.col("__of")))
+    own = F.row_number().over(Window.partitionBy(group, "__piece").orderBy(*order))
+    return known.withColumn(name, F.col("__base") + own).drop("__piece", "__group", "__of", "__n", "__base")
+
+
 def rank_findings(deduped: DataFrame) -> DataFrame:
     """Adds `rank` per target: severity, path, line, rule, then first emission."""
-    return deduped.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy(*_order())))
+    return ranked_within(deduped, "target_id", _order())
 
 
 def top_findings(deduped: DataFrame, n: int = 5) -> DataFrame:
-    """The first n of the ranking; the rank limit is pushed into the sort."""
-    return rank_findings(deduped).where(F.col("rank") <= n)
+    """The first n of the ranking; the limit is pushed below the shuffle, so of each target a task sends n rows."""
+    return deduped.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy(*_order()))).where(F.col("rank") <= n)
 
 
 def limit_check(findings: DataFrame, dependencies: DataFrame | None = None, most_findings: int = MAX_FINDINGS, most_dependencies: int = MAX_DEPENDENCIES) -> DataFrame:

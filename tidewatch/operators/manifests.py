@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from ..functions import paths, text
 from ..functions.patterns import java
 from ..functions.search import first_lines
+from . import findings as fd
 
 DEPENDENCIES = "target_id string, ecosystem string, name string, specifier string, scope string, source_file string, pinned boolean, source_type string"
 MOST = 20_000
@@ -229,6 +230,5 @@ def all_dependencies(sources: DataFrame) -> DataFrame:
 
 
 def sort_dependencies(dependencies: DataFrame) -> DataFrame:
-    """Adds `rank` per target: ecosystem, name, file, scope. No dedupe; no global sort."""
-    w = Window.partitionBy("target_id").orderBy("ecosystem", F.lower("name"), "source_file", "scope", "place")
-    return dependencies.withColumn("rank", F.row_number().over(w))
+    """Adds `rank` per target: ecosystem, name, file, scope. No dedupe; a target may hold all rows."""
+    return fd.ranked_within(dependencies, "target_id", [F.col("ecosystem"), F.lower("name"), F.col("source_file"), F.col("scope"), F.col("place")])
