@@ -1,9 +1,11 @@
 """Fixtures of the source-file operators: exact rows for inline texts, and naive versions of the text functions."""
 
+import hashlib
 import io
 import random
 import re
 import tarfile
+import tracemalloc
 import zipfile
 
 import pytest
@@ -316,3 +318,54 @@ def test_ranks_of_a_target_that_holds_nearly_all_rows(spark):
         assert sorted(r["rank"] for r in ranked if r.target_id == target) == list(range(1, len(own) + 1))
     plan = fd.ranked_within(df, "target_id", [F.desc("k"), F.col("i")])._jdf.queryExecution().executedPlan().toString()
     assert "windowspecdefinition(target_id" not in plan.replace("__piece", "") or re.search(r"windowspecdefinition\(target_id#\d+, __piece", plan)
+
+
+def test_archives_are_streamed_in_pieces(spark, tmp_path):
+    """A sparse archive of 3 GB is audited by its headers, a large member comes in pieces, and little memory is held."""
+    member = tarfile.TarInfo("huge.txt")
+    member.size = 3 << 30
+    with open(tmp_path / "sparse.tar", "wb") as f:
+        f.write(member.tobuf())
+        f.truncate((3 << 30) + 10_240 + 512)
+    noise = random.Random(1).randbytes(18_000_000)
+    for kind, mode in ((".tar", "w"), (".tar.gz", "w:gz")):
+        with tarfile.open(tmp_path / f"large{kind}", mode) as t:
+            for k in range(4):
+                part = tarfile.TarInfo(f"{k}.bin")
+                part.size = len(noise)
+                t.addfile(part, io.BytesIO(noise))
+    with zipfile.ZipFile(tmp_path / "large.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("0.bin", noise)
+        z.writestr("empty", b"")
+    with zipfile.ZipFile(tmp_path / "bomb.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("zeros", bytes(20_000_000))
+    tracemalloc.start()
+    try:
+        for path in sorted(tmp_path.iterdir()):
+            with open(path, "rb") as f:
+                for batch in archives._batches(archives.member_rows(str(path), f, path.stat().st_size)):
+                    assert batch.nbytes < 3 * archives.PIECE
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
+    good, rejected = archives.safe_members(archives.read_archives(spark, str(tmp_path)))
+    found = {(r.archive_id.rsplit("/", 1)[1], r.name, r.size, r.h) for r in good.select("archive_id", "name", "size", F.sha2("content", 256).alias("h")).collect()}
+    h = hashlib.sha256(noise).hexdigest()
+    assert found == {(a, f"{k}.bin", len(noise), h) for a in ("large.tar", "large.tar.gz") for k in range(4)} | {("large.zip", "0.bin", len(noise), h), ("large.zip", "empty", 0, hashlib.sha256(b"").hexdigest())}
+    assert {r.archive_id.rsplit("/", 1)[1]: r.reason for r in rejected.collect()} == {"sparse.tar": "member_too_large", "bomb.zip": "ratio_too_high"}
+    assert archives.read_archives(spark, str(tmp_path), content=False).where("content is not null").count() == 0
+    assert archives.read_archives(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_archives_in_a_table_and_broken_ones(spark):
+    data = io.BytesIO()
+    with tarfile.open(fileobj=data, mode="w:gz") as t:
+        for k in range(3):
+            info = tarfile.TarInfo(f"{k}.txt")
+            info.size = 4000
+            t.addfile(info, io.BytesIO(random.Random(k).randbytes(4000)))
+    raw = data.getvalue()
+    table = spark.createDataFrame([("a.tgz", bytearray(raw)), ("cut.tgz", bytearray(raw[:-3000])), ("null.zip", None), ("text.tar", bytearray(b"text"))], "path string, content binary")
+    good, rejected = archives.safe_members(archives.archive_members(table))
+    assert sorted((r.archive_id, r.name) for r in good.collect()) == [("a.tgz", f"{k}.txt") for k in range(3)]
+    assert sorted(r.archive_id for r in rejected.collect()) == ["cut.tgz", "null.zip", "text.tar"]

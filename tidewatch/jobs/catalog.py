@@ -267,37 +267,98 @@ def s2_read_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources_.read_sources(spark, path, "json").select("target_id", "path", "language", F.sha2("content", 256).alias("content_sha256"))
 
 
-def _zipped(batches):
-    """mapInPandas function: group, names and texts to one ZIP archive each."""
+MEMBER_NAMES = ["a.txt", "b/c.py", "../up.txt", "d.md", "e.json", "f.txt", "g.sh", "h.js", "i.ts", "j.txt", "k.py", "l.md", "m.txt", "n.txt", "o.js", "p.sh", "q.txt"]
+KINDS = [".zip", ".tar", ".tgz"]
+
+
+def _packed(root: str):
+    """mapInPandas function: group, names and texts to one archive each, a ZIP, TAR or TGZ by the group's number; some hold a link
+    or a pipe as well. Archives are written where the cluster's tables are."""
     import io
+    import tarfile
     import zipfile
 
-    for batch in batches:
-        out = []
-        for names, texts in zip(batch["names"], batch["texts"]):
-            data = io.BytesIO()
-            with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
-                for name, content in zip(names, texts):
-                    z.writestr(name, content)
-            out.append(data.getvalue())
-        yield batch[["path"]].assign(content=out)
-
-
-@register("s3_archive_members", f"""with p as (select *, page_id // 8 as g, page_id::varchar || '/' || {sql_pick(["a.txt", "b/c.py", "../up.txt", "d.md", "e.json", "f.txt", "g.sh", "h.js", "i.ts", "j.txt", "k.py"], 'page_id')} as name from pages),
-bad as (select distinct g from p where contains(name, '..'))
-select 'archive-' || g || '.zip' as archive_id, name, octet_length(encode(html))::bigint as size, sha256(html) as content_sha256, null::varchar as reason from p where g not in (select g from bad)
-union all select 'archive-' || g || '.zip', null, null, null, 'unsafe_path' from bad""")
+    def run(batches):
+        for batch in batches:
+            for g, names, texts in zip(batch["g"], batch["names"], batch["texts"]):
+                kind, data = KINDS[g % 3], io.BytesIO()
+                if kind == ".zip":
+                    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                        for name, content in zip(names, texts):
+                            z.writestr(name, content)
+                        if g % 5 == 2:
+                            link = zipfile.ZipInfo("link")
+                            link.external_attr = 0o120777 << 16
+                            z.writestr(link, names[0])
+                else:
+                    with tarfile.open(fileobj=data, mode="w:gz" if kind == ".tgz" else "w") as t:
+                        for name, content in zip(names, texts):
+                            member = tarfile.TarInfo(name)
+                            member.size = len(content.encode())
+                            t.addfile(member, io.BytesIO(content.encode()))
+                        for test, name, type_ in ((g % 5 == 2, "link", tarfile.SYMTYPE), (g % 7 == 3, "pipe", tarfile.FIFOTYPE)):
+                            if test:
+                                member = tarfile.TarInfo(name)
+                                member.type = type_
+                                t.addfile(member)
+                store, path = archives.store_of(root)
+                store.create_dir(path)
+                with store.open_output_stream(f"{path}/archive-{g}{kind}") as out:
+                    out.write(data.getvalue())
+            yield batch[["g"]]
+
+    return run
+
+
+@register("s3_archive_members", f"""with p as (select *, page_id // 8 as g, page_id::varchar || '/' || {sql_pick(MEMBER_NAMES, 'page_id')} as name from pages),
+a as (select g, 'archive-' || g || {sql_pick(KINDS, 'g')} as archive_id, case when bool_or(contains(name, '..')) then 'unsafe_path' when g % 5 = 2 then 'link' when g % 7 = 3 and g % 3 > 0 then 'special_file' end as reason from p group by g)
+select archive_id, name, octet_length(encode(html))::bigint as size, sha256(html) as content_sha256, reason from p join a using (g) where reason is null
+union all select archive_id, null, null, null, reason from a where reason is not null""")
 def s3_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages packed by eight into ZIP archives inside tasks, read back as members; unsafe archives with their reason."""
-    names = ["a.txt", "b/c.py", "../up.txt", "d.md", "e.json", "f.txt", "g.sh", "h.js", "i.ts", "j.txt", "k.py"]
+    """Pages packed by eight into ZIP, TAR and TGZ archives, read back as streams of members; unsafe archives with their reason."""
     i = F.col("page_id")
-    name = F.concat(i.cast("string"), F.lit("/"), inputs.pick(names, i))
+    name = F.concat(i.cast("string"), F.lit("/"), inputs.pick(MEMBER_NAMES, i))
     packs = read(spark, sf_dir, "pages").groupBy(F.floor(i / 8).alias("g")).agg(F.array_sort(F.collect_list(F.struct(name.alias("name"), "html"))).alias("m"))
-    packs = packs.select(F.concat(F.lit("archive-"), F.col("g").cast("string"), F.lit(".zip")).alias("path"), F.transform("m", lambda x: x["name"]).alias("names"), F.transform("m", lambda x: x["html"]).alias("texts"))
-    members = written(archives.archive_members(packs.mapInPandas(_zipped, "path string, content binary")), "members")
-    good, rejected = archives.safe_members(members)
-    rows = good.select("archive_id", "name", "size", F.sha2("content", 256).alias("content_sha256"), F.lit(None).cast("string").alias("reason"))
-    return rows.unionByName(rejected.select("archive_id", "reason"), allowMissingColumns=True)
+    root = scratch(spark, "archives")
+    written(packs.select("g", F.transform("m", lambda x: x["name"]).alias("names"), F.transform("m", lambda x: x["html"]).alias("texts")).mapInPandas(_packed(root), "g long"), "packed")
+    good, rejected = archives.safe_members(written(archives.read_archives(spark, root), "members"))
+    shown = F.regexp_extract("archive_id", "[^/]+$", 0).alias("archive_id")
+    rows = good.select(shown, "name", "size", F.sha2("content", 256).alias("content_sha256"), F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(rejected.select(shown, "reason"), allowMissingColumns=True)
+
+
+PACK_TEXT = """
+- id: SI-PACK-001
+  name: Remote login
+  description: a
+  severity: medium
+  category: remote_access
+  language: shell
+  pattern: '\\b(?:ssh|scp)\\s+\\w'
+  explanation: b
+  recommendation: c
+  capabilities: [network_access]
+- id: SI-PACK-002
+  name: Words of a heading
+  description: a
+  severity: info
+  category: wording
+  language: markdown
+  pattern: '(?i)\\Aplain\\s+words\\b'
+  explanation: b
+  recommendation: c
+"""
+
+
+@register("s4_rule_pack", f"""with r as (select * from (values ('SI-PACK-001', 'shell', '\\bs(?:sh|cp)\\s+\\w', 'medium', 'network_access'), ('SI-PACK-002', 'markdown', '(?i)^plain\\s+words\\b', 'info', '')) v(rule_id, lang, pattern, severity, capabilities)),
+h as (select l.target_id, l.path, l.line::int as line, r.rule_id, r.severity, r.capabilities, l.raw, row_number() over (partition by l.target_id, l.path, r.rule_id order by l.line) as n
+  from ({lines_sql(SOURCES_SQL, 'target_id, path, language')}) l join r on l.language = r.lang and regexp_matches({plain_sql('substr(l.raw, 1, 20000)')}, r.pattern))
+select target_id, path, line, rule_id, severity, capabilities, {strip_sql('raw')} as snippet from h where n <= 100""")
+def s4_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack of rules, from its YAML text to the findings of its rules; rules that are not valid would be left out."""
+    pack = reports.validate_rules(reports.load_rule_pack(spark, PACK_TEXT)).where("reason is null")
+    found = detectors.scan_rule_table(sources(spark, sf_dir), pack)
+    return found.select("target_id", "path", "line", "rule_id", "severity", joined(F.col("capabilities")).alias("capabilities"), "snippet")
 
 
 # --- D, R: rules ------------------------------------------------------------------------------------------------------

@@ -1,16 +1,23 @@
-"""Archives as tables of members: which may be unpacked, and why not."""
+"""Archives as tables of members: which may be unpacked, and why not. Archives are streamed, a piece of a member at a time."""
 
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 import unicodedata
 import zipfile
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import IO
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
 from ..functions import paths
@@ -61,58 +68,177 @@ def archive_audit(members: DataFrame, normalise: bool = True) -> DataFrame:
     return agg.select("archive_id", "n_members", "total_bytes", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
-def _members_of(path: str, data: bytes) -> tuple[list[tuple], str | None]:
-    """Member rows (name, size, compressed, dir, link, special, content) of one archive; a reason if it can't be read."""
+MEMBERS = (
+    "archive_id string, name string, size long, compressed_size long, is_dir boolean, is_link boolean, is_special boolean, piece int, content binary, file_bytes long, error string"
+)
+#: Bytes of content in a row, and of small archives that one task reads.
+PIECE, GROUP = 4 << 20, 64 << 20
+#: Bytes of an empty ZIP archive.
+LEAST_ZIP = 22
+SUFFIX = re.compile(r"\.(?:zip|tar|tar\.gz|tgz)\Z", re.IGNORECASE)
+_COLUMNS = [c.split(" ")[0] for c in MEMBERS.split(", ")]
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
+_SCHEMA = pa.schema([(c.split(" ")[0], _TYPES[c.split(" ")[1]]) for c in MEMBERS.split(", ")])
+Header = tuple[str, int, int | None, bool, bool, bool]
+
+
+def _zip_headers(z: zipfile.ZipFile) -> Iterator[tuple[Header, zipfile.ZipInfo | None]]:
+    for i in z.infolist():
+        link = (i.external_attr >> 16) & 0o170000 == 0o120000
+        small = i.file_size <= MAX_RATIO * max(1, i.compress_size)
+        yield (i.filename, i.file_size, i.compress_size, i.is_dir(), link, False), None if i.is_dir() or link or not small else i
+
+
+def _tar_headers(t: tarfile.TarFile) -> Iterator[tuple[Header, tarfile.TarInfo | None]]:
+    for m in t:
+        t.members = []  # it would keep them all
+        link = m.issym() or m.islnk()
+        yield (m.name, m.size, None, m.isdir(), link, not (m.isfile() or m.isdir() or link)), m if m.isfile() else None
+
+
+def _pieces(member: IO[bytes]) -> Iterator[bytes]:
+    yield (piece := member.read(PIECE))
+    while len(piece) == PIECE:
+        piece = member.read(PIECE)
+        if piece:
+            yield piece
+
+
+def member_rows(path: str, file: IO[bytes], file_bytes: int, content: bool = True) -> Iterator[tuple]:
+    """Rows of one archive, a piece of a member at a time: first all headers are looked at, and only where they keep within the
+    limits of number, sizes and ratio is any content read. An archive that can't be read has one row with `error`, the last."""
+
+    def row(header: Header, piece: int, data: bytes | None) -> tuple:
+        return (path, *header, piece, data, file_bytes, None)
+
     try:
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                infos = z.infolist()
-                if len(infos) > MAX_MEMBERS or sum(i.file_size for i in infos) > MAX_TOTAL_BYTES or any(i.file_size > MAX_MEMBER_BYTES for i in infos):
-                    return [(i.filename, i.file_size, i.compress_size, i.is_dir(), False, False, None) for i in infos], None
-                out = []
-                for i in infos:
-                    link = (i.external_attr >> 16) & 0o170000 == 0o120000
-                    small = i.file_size <= MAX_RATIO * max(1, i.compress_size)
-                    out.append((i.filename, i.file_size, i.compress_size, i.is_dir(), link, False, None if i.is_dir() or link or not small else z.read(i)))
-                return out, None
-        out, total = [], 0
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for n, m in enumerate(t):
-                total += m.size
-                fine = m.isfile() and m.size <= MAX_MEMBER_BYTES and total <= MAX_TOTAL_BYTES and total <= MAX_RATIO * max(1, len(data))
-                out.append((m.name, m.size, None, m.isdir(), m.issym() or m.islnk(), not (m.isfile() or m.isdir() or m.issym() or m.islnk()), t.extractfile(m).read() if fine else None))
-                if n >= MAX_MEMBERS or total > MAX_TOTAL_BYTES:
-                    break
-        return out, None
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, RuntimeError, ValueError, EOFError, NotImplementedError) as e:
-        return [], f"unreadable: {type(e).__name__}"
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["archive_id", "name", "size", "compressed_size", "is_dir", "is_link", "is_special", "content", "file_bytes", "error"]
-    for batch in batches:
-        for path, data in zip(batch["path"], batch["content"]):
-            rows, error = _members_of(path, data)
-            full = [(path, *r, len(data), None) for r in rows] + ([(path, None, None, None, None, None, None, None, len(data), error)] if error else [])
-            out = pd.DataFrame(full, columns=columns)
-            yield out.astype({"size": "Int64", "compressed_size": "Int64", "file_bytes": "Int64", "is_dir": "boolean", "is_link": "boolean", "is_special": "boolean"})
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per member of every archive under path, or one row with `error`; nothing is unpacked to disk."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return archive_members(files.where(files["path"].rlike(r"(?i)\.(?:zip|tar|tar\.gz|tgz)\z")))
+        if zipped := file_bytes >= LEAST_ZIP and zipfile.is_zipfile(file):
+            archive, headers = zipfile.ZipFile(file), _zip_headers
+        else:
+            file.seek(0)
+            archive, headers = tarfile.open(fileobj=file), _tar_headers
+        seen, total, fine = [], 0, content
+        for header, _ in headers(archive):
+            seen.append(header)
+            total += header[1]
+            if len(seen) > MAX_MEMBERS or total > MAX_TOTAL_BYTES or header[1] > MAX_MEMBER_BYTES or (not zipped and total > MAX_RATIO * max(1, file_bytes)):
+                fine = False
+            if len(seen) > MAX_MEMBERS or total > MAX_TOTAL_BYTES:
+                break
+        if not fine:
+            yield from (row(header, 0, None) for header in seen)
+            return
+        if not zipped:
+            file.seek(0)
+            archive = tarfile.open(fileobj=file)
+        for header, member in headers(archive):
+            if member is None:
+                yield row(header, 0, None)
+                continue
+            with archive.open(member) if zipped else archive.extractfile(member) as opened:
+                for k, data in enumerate(_pieces(opened)):
+                    yield row(header, k, data)
+    except (zipfile.BadZipFile, tarfile.TarError, zlib.error, OSError, RuntimeError, ValueError, EOFError, NotImplementedError) as e:
+        yield (path, None, None, None, None, None, None, 0, None, file_bytes, f"unreadable: {type(e).__name__}")
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most some PIECE bytes of content."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[8] or b"") + 200
+        if size >= PIECE:
+            yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, r)) for r in held], _SCHEMA)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist([dict(zip(_COLUMNS, r)) for r in held], _SCHEMA)
+
+
+def store_of(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and the path in it."""
+    return pafs.FileSystem.from_uri(path) if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:/", path) else (pafs.LocalFileSystem(), path)
+
+
+@dataclass
+class _Archives(InputPartition):
+    """Archives that one task reads: a large one, or small ones of GROUP bytes together."""
+
+    files: list[tuple[str, int]]
+
+
+class _ArchiveReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.content = options["path"], options.get("content", "true").lower() == "true"
+
+    def partitions(self) -> list[_Archives]:
+        store, root = store_of(self.path)
+        info = store.get_file_info(root)
+        every = [info] if info.is_file else store.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+        parts, size = [], GROUP
+        for f in sorted((f for f in every if f.is_file and SUFFIX.search(f.path)), key=lambda f: f.path):
+            if size + f.size > GROUP:
+                parts.append(_Archives([]))
+                size = 0
+            parts[-1].files.append((f.path, f.size))
+            size += f.size
+        return parts
+
+    def read(self, partition: _Archives | None) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(self.path)
+        for path, size in partition.files if partition else ():
+            with store.open_input_file(path) as file:
+                yield from _batches(member_rows(path, file, size, self.content))
+
+
+class ArchiveMembers(DataSource):
+    """spark.read.format("archive-members").load(folder or file): a row per piece of every member of every ZIP and TAR archive.
+
+    Archives are opened where they lie, in any store that Arrow's file systems reach from the executors, and streamed: neither
+    an archive nor a member is ever held whole, and none is a row. Option content=false reads headers only.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive-members"
+
+    def schema(self) -> str:
+        return MEMBERS
+
+    def reader(self, schema) -> _ArchiveReader:
+        return _ArchiveReader(self.options)
+
+
+def read_archives(spark: SparkSession, path: str, content: bool = True) -> DataFrame:
+    """The rows of all archives under path, see ArchiveMembers; nothing is unpacked to disk."""
+    spark.dataSource.register(ArchiveMembers)
+    return spark.read.format("archive-members").option("content", str(content).lower()).load(path)
 
 
 def archive_members(files: DataFrame) -> DataFrame:
     """The same of archives that lie in a table (path, content)."""
-    return files.select("path", "content").mapInPandas(_read, "archive_id string, name string, size long, compressed_size long, is_dir boolean, is_link boolean, is_special boolean, content binary, file_bytes long, error string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+                raw = data.as_py() or b""
+                yield from _batches(member_rows(path, io.BytesIO(raw), len(raw)))
+
+    return files.select("path", "content").mapInArrow(run, MEMBERS)
+
+
+def whole_members(pieces: DataFrame) -> DataFrame:
+    """(archive_id, name, size, content) of the files among members; only members of several pieces are gathered, each by itself."""
+    files = pieces.where("not is_dir and content is not null")
+    several = files.where(F.col("size") > PIECE).groupBy("archive_id", "name", "size").agg(F.array_sort(F.collect_list(F.struct("piece", "content"))).alias("ps"))
+    joined = F.aggregate(F.transform("ps", lambda p: p["content"]), F.lit(b""), lambda a, b: F.concat(a, b))
+    return files.where(F.col("size") <= PIECE).select("archive_id", "name", "size", "content").unionByName(several.select("archive_id", "name", "size", joined.alias("content")))
 
 
 def safe_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members of accepted archives that are files, rejected archives with reason)."""
     broken = members.where("error is not null").select("archive_id", F.col("error").alias("reason"))
-    audit = archive_audit(members.where("error is null"))
+    audit = archive_audit(members.where("piece = 0").join(broken, "archive_id", "left_anti"))
     fine = audit.where("accepted").select("archive_id")
-    files = members.where("error is null and not is_dir").join(fine, "archive_id", "left_semi")
-    return files.select("archive_id", "name", "size", "content"), broken.unionByName(audit.where("not accepted").select("archive_id", "reason"))
+    files = whole_members(members.join(fine, "archive_id", "left_semi"))
+    return files, broken.unionByName(audit.where("not accepted").select("archive_id", "reason"))
