@@ -369,3 +369,25 @@ def test_archives_in_a_table_and_broken_ones(spark):
     good, rejected = archives.safe_members(archives.archive_members(table))
     assert sorted((r.archive_id, r.name) for r in good.collect()) == [("a.tgz", f"{k}.txt") for k in range(3)]
     assert sorted(r.archive_id for r in rejected.collect()) == ["cut.tgz", "null.zip", "text.tar"]
+
+
+def test_sinks_replace_whole_versions(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    one, two = spark.range(3).withColumn("part", F.col("id") % 2), spark.range(5)
+    with pytest.raises(ValueError):
+        files.read_version(spark, path, "a")
+    assert files.write_version({"a": one, "b": two}, path, {"a": ("part",)}) == 1
+
+    broken = spark.range(4).withColumn("id", F.raise_error(F.lit("stop")).cast("long"))
+    with pytest.raises(Exception, match="stop"):  # after the first of two tables
+        files.write_version({"a": one.limit(1), "b": broken}, path)
+    assert files.read_version(spark, path, "a").count() == 3 and files.read_version(spark, path, "b").count() == 5
+    assert files.write_version({"a": one.limit(1), "b": two.limit(2)}, path) == 2
+    assert files.read_version(spark, path, "a").count() == 1 and files.read_version(spark, path, "b").count() == 2
+    assert files.read_version(spark, path, "a", version=1).count() == 3
+
+
+def test_collision_keys_of_names(spark):
+    names = ["A/b", "./a//B", "café", "café", "CAFÉ", "Straße", "STRASSE", None]
+    keys = values(spark, archives.collision_key, names)
+    assert keys == ["a/b", "a/b", "café", "café", "café", "strasse", "strasse", None]

@@ -683,15 +683,15 @@ def u6_discovery_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("u7_archive_audit", f"""
-with p as (select *, {UNSAFE} as unsafe, lower(array_to_string(ps, '/')) as key, size > 0 and (compressed_size = 0 or size / nullif(compressed_size, 0) > 200) as bloated from ({MEMBER_PARTS}) q),
+with p as (select *, {UNSAFE} as unsafe, lower(nfc_normalize(array_to_string(ps, '/'))) as key, size > 0 and (compressed_size = 0 or size / nullif(compressed_size, 0) > 200) as bloated from ({MEMBER_PARTS}) q),
 k as (select archive_id, key, count(*) as n from p group by all),
 a as (select archive_id, count(*) as n_members, sum(size)::bigint as total_bytes, max(size) as largest, bool_or(unsafe) as unsafe, bool_or(is_link) as link, bool_or(is_special) as special, bool_or(bloated) as bloated,
   (select max(n) from k where k.archive_id = p.archive_id) as copies from p group by archive_id)
 select archive_id, n_members::bigint as n_members, total_bytes, reason is null as accepted, reason from (select *, case when n_members > 10000 then 'too_many_members' when unsafe then 'unsafe_path' when link then 'link' when special then 'special_file'
   when largest > 25000000 then 'member_too_large' when total_bytes > 250000000 then 'total_too_large' when bloated then 'ratio_too_high' when copies > 1 then 'duplicate_path' end as reason from a) r""")
 def u7_archive_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys in lower case only: these names are ASCII, and SQL has no normal form (unit tests cover that)."""
-    return archives.archive_audit(inputs.members(spark, sf_dir), normalise=False)
+    """Names that are one in normal form and case collide."""
+    return archives.archive_audit(inputs.members(spark, sf_dir))
 
 
 # --- A: risk ----------------------------------------------------------------------------------------------------------
@@ -805,12 +805,13 @@ def a12_bounded_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("s5_written_tables", f"""select 'findings' as kind, severity as part, count(*)::bigint as n from ({DEDUPED_SQL}) d group by severity
 union all select 'dependencies', 'pypi', count(*)::bigint from ({PARSED_SQL}) p""")
 def s5_written_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings and dependencies written by the sinks and read again."""
-    one, two = scratch(spark, "findings"), scratch(spark, "dependencies")
-    sources_.write_findings(fd.dedupe_findings(inputs.findings(spark, sf_dir)), one)
-    sources_.write_dependencies(manifests.requirements_deps(inputs.requirement_files(spark, sf_dir)), two)
-    a = spark.read.parquet(one).groupBy(F.lit("findings").alias("kind"), F.col("severity").alias("part")).agg(F.count("*").alias("n"))
-    return a.unionByName(spark.read.parquet(two).groupBy(F.lit("dependencies").alias("kind"), F.col("ecosystem").alias("part")).agg(F.count("*").alias("n")))
+    """Findings and dependencies written by the sinks, twice, and read again: a rerun replaces."""
+    path = scratch(spark, "sinks")
+    deduped, dependencies = fd.dedupe_findings(inputs.findings(spark, sf_dir)), manifests.requirements_deps(inputs.requirement_files(spark, sf_dir))
+    sources_.write_findings(deduped, path)
+    sources_.write_version({"findings": deduped, "dependencies": dependencies}, path, {"findings": ("severity",), "dependencies": ("ecosystem",)})
+    a = sources_.read_version(spark, path, "findings").groupBy(F.lit("findings").alias("kind"), F.col("severity").alias("part")).agg(F.count("*").alias("n"))
+    return a.unionByName(sources_.read_version(spark, path, "dependencies").groupBy(F.lit("dependencies").alias("kind"), F.col("ecosystem").alias("part")).agg(F.count("*").alias("n")))
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -822,36 +823,44 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPORTS_SQL = f"""with r as (select target_id, score, {LEVEL_SQL} as level from ({RISK_SQL}) q),
-f as (select target_id, count(*)::int as n_findings, min_by(rule_id || '/' || name, rank) as first, min_by(name, rank) as first_name from ({RANKED_SQL}) k group by 1),
-d as (select target_id, count(*)::int as n_dependencies, min(name) as first_dependency from ({PARSED_SQL}) p group by 1)"""
+f as (select target_id, string_agg(rank || '/' || rule_id || '/' || name || '/' || severity || '/' || category || '/' || path || '/' || line || '/' || array_to_string(capabilities, '+'), ';' order by rank) as findings,
+  string_agg(name || '/token = "' || left(name, 2) || '****...6789"', ';' order by rank) as shown from ({RANKED_SQL}) k group by 1),
+d as (select target_id, sha256(string_agg(name || '/' || specifier || '/' || source_type || '/' || pinned, ';' order by name || '/' || specifier || '/' || source_type || '/' || pinned)) as dependencies from ({PARSED_SQL}) p group by 1)"""
 
 
-@register("a13_reports", f"{REPORTS_SQL} select r.target_id, level, score, 'complete' as status, n_findings, first, n_dependencies, first_dependency from r left join f using (target_id) left join d using (target_id)")
+@register("a13_reports", f"{REPORTS_SQL} select r.target_id, level, score, 'complete' as status, findings, dependencies from r left join f using (target_id) left join d using (target_id)")
 def a13_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    many = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
-    head = F.try_element_at("findings", F.lit(1))
+    """All entries of the reports as text."""
+    finding = lambda f: F.concat_ws("/", f["rank"].cast("string"), f["rule_id"], f["name"], f["severity"], f["category"], f["path"], f["line"].cast("string"), F.array_join(f["capabilities"], "+"))
+    dependency = lambda d: F.concat_ws("/", d["name"], d["specifier"], d["source_type"], d["pinned"].cast("string"))
     return _reports(spark, sf_dir).select(
-        "target_id", "risk.level", F.col("risk.score").cast("int").alias("score"), "coverage.status", many("findings").alias("n_findings"), F.when(head.isNotNull(), F.concat(head["rule_id"], F.lit("/"), head["name"])).alias("first"),
-        many("dependencies").alias("n_dependencies"), F.try_element_at("dependencies", F.lit(1))["name"].alias("first_dependency"),
+        "target_id", "risk.level", F.col("risk.score").cast("int").alias("score"), "coverage.status", F.array_join(F.transform("findings", finding), ";").alias("findings"),
+        F.sha2(F.array_join(F.array_sort(F.transform("dependencies", dependency)), ";"), 256).alias("dependencies"),
     )
 
 
-@register("s6_json_reports", f"""{REPORTS_SQL} select r.target_id, '1.1' as schema_version, level, score::varchar as score, first_name, 'token = "' || left(first_name, 2) || '****...6789"' as snippet from r left join f using (target_id)""")
+@register("s6_json_reports", f"""{REPORTS_SQL} select r.target_id, '1.1' as schema_version, level, score::varchar as score, shown from r left join f using (target_id)""")
 def s6_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reports as JSON, with the name and the redacted snippet of every finding."""
     get = lambda path, name: F.get_json_object("json", path).alias(name)
-    return reports.json_reports(_reports(spark, sf_dir)).select("target_id", get("$.schema_version", "schema_version"), get("$.risk.level", "level"), get("$.risk.score", "score"), get("$.findings[0].name", "first_name"), get("$.findings[0].snippet", "snippet"))
+    entries = F.from_json(F.get_json_object("json", "$.findings"), "array<struct<name: string, snippet: string>>")
+    shown = F.array_join(F.transform(entries, lambda f: F.concat_ws("/", f["name"], f["snippet"])), ";").alias("shown")
+    return reports.json_reports(_reports(spark, sf_dir)).select("target_id", get("$.schema_version", "schema_version"), get("$.risk.level", "level"), get("$.risk.score", "score"), shown)
 
 
 @register("a14_review_payload", f"""with s as ({SOURCES_SQL}), p as (select *, {ROLES['is_prompt']} as role from s), q as (select target_id, path, row_number() over (partition by target_id order by path) as n from p where role),
 k as (select *, row_number() over (partition by target_id order by case severity when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end, lower(path), line, rule_id) as n from ({SHELL_KEPT}) h),
-f as (select target_id, least(count(*), 20)::int as n_findings, min_by(rule_id, n) as first_rule from k group by 1), g as (select target_id, least(count(*), 3)::int as n_files, min(path) as first_path from q group by 1)
-select target_id, n_findings, first_rule, n_files, first_path from f full join g using (target_id)""")
+f as (select target_id, string_agg(n || '/' || rule_id || '/' || severity || '/' || path || '/' || line || '/' || {redact_line_sql('raw')}, ';' order by n) as findings from k where n <= 20 group by 1),
+g as (select target_id, string_agg(path, ';' order by path) as files from q where n <= 3 group by 1)
+select target_id, findings, files from f full join g using (target_id)""")
 def a14_review_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings and files of the payload; the texts of the files are covered by unit tests."""
     s = sources(spark, sf_dir)
     ranked = fd.rank_findings(fd.dedupe_findings(fd.union_findings(detectors.detect_shell(s))))
     payload = reports.review_payload(ranked, s)
-    get = lambda path: F.get_json_object("payload", path)
-    return payload.select("target_id", F.json_array_length(get("$.findings")).alias("n_findings"), get("$.findings[0].rule_id").alias("first_rule"), F.json_array_length(get("$.files")).alias("n_files"), get("$.files[0].path").alias("first_path"))
+    read_ = F.from_json("payload", "findings array<struct<rank: long, rule_id: string, severity: string, path: string, line: int, snippet: string>>, files array<struct<path: string>>")
+    finding = lambda f: F.concat_ws("/", f["rank"].cast("string"), f["rule_id"], f["severity"], f["path"], f["line"].cast("string"), f["snippet"])
+    return payload.withColumn("p", read_).select("target_id", F.array_join(F.transform("p.findings", finding), ";").alias("findings"), F.array_join(F.transform("p.files", lambda f: f["path"]), ";").alias("files"))
 
 
 PATTERNS = [(r"\bok[a-z]{1,3}x", None), ("(a+)+$", "nested_repetition"), ("(a|aa)+$", "repeated_alternatives"), (r"(a)\1", "backreference"), ("a*a*", "overlapping_repetition"), ("(", "invalid_pattern"), (r"\s+[a-z]+", None), ("[a-z]+[A-Z]+", "overlapping_repetition"), (r"\w+\d+", "overlapping_repetition"), ("(?:a|b)?c+", None)]

@@ -128,6 +128,8 @@ def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 REQUIREMENTS_SQL = f"""select l_orderkey::varchar as target_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g') || {sql_pick(SPECIFIERS, 'l_linenumber + l_partkey')}) as line,
   regexp_replace(p_name, '[^A-Za-z0-9]+', '-', 'g') || {sql_pick(SPECIFIERS, 'l_linenumber + l_partkey')} as declaration from lineitem join part on l_partkey = p_partkey"""
 
+#: Members of every eighth archive; some have one normal form.
+SAME_NAMES = ["/caf\u00e9.txt", "/x", "/cafe\u0301.txt", "/y", "/z", "/\u0434/\u0418", "/CAF\u00c9.txt", "/w"]
 MEMBER_TAILS = ["", "/../x", "/ok.txt", "/con.txt", "/trailing.", "/a:b", "//a", "/./b", "\\c"]
 
 
@@ -136,13 +138,15 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = read(spark, sf_dir, "pages")
     i = F.col("page_id")
     name = F.concat(F.regexp_replace("url", "^[a-z]+://", ""), F.when(F.floor(i / 8) % 2 == 0, "").otherwise(pick(MEMBER_TAILS, i)))
+    name = F.when(F.floor(i / 8) % 8 == 6, F.concat(F.lit("same"), pick(SAME_NAMES, i % F.when(F.floor(i / 16) % 2 == 0, 8).otherwise(2)))).otherwise(name)
     return x.select(
         F.floor(i / 8).alias("archive_id"), name.alias("name"), (F.length("html") * (F.when(i % 97 == 0, 10_000).otherwise(1))).cast("long").alias("size"), (F.length("html") / F.when(i % 31 == 0, 300).otherwise(3)).cast("long").alias("compressed_size"),
         F.lit(False).alias("is_dir"), (i % 53 == 0).alias("is_link"), (i % 59 == 0).alias("is_special"),
     )
 
 
-MEMBERS_SQL = f"""select page_id // 8 as archive_id, regexp_replace(url, '^[a-z]+://', '') || case when (page_id // 8) % 2 = 0 then '' else {sql_pick(MEMBER_TAILS, 'page_id')} end as name,
+MEMBERS_SQL = f"""select page_id // 8 as archive_id, case when (page_id // 8) % 8 = 6 then 'same' || {sql_pick(SAME_NAMES, 'page_id % case when (page_id // 16) % 2 = 0 then 8 else 2 end')}
+  else regexp_replace(url, '^[a-z]+://', '') || case when (page_id // 8) % 2 = 0 then '' else {sql_pick(MEMBER_TAILS, 'page_id')} end end as name,
   (length(html) * case when page_id % 97 = 0 then 10000 else 1 end)::bigint as size, trunc(length(html) / case when page_id % 31 = 0 then 300 else 3 end)::bigint as compressed_size,
   page_id % 53 = 0 as is_link, page_id % 59 = 0 as is_special from pages"""
 

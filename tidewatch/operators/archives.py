@@ -29,14 +29,17 @@ REASONS = ("too_many_members", "unsafe_path", "link", "special_file", "member_to
 
 @F.pandas_udf(StringType())
 def composed(name: pd.Series) -> pd.Series:
-    """NFC and case fold; the JVM has no normalisation function."""
+    """NFC and case fold, for names beyond ASCII; the JVM has no normalisation function."""
     return name.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).casefold())
 
 
 def collision_key(name: Column, normalise: bool = True) -> Column:
     """Path with which two members collide."""
     clean = F.array_join(F.filter(paths.parts(name), lambda x: (x != "") & (x != ".")), "/")
-    return composed(clean) if normalise else F.lower(clean)
+    if not normalise:
+        return F.lower(clean)
+    plain = clean.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(plain, F.lower(clean)).otherwise(composed(F.when(~plain, clean)))
 
 
 def archive_audit(members: DataFrame, normalise: bool = True) -> DataFrame:

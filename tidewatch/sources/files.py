@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -84,9 +87,46 @@ def discovery_limits(raw_files: DataFrame, found: DataFrame, entries: int = MAX_
     return both.withColumn("reason", reason).where("reason is not null").select("target_id", "reason")
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    findings.write.partitionBy("severity").parquet(path)
+VERSIONS = "version long, folder string"
+
+
+def write_version(tables: dict[str, DataFrame], path: str, partition_by: dict[str, tuple[str, ...]] | None = None) -> int:
+    """Writes tables together as the next version under path, and returns its number.
+
+    The tables go into a new folder; only when all are there does one row of the table of versions name it, so a reader has
+    all tables of one version, a rerun replaces what was there, and a run that fails changes nothing. One writer at a time;
+    folders of earlier versions stay until the owner of the path removes them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    number = (_versions(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+    folder = f"version-{number}-{uuid.uuid4().hex}"
+    for name, table in tables.items():
+        table.write.partitionBy(*(partition_by or {}).get(name, ())).parquet(f"{path}/{folder}/{name}")
+    spark.createDataFrame([(number, folder)], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return number
+
+
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], VERSIONS)
+
+
+def read_version(spark: SparkSession, path: str, table: str, version: int | None = None) -> DataFrame:
+    """A table of a version, or of the latest; without any version it is a ValueError."""
+    found = _versions(spark, path)
+    last = (found if version is None else found.where(F.col("version") == version)).orderBy(F.desc("version")).first()
+    if last is None:
+        raise ValueError(f"no such version under {path}")
+    return spark.read.parquet(f"{path}/{last['folder']}/{table}")
+
+
+def write_findings(findings: DataFrame, path: str) -> int:
+    return write_version({"findings": findings}, path, {"findings": ("severity",)})
 
 
-def write_dependencies(dependencies: DataFrame, path: str) -> None:
-    dependencies.write.partitionBy("ecosystem").parquet(path)
+def write_dependencies(dependencies: DataFrame, path: str) -> int:
+    return write_version({"dependencies": dependencies}, path, {"dependencies": ("ecosystem",)})
