@@ -916,6 +916,47 @@ def w1_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("target_id", "files_scanned", "skipped_count", "n_findings", F.col("score").cast("int").alias("score"), "level")
 
 
+#: Code files by kind: where they lie, and the rules that their scanner alone reports.
+KIND_FILES = {
+    "powershell": ("code/ps/", ".ps1", "SI-PS-"), "javascript": ("code/js/", ".js", "SI-JS-"), "python": ("code/py/", ".py", "SI-PY-00"), "behavior": ("code/behave/", ".py", "SI-PY-02"), "github-actions": (".github/workflows/w-", ".yml", "SI-GHA-"),
+}
+LIVE_FILES_SQL = f"select * from ({inputs.files_sql(inputs.PLAIN_FILES)}) w where {LANGUAGE} is not null and not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})"
+KINDS_SQL = " union ".join(
+    f"select target_id, '{lead}' || regexp_replace(path, '^code/', '') || '{tail}' as path, line, rule_id from ({inputs.code_sql(kind)}) k where starts_with(rule_id, '{rules}')" for kind, (lead, tail, rules) in KIND_FILES.items()
+)
+
+
+@register("w1_all_kinds", f"""{WHOLE_SQL.split(',' + chr(10) + 'c as (select target_id, count')[0].replace(SCANNED_SQL, LIVE_FILES_SQL)}
+select target_id, path, line, rule_id from f union {KINDS_SQL}
+union select source, 'deps/' || doc_id || '/requirements.txt', 2, 'SI-DEP-001' from documents
+union select target_id, path, 1, 'SI-USR-009' from (select *, {LANGUAGE} as language from ({LIVE_FILES_SQL}) v) n where language = 'markdown' and length(content) > 3000""".replace("source as target_id", "source || '-' || (doc_id // 100) as target_id").replace("select source, 'deps/'", "select source || '-' || (doc_id // 100), 'deps/'"))
+def w1_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scan over scripts, code, workflows, manifests and a user scanner together: where each rule of each kind was found."""
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    target = F.concat_ws("-", F.col("source"), F.floor(i / 100).cast("string")).alias("target_id")
+    # The derived files carry their document's id in the path, between the folder and the name.
+    plain = inputs.files(spark, sf_dir, inputs.PLAIN_FILES)
+    number = F.regexp_extract("path", r"/([0-9]+)/[^/]*$", 1).cast("long")
+    parts = [plain.select(F.concat_ws("-", "target_id", F.floor(number / 100).cast("string")).alias("target_id"), "path", "content")]
+    for kind, (lead, tail, _) in KIND_FILES.items():
+        code = inputs.code_files(spark, sf_dir, kind)
+        own = F.regexp_extract("path", "^code/([0-9]+)", 1)
+        parts.append(code.select(F.concat_ws("-", "target_id", F.floor(own.cast("long") / 100).cast("string")).alias("target_id"), F.concat(F.lit(lead), own, F.lit(tail)).alias("path"), "content"))
+    parts.append(d.select(target, F.concat(F.lit("deps/"), i.cast("string"), F.lit("/requirements.txt")).alias("path"), F.concat(F.lit("lib-"), i.cast("string"), F.lit("==1.0\nother>=2\n")).alias("content")))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    raw = every.select("target_id", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
+    user = reports.Scanners()
+    user.register_scanner("long-notes", (F.col("language") == "markdown") & (F.length("content") > 3000), lambda s: s.select("target_id", "path", F.lit("SI-USR-009").alias("rule_id"), F.lit("Long note").alias("name"), F.lit("info").alias("severity"), F.lit("notes").alias("category"), F.lit(1).alias("line")))
+    found = corpus.scan_corpus(raw, user=user)["findings"]
+    kinds = F.lit(False)
+    for lead, _, rules in KIND_FILES.values():
+        kinds = kinds | (F.col("path").startswith(lead) & F.col("rule_id").startswith(rules))
+    code = F.col("path").startswith("code/") | F.col("path").startswith(".github/workflows/w-")
+    return found.where(kinds | ~code).select("target_id", "path", "line", "rule_id").distinct()
+
+
 # --- X: syntax --------------------------------------------------------------------------------------------------------
 # The expected rows of the SQL follow from the pieces of code, whose findings are known; the prose before them is comment.
 def _evidence(found: DataFrame) -> DataFrame:
