@@ -15,7 +15,9 @@ How pairs are found without ever making all pairs of a group:
    hold them. Two sets that are similar enough share a shingle among the first of either (a prefix of about a fifth), so
    nodes meet again by the shingles of their prefixes that several parts hold. A shared passage is far behind in that order.
 4. There too, members are first compared with one leader per shingle, the same for as many shingles as can be; shingles
-   whose members are all in one part are settled. What is left is clustered by shared shingles. A cluster, or each of its
+   whose members are all in one part are settled. Where the rest would still be many rows in blocks, as in a large group of
+   texts about as similar as the threshold, other leaders follow, turn by turn, as long as a turn links a twentieth of what is
+   open: each leader links a share of its group, so few turns leave little of it. What is left is clustered by shared shingles. A cluster, or each of its
    shingles where that sends fewer sets, is dealt into blocks of bounded size, and the members of two blocks are compared
    on their full sets inside a task, which returns links only: no row per pair is made.
 
@@ -275,6 +277,8 @@ def _unsettled(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(open_, key)
 
 
+#: Turns of leaders at most, and how many times the open rows blocks may send before another turn is tried.
+MOST_TURNS, MANY = 16, 4
 #: Members and shingles of a block, about; two blocks are in memory at a time.
 BLOCK, BLOCK_ITEMS = 192, 150_000
 
@@ -344,6 +348,14 @@ def _units(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     return of_cluster.unionByName(of_shingle), chosen.select("cluster", "unit", "blocks")
 
 
+def _many_rows(met: DataFrame) -> bool:
+    """Whether comparing what is open in blocks, shingle by shingle, would send many times the rows that there are."""
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    units = met.groupBy("h").agg(F.count("*").alias("m"), *marks).select("m", "mark0", "mark1").distinct()
+    rows, sent = units.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.ceil(F.col("m") / BLOCK)), F.lit(0))).first()
+    return sent > MANY * rows
+
+
 def _marked(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     """rows (key, doc_id) with the part of each node."""
     return rows.select(key, "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(key, "doc_id", F.coalesce("component", "doc_id").alias("part"))
@@ -357,12 +369,18 @@ def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer) -
     met = written(_unsettled(_prefixes(members, percent), "h"), "prefixes")
     if met.isEmpty():
         return parts
-    # The same order of leaders for all shingles, so that nodes which share many meet one leader.
-    heads = met.groupBy("h").agg(F.min(F.struct(F.xxhash64("doc_id").alias("o"), "doc_id", "part")).alias("head")).select("h", F.col("head.doc_id").alias("leader"), F.col("head.part").alias("lead"))
-    parts = _joined(parts, confirm(met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct()))
-    met = written(_unsettled(_marked(met, "h", parts), "h"), "prefixes")
-    if met.isEmpty():
-        return parts
+    for turn in range(MOST_TURNS):
+        # The same order of leaders for all shingles, so that nodes which share many meet one leader; another order each turn.
+        order = F.xxhash64("doc_id", *([F.lit(turn)] if turn else []))
+        heads = met.groupBy("h").agg(F.min(F.struct(order.alias("o"), "doc_id", "part")).alias("head")).select("h", F.col("head.doc_id").alias("leader"), F.col("head.part").alias("lead"))
+        links = written(confirm(met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct()), "leader-links")
+        found, open_ = links.count(), met.select("part").distinct().count() if turn else 0
+        parts = _joined(parts, links)
+        met = written(_unsettled(_marked(met, "h", parts), "h"), "prefixes")
+        if met.isEmpty():
+            return parts
+        if not _many_rows(met) or 20 * found < open_:
+            break
     near = met.join(met.groupBy("h").agg(F.min("doc_id").alias("head")), "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     met = written(met.join(clusters, "doc_id").join(nodes.select("doc_id", F.col("n_shingles").alias("n")), "doc_id"), "clusters")
