@@ -3,6 +3,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from tidewatch.functions import search
 from tidewatch.operators import components, python_code, syntax, workflows
 
@@ -99,17 +101,48 @@ def naive_js(code):
     return "".join(out)
 
 
-def test_javascript_mask_against_a_plain_walk():
+def masked(spark, mask, codes):
+    rows = spark.createDataFrame(list(enumerate(codes)), "i int, c string").select("i", mask(F.col("c")).alias("m")).orderBy("i").collect()
+    return [r.m for r in rows]
+
+
+def test_javascript_mask_against_a_plain_walk(spark):
     rng = random.Random(3)
-    for _ in range(3000):
-        code = "".join(rng.choice(["/", "*", "'", '"', "`", "\\", "\n", "a", " "]) for _ in range(rng.randint(0, 24)))
-        assert syntax.mask_javascript_text(code) == naive_js(code), code
+    codes = ["".join(rng.choice(["/", "*", "'", '"', "`", "\\", "\n", "a", " ", "é", "\U0001f600", "\r"]) for _ in range(rng.randint(0, 24))) for _ in range(3000)]
+    wanted = [naive_js(c) for c in codes]
+    assert [syntax.mask_javascript_text(c) for c in codes] == wanted and masked(spark, syntax.mask_javascript, codes) == wanted
+    long = ["x = '" + "a\\'" * 400_000 + "' + y", "/*" + "*a\n" * 300_000 + "*/ z", "`" + "b" * 1_000_000, None, ""]
+    assert masked(spark, syntax.mask_javascript, long) == ["x = " + " " * 1_200_002 + " + y", "  " + "  \n" * 300_000 + "   z", " " * 1_000_001, None, ""]
+
+
+def naive_powershell(code, strings):
+    out, i = [], 0
+    while i < len(code):
+        c, end = code[i], i + 1
+        if code.startswith("<#", i):
+            end = code.find("#>", i + 2)
+            end = len(code) if end < 0 else end + 2
+        elif c == "#":
+            end = code.find("\n", i)
+            end = len(code) if end < 0 else end
+        elif c in "'\"":
+            while end < len(code) and not (code[end] == c and not (c == "'" and code.startswith("''", end))):
+                end += 2 if (c == '"' and code[end] == "`") or (c == "'" and code[end] == "'") else 1
+            end = min(len(code), end + 1)
+        own = code[i:end]
+        blank = own[:1] == "#" or own[:2] == "<#" or (strings and own[:1] in ("'", '"'))
+        out.append("".join(x if x == "\n" else " " for x in own) if blank else own)
+        i = end
+    return "".join(out)
 
 
-def test_powershell_mask_keeps_length_and_lines():
-    code = "a '#x' \"`\"#y\" # c\n<# d\n#> e 'it''s' f"
-    assert syntax.mask_powershell_text(code, False) == "a '#x' \"`\"#y\"    \n    \n   e 'it''s' f"
-    assert syntax.mask_powershell_text(code, True) == "a" + " " * 16 + "\n    \n   e         f"
+def test_powershell_masks_against_a_plain_walk(spark):
+    rng = random.Random(4)
+    codes = ["".join(rng.choice(["<#", "#>", "#", "'", '"', "`", "\n", "a", " ", "é"]) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    codes += ["a '#x' \"`\"#y\" # c\n<# d\n#> e 'it''s' f", '"' + "`\"" * 300_000 + '" x']
+    assert masked(spark, syntax.mask_powershell, codes) == [naive_powershell(c, True) for c in codes]
+    assert masked(spark, syntax.mask_powershell_comments, codes) == [naive_powershell(c, False) for c in codes]
+    assert masked(spark, syntax.mask_powershell_comments, codes[-2:-1]) == ["a '#x' \"`\"#y\"    \n    \n   e 'it''s' f"]
 
 
 def test_first_lines_against_find():
