@@ -56,9 +56,10 @@ def document_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), "text")
     rows = written(own.mapInArrow(_own_failures, "doc_id long, part string, digest binary, A boolean, B boolean, C boolean, D boolean"), "audit-flags")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Tables of their own: a join with an aggregation's result is one that Spark can't split by skew.
+    firsts = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "audit-copies")
     marks = {name: F.max(F.coalesce(F.col(name) == 1, F.lit(False))).alias(name) for name in ("quality", "toxic")}
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *marks).where("doc_id is not null").groupBy("doc_id").agg(*marks.values())
+    marked = written(labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*marks.values()), "audit-labels")
     copies = rows.join(firsts, "digest", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     return copies.join(marked, "doc_id", "left").select("part", *FILTERS, *[F.coalesce(name, F.lit(False)).alias(name) for name in marks])
 
