@@ -120,15 +120,24 @@ def p2_ignored_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.files(spark, sf_dir).where(~paths.in_ignored_directory(F.col("path"))).select("target_id", "path")
 
 
+FILE_NUMBER = "regexp_extract(path, '/([0-9]+)/[^/]*$', 1)::bigint % 7"
+
+
 @register("p3_p4_discovery", f"""
-with raw as (select target_id, path, octet_length(encode(content))::bigint as length, {LANGUAGE} as language from ({FILES_SQL}) f)
-select target_id, path, language, length, case when length > 6000 then 'file_too_large' else 'ok' end as status from raw
+with raw as (select *, {FILE_NUMBER} as form, {LANGUAGE} as language, octet_length(encode(content))::bigint as n from ({FILES_SQL}) f),
+sized as (select *, case form when 1 then n + 3 when 3 then 2 + 2 * length(content) when 4 then n + 1 when 5 then n + 1 else n end as length from raw)
+select target_id, path, language, length, case when length > 6000 then 'file_too_large' when form in (4, 5) then 'undecodable_text' else 'ok' end as status,
+  case when length <= 6000 and form not in (4, 5) then sha256(content) end as content_sha256 from sized
 where language is not null and not list_has_any(string_split({DIRS}, '/')[:-2], {paths.IGNORED_DIRECTORIES})""")
 def p3_p4_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size gate at 6,000 bytes, so that it has work to do on these tables."""
+    """The size gate at 6,000 bytes, so that it has work to do on these tables; files with a mark of UTF-8 or in UTF-16, and some
+    that hold a zero byte or bytes that are no text."""
     f = inputs.files(spark, sf_dir)
-    raw = f.select("target_id", "path", F.octet_length("content").cast("long").alias("length"), F.col("content").cast("binary").alias("content"))
-    return sources_.discover(raw, max_bytes=6_000).select("target_id", "path", "language", "length", "status")
+    form, plain = F.regexp_extract("path", r"/([0-9]+)/[^/]*$", 1).cast("long") % 7, F.col("content").cast("binary")
+    mark = lambda digits: F.unhex(F.lit(digits))
+    content = F.when(form == 1, F.concat(mark("EFBBBF"), plain)).when(form == 3, F.encode("content", "UTF-16")).when(form == 4, F.concat(mark("00"), plain)).when(form == 5, F.concat(plain, mark("C3"))).otherwise(plain)
+    raw = f.select("target_id", "path", F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    return sources_.discover(raw, max_bytes=6_000).select("target_id", "path", "language", "length", "status", F.sha2("content", 256).alias("content_sha256"))
 
 
 @register("p5_lines", f"select target_id, path, count(*)::bigint as n_lines, sum(length(raw))::bigint as n_chars, max(length(raw))::bigint as longest from ({lines_sql(FILES_SQL, 'target_id, path')}) l group by all")
