@@ -1,4 +1,4 @@
-"""Columns over text: lines, redaction, snippets. All of it stays in the JVM; no row needs another, so streams can use it too."""
+"""Columns over text: lines, redaction, snippets. All of it stays in the JVM."""
 
 from __future__ import annotations
 
