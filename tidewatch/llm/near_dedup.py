@@ -15,9 +15,10 @@ How pairs are found without ever making all pairs of a group:
    hold them. Two sets that are similar enough share a shingle among the first of either (a prefix of about a fifth), so
    nodes meet again by the shingles of their prefixes that several parts hold. A shared passage is far behind in that order.
 4. There too, members are first compared with one leader per shingle, the same for as many shingles as can be; shingles
-   whose members are all in one part are settled. Where the rest would still be many rows in blocks, as in a large group of
-   texts about as similar as the threshold, other leaders follow, turn by turn, as long as a turn links a twentieth of what is
-   open: each leader links a share of its group, so few turns leave little of it. What is left is clustered by shared shingles. A cluster, or each of its
+   whose members are all in one part are settled. With more `turns`, where the rest would still be many rows in blocks, as in a
+   large group of texts about as similar as the threshold, other leaders follow, turn by turn, as long as a turn links a
+   twentieth of what is open: each leader links a share of its group, so few turns leave little of it. A turn is some dozens of
+   short jobs, so it pays where a group has many thousands of such members. What is left is clustered by shared shingles. A cluster, or each of its
    shingles where that sends fewer sets, is dealt into blocks of bounded size, and the members of two blocks are compared
    on their full sets inside a task, which returns links only: no row per pair is made.
 
@@ -277,8 +278,8 @@ def _unsettled(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(open_, key)
 
 
-#: Turns of leaders at most, and how many times the open rows blocks may send before another turn is tried.
-MOST_TURNS, MANY = 16, 4
+#: How many times the open rows blocks may send before another turn of leaders is tried.
+MANY = 4
 #: Members and shingles of a block, about; two blocks are in memory at a time.
 BLOCK, BLOCK_ITEMS = 192, 150_000
 
@@ -361,7 +362,7 @@ def _marked(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
     return rows.select(key, "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(key, "doc_id", F.coalesce("component", "doc_id").alias("part"))
 
 
-def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer) -> DataFrame:
+def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer, turns: int) -> DataFrame:
     """The parts, joined by the links between nodes of different parts that are in an unsettled bucket. rest: bucket, doc_id, part."""
     nodes, percent = confirm.nodes, confirm.percent
     sets = confirm.sets_of(rest.select(F.col("doc_id").alias("__id")).distinct())
@@ -369,17 +370,19 @@ def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer) -
     met = written(_unsettled(_prefixes(members, percent), "h"), "prefixes")
     if met.isEmpty():
         return parts
-    for turn in range(MOST_TURNS):
+    for turn in range(turns):
         # The same order of leaders for all shingles, so that nodes which share many meet one leader; another order each turn.
         order = F.xxhash64("doc_id", *([F.lit(turn)] if turn else []))
         heads = met.groupBy("h").agg(F.min(F.struct(order.alias("o"), "doc_id", "part")).alias("head")).select("h", F.col("head.doc_id").alias("leader"), F.col("head.part").alias("lead"))
-        links = written(confirm(met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct()), "leader-links")
-        found, open_ = links.count(), met.select("part").distinct().count() if turn else 0
+        links = confirm(met.join(heads, "h").where("part <> lead").select(*_pair("leader", "doc_id")).distinct())
+        if turns > 1:
+            links = written(links, "leader-links")
+        open_ = met.select("part").distinct().count() if turn else 0
         parts = _joined(parts, links)
         met = written(_unsettled(_marked(met, "h", parts), "h"), "prefixes")
         if met.isEmpty():
             return parts
-        if not _many_rows(met) or 20 * found < open_:
+        if turn + 1 == turns or not _many_rows(met) or (turn and 20 * links.count() < open_):
             break
     near = met.join(met.groupBy("h").agg(F.min("doc_id").alias("head")), "h").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
     clusters = connected_components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
@@ -391,8 +394,11 @@ def _parts_by_shingles(rest: DataFrame, parts: DataFrame, confirm: _Confirmer) -
     return _joined(parts, written(keyed.groupBy("cluster", "unit", "i", "j").applyInArrow(_linked_blocks(percent), "a long, b long").distinct(), "links"))
 
 
-def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept."""
+def near_classes(docs: DataFrame, width: int = 5, percent: int = 80, turns: int = 1) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept.
+
+    turns: of leaders at most; the classes are the same with any number, only what is left for blocks differs.
+    """
     light = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(signatures(width), "doc_id long, n_shingles long, s1 long, s2 long, sig binary"), "signatures")
     per_set = written(light.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node")), "set-classes")
     own = per_set.select(F.col("node").alias("doc_id"), "s1", "s2")
@@ -408,7 +414,7 @@ def near_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     parts = connected_components(links)
     rest = written(_unsettled(_marked(rows, "bucket", parts), "bucket"), "unsettled")
     if not rest.isEmpty():
-        parts = _parts_by_shingles(rest, parts, confirm)
+        parts = _parts_by_shingles(rest, parts, confirm, turns)
 
     named = light.select("doc_id", "n_shingles", "s1", "s2").join(per_set, ["s1", "s2", "n_shingles"], "left")
     joined = named.join(parts, "node", "left")
