@@ -189,6 +189,26 @@ def test_near_chains_are_compared_by_shingle_or_as_one(spark, monkeypatch, block
     assert single > 0 if block == 3 else seen and single == 0
 
 
+def test_turns_of_leaders_leave_less_of_a_close_group_for_blocks(spark, monkeypatch):
+    """Texts about as similar as the threshold: the classes are the same with any number of turns."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for n in range(150):
+        words = [f"w{k}" for k in range(240)]
+        for _ in range(4):
+            words[rng.randrange(240)] = f"x{rng.randrange(10**9)}"
+        rows.append((n, " ".join(words)))
+    expected, seen, units = brute_near(rows, 4, 80), [], near_dedup._units
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "_units", lambda met: seen.append(met.select("doc_id").distinct().count()) or units(met))
+    assert {tuple(r) for r in near_dedup.near_classes(docs(spark, rows), 4, 80).collect()} == expected
+    once = sum(seen)
+    seen.clear()
+    assert {tuple(r) for r in near_dedup.near_classes(docs(spark, rows), 4, 80, turns=8).collect()} == expected
+    assert sum(seen) < once
+
+
 def test_near_edges(spark):
     assert near_dedup.near_classes(docs(spark, [])).count() == 0
     kept = near_dedup.drop_near_copies(docs(spark, ODD, True))
