@@ -391,3 +391,17 @@ def test_collision_keys_of_names(spark):
     names = ["A/b", "./a//B", "café", "café", "CAFÉ", "Straße", "STRASSE", None]
     keys = values(spark, archives.collision_key, names)
     assert keys == ["a/b", "a/b", "café", "café", "café", "strasse", "strasse", None]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_requirements_are_parsed_once_whatever_is_asked_above(spark):
+    files = spark.createDataFrame([("t", "requirements.txt", "text", "a==1\nb @ git+https://h/x\n# c\n--editable git+https://h/y#egg=d\n-r e\n f[x] >=2 ; z\n\n@x")], "target_id string, path string, language string, content string")
+    deps = manifests.requirements_deps(files)
+    rows = {(r["name"], r["specifier"], r["source_type"], r["pinned"], r["line"]) for r in deps.collect()}
+    assert rows == {("a", "==1", "registry", True, 1), ("b", "@ git+https://h/x", "git", False, 2), ("git", "+https://h/y#egg=d", "registry", False, 4), ("f", ">=2", "registry", False, 6)}
+    name = r"\A([A-Za-z0-9]"
+    for df in (deps, manifests.dependency_findings(deps), manifests.manifest_caps(deps, 3)):
+        assert _optimized(df).count(name) == 2
