@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import paths, text
+from tidewatch.functions.patterns import java
 from tidewatch.operators import archives, corpus, detectors, manifests, risk, syntax
 from tidewatch.operators import findings as fd
 from tidewatch.sources import files
@@ -397,6 +398,11 @@ def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_redaction_compiles_no_pattern_per_row(spark):
+    plan = _optimized(spark.createDataFrame([("a",)], "t string").select(text.redact_text(F.col("t"))))
+    assert f"{java(text.ASSIGNMENT)}, -1)" not in plan
+
+
 def test_requirements_are_parsed_once_whatever_is_asked_above(spark):
     files = spark.createDataFrame([("t", "requirements.txt", "text", "a==1\nb @ git+https://h/x\n# c\n--editable git+https://h/y#egg=d\n-r e\n f[x] >=2 ; z\n\n@x")], "target_id string, path string, language string, content string")
     deps = manifests.requirements_deps(files)
