@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +40,13 @@ def all_findings(sources: DataFrame, named: DataFrame, dependencies: DataFrame,
     return fd.union_findings(*parts, *([user.scan(sources)] if user else []))
 
 
-def scan_corpus(raw_files: DataFrame, max_bytes: int = sources_.MAX_FILE_BYTES, user: Scanners | None = None) -> dict[str, DataFrame]:
+def scan_corpus(raw_files: DataFrame, max_bytes: int = sources_.MAX_FILE_BYTES, user: Scanners | None = None, limits: bool = True) -> dict[str, DataFrame]:
     """Tables of a scan by name: targets, findings (ranked), dependencies (ranked), risk, coverage, rejected.
 
-    raw_files: target_id, path, length, content. A target beyond a limit, or without any file that can be read, is in
-    `rejected` with its first reason and in no other table. Discovered files are written by language, so that content is read
+    raw_files: target_id, path, length, content. A target beyond a limit (unless limits is false: then its tables are whole,
+    however large it is), or without any file that can be read, is in `rejected` with its first reason and in no other table. Discovered files are written by language, so that content is read
     once by the scanners of lines and once by those of its language; findings and dependencies are each written once, since
-    several results read them. Every window is by target and path, or by target after the limits.
+    several results read them. Every window is by target and path, or by target after the limits; ranks are taken in ranges.
     """
     found = written(sources_.discover(raw_files, max_bytes), "discovered", partition_by=("language",))
     sources, skipped = sources_.split_discovered(found)
@@ -53,12 +55,13 @@ def scan_corpus(raw_files: DataFrame, max_bytes: int = sources_.MAX_FILE_BYTES,
     findings = written(all_findings(sources, named, dependencies, user), "findings")
     everyone = raw_files.select("target_id").distinct()
     scanned = risk.files_scanned(everyone, sources)
-    reasons = [
-        sources_.discovery_limits(raw_files, found).select("target_id", F.lit(0).alias("place"), "reason"),
-        scanned.where("rejected").select("target_id", F.lit(1).alias("place"), F.lit("no_readable_file").alias("reason")),
-        fd.limit_check(findings, dependencies).select("target_id", F.lit(2).alias("place"), "reason"),
-    ]
-    rejected = reasons[0].unionByName(reasons[1]).unionByName(reasons[2]).groupBy("target_id").agg(F.min_by("reason", F.struct("place", "reason")).alias("reason"))
+    reasons = [scanned.where("rejected").select("target_id", F.lit(1).alias("place"), F.lit("no_readable_file").alias("reason"))]
+    if limits:
+        reasons += [
+            sources_.discovery_limits(raw_files, found).select("target_id", F.lit(0).alias("place"), "reason"),
+            fd.limit_check(findings, dependencies).select("target_id", F.lit(2).alias("place"), "reason"),
+        ]
+    rejected = reduce(DataFrame.unionByName, reasons).groupBy("target_id").agg(F.min_by("reason", F.struct("place", "reason")).alias("reason"))
     rejected = written(rejected, "rejected")
     allowed = lambda df: df.join(rejected.select("target_id"), "target_id", "left_anti")
     targets = allowed(scanned).select("target_id", "files_scanned")
