@@ -1,21 +1,19 @@
-"""Workflow files: a batch helper reads the YAML and returns its entries as rows, with the line each stands on; the rules
+"""Workflow files: a helper reads the YAML and returns its entries as rows, with the line each stands on; the rules
 are columns over the entries. A file that goes beyond the reader's limits has no entries; workflow_status tells which."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.patterns import java
 from ..functions.search import first_lines
+from .by_file import file_rows
 from .python_code import MAX_PER_FILE, hit, labels, reported, strings, with_snippets
 from .safe_yaml import YamlFault, read_yaml
 
-ENTRIES = "target_id string, path string, language string, kind string, seq long, line int, value string, raw string"
+ENTRIES = "kind string, seq long, line int, value string, raw string"
 
 
 def workflow_entries(content: str) -> list[tuple[str, str, int, str]]:
@@ -54,32 +52,23 @@ def workflow_entries(content: str) -> list[tuple[str, str, int, str]]:
 
 
 def _entries(files: DataFrame) -> DataFrame:
-    columns = [c.split(" ")[0] for c in ENTRIES.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for target, path, language, content in zip(batch["target_id"], batch["path"], batch["language"], batch["content"]):
-                try:
-                    found = workflow_entries(content)
-                except YamlFault:
-                    continue
-                rows += [(target, path, language, kind, seq, line, value, raw) for seq, (kind, value, line, raw) in enumerate(found)]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return files.select("target_id", "path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(run, ENTRIES)
+    def rows(_: str, content: str) -> list[tuple]:
+        try:
+            found = workflow_entries(content)
+        except YamlFault:
+            return []
+        return [(kind, seq, line, value, raw) for seq, (kind, value, line, raw) in enumerate(found)]
 
+    return file_rows(files, rows, ENTRIES)
 
-@F.pandas_udf(StringType())
-def _fault(content: pd.Series) -> pd.Series:
-    def one(c: str | None) -> str | None:
-        try:
-            read_yaml(c or "")
-        except YamlFault as e:
-            return str(e)
-        return None
 
-    return pd.Series([one(c) for c in content], dtype=object)
+@F.udf(StringType(), useArrow=False)
+def _fault(content: str | None) -> str | None:
+    try:
+        read_yaml(content or "")
+    except YamlFault as e:
+        return str(e)
+    return None
 
 
 def workflow_status(sources: DataFrame) -> DataFrame:
