@@ -1,6 +1,6 @@
 """What Python files do when run: programs, code from text, environment, network, files, tools of servers.
 
-A batch helper reads each file's syntax tree once and returns facts as rows: calls with what their arguments spell out, uses
+A helper reads each file's syntax tree once and returns facts as rows: calls with what their arguments spell out, uses
 of the environment, and tool functions. Rules, caps, uniqueness and order are columns over the facts. Nothing is run.
 """
 
@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import ast
 from collections import deque
-from collections.abc import Iterator
 from urllib.parse import urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType
 
 from ..functions import paths, text
 from ..functions.patterns import java
 from . import findings as fd
+from .by_file import file_rows
 from .rulebook import CAPABILITIES
 
 MAX_CALLS, MAX_PER_FILE = 10_000, 1_000
@@ -53,16 +52,11 @@ TOOL_ROOTS = ["aiohttp", "httpx", "requests", "socket", "urllib", "websockets"]
 TOOL_OPENS = ["Path.open", "open", "pathlib.Path.open"]
 
 FACTS = (
-    "target_id string, path string, language string, kind string, seq long, place long, line int, name string, written string, n_args int, listed boolean, program string, "
-    "first string, mode string, shell boolean, loader string, method string, payload boolean, address string, host string, texts array<string>, in_tool boolean, raw string, server boolean"
+    "kind string, seq long, place long, line int, name string, written string, n_args int, listed boolean, program string, "
+    "first string, mode string, shell boolean, loader string, method string, payload boolean, address string, host string, texts array<string>, in_tool boolean, raw string"
 )
 
 
-def frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    """Rows as a batch; what a row lacks is null."""
-    return pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns, dtype=object)
-
-
 def parsed(content: str) -> ast.AST | None:
     try:
         return ast.parse(content)
@@ -167,33 +161,27 @@ def _is_server(content: Column) -> Column:
 def python_facts(files: DataFrame) -> DataFrame:
     """Facts of all Python files, each parsed once; a file that does not parse has none, see parse_status. The scanners below
     take the facts of a corpus where they are at hand."""
-    columns = [c.split(" ")[0] for c in FACTS.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for target, path, language, content, server in zip(batch["target_id"], batch["path"], batch["language"], batch["content"], batch["server"]):
-                lines = content.splitlines()
-                for f in file_facts(content):
-                    rows.append(f | {"target_id": target, "path": path, "language": language, "server": server, "raw": lines[f["line"] - 1] if 0 < f["line"] <= len(lines) else ""})
-            yield frame(rows, columns)
+    def rows(_: str, content: str) -> list[dict]:
+        lines = content.splitlines()
+        return [f | {"raw": lines[f["line"] - 1] if 0 < f["line"] <= len(lines) else ""} for f in file_facts(content)]
 
     content = F.coalesce("content", F.lit(""))
-    return files.select("target_id", "path", "language", content.alias("content"), _is_server(content).alias("server")).mapInPandas(run, FACTS)
+    return file_rows(files.select("target_id", "path", "language", content.alias("content"), _is_server(content).alias("server")), rows, FACTS, "server")
 
 
 def _facts(sources: DataFrame, files: Column, known: DataFrame | None) -> DataFrame:
     return python_facts(sources.where(files)) if known is None else known
 
 
-@F.pandas_udf(StringType())
-def _parses(code: pd.Series) -> pd.Series:
-    return code.map(lambda c: "yes" if c is not None and parsed(c) is not None else "no")
+@F.udf(BooleanType(), useArrow=False)
+def _parses(code: str | None) -> bool:
+    return code is not None and parsed(code) is not None
 
 
 def parse_status(sources: DataFrame) -> DataFrame:
     """(target_id, path, parse_ok) of Python files."""
-    return sources.where(F.col("language") == "python").select("target_id", "path", (_parses(F.col("content")) == "yes").alias("parse_ok"))
+    return sources.where(F.col("language") == "python").select("target_id", "path", _parses(F.col("content")).alias("parse_ok"))
 
 
 # --- columns ----------------------------------------------------------------------------------------------------------
