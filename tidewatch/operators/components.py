@@ -1,18 +1,17 @@
-"""Components of assistants: skills, plugin manifests and server configurations. A batch helper returns what a file declares
+"""Components of assistants: skills, plugin manifests and server configurations. A helper returns what a file declares
 as arrays; capabilities and severities are columns."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.patterns import java
-from .python_code import capability_severity, frame, hit, in_order, labels, reported, strings, with_snippets
+from .by_file import file_rows
+from .python_code import capability_severity, hit, in_order, labels, reported, strings, with_snippets
 from .safe_yaml import YamlFault, read_yaml
 
 # Parts of tool names and what they allow.
@@ -22,7 +21,7 @@ TOOL_WORDS = {
 }
 # Files that declare what an assistant's component may do.
 COMPONENTS = ("skill.md", "plugin.json", "mcp.json")
-DECLARED = "target_id string, path string, language string, kind string, line int, raw string, spaced boolean, tools array<string>, servers array<string>, commands array<string>, urls array<string>, keys array<string>"
+DECLARED = "kind string, line int, raw string, spaced boolean, tools array<string>, servers array<string>, commands array<string>, urls array<string>, keys array<string>"
 
 
 def tool_names(tools: Column, spaced: Column) -> Column:
@@ -83,20 +82,15 @@ def _servers(config: dict) -> dict:
 
 
 def _declared(files: DataFrame) -> DataFrame:
-    columns = [c.split(" ")[0] for c in DECLARED.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for target, path, language, content in zip(batch["target_id"], batch["path"], batch["language"], batch["content"]):
-                found = declared(path.replace("\\", "/").rsplit("/", 1)[-1].lower(), content)
-                if found is not None:
-                    lines = content.splitlines() or [""]
-                    at = next((i for i, line in enumerate(lines) if found["mark"] in line.casefold()), 0)
-                    rows.append({"target_id": target, "path": path, "language": language, "line": at + 1, "raw": lines[at]} | found)
-            yield frame(rows, columns)
-
-    return files.select("target_id", "path", "language", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(run, DECLARED)
+    def rows(path: str, content: str) -> list[dict]:
+        found = declared(path.replace("\\", "/").rsplit("/", 1)[-1].lower(), content)
+        if found is None:
+            return []
+        lines = content.splitlines() or [""]
+        at = next((i for i, line in enumerate(lines) if found["mark"] in line.casefold()), 0)
+        return [{"line": at + 1, "raw": lines[at]} | found]
+
+    return file_rows(files, rows, DECLARED)
 
 
 def _cut(values: Column, most: int) -> Column:
