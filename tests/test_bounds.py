@@ -34,3 +34,15 @@ def test_helpers_get_few_files_at_a_time(spark, scan):
     files = spark.createDataFrame([("t", f"{k}/mcp.json", "python", "x = 1") for k in range(3)], SOURCES)
     plan = scan(files)._jdf.queryExecution().toString()
     assert "BatchEvalPython" in plan and "MapInPandas" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_rules_skip_lines_without_their_texts(spark):
+    pattern = r"(?=.*\bwords\b)(?=.*\bnothing\b)"
+    assert patterns.needs(pattern) == ("words", "nothing") and patterns.needs(r"\w+") == ()
+    # Every place of such a line would read the rest of it.
+    long = "\n".join(["plain word " * 1_800] * 60)
+    files = spark.createDataFrame([("t", "a", "text", f"{long}\nplain words and nothing else\nnothing\nnothings and words")], SOURCES)
+    rules = (Rule("SI-X-001", "text", "low", "user_rule", (), "x", pattern), Rule("SI-X-002", "text", "low", "user_rule", (), "x", r"(?i)(?:WORD|other) and"))
+    began = time.perf_counter()
+    assert [(r.rule_id, r.line) for r in detectors.scan_rules(files, rules, plain=True).orderBy("rule_id", "line").collect()] == [("SI-X-001", 61)]
+    assert time.perf_counter() - began < 15
