@@ -4,9 +4,11 @@ import time
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from tidewatch.functions import patterns
 from tidewatch.operators import components, detectors, python_code, safe_yaml, syntax, workflows
+from tidewatch.operators import findings as fd
 from tidewatch.operators.rulebook import Rule
 
 SOURCES = "target_id string, path string, language string, content string"
@@ -55,3 +57,25 @@ def test_javascript_is_read_fast():
     found = syntax.scan_javascript_text("a.js", code)
     assert [(r["rule_id"], r["line"]) for r in found] == [("SI-JS-003", 60_001), ("SI-JS-001", 60_001), ("SI-JS-005", 60_002), ("SI-JS-005", 60_002), ("SI-JS-002", 60_002), ("SI-JS-006", 60_002), ("SI-JS-007", 60_002)]
     assert time.perf_counter() - began < 0.9
+
+
+def test_small_targets_are_ranked_without_ranges(spark, monkeypatch):
+    """Ranges take a sample, a second pass over the rows and a written table; targets below a partition's share need none."""
+    monkeypatch.setattr(fd, "written", lambda *_: pytest.fail("written for small targets"))
+    rows = [(None if i % 40 == 0 else f"t{i % 40}", i * 7919 % 1009, i) for i in range(4000)]
+    ranked = fd.ranked_within(spark.createDataFrame(rows, "target_id string, k int, i int"), "target_id", [F.desc("k"), F.col("i")])
+    assert dict(ranked.dtypes)["rank"] == "bigint"
+    got = {(r.target_id, r.i): r["rank"] for r in ranked.collect()}
+    for target in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == target), key=lambda r: (-r[1], r[2]))
+        assert [got[target, r[2]] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_dedupe_is_one_window(spark):
+    """Nulls in the order of emission are the first; the last row stays, with the place of the first."""
+    schema = "target_id string, path string, rule_id string, line int, name string, scanner_seq int, emit_seq long, severity string"
+    rows = [(t, None, "R", None, "n", s, e, f"{s}/{e}") for t in ("a", None) for s, e in ((1, 2), (None, 9), (0, None), (1, 7), (0, 3))]
+    kept = fd.dedupe_findings(spark.createDataFrame(rows, schema).repartition(7))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+    assert sorted((str(r.target_id), r.severity, r.first_seq, r.first_emit) for r in kept.collect()) == [("None", "1/7", None, 9), ("a", "1/7", None, 9)]
