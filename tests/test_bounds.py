@@ -7,9 +7,11 @@ import yaml
 from pyspark.sql import functions as F
 
 from tidewatch.functions import patterns
+from tidewatch.jobs import catalog
 from tidewatch.operators import components, detectors, python_code, safe_yaml, syntax, workflows
 from tidewatch.operators import findings as fd
 from tidewatch.operators.rulebook import Rule
+from tidewatch.sources.shared import written
 
 SOURCES = "target_id string, path string, language string, content string"
 
@@ -79,3 +81,11 @@ def test_dedupe_is_one_window(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
     assert sorted((str(r.target_id), r.severity, r.first_seq, r.first_emit) for r in kept.collect()) == [("None", "1/7", None, 9), ("a", "1/7", None, 9)]
+
+
+def test_packs_of_pages_are_no_arrow_batches(spark, sf_dir, monkeypatch):
+    """A batch of Arrow's is 10,000 packs, whose texts grow with the table; a plain function gets 100."""
+    plans = []
+    monkeypatch.setattr(catalog, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    assert catalog.QUERIES["s3_archive_members"](spark, sf_dir).count() > 0
+    assert "BatchEvalPython" in plans[0] and not any(x in plans[0] for x in ("MapInPandas", "MapInArrow", "ArrowEvalPython"))
