@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text
+from tidewatch.jobs import catalog
 from tidewatch.operators import detectors, python_code, reports, risk
 from tidewatch.operators import findings as fd
 
@@ -46,6 +47,38 @@ def test_json_report_hides_secrets(spark):
     assert "abcdefghijklmn" not in row.json + payload and len(json.loads(payload)["files"]) == 1
 
 
+def test_reports_send_line_items_once_for_each_table(spark, sf_dir, monkeypatch):
+    """Deduplicated findings were written and shuffled again by risk, reasons, ranks and lists, as whole texts."""
+    monkeypatch.setattr(catalog, "written", lambda *_: pytest.fail("written"))
+    plan = catalog.QUERIES["a13_reports"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), 8\)", plan)
+    assert sorted(re.sub(r"#\w+", "", d) for d in dealt) == ["cast(l_orderkey as string)"] * 2 + ["target_id"] * 3
+
+
+def test_reports_of_equal_assembled_ones(spark):
+    """With nulls, equal places, one name in two cases, and a target without findings."""
+    chance = random.Random(5)
+    pick = lambda *xs: chance.choice([*xs, None])
+    rows = [(pick("a", "b", "c"), pick("p", "P"), pick("R1", "R2"), pick("n", "N", "m"), pick("low", "critical", "odd"), pick("persistence", "x"), pick(1, 2), "s", [pick("persistence", "privilege_escalation")], k % 3, k) for k in range(300)]
+    found = fd.union_findings(spark.createDataFrame(rows, "target_id string, path string, rule_id string, name string, severity string, category string, line int, snippet string, capabilities array<string>, scanner_seq int, emit_seq long"))
+    targets = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "target_id string")
+    deps = spark.createDataFrame([("a", "pypi", n, "f", "s", "*", True, "registry") for n in "yx"], "target_id string, ecosystem string, name string, source_file string, scope string, specifier string, pinned boolean, source_type string")
+    covered = risk.coverage(targets, spark.createDataFrame([("b", "x", "y")], "target_id string, path string, reason string"))
+    deduped = fd.dedupe_findings(found)
+    want = reports.assemble_report(targets, risk.assess(deduped, targets), covered, fd.rank_findings(deduped), deps)
+    got = reports.reports_of(targets, found, covered, deps)
+    assert got.dtypes == want.dtypes and got.orderBy("target_id").collect() == want.orderBy("target_id").collect()
+
+
+def test_repeated_orders_have_a_report_each(spark, sf_dir, tmp_path):
+    """Coverage had a row for each, which was joined with each."""
+    for name in ("lineitem", "part"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").limit(5)
+    orders.unionAll(orders).write.parquet(str(tmp_path / "orders.parquet"))
+    assert catalog.QUERIES["a13_reports"](spark, str(tmp_path)).count() == 10
+
+
 RULE = dict(id="SI-USR-001", name="n", description="d", severity="low", category="some_thing", language="text", explanation="e", recommendation="r")
 
 
